@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding
+from . import bitplanes, packing, sharding, token_counts
 from .common import documents
 from .tokens import default_path
 
@@ -19,9 +19,19 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), default_path("word_bpe_49k.json"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_token_counts(documents(spark, sf_dir), default_path("byte_bpe_50k.json"))
+
+
+def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.round_trip(documents(spark, sf_dir), default_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op8_token_counts": op8_token_counts,
+    "op10_bit_planes": op10_bit_planes,
 }
 
 ORACLE_SQL: dict[str, str] = {}
