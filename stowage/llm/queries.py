@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, packing, sharding, token_counts
-from .common import documents
+from . import bitplanes, packing, quality, sharding, tiff, token_counts
+from .common import documents, materialize
 from .tokens import default_path
 
 
@@ -19,6 +19,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), default_path("word_bpe_49k.json"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir))
+
+
+def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digest_of(materialize(tiff.store_texts(documents(spark, sf_dir)), "media"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(documents(spark, sf_dir), default_path("byte_bpe_50k.json"))
 
@@ -30,8 +38,12 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_tiff": op7_tiff,
     "op8_token_counts": op8_token_counts,
     "op10_bit_planes": op10_bit_planes,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": quality.SQL,
+}
