@@ -110,7 +110,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
 
         count = 0
         for batch in batches:
-            lengths = pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0).to_pylist()
+            lengths = tokens.text_sizes(batch)
             for a, b in tokens.slices(lengths, 4 << 20):
                 ids, starts = encode(batch["text"][a:b].to_pylist())
                 names += batch["doc_id"][a:b].to_pylist()

@@ -35,7 +35,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary).encode
         for batch in batches:
-            lengths = pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0).to_pylist()
+            lengths = tokens.text_sizes(batch)
             for a, b in tokens.slices(lengths, 4 << 20):
                 ids, starts = encode(batch["text"][a:b].to_pylist())
                 rows = []

@@ -88,7 +88,7 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     def measure_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0).to_pylist()
+            lengths = tokens.text_sizes(batch)
             for a, b in tokens.slices(lengths, 8 << 20):
                 rows = [measure(t) for t in batch["text"][a:b].to_pylist()]
                 columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]

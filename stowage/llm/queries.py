@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, packing, quality, sharding, tiff, token_counts
+from . import bitplanes, bpe, packing, quality, sharding, tiff, token_counts
 from .common import documents, materialize
 from .tokens import default_path
 
@@ -19,6 +19,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), default_path("word_bpe_49k.json"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digest_documents(documents(spark, sf_dir), default_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
@@ -38,6 +44,7 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op3_bpe": op3_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op7_tiff": op7_tiff,
     "op8_token_counts": op8_token_counts,

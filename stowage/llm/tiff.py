@@ -237,7 +237,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0).to_pylist()
+            lengths = tokens.text_sizes(batch)
             for a, b in tokens.slices(lengths, 8 << 20):
                 raw = [(t or "").encode() for t in batch["text"][a:b].to_pylist()]
                 media = [write_gray(x + bytes(-len(x) % WIDTH if x else WIDTH)) for x in raw]

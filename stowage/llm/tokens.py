@@ -12,6 +12,8 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct pieces that a worker keeps; beyond that the table starts afresh.
 KEPT_PIECES = 600_000
@@ -146,3 +148,8 @@ def slices(lengths: Sequence[int], limit: int) -> list[tuple[int, int]]:
     if at < len(lengths):
         out.append((at, len(lengths)))
     return out
+
+
+def text_sizes(batch: pa.RecordBatch) -> list[int]:
+    """Bytes of each text of a batch; null has none."""
+    return pc.fill_null(pc.binary_length(batch["text"]), 0).to_pylist()
