@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, bpe, packing, quality, sharding, tiff, token_counts
+from . import bitplanes, bpe, minhash, packing, quality, sharding, tiff, token_counts
 from .common import documents, materialize
 from .tokens import default_path
 
@@ -29,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(documents(spark, sf_dir), w=3, per_cent=85).drop("row_hash")
+
+
 def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digest_of(materialize(tiff.store_texts(documents(spark, sf_dir)), "media"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
     "op5_quality_rules": op5_quality_rules,
+    "op6_minhash": op6_minhash,
     "op7_tiff": op7_tiff,
     "op8_token_counts": op8_token_counts,
     "op10_bit_planes": op10_bit_planes,
