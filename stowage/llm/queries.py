@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, bpe, language_id, minhash, packing, quality, sharding, tiff, token_counts
+from . import bitplanes, bpe, language_id, minhash, packing, quality, secrets, sharding, tiff, token_counts
 from .common import documents, materialize
 from .tokens import default_path
 
@@ -45,6 +45,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(documents(spark, sf_dir), default_path("byte_bpe_50k.json"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(documents(spark, sf_dir))
+
+
 def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.round_trip(documents(spark, sf_dir), default_path("byte_bpe_50k.json"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash": op6_minhash,
     "op7_tiff": op7_tiff,
     "op8_token_counts": op8_token_counts,
+    "op9_secrets": op9_secrets,
     "op10_bit_planes": op10_bit_planes,
 }
 
