@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import tokens
 
@@ -119,9 +120,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE, profile: int = PROFILE) -> dict
     return {r["lang"]: [x["gram"] for x in r["g"]] for r in best.collect()}
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[str]], profile: int = PROFILE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; reads doc_id and text only."""
+def predict(docs: DataFrame, profiles: dict[str, list[str]], keep: Sequence[str] = (), profile: int = PROFILE) -> DataFrame:
+    """The columns ``keep``, lang_pred and score of every row; predicts from text only."""
     langs = sorted(profiles)
+    keep = list(keep)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker()
@@ -157,10 +159,22 @@ def predict(docs: DataFrame, profiles: dict[str, list[str]], profile: int = PROF
                     i = int(distance.argmin())
                     preds.append(langs[i])
                     scores.append(1 - float(distance[i]) / (profile * len(ranked)))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], batch["held_out"][a:b], pa.array(preds), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+                own = [batch[c][a:b] for c in keep]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(judge, "doc_id long, held_out boolean, lang_pred string, score double")
+    given = docs.select(*keep, *(["text"] if "text" not in keep else []))
+    return given.mapInArrow(judge, StructType([*docs.select(*keep).schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    return predict(docs, learn(docs))
+    """doc_id, held_out, lang_pred and score of every row."""
+    rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
+    return predict(rows, learn(docs), ["doc_id", "held_out"])
+
+
+def identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose language is known with ``least_score`` at least."""
+    own = [f"__own{i}" for i in range(len(docs.columns))]
+    named = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True)], F.col("text"))
+    kept = predict(named, learn(docs), own).filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    return kept.select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own, strict=True)])

@@ -248,8 +248,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, w: int = 5, per_cent: int = 80, k: int = SKETCH) -> DataFrame:
-    """doc_id, row_hash (of the text), n_shingles, component_id (smallest doc_id reachable) and kept of every row."""
+def classified(docs: DataFrame, w: int, per_cent: int, k: int = SKETCH) -> DataFrame:
+    """doc_id, row_hash (of the text), n_shingles, set_digest, label (of the component; null for an empty set) and component of every row."""
     rows = materialize(sketches(docs, w, k), "sketches")
     shared = rows.filter(F.col("set_digest").isNotNull())
     reps = shared.groupBy("set_digest").agg(
@@ -260,7 +260,24 @@ def classes(docs: DataFrame, w: int = 5, per_cent: int = 80, k: int = SKETCH) ->
     merged = reps.join(labels, reps.rep == labels.node, "left").select("set_digest", "min_doc", F.coalesce("label", "rep").alias("label"))
     merged = materialize(merged, "merged")
     least = materialize(merged.groupBy("label").agg(F.min("min_doc").alias("component")), "components")
-    of_digest = merged.join(least, "label").select("set_digest", "component")
-    out = rows.select("doc_id", "row_hash", "n_shingles", "set_digest").join(of_digest, "set_digest", "left")
+    of_digest = materialize(merged.join(least, "label").select("set_digest", "label", "component"), "class_of_set")
+    return rows.select("doc_id", "row_hash", "n_shingles", "set_digest").join(of_digest, "set_digest", "left")
+
+
+def classes(docs: DataFrame, w: int = 5, per_cent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept of every row."""
     component = F.when(F.col("set_digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "row_hash", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return classified(docs, w, per_cent).select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, w: int = 5, per_cent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: the one of the smallest doc_id, and of repeated rows only one. Rows with an empty set stay."""
+    found = classified(docs, w, per_cent)
+    chosen = found.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min(F.struct("doc_id", "row_hash")).alias("of"))
+    key = lambda d, h: (F.xxhash64(d, h), F.xxhash64(h, d, F.lit(1)))
+    first, second = key(F.col("of.doc_id"), F.col("of.row_hash"))
+    chosen = materialize(chosen.select(first.alias("__k1"), second.alias("__k2")), "chosen")
+    one, two = key(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    keyed = docs.withColumns({"__k1": one, "__k2": two, "__bare": F.coalesce(~F.col("text").rlike("[^ \\t-\\r]"), F.lit(True))})
+    kept = keyed.filter(~F.col("__bare")).join(chosen, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
+    return kept.unionByName(keyed.filter("__bare")).select(*docs.columns)

@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import tokens
 
@@ -83,18 +84,19 @@ def mask_of(policy: str) -> int:
     return sum(1 << names.index(n) for n in POLICIES[policy])
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements and failed_bits of every row."""
+def ledger(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, the measurements and failed_bits of every row."""
+    keep = list(keep)
 
     def measure_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = tokens.text_sizes(batch)
-            for a, b in tokens.slices(lengths, 8 << 20):
+            for a, b in tokens.slices(tokens.text_sizes(batch), 8 << 20):
                 rows = [measure(t) for t in batch["text"][a:b].to_pylist()]
                 columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], *columns], names=["doc_id", *MEASURES])
+                yield pa.RecordBatch.from_arrays([*[batch[c][a:b] for c in keep], *columns], names=[*keep, *MEASURES])
 
-    measured = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(measure_all, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    given = docs.select(*keep, *(["text"] if "text" not in keep else []))
+    measured = given.mapInArrow(measure_all, StructType([*docs.select(*keep).schema.fields, *[StructField(m, LongType()) for m in MEASURES]]))
     bits = F.lit(0).cast("long")
     for i, (_, fails) in enumerate(rules()):
         bits = bits.bitwiseOR(F.when(fails, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
@@ -119,7 +121,16 @@ def ablations(entries: DataFrame, policy: str) -> DataFrame:
 
 
 def judged(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    return ledger(docs).withColumns({"base_failed": ~passes("base"), "kept": passes("base") & passes(policy)})
+    """doc_id, the measurements, failed_bits, base_failed and kept of every row."""
+    return ledger(docs.select(F.col("doc_id").cast("long"), "text")).withColumns({"base_failed": ~passes("base"), "kept": passes("base") & passes(policy)})
+
+
+def passing(docs: DataFrame, policy: str = "v1") -> DataFrame:
+    """The rows of ``docs`` that pass, with their own columns only."""
+    own = [f"__own{i}" for i in range(len(docs.columns))]
+    named = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True)], F.col("text"))
+    entries = ledger(named, own)
+    return entries.filter(passes("base") & passes(policy)).select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own, strict=True)])
 
 
 #: The rows of op5 in DuckDB's SQL.

@@ -34,7 +34,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.classes(documents(spark, sf_dir), w=3, per_cent=85).drop("row_hash")
+    return minhash.classes(documents(spark, sf_dir), w=3, per_cent=85)
 
 
 def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
