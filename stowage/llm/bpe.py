@@ -65,10 +65,14 @@ class WordCodes(tokens.PieceEncoder):
         self.codes: dict[str, int] = {}
         self.reset()
 
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
+    def library(self, texts: list[str]) -> list[np.ndarray]:
         codes = self.codes
         return [np.array([codes.setdefault(w, len(codes)) for w in self.find(t)], np.uint32) for t in texts]
 
+    def translate(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        own = self.library(pieces)
+        return np.concatenate(own), np.array([len(x) for x in own])
+
 
 class Ranks:
     """A rank file: encodes one word, and has the bytes of every id."""

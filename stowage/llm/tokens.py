@@ -16,10 +16,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces that a worker keeps; beyond that the table starts afresh.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 1_000_000
+#: Pieces that are joined to one text for a call of the library.
+JOINED = 1000
 _SPACE_RUN = re.compile(r" (?:\s|$)")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python, but not to the tokenizer
 _PLAIN = re.compile(r"[\x00-ɏ]*\Z")
+_CLEAN = re.compile(r" ?[^\s]+\Z")
 
 
 def default_path(name: str) -> str:
@@ -28,19 +31,46 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Table(dict):
-    """Piece to number; asking for a new piece gives it the next number."""
+class _Numbers(dict):
+    """Piece to number; asking for a new piece gives it the next number and notes it."""
 
-    def __init__(self, owner: PieceEncoder, prefix: str) -> None:
-        self.owner, self.prefix = owner, prefix
+    def __init__(self, store: Store, prefix: str = "") -> None:
+        self.store, self.prefix = store, prefix
 
     def __missing__(self, piece: str) -> int:
-        self[piece] = n = self.owner.count
-        self.owner.count += 1
-        self.owner.fresh.append(self.prefix + piece)
+        self[piece] = n = self.store.count
+        self.store.count += 1
+        self.store.fresh.append(self.prefix + piece)
         return n
 
 
+class Store:
+    """Ids of numbered pieces in flat arrays."""
+
+    def __init__(self) -> None:
+        self.count, self.fresh = 0, []
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def put(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        while self.count > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.sizes[numbers] = sizes
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered pieces one after the other, and where each ends."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        if not len(ends):
+            return np.empty(0, np.uint32), ends
+        return self.flat[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(ends[-1])], ends
+
+
 class PieceEncoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,76 +82,95 @@ class PieceEncoder:
         if self.words:
             import regex
 
-            self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-            self.parts: dict[str, np.ndarray] = {}
+            self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+| ").findall
+            self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
+        else:
+            self.newline = self.library(["\n"])[0][0]
         self.reset()
 
     def reset(self) -> None:
-        self.count, self.fresh = 0, []
-        self.first, self.spaced = _Table(self, ""), _Table(self, " ")
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-        if self.words:
-            self.parts.clear()
+        self.store, self.parts = Store(), Store()
+        self.first, self.spaced, self.part = _Numbers(self.store), _Numbers(self.store, " "), _Numbers(self.parts)
 
-    def _library(self, texts: Sequence[str]) -> list[np.ndarray]:
+    def library(self, texts: Sequence[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _ids(self, pieces: list[str]) -> list[np.ndarray]:
+    def joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of pieces that the tokenizer never joins to each other, many in one call."""
+        texts = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        all_ids, all_sizes = [], []
+        for group, ids in zip(texts, self.library([(" " if self.words else "\n").join(t) for t in texts]), strict=True):
+            if self.words:  # the last id of each piece says so
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                sizes = np.diff(ends, prepend=0)
+            else:
+                between = ids == self.newline
+                sizes = np.diff(np.flatnonzero(between), prepend=-1, append=len(ids)) - 1
+                ids = ids[~between]
+            if len(sizes) != len(group) or sizes.sum() != len(ids):
+                own = self.library(group)
+                ids, sizes = np.concatenate(own), np.array([len(x) for x in own])
+            all_ids.append(ids)
+            all_sizes.append(sizes)
+        return np.concatenate([*all_ids, np.empty(0, np.uint32)]), np.concatenate([*all_sizes, np.empty(0, np.int64)]).astype(np.int64)
+
+    def translate(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of usual pieces."""
         if not self.words:
-            return self._library(pieces)
+            return self.joined(pieces)
         # The parts of a word are encoded each for itself, so they are kept too: there are fewer of them than words.
-        normal, out = self.tokenizer.normalizer.normalize_str, []
-        cut = [self.split(p.lower() if p.isascii() else normal(p)) if _PLAIN.match(p) else None for p in pieces]
-        new = list(dict.fromkeys(x for c in cut if c for x in c if x not in self.parts))
-        self.parts.update(zip(new, self._library(new), strict=True))
-        for piece, c in zip(pieces, cut, strict=True):
-            out.append(self._library([piece])[0] if c is None else self.parts[c[0]] if len(c) == 1 else np.concatenate([self.parts[x] for x in c]) if c else np.empty(0, np.uint32))
-        return out
-
-    def _learn(self) -> None:
-        if not self.fresh:
+        flat = self.split(self.tokenizer.normalizer.normalize_str(" ".join(pieces)))
+        between = np.fromiter((p == " " for p in flat), bool, len(flat))
+        numbers = np.fromiter(map(self.part.__getitem__, (p for p in flat if p != " ")), np.int64, len(flat) - int(between.sum()))
+        if self.parts.fresh:
+            ids, sizes = self.joined(self.parts.fresh)
+            self.parts.put(np.arange(self.parts.count - len(sizes), self.parts.count), sizes, ids)
+            self.parts.fresh = []
+        ids, ends = self.parts.get(numbers)
+        upto = np.concatenate([[0], ends])[np.append(np.flatnonzero(between) - np.arange(between.sum()), len(numbers))]
+        return ids, np.diff(upto, prepend=0)
+
+    def learn(self) -> None:
+        fresh, self.store.fresh = self.store.fresh, []
+        if not fresh:
             return
-        ids = self._ids(self.fresh)
-        at, sizes = self.count - len(ids), np.fromiter(map(len, ids), np.int64, len(ids))
-        while self.count > len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        while self.used + sizes.sum() > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.sizes[at : self.count] = sizes
-        self.starts[at : self.count] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + sizes.sum()] = np.concatenate(ids)
-        self.used += int(sizes.sum())
-        self.fresh = []
+        usual = _PLAIN.match if self.words else _CLEAN.match
+        numbers = np.arange(self.store.count - len(fresh), self.store.count)
+        easy = np.fromiter((usual(p) is not None for p in fresh), bool, len(fresh))
+        if easy.all():
+            pieces, odd = fresh, []
+        else:
+            pieces, odd = [p for p, e in zip(fresh, easy, strict=True) if e], [p for p, e in zip(fresh, easy, strict=True) if not e]
+        if pieces:
+            ids, sizes = self.translate(pieces)
+            self.store.put(numbers[easy], sizes, ids)
+        if odd:
+            own = self.library(odd)
+            self.store.put(numbers[~easy], np.array([len(x) for x in own]), np.concatenate(own))
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's begin (with the end as a last entry); null is empty."""
-        if self.count > KEPT_PIECES:
+        if self.store.count > KEPT_PIECES:
             self.reset()
-        plan: list[list[int] | np.ndarray] = []
-        for text in texts:
+        plan: list[np.ndarray | None] = []
+        whole: dict[int, np.ndarray] = {}
+        for i, text in enumerate(texts):
+            numbers = None
             if not text:
-                plan.append([])
+                pass
+            elif (_SEPARATORS if self.words else _SPACE_RUN).search(text):
+                whole[i] = self.library([text])[0]
             elif self.words:
-                plan.append(self._library([text])[0] if _SEPARATORS.search(text) else list(map(self.first.__getitem__, text.split())))
-            elif _SPACE_RUN.search(text):
-                plan.append(self._library([text])[0])
+                words = text.split()
+                numbers = np.fromiter(map(self.first.__getitem__, words), np.int64, len(words))
             else:
                 head, *rest = text.split(" ")
-                numbers = list(map(self.spaced.__getitem__, rest))
-                plan.append([self.first[head], *numbers] if head else numbers)
-        self._learn()
-        out = []
-        for p in plan:
-            if isinstance(p, np.ndarray):
-                out.append(p)
-            elif not p:
-                out.append(np.empty(0, np.uint32))
-            else:
-                n = np.array(p, np.int64)
-                sizes = self.sizes[n]
-                ends = np.cumsum(sizes)
-                out.append(self.flat[np.repeat(self.starts[n] - ends + sizes, sizes) + np.arange(ends[-1])])
+                numbers = np.fromiter(map(self.spaced.__getitem__, rest), np.int64, len(rest))
+                if head:
+                    numbers = np.append(self.first[head], numbers)
+            plan.append(numbers)
+        self.learn()
+        out = [whole[i] if i in whole else np.empty(0, np.uint32) if n is None else self.store.get(n)[0] for i, n in enumerate(plan)]
         starts = np.zeros(len(out) + 1, np.int64)
         np.cumsum([len(x) for x in out], out=starts[1:])
         return np.concatenate([*out, np.empty(0, np.uint32)]), starts
