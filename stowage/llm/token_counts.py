@@ -28,7 +28,7 @@ BLOCK_IDS = 1 << 18
 
 
 def write_flat_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID) -> DataFrame:
-    """Write flat files under ``path`` in ascending doc_id order. Returns (ordinal, doc_id): which document stands where."""
+    """Write flat files under ``path`` in the order of the table ``docs``. Returns (part, place, doc_id, n_bytes): which document stands where."""
 
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary).encode
@@ -41,16 +41,12 @@ def write_flat_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
                 flat = ids.astype("<u2")
                 yield pa.RecordBatch.from_arrays([pa.array([flat[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], names=["ids"])
 
-    text_hash = F.xxhash64("text").alias("text_hash")
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", text_hash).sortWithinPartitions("doc_id", text_hash)
     end = end_id.to_bytes(2, "little").decode("iso-8859-1")
-    out = ordered.mapInArrow(encode_all, "ids binary").select(F.col("ids").cast("string").alias("value"))
+    out = docs.select("text").mapInArrow(encode_all, "ids binary").select(F.col("ids").cast("string").alias("value"))
     out.write.option("compression", "none").option("encoding", "ISO-8859-1").option("lineSep", end).text(path)
-
-    ids = docs.select(F.col("doc_id").cast("long"), text_hash).repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
-    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    placed = materialize(ids.select(F.spark_partition_id().alias("part"), within.alias("place"), "doc_id"), "document_order")
-    return placed.join(running_total(placed.groupBy("part").count(), ["part"], "count"), "part").select((F.col("before") + F.col("place")).alias("ordinal"), "doc_id")
+    # A file has the number of the partition that it was written from, and the table's partitions are the same at every scan.
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return docs.select(F.spark_partition_id().cast("long").alias("part"), place.alias("place"), F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"))
 
 
 def running_total(rows: DataFrame, order: list[str], value: str) -> DataFrame:
@@ -60,7 +56,7 @@ def running_total(rows: DataFrame, order: list[str], value: str) -> DataFrame:
 
 
 def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """ordinal, start (ids and end ids before it) and n_tokens (without the end id) of every document in the files."""
+    """part (of the file), place (in it), ordinal, start (ids and end ids before it) and n_tokens (without the end id) of every document in the files."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,15 +99,18 @@ def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_ids
     files_of = blocks.groupBy("part").agg(F.sum("ends").alias("docs"), F.sum("size").alias("ids"))
     base = running_total(files_of, ["part"], "docs").withColumnRenamed("before", "docs_base").join(running_total(files_of, ["part"], "ids").withColumnRenamed("before", "ids_base"), "part")
     found = F.arrays_zip(F.concat(F.array(F.col("open") + 1), "inner_at").alias("at"), F.concat(F.array(F.col("first") - F.col("open") - 1), "inner").alias("n"))
-    each = stitched.withColumn("found", found).join(base, "part").select("docs_base", "docs_before", "ids_base", F.posexplode("found").alias("k", "doc"))
+    each = stitched.withColumn("found", found).join(base, "part").select("part", "docs_base", "docs_before", "ids_base", F.posexplode("found").alias("k", "doc"))
     return each.select(
-        (F.col("docs_base") + F.col("docs_before") + F.col("k")).alias("ordinal"), (F.col("ids_base") + F.col("doc.at")).alias("start"), F.col("doc.n").alias("n_tokens")
+        "part", (F.col("docs_before") + F.col("k")).alias("place"), (F.col("docs_base") + F.col("docs_before") + F.col("k")).alias("ordinal"), (F.col("ids_base") + F.col("doc.at")).alias("start"), F.col("doc.n").alias("n_tokens")
     )
 
 
 def document_token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, ordinal, start and n_tokens of every document, counted from flat files."""
+    """doc_id, ordinal, start and n_tokens of every document of a table, counted from flat files."""
     spark = docs.sparkSession
     path = scratch_path(spark, "flat_tokens")
     order = write_flat_files(docs, vocabulary, path)
-    return count_tokens(spark, path).join(order, "ordinal").select("doc_id", "ordinal", "start", "n_tokens")
+    met = count_tokens(spark, path).join(order, ["part", "place"], "full")
+    fits = F.col("n_tokens").isNotNull() & F.col("n_bytes").isNotNull() & (F.col("n_tokens") <= F.col("n_bytes")) & ((F.col("n_tokens") == 0) == (F.col("n_bytes") == 0))
+    sure = F.when(fits, F.col("n_tokens")).otherwise(F.raise_error(F.lit("the table was not the same at two scans; write it to files first")).cast("long"))
+    return met.select("doc_id", "ordinal", "start", sure.alias("n_tokens"))
