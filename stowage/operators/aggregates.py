@@ -24,6 +24,15 @@ def usage_report(usage: DataFrame) -> DataFrame:
     return usage.withColumn("overhead_bytes", F.col("stored_bytes") - F.col("unique_bytes")).orderBy(F.desc("stored_bytes"), "family")
 
 
+def usage_totals(usage: DataFrame) -> DataFrame:
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return usage.agg(total("unique_bytes").alias("unique_bytes"), total("stored_bytes").alias("stored_bytes"), (total("stored_bytes") - total("unique_bytes")).alias("overhead_bytes"))
+
+
+def scan_footer(files: DataFrame) -> DataFrame:
+    return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(~F.col("accessible")).alias("missing"))
+
+
 def dup_groups(mods: DataFrame, stated: DataFrame) -> DataFrame:
     """key, size, display_name, extra_copies, reclaimable of hashed contents with more than one live inode on a device."""
     live = stated.filter("state = 'Present' AND dev <> 0 AND key LIKE 'sha256:%'")

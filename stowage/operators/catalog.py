@@ -119,6 +119,12 @@ def find(mods: DataFrame, locs: DataFrame, query: str) -> DataFrame:
     return mods.join(in_path, "key", "left").filter(hit).drop("by_path")
 
 
+def resolve_root(roots: DataFrame, asked: str) -> DataFrame:
+    """The first root by id that the text names by id, label or path."""
+    named = (F.col("root_id") == asked) | (F.col("label") == asked) | (F.col("path") == asked)
+    return roots.filter(F.coalesce(named, F.lit(False))).orderBy("root_id").limit(1)
+
+
 def with_provenance(mods: DataFrame, provenance: DataFrame) -> DataFrame:
     sha = F.when(F.col("key").startswith("sha256:"), F.substr("key", F.lit(8)))
     return mods.withColumn("sha256", sha).join(provenance, "sha256", "left")

@@ -7,21 +7,29 @@ from pyspark.sql import functions as F
 
 from .aggregates import stale_verification
 
-#: Classes of findings: kind, its label, whether a remedy may be executed by the engine's caller.
+#: Classes of findings: kind, label, whether a remedy may be executed, what it is, what fixing it costs.
 KINDS = (
-    ("dangling_ref", "dangling ref", False),
-    ("pruned_husk", "pruned husk", True),
-    ("orphan_blob", "orphan blob", False),
-    ("incomplete_download", "incomplete download", True),
-    ("dangling_snapshot_link", "dangling snapshot link", False),
-    ("missing_ollama_blob", "missing ollama blob", True),
-    ("scrub_timer_off", "scrub timer off", True),
-    ("stale_verification", "stale verification", False),
+    ("dangling_ref", "dangling ref", False, "A ref names a revision that is no longer on disk.", "Nothing: what it points to is gone."),
+    ("pruned_husk", "pruned husk", True, "Refs are all that is left of a repository.", "Nothing: it holds no bytes."),
+    ("orphan_blob", "orphan blob", False, "No snapshot refers to this content.", "The bytes of the blob, which are real data."),
+    ("incomplete_download", "incomplete download", True, "A download was interrupted and left its part.", "Resuming it: the download would start anew."),
+    ("dangling_snapshot_link", "dangling snapshot link", False, "A snapshot entry points at content that is gone.", "Nothing: the bytes are gone."),
+    ("missing_ollama_blob", "missing ollama blob", True, "A registered model lacks a blob and can not run.", "The registration of the model."),
+    ("scrub_timer_off", "scrub timer off", True, "Nothing reads the tracked bytes again from time to time.", "Nothing: idle reading is added."),
+    ("stale_verification", "stale verification", False, "A drive has not been verified for a long time, or never.", "Nothing: the drive is read."),
 )
 
 
 def kinds(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{k}', '{label}', {str(ok).lower()})" for k, label, ok in KINDS) + " AS t(kind, label, executable)")
+    row = "('{}', '{}', {}, '{}', '{}')"
+    values = ", ".join(row.format(k, label, str(ok).lower(), what, cost) for k, label, ok, what, cost in KINDS)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(kind, label, executable, explanation, loss)")
+
+
+def scrub_finding(spark: SparkSession, state: str, owned_roots: int) -> DataFrame:
+    """One finding while owned roots exist and the timer isn't active."""
+    wanted = state != "active" and owned_roots > 0
+    return finding(spark.range(int(wanted)), "scrub_timer_off", F.lit("scrub timer"), F.lit(state), F.lit(0))
 
 
 def finding(rows: DataFrame, kind: str, subject, detail, size) -> DataFrame:

@@ -183,6 +183,21 @@ QUERIES: dict[str, str] = {
         CASE k.kind WHEN 'hf_hub' THEN 'hf-hub' WHEN 'removable' THEN 'drive' ELSE k.kind END || '-' || substr(sha256(k.root_id), 1, 8) AS root,
         CASE WHEN k.ord % 7 IN (1, 2) THEN NULL WHEN k.ord % 7 = 0 THEN '/shelf/name/./' || k.rel_path ELSE '/shelf/name/' || k.rel_path END AS dest_for
         FROM keyed k JOIN stated s ON s.root_id = k.root_id AND s.ord = k.ord""",
+    "usage_totals": """SELECT CAST(sum(size) AS BIGINT) AS unique_bytes, CAST(sum(size * greatest(coalesce(n, 0), 1)) AS BIGINT) AS stored_bytes, CAST(sum(size * greatest(coalesce(n, 0), 1)) - sum(size) AS BIGINT) AS overhead_bytes
+        FROM models LEFT JOIN (SELECT key, count(DISTINCT (dev, ino)) AS n FROM stated WHERE state = 'Present' GROUP BY key) USING (key)""",
+    "scan_footer": "SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (NOT readable) AS missing FROM files",
+    "trash_totals": "SELECT count(*) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM files WHERE kind IN ('shelf', 'removable') AND lower(rel_path) LIKE '%m-%'",
+    "findings_total": "SELECT count(*) AS findings, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes FROM stale",
+    "resolve_root": "SELECT root_id, kind FROM roots WHERE root_id IN ('src3', 'src6') OR label = 'disk src4'",
+    "distinct_folders": "SELECT array_to_string(string_split(rel_path, '/')[:-2], '/') AS folder, min(ord) AS ord FROM files GROUP BY 1",
+    "ambiguous_matches": "SELECT key, display_name FROM models ORDER BY key LIMIT 10",
+    "first_live_source": "SELECT key, s.r AS root_id, s.p AS rel_path FROM first_live",
+    "log_lines": """SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'hashed f' || user_id || ' in ' || (event_id % 100) || 's' WHEN 1 THEN 'hash FAILED f' || user_id || ': ' || event_type WHEN 2 THEN 'verified f' || user_id || ' in ' || (event_id % 100) || 's'
+        WHEN 3 THEN 'skipped f' || user_id || ': ' || event_type WHEN 5 THEN 'relinked f' || user_id WHEN 6 THEN 'skipped f' || user_id || ' (foreign store — never touched)' WHEN 7 THEN 'hashing f' || user_id
+        WHEN 8 THEN 'downloading f' || user_id || ' (' || CASE WHEN event_id % 4 > 1 THEN (event_id % 1000) || ' B' ELSE 'size unknown' END || ')' || CASE event_id % 3 WHEN 1 THEN ', resuming at 512 B' WHEN 2 THEN ', resuming at 1.0 KiB' ELSE '' END
+        WHEN 9 THEN 'connection dropped — resuming f' || user_id || ' at ' || CASE event_id % 3 WHEN 0 THEN '0 B' WHEN 1 THEN '512 B' ELSE '1.0 KiB' END || ' (attempt ' || (event_id % 5) || ')' END AS line FROM events""",
+    "header_pick": """SELECT file, value FROM (SELECT root_id AS file, CASE ord % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS rank, min(ord) AS value FROM files WHERE ord % 3 < 2 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY file ORDER BY rank) = 1""",
+    "journal_activity": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS operation, count(*) AS entries FROM events GROUP BY ALL",
     "url_scalars": """SELECT page_id, url_encode(url || ' é~*?') AS raw, regexp_matches(regexp_extract(url, 'https?://[^/]*/(.*)', 1), '^[A-Za-z0-9._-]+/[A-Za-z0-9._-]+$') AS valid,
         CASE WHEN page_id % 3 = 0 THEN sha256(url) END AS etag, true AS ok FROM pages""",
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import logs
 from ..functions import names as n
 from ..functions import scalars as x
 from ..operators import aggregates as a
@@ -414,3 +415,75 @@ def url_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     repo = F.regexp_extract("url", r"https?://[^/]*/(.*)", 1)
     etag = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('"'), F.upper(F.sha2("url", 256)), F.lit('"'))).when(F.col("page_id") % 3 == 1, F.concat(F.lit('W/"'), F.sha2("url", 256), F.lit('"'))).otherwise(F.md5("url"))
     return table(spark, sf_dir, "pages").select("page_id", x.url_path(u).alias("path"), x.valid_repo(repo).alias("valid"), x.etag_sha256(etag).alias("etag"), x.check_download(F.col("url"), F.when(F.col("page_id") % 2 == 0, F.col("url"))).alias("ok"))
+
+
+@on_catalog
+def usage_totals(k: Catalog) -> DataFrame:
+    return a.usage_totals(a.family_usage(k.models, k.stated))
+
+
+@on_catalog
+def scan_footer(k: Catalog) -> DataFrame:
+    return a.scan_footer(k.files)
+
+
+@on_catalog
+def trash_totals(k: Catalog) -> DataFrame:
+    return a.trash_totals(p.trash_order(k.files.filter("kind IN ('shelf', 'removable') AND lower(rel_path) LIKE '%m-%'")))
+
+
+@on_catalog
+def findings_total(k: Catalog) -> DataFrame:
+    return h.total_bytes(h.stale_findings(k.files.drop("kind"), k.roots, NOW))
+
+
+@on_catalog
+def resolve_root(k: Catalog) -> DataFrame:
+    found = [c.resolve_root(k.roots, asked) for asked in ("src3", "disk src4", "/mnt/src6", "nothing")]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select("root_id", "kind")
+
+
+@on_catalog
+def distinct_folders(k: Catalog) -> DataFrame:
+    return p.distinct_first(k.files.select(n.parent(F.col("rel_path")).alias("folder"), "ord"), "folder", "ord")
+
+
+@on_catalog
+def ambiguous_matches(k: Catalog) -> DataFrame:
+    return p.ambiguous(c.find(k.models, k.locations, "")).select("key", "display_name")
+
+
+@on_catalog
+def first_live_source(k: Catalog) -> DataFrame:
+    return actions.first_live(k.stated).select("key", "source.root_id", "source.rel_path")
+
+
+@query
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines of events made of the events table: one of each kind in turn, and progress that is never logged."""
+    kinds = [("hash", "done"), ("hash", "failed"), ("backup", "done"), ("backup", "skipped"), ("backup", "progress"), ("reclaim", "relinked"), ("reclaim", "foreign"), ("fetch", "hashing"), ("fetch", "start"), ("fetch", "retry")]
+    one = F.element_at(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(e).alias("event")) for s, e in kinds]), (F.col("event_id") % len(kinds) + 1).cast("int"))
+    e = F.struct(
+        one["source"].alias("source"), one["event"].alias("event"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("label"), F.col("event_type").alias("detail"),
+        (F.col("event_id") % 100).alias("seconds"), (F.col("event_id") % 3 * 512).alias("size"), F.when(F.col("event_id") % 4 > 1, F.col("event_id") % 1000).alias("total"), (F.col("event_id") % 5).alias("attempt"),
+    )
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", e.alias("e")).select("event_id", logs.log_line(F.col("e")).alias("line"))
+
+
+@on_catalog
+def header_pick(k: Catalog) -> DataFrame:
+    """Header fields made of the catalog: the model's own field, one of another word, one with a dot too many."""
+    word = F.when(F.col("ord") % 3 == 0, "llama").when(F.col("ord") % 3 == 1, "clip").otherwise("qwen.vision")
+    fields = k.files.select(F.col("root_id").alias("file"), F.concat(word, F.lit(".block_count")).alias("name"), "ord")
+    one = fields.groupBy("file", "name").agg(F.min("ord").alias("value"))
+    return p.header_pick(one, "llama", ".block_count")
+
+
+@query
+def journal_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries by day and operation, as the stream of the journal would count them."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("operation")).agg(F.count(F.lit(1)).alias("entries"))
