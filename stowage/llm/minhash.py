@@ -8,8 +8,10 @@ A document's set is its distinct w-word shingles, held as 64-bit hashes. Its ske
    least half of them but for a chance of about one in a million; two sketches that share half must meet in the lists of
    their rarer half, so only those lists are made, and a passage that many documents share makes no long list.
 3. Lists up to ``SHORT_LIST`` compare all pairs. In a longer one every member is compared with its pivot, the one with
-   the most widely shared values. Members linked with the pivot are one class; the others, and those linked that the
-   triangle inequality of the Jaccard distance leaves in reach of one of them, go to the next round, until none is left.
+   the most widely shared values. Members of the pivot's component are one class; in the next rounds, more and more
+   pivots are taken from the others and compared with all members of other components, but for those that the triangle
+   inequality of the Jaccard distance or the count of shingles that a member has alone leave out of reach, until every
+   other member has been a pivot.
 4. The union sketch of a pair estimates its similarity; what is far below the threshold goes, the rest is verified on
    the full sets.
 5. Links are closed to components by smallest labels with pointer jumping, each round written to the shared folder.
@@ -35,10 +37,13 @@ from .common import materialize
 
 SKETCH = 40
 SHORT_LIST = 24
+#: What an estimate may be off by, more than four standard errors.
+ESTIMATE_SLACK = 0.35
 #: Odd constants of the 64-bit mixing (fixed values).
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 KEPT_WORDS = 1_000_000
+KEPT_SHINGLES = 4_000_000
 
 
 class _Hashes(dict):
@@ -122,46 +127,57 @@ def inverted(reps: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(lists: DataFrame, threshold: float, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to look at, and what of the long lists is left to compare with: value, pivot, rep.
+    """Pairs (a, b) to look at, and the long lists' rows with their pivots marked.
 
-    ``lists`` has value, rep, n_shingles, weight and open (false for members that need comparing with open ones only).
+    ``lists`` has value, rep, n_shingles, n_shared, weight, label (of the component so far), low, high and open (false for members that need
+    comparing with open ones only). Members of one component are not compared with each other.
     """
     counted = lists.groupBy("value").agg(
-        F.count(F.lit(1)).alias("members"), F.sum(F.col("open").cast("long")).alias("n_open"), F.max(F.when(F.col("open"), F.struct("weight", "rep"))).alias("middle")
+        F.count(F.lit(1)).alias("members"),
+        F.sum(F.col("open").cast("long")).alias("n_open"),
+        F.max(F.when(F.col("open"), F.struct("weight", "rep", "label"))).alias("middle"),
+        (F.min("label") == F.max("label")).alias("done"),
     )
-    counted = materialize(counted.filter("members > 1 AND n_open > 0"), "list_sizes")
+    counted = materialize(counted.filter("members > 1 AND n_open > 0 AND NOT done"), "list_sizes")
     sized = materialize(lists.join(counted, "value"), "lists")
     is_long = F.col("members") > SHORT_LIST
-    fits = lambda x, y: F.least(x, y) >= F.lit(threshold) * F.greatest(x, y)
+    # The intersection of two sets is within what either shares with any other; a similarity of t needs t / (1 + t) of both sizes.
+    fits = lambda x, y, x_shared, y_shared: F.least(x_shared, y_shared) >= F.lit(threshold / (1 + threshold) - 1e-9) * (x + y)
     if turn == 0:
         chosen = F.col("rep") == F.col("middle.rep")
     else:  # about 8, 64, 512, ... of those open, and surely the middle one
         chosen = F.col("open") & ((F.pmod(F.xxhash64("rep", "value"), F.col("n_open")) < 8**turn) | (F.col("rep") == F.col("middle.rep")))
     long_rows = sized.filter(is_long).withColumn("pivot", chosen)
-    pivots = long_rows.filter("pivot").select("value", F.col("rep").alias("p"), F.col("n_shingles").alias("p_n"))
-    stars = long_rows.select("value", "rep", "n_shingles").join(pivots, "value").filter((F.col("rep") != F.col("p")) & fits(F.col("n_shingles"), F.col("p_n")))
+    pivots = long_rows.filter("pivot").select("value", F.col("rep").alias("p"), F.col("n_shingles").alias("p_n"), F.col("n_shared").alias("p_shared"), F.col("label").alias("p_label"), F.col("low").alias("p_low"), F.col("high").alias("p_high"))
+    # By the triangle inequality of the Jaccard distance, linked members are about as far from any third one.
+    apart = F.lit(1 - threshold)
+    reach = (F.col("low") <= F.col("p_high") + apart) & (F.col("p_low") <= F.col("high") + apart)
+    stars = long_rows.select("value", "rep", "n_shingles", "n_shared", "label", "low", "high").join(pivots, "value")
+    stars = stars.filter((F.col("label") != F.col("p_label")) & fits(F.col("n_shingles"), F.col("p_n"), F.col("n_shared"), F.col("p_shared")) & reach)
     star_pairs = stars.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
-    short = sized.filter(~is_long).groupBy("value").agg(F.collect_list(F.struct("rep", "n_shingles", "open")).alias("m"))  # SHORT_LIST entries at most
-    each = short.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).filter((F.col("x.rep") < F.col("y.rep")) & (F.col("x.open") | F.col("y.open")))
-    short_pairs = each.filter(fits(F.col("x.n_shingles"), F.col("y.n_shingles"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    short = sized.filter(~is_long).groupBy("value").agg(F.collect_list(F.struct("rep", "n_shingles", "n_shared", "open", "label")).alias("m"))  # SHORT_LIST entries at most
+    each = short.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).filter((F.col("x.rep") < F.col("y.rep")) & (F.col("x.open") | F.col("y.open")) & (F.col("x.label") != F.col("y.label")))
+    short_pairs = each.filter(fits(F.col("x.n_shingles"), F.col("y.n_shingles"), F.col("x.n_shared"), F.col("y.n_shared"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     return star_pairs.unionByName(short_pairs).distinct(), long_rows
 
 
-def next_lists(long_rows: DataFrame, known: DataFrame, turn: int, threshold: float) -> DataFrame:
-    """Lists for the next round: pivots leave. After the first round, members linked with the pivot are closed (they are
-    one class), and those of them stay that an open member may reach by the triangle inequality."""
-    left = long_rows.filter(~F.col("pivot"))
-    columns = ["value", "rep", "n_shingles", "weight", "open"]
+def next_lists(long_rows: DataFrame, known: DataFrame, labels: DataFrame, turn: int, threshold: float) -> DataFrame:
+    """Lists for the next round: pivots leave, and members of the first pivot's component are closed. low and high are bounds
+    of a member's similarity to that pivot."""
+    columns = ["value", "rep", "n_shingles", "n_shared", "weight", "label", "open", "center", "low", "high"]
+    left = long_rows.filter(~F.col("pivot")).withColumn("center", F.col("middle.rep") if turn == 0 else F.col("center")).drop("label", "open")
+    own = labels.select(F.col("node").alias("rep"), "label")
+    main = labels.select(F.col("node").alias("center"), F.col("label").alias("main"))
+    left = left.join(own, "rep", "left").join(main, "center", "left").withColumns({"label": F.coalesce("label", "rep"), "main": F.coalesce("main", "center")})
+    left = left.withColumn("open", F.col("label") != F.col("main"))
     if turn:
         return left.select(*columns)
-    near = known.filter("estimate >= 0").select("a", "b", F.coalesce("similarity", F.col("estimate") + 0.35).alias("most"), "linked")
-    pair = (F.least("rep", "middle.rep") == F.col("a")) & (F.greatest("rep", "middle.rep") == F.col("b"))
-    met = left.join(near, pair, "left").withColumns({"most": F.coalesce("most", F.lit(0.0)), "open": ~F.coalesce("linked", F.lit(False))})
-    met = materialize(met.select(*columns, "most"), "met_pivot")
-    reach = 1 - F.lit(threshold)
-    outer = met.filter("open").groupBy("value").agg(F.max("most").alias("nearest_open"))
-    kept = F.col("open") | ((1 - F.col("most")) >= (1 - F.col("nearest_open")) - reach)
-    return met.join(materialize(outer, "open_members"), "value").filter(kept).select(*columns)
+    slack = F.lit(ESTIMATE_SLACK)
+    near = known.select("a", "b", F.coalesce("similarity", F.col("estimate") - slack).alias("s_low"), F.coalesce("similarity", F.col("estimate") + slack).alias("s_high"))
+    pair = (F.least("rep", "center") == F.col("a")) & (F.greatest("rep", "center") == F.col("b"))
+    # A pair that wasn't compared differs too much in size to be linked.
+    bounds = {"low": F.coalesce("s_low", F.lit(0.0)), "high": F.coalesce("s_high", F.lit(threshold))}
+    return left.drop("low", "high").join(near, pair, "left").withColumns(bounds).select(*columns)
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
@@ -184,35 +200,69 @@ def estimated(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(estimate, "a long, b long, estimate double")
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, text) of the representatives in ``ids``."""
+    wanted = ids.select("rep").distinct().join(reps.select("rep", "of"), "rep")
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("row_hash", F.xxhash64("text"))
+    met = own.join(wanted, own.id.eqNullSafe(F.col("of.doc_id")) & (own.row_hash == F.col("of.row_hash")))
+    return met.groupBy("rep").agg(F.first("text").alias("text"))
+
+
+def with_shared(lists: DataFrame, docs: DataFrame, reps: DataFrame, w: int) -> DataFrame:
+    """Set n_shared: how many shingles of a member are in the set of any other member of the lists. A pair has no others in common."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, text in zip(batch["rep"].to_pylist(), batch["text"], strict=True):
+                own = shingle_set(text.as_py(), w).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), rep, np.int64))], names=["shingle", "rep"])
+
+    shingles = texts_of(lists, docs, reps).mapInArrow(explode, "shingle long, rep long")
+    alone = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max("rep").alias("rep")).filter("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+    counted = lists.drop("n_shared").join(materialize(alone, "shingles_alone"), "rep", "left")
+    return counted.withColumn("n_shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, w: int, per_cent: int) -> DataFrame:
     """a, b, similarity on the full sets, and linked: 100 * intersection >= per_cent * union."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, np.ndarray] = ("", np.empty(0, np.uint64))
+        sets: dict[int, np.ndarray] = {}
+        held = 0
+
+        def set_of(rep: int, text: pa.Scalar) -> np.ndarray:
+            """Pivots come again and again, so some sets are kept."""
+            nonlocal held
+            found = sets.get(rep)
+            if found is None:
+                if held > KEPT_SHINGLES:
+                    sets.clear()
+                    held = 0
+                sets[rep] = found = shingle_set(text.as_py(), w)
+                held += len(found)
+            return found
+
         for batch in batches:
             similarity, linked = [], []
-            for x, y in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist(), strict=True):
-                if x != last[0]:
-                    last = x, shingle_set(x, w)
-                other = shingle_set(y, w)
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                union = len(last[1]) + len(other) - both
+            for a, b, x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["text_a"], batch["text_b"], strict=True):
+                one, other = set_of(a, x), set_of(b, y)
+                both = np.concatenate([one, other])
+                both.sort(kind="stable")
+                both = int((both[1:] == both[:-1]).sum())
+                union = len(one) + len(other) - both
                 similarity.append(both / union if union else 0.0)
                 linked.append(bool(union) and 100 * both >= per_cent * union)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(similarity, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "similarity", "linked"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "of"), "rep")
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("row_hash", F.xxhash64("text"))
-    met = own.join(ids, own.id.eqNullSafe(F.col("of.doc_id")) & (own.row_hash == F.col("of.row_hash")))
-    texts = materialize(met.groupBy("rep").agg(F.first("text").alias("text")), "texts_of_pairs")
+    texts = materialize(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")), docs, reps), "texts_of_pairs")
     side = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long, similarity double, linked boolean")
 
 
-def links(docs: DataFrame, reps: DataFrame, w: int, per_cent: int, k: int = SKETCH) -> DataFrame:
-    """Links (a, b) between representatives, verified on full sets; what is left out follows from these by components."""
+def linked_components(docs: DataFrame, reps: DataFrame, w: int, per_cent: int, k: int = SKETCH) -> DataFrame:
+    """(node, label) of linked representatives. Links are verified on full sets; links within one component are not looked for."""
     threshold, turn = per_cent / 100, 0
-    lists = inverted(reps).withColumn("open", F.lit(True))
+    lists = inverted(reps).withColumns({"open": F.lit(True), "label": F.col("rep"), "low": F.lit(0.0), "high": F.lit(1.0), "n_shared": F.col("n_shingles")})
     known: DataFrame | None = None
     while True:
         pairs, long_rows = candidate_pairs(lists, threshold, turn)
@@ -222,9 +272,12 @@ def links(docs: DataFrame, reps: DataFrame, w: int, per_cent: int, k: int = SKET
         sure = verified(guessed.filter(F.col("estimate") >= least_estimate(per_cent, k)).select("a", "b"), docs, reps, w, per_cent)
         found = materialize(guessed.join(materialize(sure, "verified"), ["a", "b"], "left"), "known_pairs")
         known = found if known is None else known.unionByName(found)
-        left = materialize(next_lists(long_rows, found, turn, threshold), "next_lists")
-        if left.isEmpty():
-            return known.filter("linked").select("a", "b")
+        labels = components(known.filter("linked"))
+        left = materialize(next_lists(long_rows, found, labels, turn, threshold), "next_lists")
+        if left.filter("open").isEmpty():
+            return labels
+        if turn == 0:
+            left = materialize(with_shared(left, docs, reps, w), "shared_counts")
         lists, turn = left, turn + 1
 
 
@@ -236,13 +289,14 @@ def least_estimate(per_cent: int, k: int) -> float:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable, for every node of an edge."""
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
+    ways = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ways = materialize(ways.unionByName(ways.select("a", F.col("a").alias("b"))).distinct(), "edges")
+    labels = materialize(ways.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), "labels")
     while True:
-        heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("heard"))
-        nearer = materialize(labels.join(heard, labels.node == heard.a).select("node", F.least("label", "heard").alias("label"), F.col("label").alias("before")), "labels")
-        root = nearer.select(F.col("node").alias("root"), F.col("label").alias("far"))
-        jumped = materialize(nearer.join(root, nearer.label == root.root).select("node", F.least("label", "far").alias("label"), "before"), "labels")
+        heard = ways.join(labels, ways.b == labels.node)
+        nearer = heard.groupBy("a").agg(F.min("label").alias("label"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("before"))
+        jump = labels.select(F.col("node").alias("root"), F.col("label").alias("far"))
+        jumped = materialize(nearer.join(jump, nearer.label == jump.root).select(F.col("a").alias("node"), F.least("label", "far").alias("label"), "before"), "labels")
         labels = jumped.select("node", "label")
         if jumped.filter("label <> before").isEmpty():
             return labels
@@ -256,7 +310,7 @@ def classified(docs: DataFrame, w: int, per_cent: int, k: int = SKETCH) -> DataF
         F.min(F.struct("doc_id", "row_hash")).alias("of"), F.min("doc_id").alias("min_doc"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")
     )
     reps = materialize(reps.withColumn("rep", F.xxhash64("set_digest")), "representatives")
-    labels = components(links(docs, reps, w, per_cent, k))
+    labels = linked_components(docs, reps, w, per_cent, k)
     merged = reps.join(labels, reps.rep == labels.node, "left").select("set_digest", "min_doc", F.coalesce("label", "rep").alias("label"))
     merged = materialize(merged, "merged")
     least = materialize(merged.groupBy("label").agg(F.min("min_doc").alias("component")), "components")
@@ -281,3 +335,18 @@ def deduplicated(docs: DataFrame, w: int = 5, per_cent: int = 80) -> DataFrame:
     keyed = docs.withColumns({"__k1": one, "__k2": two, "__bare": F.coalesce(~F.col("text").rlike("[^ \\t-\\r]"), F.lit(True))})
     kept = keyed.filter(~F.col("__bare")).join(chosen, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
     return kept.unionByName(keyed.filter("__bare")).select(*docs.columns)
+
+
+#: The rows of op6 (three words, 85) in DuckDB's SQL.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+c AS (SELECT doc_id, least(doc_id, coalesce(min(y), doc_id)) AS component_id FROM w LEFT JOIN reach ON x = doc_id GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""

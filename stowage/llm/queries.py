@@ -68,4 +68,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality.SQL,
+    "op6_minhash": minhash.SQL,
 }
