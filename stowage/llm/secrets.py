@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, in DataFrame functions throughout.
 
-A candidate is a value assigned to a name such as token or password, a long run of key characters with a digit in it, or
-the head of a private key. Its features are its length, the transitions between kinds of characters, how much of it
+A candidate is a value assigned to a name such as token or password, a key of a known provider, a long run of key
+characters with a digit in it, or the head of a private key. Its features are its length, the transitions between kinds of characters, how much of it
 dictionary words cover, what makes it look like a path, and words beside it. The forest is grown on the driver from a
 table of labelled findings of fixed size, and becomes one column expression, so scanning and redaction are projections
 without any shuffle.
@@ -22,9 +22,16 @@ from pyspark.sql import functions as F
 OPEN, CLOSE, OTHER = "﷐", "﷑", "﷒"
 NAMES = "token|secret|passwords?|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret|credentials?"
 ASSIGNED = rf"(?i:(?<![a-z])(?:[a-z0-9]{{1,20}}[_-]){{0,3}}(?:{NAMES})[\"']?\s{{0,4}}[:=]\s{{0,4}}[\"']?)"
-RUN = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]{0,60}[0-9])[A-Za-z0-9+/_=.-]{20,}"
+#: Keys of known providers; one begins a candidate of its own wherever it stands, also within a URL or another value.
+KNOWN = (
+    r"(?:(?<![A-Za-z0-9])|(?<=%[0-9A-Fa-f]{2})|(?<=\\[nrt]))(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+    r"|AIza[0-9A-Za-z_-]{30,}|sk-(?=[a-z_-]{0,60}[A-Z0-9])[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*){1,4})"
+)
+#: A run ends at "=", so that the value of NAME=VALUE stands alone; the padding of base64 belongs to it.
+RUN = rf"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]{{0,60}}[0-9])(?:(?!{KNOWN})[A-Za-z0-9+/_.-]){{20,}}+(?:={{1,2}}(?![A-Za-z0-9+/_=.-]))?"
 PRIVATE = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
-CANDIDATE = rf"{ASSIGNED}[^\s\"'{OPEN}{CLOSE}]{{6,}}|{RUN}|{PRIVATE}"
+VALUE = rf"[^\s\"'{OPEN}{CLOSE}](?:(?!{KNOWN})[^\s\"'{OPEN}{CLOSE}]){{5,}}+"
+CANDIDATE = rf"{ASSIGNED}{VALUE}|{KNOWN}|{RUN}|{PRIVATE}"
 CONTEXT = 48
 #: Rows of labelled findings that the forest is grown from, and its shape.
 LABELLED, TREES, DEPTH, LEAST_ROWS, SEED = 4000, 15, 7, 4, 11
@@ -68,7 +75,7 @@ def features(candidate: Column, before: Column, after: Column) -> dict[str, Colu
         "named": flag(near.rlike(rf"(?:{NAMES}|bearer|private|authorization)\W{{0,6}}$")),
         "benign": flag(near.rlike(r"(?:commit|sha-?\d*|md5|checksum|digest|hash|uuid|id|version|build|example|sample|https?://\S*|revision|file|path|isbn|order|page)\W{0,6}$")),
         "quoted": flag(F.concat(before, name).rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]")),
-        "known": flag(value.rlike(r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^AIza[0-9A-Za-z_-]{30,}$|^sk-[A-Za-z0-9_-]{20,}$|^eyJ[A-Za-z0-9_-]{8,}\.|PRIVATE KEY")),
+        "known": flag(value.rlike(rf"^{KNOWN}|PRIVATE KEY")),
         "hyphens": share("[_-]"),
     }
 
@@ -89,7 +96,7 @@ def labelled_findings(spark: SparkSession) -> DataFrame:
     filler = of("f", "set the ", "use ", "and then ", "it was\n", "config: ", "with ")
     short = F.substring(letters, 1, 12)
     secret = of("v", F.substring(hexes, 1, 40), F.substring(hexes, 1, 32), hexes, F.substr(letters, F.lit(1), size), F.concat(F.lit("ghp_"), F.substring(letters, 1, 36)), F.concat(F.lit("AKIA"), F.upper(F.substring(hexes, 1, 16))), short, F.concat(F.substring(letters, 1, 5), F.lit("-"), F.substring(letters, 6, 9)), F.concat(F.lit("sk-"), F.substring(letters, 1, 40)))
-    loose = of("l", F.concat(F.lit("ghp_"), F.substring(letters, 1, 36)), F.concat(F.lit("AKIA"), F.upper(F.substring(hexes, 1, 16))), F.concat(F.lit("sk-"), F.substring(letters, 1, 40)), F.concat(F.lit("eyJ"), F.substring(letters, 1, 30), F.lit("."), F.substring(hexes, 1, 30)), F.lit("-----BEGIN RSA PRIVATE KEY-----"), F.concat(F.lit("xoxb-"), F.substring(letters, 1, 30)))
+    loose = of("l", F.concat(F.lit("ghp_"), F.substring(letters, 1, 36)), F.concat(F.lit("AKIA"), F.upper(F.substring(hexes, 1, 16))), F.concat(F.lit("sk-"), F.substring(letters, 1, 40)), F.concat(F.lit("eyJ"), F.substring(letters, 1, 30), F.lit("."), F.substring(hexes, 1, 30)), F.lit("-----BEGIN RSA PRIVATE KEY-----"), F.concat(F.lit("xoxb-"), F.substring(letters, 1, 30)), F.concat(F.lit("AIza"), F.substring(letters, 1, 35)))
     joint = of("j", "_", "-", ".")
     words = F.concat(word(1), joint, word(2), joint, F.substring(number, 1, 2), joint, word(3), joint, word(4))
     path = F.concat(F.lit("/"), word(1), F.lit("/"), word(2), F.lit("/"), word(3), F.substring(number, 1, 2), F.lit("/"), word(4), of("e", ".py", ".txt", ".html", "", ".json"))
@@ -98,6 +105,7 @@ def labelled_findings(spark: SparkSession) -> DataFrame:
         (F.concat(assign, quote, secret), filler, quote, 1),
         (F.concat(assign, quote, F.substring(hexes, 1, 40)), filler, quote, 1),
         (loose, of("b", "Authorization: Bearer ", "key ", "use ", "export "), F.lit(" "), 1),
+        (loose, of("m", "export AWS_ACCESS_KEY_ID=", "GITHUB_PAT=", "https://site.org/api/js?key=", "\nOPENAI_KEY=", "https://", "id=", "version: ", "file path/"), of("t", "\n", " ", "&v=3", "/", "@site.org"), 1),
         (F.concat(assign, quote, plain), filler, quote, 0),
         (F.concat(assign, quote, words), filler, quote, 0),
         (F.substring(hexes, 1, 40), of("b", "commit ", "sha1 ", "at revision "), F.lit(" "), 0),
