@@ -1,10 +1,10 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, in DataFrame functions throughout.
 
 A candidate is a value assigned to a name such as token or password, a key of a known provider, a long run of key
-characters with a digit in it, or the head of a private key. Its features are its length, the transitions between kinds of characters, how much of it
-dictionary words cover, what makes it look like a path, and words beside it. The forest is grown on the driver from a
-table of labelled findings of fixed size, and becomes one column expression, so scanning and redaction are projections
-without any shuffle.
+characters with a digit in it, or a private key from its BEGIN to its END line. Its features are its length, the
+transitions between kinds of characters, how much of it dictionary words cover, what makes it look like a path, and
+words beside it. The forest is grown on the driver from a table of labelled findings of fixed size, and becomes one
+column expression, so scanning and redaction are projections without any shuffle.
 
 Cases: null and empty texts have no candidates and stay as they are; the noncharacters U+FDD0 and U+FDD1, which mark
 candidates, count as U+FDD2 in a text with candidates; repeated rows have their findings each; an empty table gives no
@@ -29,9 +29,17 @@ KNOWN = (
 )
 #: A run ends at "=", so that the value of NAME=VALUE stands alone; the padding of base64 belongs to it.
 RUN = rf"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]{{0,60}}[0-9])(?:(?!{KNOWN})[A-Za-z0-9+/_.-]){{20,}}+(?:={{1,2}}(?![A-Za-z0-9+/_=.-]))?"
-PRIVATE = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+#: A private key up to its END line; without one, over the lines of base64 that follow (the last may be short), with line
+#: ends as such or escaped, quotes and comment marks around them. No other BEGIN lies within.
+_BREAK = r"[ \t\"',;+\\]*+(?:\r?\n|(?<=\\)n|(?<=\\)r\\n)[ \t>#*|\"'/]*?"
+_LINE_END = r"(?=[ \t\"',;+\\]*(?:[\r\n]|\z|(?<=\\)[rn]))"
+PRIVATE = (
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,24}PRIVATE KEY-----"
+    rf"|(?:{_BREAK}(?:Proc-Type|DEK-Info): [^\r\n\\]*+)*(?:{_BREAK}{_LINE_END})?"
+    rf"(?:(?:{_BREAK}[A-Za-z0-9+/]{{16,}}={{0,2}}{_LINE_END}|\s++[A-Za-z0-9+/]{{24,}}={{0,2}})++(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}={{0,2}}{_LINE_END})?)?)"
+)
 VALUE = rf"[^\s\"'{OPEN}{CLOSE}](?:(?!{KNOWN})[^\s\"'{OPEN}{CLOSE}]){{5,}}+"
-CANDIDATE = rf"{ASSIGNED}{VALUE}|{KNOWN}|{RUN}|{PRIVATE}"
+CANDIDATE = rf"{ASSIGNED}(?:{PRIVATE}|{VALUE})|{PRIVATE}|{KNOWN}|{RUN}"
 CONTEXT = 48
 #: Rows of labelled findings that the forest is grown from, and its shape.
 LABELLED, TREES, DEPTH, LEAST_ROWS, SEED = 4000, 15, 7, 4, 11
@@ -96,11 +104,12 @@ def labelled_findings(spark: SparkSession) -> DataFrame:
     filler = of("f", "set the ", "use ", "and then ", "it was\n", "config: ", "with ")
     short = F.substring(letters, 1, 12)
     secret = of("v", F.substring(hexes, 1, 40), F.substring(hexes, 1, 32), hexes, F.substr(letters, F.lit(1), size), F.concat(F.lit("ghp_"), F.substring(letters, 1, 36)), F.concat(F.lit("AKIA"), F.upper(F.substring(hexes, 1, 16))), short, F.concat(F.substring(letters, 1, 5), F.lit("-"), F.substring(letters, 6, 9)), F.concat(F.lit("sk-"), F.substring(letters, 1, 40)))
-    loose = of("l", F.concat(F.lit("ghp_"), F.substring(letters, 1, 36)), F.concat(F.lit("AKIA"), F.upper(F.substring(hexes, 1, 16))), F.concat(F.lit("sk-"), F.substring(letters, 1, 40)), F.concat(F.lit("eyJ"), F.substring(letters, 1, 30), F.lit("."), F.substring(hexes, 1, 30)), F.lit("-----BEGIN RSA PRIVATE KEY-----"), F.concat(F.lit("xoxb-"), F.substring(letters, 1, 30)), F.concat(F.lit("AIza"), F.substring(letters, 1, 35)))
+    pem = F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), F.repeat(F.concat(F.substring(letters, 1, 64), F.lit("\n")), (F.pmod(F.xxhash64(n, F.lit("p")), F.lit(26)) + 1).cast("int")), F.lit("-----END PRIVATE KEY-----"))
+    loose = of("l", F.concat(F.lit("ghp_"), F.substring(letters, 1, 36)), F.concat(F.lit("AKIA"), F.upper(F.substring(hexes, 1, 16))), F.concat(F.lit("sk-"), F.substring(letters, 1, 40)), F.concat(F.lit("eyJ"), F.substring(letters, 1, 30), F.lit("."), F.substring(hexes, 1, 30)), F.lit("-----BEGIN RSA PRIVATE KEY-----"), pem, F.concat(F.lit("xoxb-"), F.substring(letters, 1, 30)), F.concat(F.lit("AIza"), F.substring(letters, 1, 35)))
     joint = of("j", "_", "-", ".")
     words = F.concat(word(1), joint, word(2), joint, F.substring(number, 1, 2), joint, word(3), joint, word(4))
     path = F.concat(F.lit("/"), word(1), F.lit("/"), word(2), F.lit("/"), word(3), F.substring(number, 1, 2), F.lit("/"), word(4), of("e", ".py", ".txt", ".html", "", ".json"))
-    plain = of("p", "changeme", "your_token_here", "required", "xxxxxxxxxxxx", "example", "<password>", "optional", "********", "none,see-below", "placeholder", "${TOKEN}", "enter-your-key-here")
+    plain = of("p", "changeme", "your_token_here", "required", "xxxxxxxxxxxx", "example", "<password>", "optional", "********", "none,see-below", "placeholder", "${TOKEN}", "enter-your-key-here", "none;GITHUB_PAT=", "off&next_key=")
     kinds = [  # candidate, before, after, label
         (F.concat(assign, quote, secret), filler, quote, 1),
         (F.concat(assign, quote, F.substring(hexes, 1, 40)), filler, quote, 1),
