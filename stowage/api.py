@@ -46,13 +46,34 @@ def register(spark: SparkSession, roots: Sequence[dict[str, str]]) -> DataFrame:
 
 
 def refresh(scan: DataFrame, previous: DataFrame, roots: DataFrame) -> DataFrame:
-    """A scan reconciled with the stored files: unchanged ones keep their hash, changed ones are hashed, offline roots stay."""
-    carried = catalog.carry_forward(scan.withColumns({"sha256": F.lit(None).cast("string"), "verified_unix": F.lit(None).cast("long")}), previous).drop("needs_header")
-    todo = catalog.hash_worklist(carried).join(roots.select("root_id", F.col("path").alias("root_path")), "root_id")
-    todo = todo.withColumn("path", F.concat_ws("/", "root_path", "rel_path"))
-    fresh = todo.select("root_id", "rel_path", "path").join(headers.hash_files(todo).select("path", F.col("sha256").alias("fresh")), "path").drop("path")
-    done = carried.join(fresh, ["root_id", "rel_path"], "left").withColumn("sha256", F.coalesce("sha256", "fresh")).drop("fresh")
-    return catalog.all_manifests(done.withColumn("meta_reader", F.lit(catalog.READER_VERSION)), previous, roots)
+    """A scan reconciled with the stored files: unchanged ones keep their hash, changed ones are hashed, offline roots stay.
+
+    Headers are read of files that carry_forward asks for and of those that no reader has been at (no meta_reader); a file that
+    can't be reached keeps the header known of its fingerprint, and isn't stamped.
+    """
+    at = ["root_id", "rel_path"]
+    carried = catalog.carry_forward(scan.withColumns({"sha256": F.lit(None).cast("string"), "verified_unix": F.lit(None).cast("long")}), previous)
+    places = roots.select("root_id", F.col("path").alias("root_path"), F.col("kind").alias("root_kind"))
+    path = F.concat_ws("/", "root_path", "rel_path")
+    todo = catalog.hash_worklist(carried).join(places, "root_id").withColumn("path", path)
+    fresh = todo.select(*at, "path").join(headers.hash_files(todo).select("path", F.col("sha256").alias("fresh")), "path").drop("path")
+
+    old = previous.select(*at, F.col("fingerprint").alias("old_fp"), F.col("meta").alias("old_meta"), F.col("meta_reader").alias("old_reader"))
+    same = F.coalesce(F.col("fingerprint") == F.col("old_fp"), F.lit(False))
+    unread = F.col("needs_header") | (F.col("meta").isNull() & F.col("old_reader").isNull())
+    stated = carried.join(old, at, "left").withColumn("to_read", F.col("accessible") & unread)
+    paths = stated.filter("to_read").join(places, "root_id").select(*at, path.alias("path"), F.col("root_kind").alias("file_kind"))
+    found = headers.file_meta(paths.select("path", F.col("file_kind").alias("kind")))
+    facts = paths.join(found.withColumnRenamed("meta", "fresh_meta"), "path").select(*at, "fresh_meta")
+
+    done = stated.join(fresh, at, "left").join(facts, at, "left").withColumns(
+        {
+            "sha256": F.coalesce("sha256", "fresh"),
+            "meta": F.when(F.col("to_read"), F.col("fresh_meta")).when(same, F.col("old_meta")),
+            "meta_reader": F.when(F.col("to_read"), F.lit(catalog.READER_VERSION)).when(same, F.col("old_reader")),
+        }
+    )
+    return catalog.all_manifests(done.drop("fresh", "needs_header", "to_read", "fresh_meta", "old_fp", "old_meta", "old_reader"), previous, roots)
 
 
 class Engine:

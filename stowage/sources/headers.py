@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import file_type_name, head_dim
+from ..schema import META
+from .scanner import WEIGHTS
 
 #: Limits and codes of the header format (fixed values).
 MAGIC, MOST_KEYS, MOST_BYTES, MOST_STRING, MOST_ITEMS = 0x46554747, 100_000, 256 << 20, 64 << 20, 1 << 22
@@ -148,6 +150,23 @@ def weights_meta(path: str) -> dict[str, object] | None:
     return found if any(v is not None for v in found.values()) else None
 
 
+def file_meta(files: DataFrame) -> DataFrame:
+    """(path, meta) of a DataFrame with path and kind (of the root) for every file that has facts: those of its own header, or
+    of the config.json beside weights. Blobs of an ollama store are read whatever their name is."""
+    files = files.select("path", "kind").distinct()
+    is_gguf = F.lower("path").rlike(r"[^/]\.gguf$") | (F.col("kind") == "ollama")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"path": p, **m} for p in batch["path"].to_pylist() if (m := weights_meta(p))]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema({"path": pa.string(), "architecture": pa.string(), "name": pa.string(), "context_length": pa.int64()}))
+
+    weights = files.filter(~is_gguf & F.lower("path").rlike("|".join(rf"\{w}$" for w in WEIGHTS))).select("path").distinct()
+    beside = weights.mapInArrow(read, "path string, architecture string, name string, context_length long")
+    facts = model_meta(files.filter(is_gguf).select("path").distinct()).unionByName(beside, allowMissingColumns=True)
+    return facts.select("path", F.struct(*META.fieldNames()).cast(META).alias("meta"))
+
+
 def hash_files(files: DataFrame, readers: int = 4) -> DataFrame:
     """(path, sha256, error): whole files in blocks of 4 MiB. ``readers`` tasks read at a time, which spares disks."""
 

@@ -12,6 +12,7 @@ from stowage.sources import headers
 
 from .conftest import rows
 from .test_catalog import FILES
+from .test_sources import header, put
 
 
 @pytest.fixture
@@ -58,6 +59,40 @@ def test_refresh_hashes_only_what_changed(spark, engine, monkeypatch):
     assert api.refresh(api.scan_roots(spark, known[:0]), e.files, offline).count() == e.files.count()
 
 
+def test_refresh_reads_headers(spark, tmp_path):
+    def write(name, arch, length):
+        put(tmp_path / name, header([("general.architecture", 8, arch), (f"{arch}.context_length", 4, length)]))
+
+    write("a.gguf", "llama", 2048)
+    write("stale.gguf", "qwen", 64)
+    write("unread.gguf", "bert", 32)
+    put(tmp_path / "broken.gguf", b"none")
+    put(tmp_path / "emb/config.json", b'{"model_type": "gte", "max_position_embeddings": 512}')
+    put(tmp_path / "emb/model.safetensors", b"w")
+    known = [{"root_id": "shelf", "kind": "shelf", "path": str(tmp_path)}]
+    roots = api.register(spark, known)
+
+    def state(files):
+        return {r["rel_path"]: (r["meta"] and (r["meta"]["architecture"], r["meta"]["context_length"]), r["meta_reader"]) for r in files.collect()}
+
+    first = api.refresh(api.scan_roots(spark, known), spark.createDataFrame([], FILES), roots).cache()
+    whole = {"a.gguf": (("llama", 2048), 1), "stale.gguf": (("qwen", 64), 1), "unread.gguf": (("bert", 32), 1), "broken.gguf": (None, 1), "emb/config.json": (None, 1), "emb/model.safetensors": (("gte", 512), 1)}
+    assert state(first) == whole
+    write("a.gguf", "llama", 4096 * 16)
+    older = F.col("meta").withField("architecture", F.lit("old"))
+    before = first.withColumns(
+        {
+            "meta": F.when(F.col("rel_path") == "stale.gguf", older).when(F.col("rel_path") != "unread.gguf", F.col("meta")),
+            "meta_reader": F.when(F.col("rel_path") == "stale.gguf", 0).when(F.col("rel_path") != "unread.gguf", F.col("meta_reader")),
+        }
+    )
+    os.utime(tmp_path / "a.gguf", (1, 1))
+    assert state(api.refresh(api.scan_roots(spark, known), before, roots)) == whole | {"a.gguf": (("llama", 65536), 1)}
+    closed = api.scan_roots(spark, known).withColumn("accessible", F.lit(False))
+    kept = state(api.refresh(closed, before, roots))
+    assert kept["stale.gguf"] == (("old", 64), 0) and kept["unread.gguf"] == (None, None) and kept["a.gguf"] == (None, None)
+
+
 def test_fetch(spark):
     names = ["big-00001-of-00002.gguf", "big-00002-of-00002.gguf", "mmproj-f16.gguf", ".x/y.gguf", "other.gguf"]
     listing = spark.createDataFrame([(i, f, 1) for i, f in enumerate(names)], "ord long, filename string, size long")
