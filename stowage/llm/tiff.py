@@ -1,9 +1,11 @@
 """TIFF media columns: walk image directories, undo PackBits, LZW or deflate and predictors, one row per page.
 
-``pages_of`` reads classic TIFF of either byte order, strips and tiles, 8 or 16 bits a sample, chunky or planar.
+``pages_of`` reads classic TIFF of either byte order, strips and tiles, 1, 2, 4, 8 or 16 bits a sample, chunky or planar.
 ``write_gray`` stores bytes as one 8-bit gray page, so that any payload makes the round trip.
 
-Cases: a null file, one that is no TIFF, or a broken one gives one row with page -1 and the reason in ``error``; a
+Cases: a null file, one that is no TIFF, or a broken directory gives one row with page -1 and the reason in ``error``; a
+page that can't be decoded gives such a row with its own number, and the walk goes on; samples of less than 8 bits come
+as a byte each; a
 directory loop ends the walk; null text is stored as empty text; equal texts give equal files and values; an empty
 table gives no rows; other columns are ignored.
 """
@@ -25,7 +27,7 @@ from . import tokens
 WIDTH = 64
 #: Fixed values of the format: bytes of each field type, and the tags in use.
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
+IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 266, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES = 284, 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
@@ -176,13 +178,15 @@ def decode_page(file: bytes, order: str, fields: dict[int, tuple[int, ...]]) ->
     """Samples as (rows, columns, samples a pixel)."""
     one = lambda tag, default: fields.get(tag, (default,))[0]
     width, height, samples = one(IMAGE_WIDTH, 0), one(IMAGE_LENGTH, 0), one(SAMPLES, 1)
-    bits, planar, predictor = one(BITS, 8), one(PLANAR, 1) == 2, one(PREDICTOR, 1)
-    if bits not in (8, 16) or predictor not in (1, 2):
+    bits, planar, predictor = one(BITS, 1), one(PLANAR, 1) == 2, one(PREDICTOR, 1)
+    if bits not in (1, 2, 4, 8, 16) or predictor not in ((1, 2) if bits >= 8 else (1,)):
         raise ValueError(f"{bits} bits a sample with predictor {predictor} are not supported")
     undo = UNDO.get(one(COMPRESSION, 1))
     if undo is None:
         raise ValueError(f"compression {one(COMPRESSION, 1)} is not supported")
-    kind = np.dtype(f"{order}u{bits // 8}")
+    if bits < 8 and one(FILL_ORDER, 1) != 1:
+        raise ValueError("a fill order of 2 is not supported")
+    kind = np.dtype(f"{order}u{max(1, bits // 8)}")
     tiled = TILE_OFFSETS in fields
     across = one(TILE_WIDTH, width) if tiled else width
     down = max(1, one(TILE_LENGTH, height) if tiled else min(one(ROWS_PER_STRIP, height), height))
@@ -192,7 +196,13 @@ def decode_page(file: bytes, order: str, fields: dict[int, tuple[int, ...]]) ->
     grid = [(plane, y, x) for plane in range(samples if planar else 1) for y in range(0, height, down) for x in range(0, width, across)]
     for (plane, y, x), start, size in zip(grid, offsets, sizes, strict=True):
         rows = down if tiled else min(down, height - y)
-        part = np.frombuffer(undo(file[start : start + size]), kind, rows * across * depth).reshape(rows, across, depth)
+        raw = undo(file[start : start + size])
+        if bits < 8:  # rows begin at whole bytes
+            wide = -(-across * depth * bits // 8)
+            packed = np.frombuffer(raw, np.uint8, rows * wide).reshape(rows, wide, 1) >> np.arange(8 - bits, -1, -bits, dtype=np.uint8) & np.uint8((1 << bits) - 1)
+            part = packed.reshape(rows, -1)[:, : across * depth].reshape(rows, across, depth)
+        else:
+            part = np.frombuffer(raw, kind, rows * across * depth).reshape(rows, across, depth)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=part.dtype)
         target = page[y : y + rows, x : x + across]
@@ -204,9 +214,11 @@ def decode_page(file: bytes, order: str, fields: dict[int, tuple[int, ...]]) ->
     return page
 
 
-def feature_of(page: np.ndarray) -> str:
+def feature_of(page: np.ndarray, bits: int = 0) -> str:
     """Size, mean and the counts of samples in eight equal ranges of value."""
-    counts = np.bincount((page.reshape(-1) >> (8 * page.dtype.itemsize - 3)).astype(np.int64), minlength=8)
+    bits = bits or 8 * page.dtype.itemsize
+    flat = page.reshape(-1) >> (bits - 3) if bits > 3 else page.reshape(-1) << (3 - bits)
+    counts = np.bincount(flat.astype(np.int64), minlength=8)
     return f"{page.shape[1]}x{page.shape[0]}x{page.shape[2]};mean={int(page.sum(dtype=np.int64)) * 1000 // max(1, page.size)};hist={','.join(map(str, counts))}"
 
 
@@ -222,8 +234,11 @@ def pages_of(files: DataFrame, key: str, content: str) -> DataFrame:
                 try:
                     data = file.as_py() or b""
                     for n, (order, fields) in enumerate(directories(data)):
-                        page = decode_page(data, order, fields)
-                        rows.append((name, n, page.shape[1], page.shape[0], page.shape[2], 8 * page.dtype.itemsize, page.tobytes(), feature_of(page), None))
+                        try:
+                            page, bits = decode_page(data, order, fields), fields.get(BITS, (1,))[0]
+                            rows.append((name, n, page.shape[1], page.shape[0], page.shape[2], bits, page.tobytes(), feature_of(page, bits), None))
+                        except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                            rows.append((name, n, None, None, None, None, None, None, str(e)))
                 except (ValueError, KeyError, struct.error, zlib.error) as e:
                     rows.append((name, -1, None, None, None, None, None, None, str(e)))
                 if rows:

@@ -254,6 +254,28 @@ def test_pages_and_broken_files(spark):
     assert all(got[i]["page"] == -1 and got[i]["error"] for i in (2, 3, 4))
 
 
+def test_pages_after_one_that_cannot_be_decoded(spark):
+    import struct
+
+    pages = [  # bits, compression, width, strip, samples
+        (32, tiff.NONE, 2, bytes(16), None),
+        (1, tiff.PACKBITS, 10, tiff.do_packbits(b"\xa0\x40\x0f\xc0"), b"\1\0\1\0\0\0\0\0\0\1" + b"\0\0\0\0\1\1\1\1\1\1"),
+        (4, tiff.NONE, 3, b"\x12\x30\xfe\xd0", bytes((1, 2, 3, 15, 14, 13))),
+        (8, 7, 2, bytes(4), None),
+        (2, tiff.NONE, 3, b"\x1b\xe4", bytes((0, 1, 2, 3, 2, 1))),
+        (8, tiff.DEFLATE, 2, zlib.compress(b"abcd"), b"abcd"),
+    ]
+    file = struct.pack("<2sHI", b"II", 42, 8)
+    for i, (bits, compression, width, strip, _) in enumerate(pages):
+        entries = [(256, width), (257, 2), (258, bits), (259, compression), (273, len(file) + 2 + 12 * 8 + 4), (277, 1), (278, 2), (279, len(strip))]
+        end = len(file) + 2 + 12 * 8 + 4 + len(strip)
+        file += struct.pack("<H", 8) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in entries) + struct.pack("<I", end if i + 1 < len(pages) else 0) + strip
+    got = sorted(tiff.pages_of(spark.createDataFrame([(1, bytearray(file))], "id long, content binary"), "id", "content").collect(), key=lambda r: r["page"])
+    assert [r["page"] for r in got] == list(range(6)) and [r["error"] is None for r in got] == [p[4] is not None for p in pages]
+    assert [r["pixels"] and bytes(r["pixels"]) for r in got] == [p[4] for p in pages] and [r["bits"] for r in got] == [None, 1, 4, None, 2, 8]
+    assert got[1]["feature"] == "10x2x1;mean=450;hist=11,0,0,0,9,0,0,0"
+
+
 def test_media_digest(spark):
     texts = [None, "", "é" * 40, "x" * 64, "same", "same", "long " * 50000]
     import hashlib
