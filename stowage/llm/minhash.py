@@ -13,7 +13,8 @@ A document's set is its distinct w-word shingles, held as 64-bit hashes. Its ske
    inequality of the Jaccard distance or the count of shingles that a member has alone leave out of reach, until every
    other member has been a pivot.
 4. The union sketch of a pair estimates its similarity; what is far below the threshold goes, the rest is verified on
-   the full sets.
+   the full sets. By the binomial a pair just at the threshold goes with a probability of 5.9e-6 at 85 % (22 or fewer of
+   40 values agree) and of 5.0e-6 at 80 % (19 or fewer), besides the chance of step 2.
 5. Links are closed to components by smallest labels with pointer jumping, each round written to the shared folder.
 
 Cases: words are runs of bytes other than space and the controls 9 to 13, A-Z lower-cased; with fewer words than w the

@@ -289,6 +289,17 @@ def test_media_digest(spark):
     assert got[4]["media_sha256"] == got[5]["media_sha256"] and got[4]["feature"] == got[5]["feature"]
 
 
+def test_stated_losses_of_the_estimate_filter():
+    from math import comb
+
+    readme = (Path(__file__).resolve().parents[2] / "README.md").read_text()
+    for per_cent in (85, 80):
+        t, k = per_cent / 100, minhash.SKETCH
+        lost = sum(comb(k, i) * t**i * (1 - t) ** (k - i) for i in range(k + 1) if i / k < minhash.least_estimate(per_cent, k))
+        stated = f"{lost:.1e}".replace("e-0", "e-") + f" at {per_cent} %"
+        assert stated in readme and stated in minhash.__doc__
+
+
 # Secrets
 
 
