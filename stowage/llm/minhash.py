@@ -2,19 +2,22 @@
 
 A document's set is its distinct w-word shingles, held as 64-bit hashes. Its sketch is the k least hashes.
 
-1. Documents with equal sets fall together at once, by a digest of the set (pre-aggregated), and go on as one
+1. Documents with equal sets fall together at once, by a 128-bit digest of the set (pre-aggregated), and go on as one
    representative each, so copies never meet in pairs.
-2. Inverted lists of retained values give overlaps. A pair above the threshold shares most of its retained values, at
-   least half of them but for a chance of about one in a million; two sketches that share half must meet in the lists of
-   their rarer half, so only those lists are made, and a passage that many documents share makes no long list.
+2. Inverted lists of retained values give overlaps. A pair above the threshold shares at least ``least_shared`` of its
+   retained values (20 of 40 at 85 %, 17 of 40 at 80 %), but for a chance, by the binomial for a pair just at the
+   threshold, of 3.5e-8 at 85 % and of 3.5e-8 at 80 %; two sketches that share m values must meet in the lists of all but
+   m - 1 of their values, the rarest first, so only those lists are made, and a passage that many documents share makes
+   no long list.
 3. Lists up to ``SHORT_LIST`` compare all pairs. In a longer one every member is compared with its pivot, the one with
-   the most widely shared values. Members of the pivot's component are one class; in the next rounds, more and more
-   pivots are taken from the others and compared with all members of other components, but for those that the triangle
-   inequality of the Jaccard distance or the count of shingles that a member has alone leave out of reach, until every
-   other member has been a pivot.
-4. The union sketch of a pair estimates its similarity; what is far below the threshold goes, the rest is verified on
-   the full sets. By the binomial a pair just at the threshold goes with a probability of 5.9e-6 at 85 % (22 or fewer of
-   40 values agree) and of 5.0e-6 at 80 % (19 or fewer), besides the chance of step 2.
+   the most widely shared values. Members of the pivot's component are done with each other. For the rest, new lists are
+   made of what sets a member apart from the pivot: the symmetric difference of two linked sets is small, so the
+   differences of both from the pivot overlap in a number of shingles that follows from their sizes (``overlaps``), and
+   the pair meets in the lists of the rarest of these. What all copies have in common is no longer in any list. Members
+   far from the pivot meet in lists of their own shingles, the rarest within the group first. These lists go through the
+   same step until none is left; the limit for comparing all pairs doubles each time.
+4. The union sketch of a pair estimates its similarity; a pair that shares less than that goes, the rest is verified on
+   the full sets.
 5. Links are closed to components by smallest labels with pointer jumping, each round written to the shared folder.
 
 Cases: words are runs of bytes other than space and the controls 9 to 13, A-Z lower-cased; with fewer words than w the
@@ -25,12 +28,14 @@ whole sequence is the one shingle; null and empty texts have an empty set, link
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -38,20 +43,24 @@ from .common import materialize
 
 SKETCH = 40
 SHORT_LIST = 24
-#: What an estimate may be off by, more than four standard errors.
-ESTIMATE_SLACK = 0.35
+#: The chance that a pair just at the threshold is lost in one of the two steps that look at sketches.
+LOSS = 1e-7
+#: From this similarity to the pivot on, members meet by their differences from it.
+NEAR = 0.35
 #: Odd constants of the 64-bit mixing (fixed values).
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-KEPT_WORDS = 1_000_000
-KEPT_SHINGLES = 4_000_000
+#: Words' hashes and shingles of sets that a worker keeps at most.
+KEPT_WORDS, KEPT_SHINGLES = 100_000, 1_000_000
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > KEPT_WORDS:
+        if len(self) >= KEPT_WORDS:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) < 64:
+            self[word] = h
         return h
 
 
@@ -68,9 +77,9 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, w: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
-    words = (text or "").encode().translate(_LOWER).split()
+def shingle_set(raw: bytes, w: int) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of a text in UTF-8."""
+    words = raw.translate(_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
@@ -81,13 +90,25 @@ def shingle_set(text: str | None, w: int) -> np.ndarray:
     return np.unique(out)
 
 
+def least_shared(per_cent: int, k: int) -> int:
+    """The most values m for which a pair at the threshold agrees in fewer than m of k with a chance of LOSS at most."""
+    t, below = per_cent / 100, 0.0
+    for m in range(k + 1):
+        below += math.comb(k, m) * t**m * (1 - t) ** (k - m)
+        if below > LOSS:
+            return m
+    return k
+
+
 def sketches(docs: DataFrame, w: int, k: int) -> DataFrame:
-    """doc_id, row_hash (of the text), n_shingles, set_digest (null for an empty set) and sketch (up to k hashes) of every row."""
+    """doc_id, row_hash (of the text), n_shingles, set_digest (null for an empty set), sketch (up to k hashes) and packed (the compressed text) of every row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for a, b in tokens.slices(tokens.text_sizes(batch), 8 << 20):
-                sets = [shingle_set(t, w) for t in batch["text"][a:b].to_pylist()]
+            for a, b in tokens.slices(tokens.text_sizes(batch), 4 << 20):
+                raw = [(t.as_py() or "").encode() for t in batch["text"][a:b]]
+                sets = [shingle_set(x, w) for x in raw]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch["doc_id"][a:b],
@@ -95,90 +116,55 @@ def sketches(docs: DataFrame, w: int, k: int) -> DataFrame:
                         "n_shingles": pa.array(map(len, sets), pa.int64()),
                         "set_digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         "sketch": pa.array([s[:k].tobytes() for s in sets], pa.binary()),
+                        "packed": pa.array([squeeze(x) if len(s) else None for x, s in zip(raw, sets, strict=True)], pa.binary()),
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_hash"), "text").mapInArrow(sketch, "doc_id long, row_hash long, n_shingles long, set_digest binary, sketch binary")
+    given = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_hash"), "text")
+    return given.mapInArrow(sketch, "doc_id long, row_hash long, n_shingles long, set_digest binary, sketch binary, packed binary")
+
+
+def rarest(entries: DataFrame, per: list[str], need: Column) -> DataFrame:
+    """``entries`` (key and ``per``) without the ``need`` - 1 most frequent keys of each ``per``, and without keys that nobody shares, which
+    count as the rarest."""
+    sizes = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "list_sizes")
+    own = entries.join(sizes, "key").groupBy(*per).agg(F.sort_array(F.collect_list(F.struct("size", "key"))).alias("keys"), F.sum("size").alias("weight"))  # one set's keys
+    first = (F.size("keys") - F.greatest(need, F.lit(1)) + 1).cast("int")
+    return own.filter(first > 0).select(*per, "weight", F.explode(F.slice("keys", 1, first)).alias("k")).select(F.col("k.key").alias("key"), *per, "weight")
 
 
-def inverted(reps: DataFrame) -> DataFrame:
-    """(value, rep, n_shingles, weight, size): the lists of the rarer half of every representative's retained values.
+def inverted(reps: DataFrame, share: float) -> DataFrame:
+    """(key, rep, n, weight): the lists that representatives meet in which have at least ``share`` of their retained values in common.
 
-    size is the number of representatives in the list; weight, the sum of list sizes over a sketch, is large for
-    members in the middle of a group.
+    weight, the sum of list sizes over a sketch, is large for members in the middle of a group.
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [np.frombuffer(s.as_buffer(), np.int64) for s in batch["sketch"]]
             counts = np.fromiter(map(len, values), np.int64, len(values))
-            at = np.repeat(np.arange(len(values)), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*values, np.empty(0, np.int64)])), batch["rep"].take(pa.array(at))], names=["value", "rep"])
-
-    entries = reps.select("rep", "sketch").mapInArrow(explode, "value long, rep long")
-    sizes = materialize(entries.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "list_sizes")
-    shared = materialize(entries.join(sizes, "value"), "shared_values")
-    # A value of one representative is in no list, yet it counts as the rarest of its sketch.
-    own = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("size", "value"))).alias("values"), F.sum("size").alias("weight"))  # k entries at most
-    held = F.floor(F.octet_length("sketch") / 8)
-    lists = own.join(reps.select("rep", "n_shingles", held.alias("held")), "rep")
-    first = (F.size("values") - F.ceil(F.col("held") / 2) + 1).cast("int")
-    lists = lists.filter(first > 0).select("rep", "n_shingles", "weight", F.explode(F.slice("values", 1, first)).alias("v"))
-    return lists.select(F.col("v.value").alias("value"), "rep", "n_shingles", "weight", F.col("v.size").alias("size"))
-
-
-def candidate_pairs(lists: DataFrame, threshold: float, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to look at, and the long lists' rows with their pivots marked.
-
-    ``lists`` has value, rep, n_shingles, n_shared, weight, label (of the component so far), low, high and open (false for members that need
-    comparing with open ones only). Members of one component are not compared with each other.
-    """
-    counted = lists.groupBy("value").agg(
-        F.count(F.lit(1)).alias("members"),
-        F.sum(F.col("open").cast("long")).alias("n_open"),
-        F.max(F.when(F.col("open"), F.struct("weight", "rep", "label"))).alias("middle"),
-        (F.min("label") == F.max("label")).alias("done"),
-    )
-    counted = materialize(counted.filter("members > 1 AND n_open > 0 AND NOT done"), "list_sizes")
-    sized = materialize(lists.join(counted, "value"), "lists")
-    is_long = F.col("members") > SHORT_LIST
-    # The intersection of two sets is within what either shares with any other; a similarity of t needs t / (1 + t) of both sizes.
-    fits = lambda x, y, x_shared, y_shared: F.least(x_shared, y_shared) >= F.lit(threshold / (1 + threshold) - 1e-9) * (x + y)
-    if turn == 0:
-        chosen = F.col("rep") == F.col("middle.rep")
-    else:  # about 8, 64, 512, ... of those open, and surely the middle one
-        chosen = F.col("open") & ((F.pmod(F.xxhash64("rep", "value"), F.col("n_open")) < 8**turn) | (F.col("rep") == F.col("middle.rep")))
-    long_rows = sized.filter(is_long).withColumn("pivot", chosen)
-    pivots = long_rows.filter("pivot").select("value", F.col("rep").alias("p"), F.col("n_shingles").alias("p_n"), F.col("n_shared").alias("p_shared"), F.col("label").alias("p_label"), F.col("low").alias("p_low"), F.col("high").alias("p_high"))
-    # By the triangle inequality of the Jaccard distance, linked members are about as far from any third one.
-    apart = F.lit(1 - threshold)
-    reach = (F.col("low") <= F.col("p_high") + apart) & (F.col("p_low") <= F.col("high") + apart)
-    stars = long_rows.select("value", "rep", "n_shingles", "n_shared", "label", "low", "high").join(pivots, "value")
-    stars = stars.filter((F.col("label") != F.col("p_label")) & fits(F.col("n_shingles"), F.col("p_n"), F.col("n_shared"), F.col("p_shared")) & reach)
-    star_pairs = stars.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
-    short = sized.filter(~is_long).groupBy("value").agg(F.collect_list(F.struct("rep", "n_shingles", "n_shared", "open", "label")).alias("m"))  # SHORT_LIST entries at most
-    each = short.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).filter((F.col("x.rep") < F.col("y.rep")) & (F.col("x.open") | F.col("y.open")) & (F.col("x.label") != F.col("y.label")))
-    short_pairs = each.filter(fits(F.col("x.n_shingles"), F.col("y.n_shingles"), F.col("x.n_shared"), F.col("y.n_shared"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    return star_pairs.unionByName(short_pairs).distinct(), long_rows
-
-
-def next_lists(long_rows: DataFrame, known: DataFrame, labels: DataFrame, turn: int, threshold: float) -> DataFrame:
-    """Lists for the next round: pivots leave, and members of the first pivot's component are closed. low and high are bounds
-    of a member's similarity to that pivot."""
-    columns = ["value", "rep", "n_shingles", "n_shared", "weight", "label", "open", "center", "low", "high"]
-    left = long_rows.filter(~F.col("pivot")).withColumn("center", F.col("middle.rep") if turn == 0 else F.col("center")).drop("label", "open")
-    own = labels.select(F.col("node").alias("rep"), "label")
-    main = labels.select(F.col("node").alias("center"), F.col("label").alias("main"))
-    left = left.join(own, "rep", "left").join(main, "center", "left").withColumns({"label": F.coalesce("label", "rep"), "main": F.coalesce("main", "center")})
-    left = left.withColumn("open", F.col("label") != F.col("main"))
-    if turn:
-        return left.select(*columns)
-    slack = F.lit(ESTIMATE_SLACK)
-    near = known.select("a", "b", F.coalesce("similarity", F.col("estimate") - slack).alias("s_low"), F.coalesce("similarity", F.col("estimate") + slack).alias("s_high"))
-    pair = (F.least("rep", "center") == F.col("a")) & (F.greatest("rep", "center") == F.col("b"))
-    # A pair that wasn't compared differs too much in size to be linked.
-    bounds = {"low": F.coalesce("s_low", F.lit(0.0)), "high": F.coalesce("s_high", F.lit(threshold))}
-    return left.drop("low", "high").join(near, pair, "left").withColumns(bounds).select(*columns)
+            at = pa.array(np.repeat(np.arange(len(values)), counts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*values, np.empty(0, np.int64)])), batch["rep"].take(at), batch["n"].take(at), pa.array(np.repeat(counts, counts))], names=["key", "rep", "n", "held"])
+
+    entries = materialize(reps.select("rep", "n", "sketch").mapInArrow(explode, "key long, rep binary, n long, held long"), "retained_values")
+    return rarest(entries, ["rep", "n", "held"], F.ceil(F.col("held") * share - 1e-9)).drop("held")
+
+
+def in_play(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``lists`` whose members are not of one component already, with label, members (how many) and middle (the pivot)."""
+    labelled = lists.withColumn("label", F.col("rep"))
+    if labels is not None:
+        labelled = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    counted = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("weight", "rep")).alias("middle"), (F.min("label") != F.max("label")).alias("mixed"))
+    return labelled.join(counted.filter("members > 1 AND mixed").drop("mixed"), "key")
+
+
+def pairs_of(short: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of different components that meet in a list and fit in size."""
+    listed = short.groupBy("key").agg(F.collect_list(F.struct("rep", "n", "label")).alias("m"))  # of bounded length
+    each = listed.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).filter((F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")))
+    fits = F.least("x.n", "y.n") >= F.lit(threshold - 1e-9) * F.greatest("x.n", "y.n")
+    return each.filter(fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
@@ -198,94 +184,153 @@ def estimated(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(found, pa.float64())], names=["a", "b", "estimate"])
 
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(estimate, "a long, b long, estimate double")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(estimate, "a binary, b binary, estimate double")
 
 
-def texts_of(ids: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, text) of the representatives in ``ids``."""
+def bodies(ids: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, packed) of the representatives in ``ids``: the compressed text of one row of each."""
     wanted = ids.select("rep").distinct().join(reps.select("rep", "of"), "rep")
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("row_hash", F.xxhash64("text"))
-    met = own.join(wanted, own.id.eqNullSafe(F.col("of.doc_id")) & (own.row_hash == F.col("of.row_hash")))
-    return met.groupBy("rep").agg(F.first("text").alias("text"))
+    own = rows.select(F.col("set_digest").alias("rep"), "doc_id", "row_hash", "packed")
+    met = own.join(wanted, "rep").filter(F.col("doc_id").eqNullSafe(F.col("of.doc_id")) & (F.col("row_hash") == F.col("of.row_hash")))
+    return met.groupBy("rep").agg(F.first("packed").alias("packed"))
 
 
-def with_shared(lists: DataFrame, docs: DataFrame, reps: DataFrame, w: int) -> DataFrame:
-    """Set n_shared: how many shingles of a member are in the set of any other member of the lists. A pair has no others in common."""
+def with_bodies(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    side = lambda c: texts.select(F.col("rep").alias(c), F.col("packed").alias(f"packed_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rep, text in zip(batch["rep"].to_pylist(), batch["text"], strict=True):
-                own = shingle_set(text.as_py(), w).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), rep, np.int64))], names=["shingle", "rep"])
 
-    shingles = texts_of(lists, docs, reps).mapInArrow(explode, "shingle long, rep long")
-    alone = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max("rep").alias("rep")).filter("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    counted = lists.drop("n_shared").join(materialize(alone, "shingles_alone"), "rep", "left")
-    return counted.withColumn("n_shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone")
+class Sets:
+    """Sets of packed texts; some are kept, as pivots come again and again."""
 
+    def __init__(self, w: int) -> None:
+        self.w, self.kept, self.held, self.expand = w, {}, 0, zstandard.ZstdDecompressor().decompress
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, w: int, per_cent: int) -> DataFrame:
-    """a, b, similarity on the full sets, and linked: 100 * intersection >= per_cent * union."""
+    def __call__(self, rep: bytes, packed: pa.Scalar) -> np.ndarray:
+        found = self.kept.get(rep)
+        if found is None:
+            if self.held > KEPT_SHINGLES:
+                self.kept.clear()
+                self.held = 0
+            self.kept[rep] = found = shingle_set(self.expand(packed.as_buffer()), self.w)
+            self.held += len(found)
+        return found
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
-        held = 0
-
-        def set_of(rep: int, text: pa.Scalar) -> np.ndarray:
-            """Pivots come again and again, so some sets are kept."""
-            nonlocal held
-            found = sets.get(rep)
-            if found is None:
-                if held > KEPT_SHINGLES:
-                    sets.clear()
-                    held = 0
-                sets[rep] = found = shingle_set(text.as_py(), w)
-                held += len(found)
-            return found
 
+def in_common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def verified(pairs: DataFrame, texts: DataFrame, w: int, per_cent: int) -> DataFrame:
+    """``pairs`` (a, b, star) with the similarity of the full sets, and linked: 100 * intersection >= per_cent * union."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        set_of = Sets(w)
         for batch in batches:
             similarity, linked = [], []
-            for a, b, x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["text_a"], batch["text_b"], strict=True):
+            for a, b, x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["packed_a"], batch["packed_b"], strict=True):
                 one, other = set_of(a, x), set_of(b, y)
-                both = np.concatenate([one, other])
-                both.sort(kind="stable")
-                both = int((both[1:] == both[:-1]).sum())
+                both = in_common(one, other)
                 union = len(one) + len(other) - both
-                similarity.append(both / union if union else 0.0)
-                linked.append(bool(union) and 100 * both >= per_cent * union)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(similarity, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "similarity", "linked"])
+                similarity.append(both / union)
+                linked.append(100 * both >= per_cent * union)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["star"], pa.array(similarity, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "star", "similarity", "linked"])
+
+    return with_bodies(pairs, texts).select("a", "b", "star", "packed_a", "packed_b").mapInArrow(verify, "a binary, b binary, star boolean, similarity double, linked boolean")
+
+
+def overlaps(d: int, n: int, n_pivot: int, is_open: bool, t: float) -> int:
+    """How many elements the difference of a set from the pivot shares at least with that of any linked set that it must be compared with.
+
+    ``d`` is the size of the difference, ``n`` that of the set. Linked sets x and y differ in at most r * (n_x + n_y)
+    shingles, r = (1 - t) / (1 + t), and t * n_x <= n_y <= n_x / t; their differences from the pivot share half of
+    d_x + d_y less those. A set that isn't linked with the pivot has d > r * (n + n_pivot), and n_y <= n_pivot + d_y. Of
+    two members of the pivot's component none is compared, so for one of these the other isn't linked with the pivot.
+    """
+    r, most = (1 - t) / (1 + t), n * (1 - t) / t
+    other = max(0.0, d - most)
+    if not is_open:
+        other = max(other, r * (t * n + n_pivot))
+    least = d + other - most
+    if is_open:
+        least = max(least, d - r * (n + n_pivot) + (1 - r) * other, 1e-3)
+    return max(0, math.ceil(least / 2 - 1e-6))
 
-    texts = materialize(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")), docs, reps), "texts_of_pairs")
-    side = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long, similarity double, linked boolean")
 
+def difference_lists(stars: DataFrame, texts: DataFrame, w: int, threshold: float) -> DataFrame:
+    """(key, rep, n, weight): lists that members of a pivot's group meet in, for those pairs of which one is not in the pivot's component.
 
-def linked_components(docs: DataFrame, reps: DataFrame, w: int, per_cent: int, k: int = SKETCH) -> DataFrame:
+    ``stars`` has a (the pivot), b (a member), similarity and open. Members with a similarity from NEAR on meet by their
+    differences from the pivot, those up to NEAR + 1 - threshold by their own shingles; of a linked pair both are in one of the two.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        set_of = Sets(w)
+        for batch in batches:
+            out: list[tuple] = []
+            held = 0
+            for a, b, x, y, s, o in zip(*(batch[c].to_pylist() for c in ("a", "b")), batch["packed_a"], batch["packed_b"], *(batch[c].to_pylist() for c in ("similarity", "open")), strict=True):
+                pivot, own = set_of(a, x), set_of(b, y)
+                zones = []
+                if s >= NEAR:
+                    apart = np.setxor1d(pivot, own, assume_unique=True)
+                    zones.append((1, apart, overlaps(len(apart), len(own), len(pivot), o, threshold)))
+                if s <= NEAR + 1 - threshold + 1e-6:
+                    zones.append((2, own, math.ceil(threshold * len(own) - 1e-6)))
+                for zone, elements, need in zones:
+                    keys = scramble(elements + np.uint64(int.from_bytes(a[:8], "little")) * np.uint64(zone))
+                    out.append((a, b, zone, len(own), need, keys.view(np.int64)))
+                    held += len(keys)
+                if held > 1 << 18:
+                    yield rows(out)
+                    out, held = [], 0
+            if out:
+                yield rows(out)
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        names = ("a", "rep", "zone", "n", "need")
+        kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
+        columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+        ends = np.cumsum([0, *(len(r[5]) for r in out)])
+        keys = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([r[5] for r in out]))).cast(pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([*columns, keys], names=[*names, "keys"])
+
+    given = with_bodies(stars, texts).select("a", "b", "packed_a", "packed_b", "similarity", "open")
+    entries = materialize(given.mapInArrow(explode, "a binary, rep binary, zone int, n long, need long, keys array<long>"), "differences")
+    each = entries.select("a", "rep", "zone", "n", "need", F.explode("keys").alias("key"))
+    return rarest(each, ["a", "rep", "zone", "n", "need"], F.col("need")).select("key", "rep", "n", "weight")
+
+
+def linked_components(rows: DataFrame, reps: DataFrame, w: int, per_cent: int, k: int = SKETCH) -> DataFrame:
     """(node, label) of linked representatives. Links are verified on full sets; links within one component are not looked for."""
-    threshold, turn = per_cent / 100, 0
-    lists = inverted(reps).withColumns({"open": F.lit(True), "label": F.col("rep"), "low": F.lit(0.0), "high": F.lit(1.0), "n_shared": F.col("n_shingles")})
-    known: DataFrame | None = None
+    threshold, share, turn = per_cent / 100, least_shared(per_cent, k) / k, 0
+    lists = materialize(inverted(reps, share), "lists")
+    texts = materialize(bodies(lists, rows, reps), "texts")
+    known = materialize(reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0), "known")
+    links = known
+    labels: DataFrame | None = None
     while True:
-        pairs, long_rows = candidate_pairs(lists, threshold, turn)
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        sized = materialize(in_play(lists, labels), "lists_in_play")
+        if sized.isEmpty():
+            return labels if labels is not None else components(links)
+        is_short = F.col("members") <= SHORT_LIST << turn
+        pairs = pairs_of(sized.filter(is_short), threshold).join(known, ["a", "b"], "left_anti")
         guessed = materialize(estimated(materialize(pairs, "pairs"), reps, k), "estimates")
-        sure = verified(guessed.filter(F.col("estimate") >= least_estimate(per_cent, k)).select("a", "b"), docs, reps, w, per_cent)
-        found = materialize(guessed.join(materialize(sure, "verified"), ["a", "b"], "left"), "known_pairs")
-        known = found if known is None else known.unionByName(found)
-        labels = components(known.filter("linked"))
-        left = materialize(next_lists(long_rows, found, labels, turn, threshold), "next_lists")
-        if left.filter("open").isEmpty():
-            return labels
-        if turn == 0:
-            left = materialize(with_shared(left, docs, reps, w), "shared_counts")
-        lists, turn = left, turn + 1
-
-
-def least_estimate(per_cent: int, k: int) -> float:
-    """Five standard errors below the threshold."""
-    t = per_cent / 100
-    return t - 5 * (t * (1 - t) / k) ** 0.5
+        likely = guessed.filter(F.col("estimate") >= share - 1e-9).select("a", "b", F.lit(False).alias("star"))
+        stars = sized.filter(~is_short & (F.col("rep") != F.col("middle.rep"))).select(F.col("middle.rep").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("star")).distinct()
+        found = materialize(verified(likely.unionByName(stars), texts, w, per_cent), "verified")
+        known = known.unionByName(guessed.select("a", "b")).unionByName(found.filter("star").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        links = links.unionByName(found.filter("linked").select("a", "b"))
+        labels = components(links)
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+        around = found.filter("star").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        around = around.withColumn("open", F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b", "similarity", "open")
+        around = materialize(around, "around_pivots")
+        unsettled = around.filter("open").select("a").distinct()
+        lists = materialize(difference_lists(around.join(unsettled, "a", "left_semi"), texts, w, threshold), "lists")
+        turn += 1
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -307,12 +352,12 @@ def classified(docs: DataFrame, w: int, per_cent: int, k: int = SKETCH) -> DataF
     """doc_id, row_hash (of the text), n_shingles, set_digest, label (of the component; null for an empty set) and component of every row."""
     rows = materialize(sketches(docs, w, k), "sketches")
     shared = rows.filter(F.col("set_digest").isNotNull())
-    reps = shared.groupBy("set_digest").agg(
-        F.min(F.struct("doc_id", "row_hash")).alias("of"), F.min("doc_id").alias("min_doc"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")
+    reps = shared.groupBy(F.col("set_digest").alias("rep")).agg(
+        F.min(F.struct("doc_id", "row_hash")).alias("of"), F.min("doc_id").alias("min_doc"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")
     )
-    reps = materialize(reps.withColumn("rep", F.xxhash64("set_digest")), "representatives")
-    labels = linked_components(docs, reps, w, per_cent, k)
-    merged = reps.join(labels, reps.rep == labels.node, "left").select("set_digest", "min_doc", F.coalesce("label", "rep").alias("label"))
+    reps = materialize(reps, "representatives")
+    labels = linked_components(rows, reps, w, per_cent, k)
+    merged = reps.join(labels, reps.rep == labels.node, "left").select(F.col("rep").alias("set_digest"), "min_doc", F.coalesce("label", "rep").alias("label"))
     merged = materialize(merged, "merged")
     least = materialize(merged.groupBy("label").agg(F.min("min_doc").alias("component")), "components")
     of_digest = materialize(merged.join(least, "label").select("set_digest", "label", "component"), "class_of_set")
@@ -331,11 +376,12 @@ def deduplicated(docs: DataFrame, w: int = 5, per_cent: int = 80) -> DataFrame:
     chosen = found.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min(F.struct("doc_id", "row_hash")).alias("of"))
     key = lambda d, h: (F.xxhash64(d, h), F.xxhash64(h, d, F.lit(1)))
     first, second = key(F.col("of.doc_id"), F.col("of.row_hash"))
-    chosen = materialize(chosen.select(first.alias("__k1"), second.alias("__k2")), "chosen")
+    chosen = materialize(chosen.select(first.alias("k1"), second.alias("k2")), "chosen")
+    own = [f"own{i}" for i in range(len(docs.columns))]
     one, two = key(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    keyed = docs.withColumns({"__k1": one, "__k2": two, "__bare": F.coalesce(~F.col("text").rlike("[^ \\t-\\r]"), F.lit(True))})
-    kept = keyed.filter(~F.col("__bare")).join(chosen, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
-    return kept.unionByName(keyed.filter("__bare")).select(*docs.columns)
+    keyed = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True)], one.alias("k1"), two.alias("k2"), F.coalesce(~F.col("text").rlike("[^ \\t-\\r]"), F.lit(True)).alias("bare"))
+    kept = keyed.filter(~F.col("bare")).join(chosen, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return kept.unionByName(keyed.filter("bare")).select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own, strict=True)])
 
 
 #: The rows of op6 (three words, 85) in DuckDB's SQL.

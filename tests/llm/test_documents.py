@@ -289,15 +289,50 @@ def test_media_digest(spark):
     assert got[4]["media_sha256"] == got[5]["media_sha256"] and got[4]["feature"] == got[5]["feature"]
 
 
-def test_stated_losses_of_the_estimate_filter():
+def test_stated_losses_of_the_sketches():
     from math import comb
 
     readme = (Path(__file__).resolve().parents[2] / "README.md").read_text()
     for per_cent in (85, 80):
         t, k = per_cent / 100, minhash.SKETCH
-        lost = sum(comb(k, i) * t**i * (1 - t) ** (k - i) for i in range(k + 1) if i / k < minhash.least_estimate(per_cent, k))
+        lost = sum(comb(k, i) * t**i * (1 - t) ** (k - i) for i in range(minhash.least_shared(per_cent, k)))
         stated = f"{lost:.1e}".replace("e-0", "e-") + f" at {per_cent} %"
-        assert stated in readme and stated in minhash.__doc__
+        assert lost <= minhash.LOSS and stated in readme and stated in minhash.__doc__
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 14)), st.sets(st.integers(0, 14)), st.sampled_from([80, 85]))
+def test_overlaps_of_differences(pivot, one, other, per_cent):
+    t = per_cent / 100
+    x, y = pivot ^ one, pivot ^ other
+    similar = lambda a, b: 100 * len(a & b) >= per_cent * len(a | b)
+    if x and y and similar(x, y) and not similar(x, pivot):
+        shared = len(one & other)
+        for own, d in ((x, one), (y, other)):
+            for is_open in (True, False):
+                if not is_open and own is x or is_open and similar(own, pivot):
+                    continue
+                assert minhash.overlaps(len(d), len(own), len(pivot), is_open, t) <= shared
+        assert minhash.overlaps(len(one), len(x), len(pivot), True, t) >= 1
+
+
+def test_group_just_below_the_threshold(spark, monkeypatch):
+    """500 copies of one text, most of them a little too far from it and from each other, some linked by way of others."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = [" ".join(base)]
+    for _ in range(500):
+        copy = list(base if r.random() < 0.8 else r.choice(rows).split(" "))
+        for i in r.sample(range(len(copy)), r.randrange(3, 9)):
+            copy[i] = f"x{r.randrange(40)}"
+        rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    wanted = brute(rows, 3, 85)
+    assert 50 < sum(k for *_, k in wanted) < 480
+    docs = table(spark, [(i, t, None) for i, t in rows])
+    for short in (24, 3):
+        monkeypatch.setattr(minhash, "SHORT_LIST", short)
+        assert sorted(tuple(x) for x in minhash.classes(docs, 3, 85).collect()) == wanted
 
 
 # Secrets
