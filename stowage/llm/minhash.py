@@ -3,19 +3,19 @@
 A document's set is its distinct w-word shingles, held as 64-bit hashes. Its sketch is the k least hashes.
 
 1. Documents with equal sets fall together at once, by a 128-bit digest of the set (pre-aggregated), and go on as one
-   representative each, so copies never meet in pairs.
+   numbered representative each, so copies never meet in pairs.
 2. Inverted lists of retained values give overlaps. A pair above the threshold shares at least ``least_shared`` of its
    retained values (20 of 40 at 85 %, 17 of 40 at 80 %), but for a chance, by the binomial for a pair just at the
    threshold, of 3.5e-8 at 85 % and of 3.5e-8 at 80 %; two sketches that share m values must meet in the lists of all but
    m - 1 of their values, the rarest first, so only those lists are made, and a passage that many documents share makes
    no long list.
-3. Lists up to ``SHORT_LIST`` compare all pairs. In a longer one every member is compared with its pivot, the one with
+3. Lists with no more pairs than one of ``SHORT_LIST`` members compare them all. In a longer one every member is compared with its pivot, the one with
    the most widely shared values. Members of the pivot's component are done with each other. For the rest, new lists are
    made of what sets a member apart from the pivot: the symmetric difference of two linked sets is small, so the
    differences of both from the pivot overlap in a number of shingles that follows from their sizes (``overlaps``), and
-   the pair meets in the lists of the rarest of these. What all copies have in common is no longer in any list. Members
+   the pair meets in the lists of the rarest of these, early enough to share as much. What all copies have in common is no longer in any list. Members
    far from the pivot meet in lists of their own shingles, the rarest within the group first. These lists go through the
-   same step until none is left; the limit for comparing all pairs doubles each time.
+   same step, without pairs that are in one component by now, until none is left; the limit grows eightfold each time.
 4. The union sketch of a pair estimates its similarity; a pair that shares less than that goes, the rest is verified on
    the full sets.
 5. Links are closed to components by smallest labels with pointer jumping, each round written to the shared folder.
@@ -124,19 +124,25 @@ def sketches(docs: DataFrame, w: int, k: int) -> DataFrame:
     return given.mapInArrow(sketch, "doc_id long, row_hash long, n_shingles long, set_digest binary, sketch binary, packed binary")
 
 
-def rarest(entries: DataFrame, per: list[str], need: Column) -> DataFrame:
-    """``entries`` (key and ``per``) without the ``need`` - 1 most frequent keys of each ``per``, and without keys that nobody shares, which
-    count as the rarest."""
+def rarest(entries: DataFrame, members: DataFrame, per: list[str]) -> DataFrame:
+    """Lists by key of ``entries`` (key, ``per``) with the columns of ``members`` (``per`` and more; among these need, how many keys it shares at least
+    with any that it can be linked with): a member stands in those of its keys that others have too, but for the ``need`` - 1 most frequent.
+
+    left is the number of the member's keys from this one on, in the order of frequency. The first key that two members share leaves both of
+    them what they can share at most.
+    """
     sizes = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "list_sizes")
     own = entries.join(sizes, "key").groupBy(*per).agg(F.sort_array(F.collect_list(F.struct("size", "key"))).alias("keys"), F.sum("size").alias("weight"))  # one set's keys
-    first = (F.size("keys") - F.greatest(need, F.lit(1)) + 1).cast("int")
-    return own.filter(first > 0).select(*per, "weight", F.explode(F.slice("keys", 1, first)).alias("k")).select(F.col("k.key").alias("key"), *per, "weight")
+    first = (F.size("keys") - F.greatest("need", F.lit(1)) + 1).cast("int")
+    met = own.join(members, per).filter(first > 0).select(*members.columns, "weight", F.size("keys").alias("shared"), F.posexplode(F.slice("keys", 1, first)).alias("place", "k"))
+    return met.select(F.col("k.key").alias("key"), *members.columns, "weight", (F.col("shared") - F.col("place")).alias("left"))
 
 
 def inverted(reps: DataFrame, share: float) -> DataFrame:
-    """(key, rep, n, weight): the lists that representatives meet in which have at least ``share`` of their retained values in common.
+    """(key, rep, n, weight, left, half): the lists that representatives meet in which have at least ``share`` of their retained values in common.
 
-    weight, the sum of list sizes over a sketch, is large for members in the middle of a group.
+    weight, the sum of list sizes over a sketch, is large for members in the middle of a group; the halves of two members add up to what
+    they share at least if they are linked.
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,27 +150,33 @@ def inverted(reps: DataFrame, share: float) -> DataFrame:
             values = [np.frombuffer(s.as_buffer(), np.int64) for s in batch["sketch"]]
             counts = np.fromiter(map(len, values), np.int64, len(values))
             at = pa.array(np.repeat(np.arange(len(values)), counts))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*values, np.empty(0, np.int64)])), batch["rep"].take(at), batch["n"].take(at), pa.array(np.repeat(counts, counts))], names=["key", "rep", "n", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*values, np.empty(0, np.int64)])), batch["rep"].take(at)], names=["key", "rep"])
 
-    entries = materialize(reps.select("rep", "n", "sketch").mapInArrow(explode, "key long, rep binary, n long, held long"), "retained_values")
-    return rarest(entries, ["rep", "n", "held"], F.ceil(F.col("held") * share - 1e-9)).drop("held")
+    entries = materialize(reps.select("rep", "sketch").mapInArrow(explode, "key long, rep long"), "retained_values")
+    members = reps.select("rep", "n", F.ceil(F.octet_length("sketch") / 8 * share - 1e-9).alias("need"))
+    return rarest(entries, members, ["rep"]).select("key", "rep", "n", "weight", "left", (F.col("need") / 2).alias("half"))
 
 
 def in_play(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``lists`` whose members are not of one component already, with label, members (how many) and middle (the pivot)."""
+    """``lists`` whose members are not of one component already, with label, cost (pairs of different components) and middle (the pivot)."""
     labelled = lists.withColumn("label", F.col("rep"))
     if labels is not None:
         labelled = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    counted = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("weight", "rep")).alias("middle"), (F.min("label") != F.max("label")).alias("mixed"))
-    return labelled.join(counted.filter("members > 1 AND mixed").drop("mixed"), "key")
+    classes_of = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("weight", "rep")).alias("middle"))
+    counted = classes_of.groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("cost"), F.max("middle").alias("middle"))
+    return labelled.join(counted.filter("cost > 0"), "key")
 
 
 def pairs_of(short: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of different components that meet in a list and fit in size."""
-    listed = short.groupBy("key").agg(F.collect_list(F.struct("rep", "n", "label")).alias("m"))  # of bounded length
-    each = listed.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).filter((F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")))
-    fits = F.least("x.n", "y.n") >= F.lit(threshold - 1e-9) * F.greatest("x.n", "y.n")
-    return each.filter(fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    """(a, b): pairs of different components that meet in a list, fit in size and can share enough from there on."""
+    listed = short.groupBy("key").agg(F.collect_list(F.struct("rep", "n", "label", "left", "half")).alias("m"))  # bounded by the cost of a short list
+
+    def fits(x: Column, y: Column) -> Column:
+        apart = (x["rep"] < y["rep"]) & (x["label"] != y["label"])
+        return apart & (F.least(x["n"], y["n"]) >= F.lit(threshold - 1e-9) * F.greatest(x["n"], y["n"])) & (F.least(x["left"], y["left"]) >= x["half"] + y["half"] - F.lit(1e-6))
+
+    met = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: fits(x, y)), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"))))
+    return listed.select(F.explode(F.flatten(met)).alias("p")).select("p.a", "p.b").distinct()
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
@@ -184,14 +196,13 @@ def estimated(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(found, pa.float64())], names=["a", "b", "estimate"])
 
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(estimate, "a binary, b binary, estimate double")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(estimate, "a long, b long, estimate double")
 
 
 def bodies(ids: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, packed) of the representatives in ``ids``: the compressed text of one row of each."""
-    wanted = ids.select("rep").distinct().join(reps.select("rep", "of"), "rep")
-    own = rows.select(F.col("set_digest").alias("rep"), "doc_id", "row_hash", "packed")
-    met = own.join(wanted, "rep").filter(F.col("doc_id").eqNullSafe(F.col("of.doc_id")) & (F.col("row_hash") == F.col("of.row_hash")))
+    wanted = ids.select("rep").distinct().join(reps.select("rep", "set_digest", "of"), "rep")
+    met = rows.select("set_digest", "doc_id", "row_hash", "packed").join(wanted, "set_digest").filter(F.col("doc_id").eqNullSafe(F.col("of.doc_id")) & (F.col("row_hash") == F.col("of.row_hash")))
     return met.groupBy("rep").agg(F.first("packed").alias("packed"))
 
 
@@ -206,7 +217,7 @@ class Sets:
     def __init__(self, w: int) -> None:
         self.w, self.kept, self.held, self.expand = w, {}, 0, zstandard.ZstdDecompressor().decompress
 
-    def __call__(self, rep: bytes, packed: pa.Scalar) -> np.ndarray:
+    def __call__(self, rep: int, packed: pa.Scalar) -> np.ndarray:
         found = self.kept.get(rep)
         if found is None:
             if self.held > KEPT_SHINGLES:
@@ -238,7 +249,7 @@ def verified(pairs: DataFrame, texts: DataFrame, w: int, per_cent: int) -> DataF
                 linked.append(100 * both >= per_cent * union)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["star"], pa.array(similarity, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "star", "similarity", "linked"])
 
-    return with_bodies(pairs, texts).select("a", "b", "star", "packed_a", "packed_b").mapInArrow(verify, "a binary, b binary, star boolean, similarity double, linked boolean")
+    return with_bodies(pairs, texts).select("a", "b", "star", "packed_a", "packed_b").mapInArrow(verify, "a long, b long, star boolean, similarity double, linked boolean")
 
 
 def overlaps(d: int, n: int, n_pivot: int, is_open: bool, t: float) -> int:
@@ -260,12 +271,14 @@ def overlaps(d: int, n: int, n_pivot: int, is_open: bool, t: float) -> int:
 
 
 def difference_lists(stars: DataFrame, texts: DataFrame, w: int, threshold: float) -> DataFrame:
-    """(key, rep, n, weight): lists that members of a pivot's group meet in, for those pairs of which one is not in the pivot's component.
+    """(key, rep, n, weight, left, half): lists that members of a pivot's group meet in, for those pairs of which one is not in the pivot's component.
 
     ``stars`` has a (the pivot), b (a member), similarity and open. Members with a similarity from NEAR on meet by their
     differences from the pivot, those up to NEAR + 1 - threshold by their own shingles; of a linked pair both are in one of the two.
     """
 
+    r = (1 - threshold) / (1 + threshold)
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         set_of = Sets(w)
         for batch in batches:
@@ -276,12 +289,12 @@ def difference_lists(stars: DataFrame, texts: DataFrame, w: int, threshold: floa
                 zones = []
                 if s >= NEAR:
                     apart = np.setxor1d(pivot, own, assume_unique=True)
-                    zones.append((1, apart, overlaps(len(apart), len(own), len(pivot), o, threshold)))
+                    zones.append((0, apart, overlaps(len(apart), len(own), len(pivot), o, threshold)))
                 if s <= NEAR + 1 - threshold + 1e-6:
-                    zones.append((2, own, math.ceil(threshold * len(own) - 1e-6)))
+                    zones.append((1, own, math.ceil(threshold * len(own) - 1e-6)))
                 for zone, elements, need in zones:
-                    keys = scramble(elements + np.uint64(int.from_bytes(a[:8], "little")) * np.uint64(zone))
-                    out.append((a, b, zone, len(own), need, keys.view(np.int64)))
+                    keys = scramble(elements + np.uint64((2 * a + zone) * MIX[0] & (1 << 64) - 1))
+                    out.append((a, b, zone, len(own), need, (len(elements) - r * len(own)) / 2, keys.view(np.int64)))
                     held += len(keys)
                 if held > 1 << 18:
                     yield rows(out)
@@ -290,17 +303,17 @@ def difference_lists(stars: DataFrame, texts: DataFrame, w: int, threshold: floa
                 yield rows(out)
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
-        names = ("a", "rep", "zone", "n", "need")
-        kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
+        names = ("a", "rep", "zone", "n", "need", "half")
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
         columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
-        ends = np.cumsum([0, *(len(r[5]) for r in out)])
-        keys = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([r[5] for r in out]))).cast(pa.list_(pa.int64()))
+        ends = np.cumsum([0, *(len(r[-1]) for r in out)])
+        keys = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([r[-1] for r in out]))).cast(pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([*columns, keys], names=[*names, "keys"])
 
     given = with_bodies(stars, texts).select("a", "b", "packed_a", "packed_b", "similarity", "open")
-    entries = materialize(given.mapInArrow(explode, "a binary, rep binary, zone int, n long, need long, keys array<long>"), "differences")
-    each = entries.select("a", "rep", "zone", "n", "need", F.explode("keys").alias("key"))
-    return rarest(each, ["a", "rep", "zone", "n", "need"], F.col("need")).select("key", "rep", "n", "weight")
+    entries = materialize(given.mapInArrow(explode, "a long, rep long, zone int, n long, need long, half double, keys array<long>"), "differences")
+    per = ["a", "rep", "zone"]
+    return rarest(entries.select(*per, F.explode("keys").alias("key")), entries.drop("keys"), per).select("key", "rep", "n", "weight", "left", "half")
 
 
 def linked_components(rows: DataFrame, reps: DataFrame, w: int, per_cent: int, k: int = SKETCH) -> DataFrame:
@@ -309,21 +322,19 @@ def linked_components(rows: DataFrame, reps: DataFrame, w: int, per_cent: int, k
     lists = materialize(inverted(reps, share), "lists")
     texts = materialize(bodies(lists, rows, reps), "texts")
     known = materialize(reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0), "known")
-    links = known
     labels: DataFrame | None = None
     while True:
         sized = materialize(in_play(lists, labels), "lists_in_play")
         if sized.isEmpty():
-            return labels if labels is not None else components(links)
-        is_short = F.col("members") <= SHORT_LIST << turn
+            return labels if labels is not None else components(known)
+        is_short = F.col("cost") <= SHORT_LIST**2 // 2 << 3 * turn
         pairs = pairs_of(sized.filter(is_short), threshold).join(known, ["a", "b"], "left_anti")
         guessed = materialize(estimated(materialize(pairs, "pairs"), reps, k), "estimates")
         likely = guessed.filter(F.col("estimate") >= share - 1e-9).select("a", "b", F.lit(False).alias("star"))
         stars = sized.filter(~is_short & (F.col("rep") != F.col("middle.rep"))).select(F.col("middle.rep").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("star")).distinct()
         found = materialize(verified(likely.unionByName(stars), texts, w, per_cent), "verified")
         known = known.unionByName(guessed.select("a", "b")).unionByName(found.filter("star").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        links = links.unionByName(found.filter("linked").select("a", "b"))
-        labels = components(links)
+        labels = components(found.filter("linked").select("a", "b"), labels)
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
         around = found.filter("star").join(of("a"), "a", "left").join(of("b"), "b", "left")
         around = around.withColumn("open", F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b", "similarity", "open")
@@ -333,8 +344,15 @@ def linked_components(rows: DataFrame, reps: DataFrame, w: int, per_cent: int, k
         turn += 1
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable, for every node of an edge."""
+def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(node, label): the smallest node reachable, for every node of an edge; ``before`` has the labels of earlier edges, which then stand for their nodes."""
+    if before is not None:
+        of = lambda c: before.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+        met = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+        joined = components(met.filter("a <> b"))
+        later = joined.select(F.col("node").alias("label"), F.col("label").alias("joined"))
+        moved = before.join(later, "label", "left").select("node", F.coalesce("joined", "label").alias("label"))
+        return materialize(moved.unionByName(joined.join(before, "node", "left_anti")), "labels")
     ways = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ways = materialize(ways.unionByName(ways.select("a", F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(ways.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), "labels")
@@ -352,12 +370,12 @@ def classified(docs: DataFrame, w: int, per_cent: int, k: int = SKETCH) -> DataF
     """doc_id, row_hash (of the text), n_shingles, set_digest, label (of the component; null for an empty set) and component of every row."""
     rows = materialize(sketches(docs, w, k), "sketches")
     shared = rows.filter(F.col("set_digest").isNotNull())
-    reps = shared.groupBy(F.col("set_digest").alias("rep")).agg(
+    reps = shared.groupBy("set_digest").agg(
         F.min(F.struct("doc_id", "row_hash")).alias("of"), F.min("doc_id").alias("min_doc"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")
     )
-    reps = materialize(reps, "representatives")
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")  # numbers that no two share
     labels = linked_components(rows, reps, w, per_cent, k)
-    merged = reps.join(labels, reps.rep == labels.node, "left").select(F.col("rep").alias("set_digest"), "min_doc", F.coalesce("label", "rep").alias("label"))
+    merged = reps.join(labels, reps.rep == labels.node, "left").select("set_digest", "min_doc", F.coalesce("label", "rep").alias("label"))
     merged = materialize(merged, "merged")
     least = materialize(merged.groupBy("label").agg(F.min("min_doc").alias("component")), "components")
     of_digest = materialize(merged.join(least, "label").select("set_digest", "label", "component"), "class_of_set")
