@@ -1,4 +1,4 @@
-"""The commands of the engine, each a DataFrame (or several by name). Nothing here changes storage; plans say what would happen."""
+"""The commands of the engine, each a DataFrame (or several by name). Nothing here changes the files of a root; plans say what would happen."""
 
 from __future__ import annotations
 
@@ -13,15 +13,17 @@ from .functions.names import has_dot_component, sanitized, scan_display_name
 from .functions.scalars import dest_for
 from .operators import aggregates, bundle, catalog, health, picks
 from .plans import actions
-from .sources import headers, scanner
+from .sources import documents, headers, scanner
+from .sources.scratch import materialize
+from .sources.state import TRASH
 
 
 class Ambiguous(ValueError):
     """A query that must name one content names none or several."""
 
-    def __init__(self, query: str, matches: list[str]) -> None:
-        super().__init__(f"{query!r} matches {len(matches)} contents" + (": " + ", ".join(matches) if matches else ""))
-        self.matches = matches
+    def __init__(self, query: str, count: int, matches: list[str]) -> None:
+        super().__init__(f"{query!r} matches {count} contents" + (": " + ", ".join(matches) if matches else ""))
+        self.count, self.matches = count, matches
 
 
 def scan_roots(spark: SparkSession, roots: Sequence[dict[str, str]]) -> DataFrame:
@@ -33,10 +35,9 @@ def scan_roots(spark: SparkSession, roots: Sequence[dict[str, str]]) -> DataFram
             parts.append(rows.select(F.lit(r["root_id"]).alias("root_id"), F.lit(r["kind"]).alias("kind"), *[c for c in rows.columns if c != "extra"]))
     if not parts:
         return spark.createDataFrame([], f"root_id string, kind string, {scanner.SCHEMA}").drop("extra").withColumn("ord", F.lit(0).cast("long"))
-    from pyspark.sql import Window
-
     every = reduce(DataFrame.unionByName, parts)
-    return every.withColumn("ord", F.row_number().over(Window.partitionBy("root_id").orderBy("rel_path")).cast("long") - 1)
+    # Numbers that rise with the path; they need not be gapless, so no task has to see a whole root.
+    return every.repartitionByRange("root_id", "rel_path").sortWithinPartitions("root_id", "rel_path").withColumn("ord", F.monotonically_increasing_id())
 
 
 def register(spark: SparkSession, roots: Sequence[dict[str, str]]) -> DataFrame:
@@ -45,23 +46,28 @@ def register(spark: SparkSession, roots: Sequence[dict[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "root_id string, kind string, online boolean, label string, path string")
 
 
-def refresh(scan: DataFrame, previous: DataFrame, roots: DataFrame) -> DataFrame:
+def refresh(scan: DataFrame, previous: DataFrame, roots: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     """A scan reconciled with the stored files: unchanged ones keep their hash, changed ones are hashed, offline roots stay.
 
+    ``carried`` are the records that drives have with them (``documents.carried``): what of them is believable completes the stored files.
     Headers are read of files that carry_forward asks for and of those that no reader has been at (no meta_reader); a file that
     can't be reached keeps the header known of its fingerprint, and isn't stamped.
     """
     at = ["root_id", "rel_path"]
-    carried = catalog.carry_forward(scan.withColumns({"sha256": F.lit(None).cast("string"), "verified_unix": F.lit(None).cast("long")}), previous)
+    if carried is not None:
+        told = catalog.believable(carried, scan)
+        previous = catalog.stored_with_carried(previous, told.select(*[F.col(c) if c in told.columns else F.lit(None).cast(previous.schema[c].dataType).alias(c) for c in previous.columns]))
+        previous = materialize(previous, "stored")
+    known = catalog.carry_forward(scan.withColumns({"sha256": F.lit(None).cast("string"), "verified_unix": F.lit(None).cast("long")}), previous)
     places = roots.select("root_id", F.col("path").alias("root_path"), F.col("kind").alias("root_kind"))
     path = F.concat_ws("/", "root_path", "rel_path")
-    todo = catalog.hash_worklist(carried).join(places, "root_id").withColumn("path", path)
+    todo = catalog.hash_worklist(known).join(places, "root_id").withColumn("path", path)
     fresh = todo.select(*at, "path").join(headers.hash_files(todo).select("path", F.col("sha256").alias("fresh")), "path").drop("path")
 
     old = previous.select(*at, F.col("fingerprint").alias("old_fp"), F.col("meta").alias("old_meta"), F.col("meta_reader").alias("old_reader"))
     same = F.coalesce(F.col("fingerprint") == F.col("old_fp"), F.lit(False))
     unread = F.col("needs_header") | (F.col("meta").isNull() & F.col("old_reader").isNull())
-    stated = carried.join(old, at, "left").withColumn("to_read", F.col("accessible") & unread)
+    stated = known.join(old, at, "left").withColumn("to_read", F.col("accessible") & unread)
     paths = stated.filter("to_read").join(places, "root_id").select(*at, path.alias("path"), F.col("root_kind").alias("file_kind"))
     found = headers.file_meta(paths.select("path", F.col("file_kind").alias("kind")))
     facts = paths.join(found.withColumnRenamed("meta", "fresh_meta"), "path").select(*at, "fresh_meta")
@@ -77,34 +83,35 @@ def refresh(scan: DataFrame, previous: DataFrame, roots: DataFrame) -> DataFrame
 
 
 class Engine:
-    """Commands over one state of the catalog: ``files`` and ``roots``."""
+    """Commands over one state of the catalog: ``files`` and ``roots``. What several commands share is computed once and written."""
 
     def __init__(self, files: DataFrame, roots: DataFrame) -> None:
         self.files, self.roots = files.drop("kind"), roots
 
     @cached_property
-    def locations(self) -> DataFrame:
-        return catalog.locations(self.files, self.roots)
+    def stated(self) -> DataFrame:
+        return materialize(catalog.with_state(catalog.locations(self.files, self.roots), self.roots), "stated")
 
     @cached_property
-    def models(self) -> DataFrame:
-        return catalog.models(self.files)
+    def locations(self) -> DataFrame:
+        return self.stated.drop("state")
 
     @cached_property
-    def stated(self) -> DataFrame:
-        return catalog.with_state(self.locations, self.roots)
+    def models(self) -> DataFrame:
+        return materialize(catalog.models(self.files), "models")
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return bundle.bundle(self.models, self.locations)
+        return materialize(bundle.bundle(self.models, self.locations), "pairs")
 
     def select(self, queries: Sequence[str]) -> DataFrame:
         """The one content that each query names."""
         keys = []
         for q in queries:
-            found = [r["key"] for r in picks.ambiguous(catalog.find(self.models, self.locations, q)).select("key").collect()]  # ten at most
+            met = catalog.find(self.models, self.locations, q)
+            found = [r["key"] for r in picks.ambiguous(met).select("key").collect()]  # ten at most
             if len(found) != 1:
-                raise Ambiguous(q, found)
+                raise Ambiguous(q, met.count() if len(found) == 10 else len(found), found)
             keys += found
         return self.models.filter(F.col("key").isin(keys)).select("key")
 
@@ -112,8 +119,16 @@ class Engine:
         return reduce(DataFrame.unionByName, [catalog.find(self.models, self.locations, q).select("key") for q in queries]).distinct()
 
     def scan(self) -> DataFrame:
-        rows = self.files.join(self.roots.select("root_id", "kind"), "root_id")
-        return picks.scan_order(rows.withColumn("display_name", scan_display_name(F.col("kind"), F.col("name"), F.col("rel_path"))))
+        """All files, those that are one inode once."""
+        rows = self.files.join(self.roots.select("root_id", "kind"), "root_id").withColumns({"dev": F.col("fingerprint.dev"), "ino": F.col("fingerprint.ino")})
+        return picks.scan_order(catalog.first_per_inode(rows).withColumn("display_name", scan_display_name(F.col("kind"), F.col("name"), F.col("rel_path"))))
+
+    def target(self, asked: str) -> dict:
+        """The root that a text names by id, label or path."""
+        found = catalog.resolve_root(self.roots, asked).collect()
+        if not found:
+            raise ValueError(f"{asked!r} names no root")
+        return found[0].asDict()
 
     def status(self) -> dict[str, DataFrame]:
         return {"roots": aggregates.root_rollup(self.files, self.roots), "headline": aggregates.status(self.models, self.stated, self.dups())}
@@ -124,9 +139,13 @@ class Engine:
     def report(self) -> DataFrame:
         return aggregates.usage_report(aggregates.family_usage(self.models, self.stated))
 
-    def doctor(self, now: int, *findings: DataFrame) -> DataFrame:
-        """Stale drives and the given findings of stores, with what may be done about each."""
-        return health.with_remedies(reduce(DataFrame.unionByName, findings, health.stale_findings(self.files, self.roots, now)))
+    def doctor(self, now: int, stores: Sequence[dict[str, str]] = (), timer: str | None = None, *findings: DataFrame) -> DataFrame:
+        """Stale drives, what is wrong in ``stores`` (kind ollama or hf_hub, path), a timer that isn't active, and the given findings, with what may be done about each."""
+        spark = self.files.sparkSession
+        every = [health.stale_findings(self.files, self.roots, now), *findings, *(store_health(spark, r["kind"], r["path"]) for r in stores if os.path.isdir(r["path"]))]
+        if timer is not None:
+            every.append(health.scrub_finding(spark, timer, self.roots.filter("kind IN ('shelf', 'removable')").count()))
+        return health.with_remedies(reduce(DataFrame.unionByName, every))
 
     def where(self, query: str, provenance: DataFrame) -> DataFrame:
         """Every copy of what the query matches; anything but a copy that can be read now is shown as OFFLINE."""
@@ -142,8 +161,8 @@ class Engine:
     def archive(self, queries: Sequence[str]) -> DataFrame:
         return self._moved(actions.promote(self.models, self.stated), queries)
 
-    def demote(self, queries: Sequence[str]) -> DataFrame:
-        return self._moved(actions.demote(self.models, self.stated), queries)
+    def demote(self, queries: Sequence[str], target: str | None = None) -> DataFrame:
+        return self._moved(actions.demote(self.models, self.stated, None if target is None else self.target(target)), queries)
 
     def restore(self, queries: Sequence[str]) -> DataFrame:
         return self._moved(actions.restore(self.models, self.stated), queries)
@@ -157,25 +176,74 @@ class Engine:
     def delete(self, queries: Sequence[str]) -> DataFrame:
         return actions.delete(self.pairs, self.select(queries), self.models, self.stated, self.roots)
 
+    def delete_preview(self, queries: Sequence[str]) -> dict[str, DataFrame]:
+        """The plan of a delete, the copies that it can't reach now, and the commands for those of other owners."""
+        plan = materialize(self.delete(queries), "delete_plan")
+        return {"plan": plan, "unreachable": actions.unreachable_copies(plan, self.models, self.stated, self.roots), "commands": actions.foreign_commands(plan)}
+
+    def backup_preview(self, queries: Sequence[str]) -> DataFrame:
+        return picks.backup_preview(self.models, bundle.bundle_union(self.pairs, self.matching(queries)))
+
+    def cold_storage(self, text: str = "") -> DataFrame:
+        """Contents that may go to cold storage, by a part of their name."""
+        kids = bundle.children(self.pairs, self.locations)
+        named = self.models.filter(F.lower("display_name").contains(text.lower())).select("key", "display_name", "size")
+        return named.join(actions.cold_eligible(self.models, self.stated, kids), "key", "left_semi").orderBy(F.desc("size"), "key")
+
     def backup(self, target: str, queries: Sequence[str] = ()) -> DataFrame:
         chosen = self.matching(queries) if queries else None
         return actions.backup(self.models, self.stated, target, self.files.filter(F.col("root_id") == target), self.pairs if queries else None, chosen)
 
-    def verify(self, repair: bool = False) -> dict[str, DataFrame]:
-        """Reads every file of online owned roots again. Paths that would leave a root count as mismatched."""
-        owned = self.roots.filter("online AND kind IN ('shelf', 'removable')")
-        here = self.files.filter(sanitized(F.col("rel_path")).isNotNull()).join(owned.select("root_id", F.col("path").alias("root_path")), "root_id").withColumn("path", F.concat_ws("/", "root_path", "rel_path"))
-        read = here.select("root_id", "rel_path", "path").join(headers.hash_files(here), "path")
-        there = read.filter(F.col("error").isNull() | ~F.col("error").contains("[Errno 2]"))
-        unsafe = self.files.filter(sanitized(F.col("rel_path")).isNull()).select("root_id", "rel_path", F.lit("unsafe").alias("sha256"))
-        checked = actions.verify(self.files, there.select("root_id", "rel_path", "sha256").unionByName(unsafe), self.roots)
-        out = {"files": checked, "counters": actions.counters(checked)}
+    def verify(self, now: int, root: str | None = None, repair: bool = False) -> dict[str, DataFrame]:
+        """Reads every file of online owned roots again, or of the one that ``root`` names. Paths that would leave a root count as mismatched.
+
+        ``written`` has the files with the new times of verification, ``offline`` the owned roots that were left out.
+        """
+        roots = self.roots if root is None else self.roots.filter(F.col("root_id") == self.target(root)["root_id"])
+        owned = roots.filter("online AND kind IN ('shelf', 'removable')")
+        safe = self.files.filter(sanitized(F.col("rel_path")).isNotNull() & F.col("sha256").isNotNull())
+        here = safe.join(owned.select("root_id", F.col("path").alias("root_path")), "root_id").withColumn("path", F.concat_ws("/", "root_path", "rel_path"))
+        read = here.select("root_id", "rel_path", "path").join(headers.hash_files(here), "path").filter(~F.col("gone"))
+        checked = materialize(actions.verify(self.files, read.select("root_id", "rel_path", "sha256"), roots), "checked")
+        out = {"files": checked, "counters": actions.counters(checked), "written": actions.verified(self.files, checked, now), "offline": actions.offline_owned(roots)}
+        out |= {status: picks.verify_list(checked, status) for status in ("mismatched", "unreadable")}
         if repair:
             out["repair"] = actions.repair(checked.filter("status IN ('mismatched', 'missing', 'unreadable')"), self.stated)
+            out["repair_counters"] = actions.repair_counters(out["repair"])
         return out
 
+    def scrub(self, scan: DataFrame, now: int) -> dict[str, DataFrame]:
+        """What a scheduler runs from time to time: hash what is new or changed, then read all of it again."""
+        fresh = materialize(refresh(scan, self.files, self.roots), "refreshed")
+        return Engine(fresh, self.roots).verify(now)
+
     def inventory(self, order: str = "name", ascending: bool = True, text: str = "") -> DataFrame:
-        return aggregates.inventory_view(self.models, self.stated, order, ascending).filter(F.lower(F.concat_ws(" ", "display_name", "quant", "places", "key")).contains(text.lower()))
+        splits = aggregates.split_rollup(self.models, bundle.split_primary(self.pairs, self.locations), catalog.backed_up(self.stated)) if order == "size" else None
+        return aggregates.inventory_view(self.models, self.stated, order, ascending, splits).filter(F.lower(F.concat_ws(" ", "display_name", "quant", "places", "key")).contains(text.lower()))
+
+
+def store_health(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """Findings of a hub, or of an ollama store, on disk."""
+    if kind == "hf_hub":
+        return health.hub_health(materialize(scanner.scan(spark, path, "links", 3), "hub_parts"))
+    blobs = scanner.scan(spark, os.path.join(path, "blobs"), "trash").select(F.regexp_replace("rel_path", "^sha256-", "sha256:").alias("digest"))
+    return health.missing_layers(documents.store_manifests(spark, os.path.join(path, "manifests")), blobs)
+
+
+def journal(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """(ts, line): the last entries, or all of them, oldest first."""
+    entries = documents.journal(spark, path)
+    return (entries.orderBy("seq") if limit is None else picks.tail(entries, limit)).select("ts", "line")
+
+
+def trash_scan(spark: SparkSession, roots: Sequence[dict[str, str]]) -> DataFrame:
+    """(root_id, rel_path, size) of the trash of every owned root that is there."""
+    out = spark.createDataFrame([], "root_id string, rel_path string, size long")
+    for r in roots:
+        folder = os.path.join(r["path"], TRASH)
+        if r["kind"] in ("shelf", "removable") and os.path.isdir(folder):
+            out = out.unionByName(scanner.scan(spark, folder, "trash").select(F.lit(r["root_id"]).alias("root_id"), "rel_path", "size"))
+    return out
 
 
 def trash_list(trash: DataFrame, text: str = "") -> DataFrame:
@@ -187,6 +255,11 @@ def trash_restore(trash: DataFrame, text: str) -> DataFrame:
     return bundle.restore_set(trash, trash.filter(F.lower("rel_path").contains(text.lower()))).select("root_id", "rel_path").distinct()
 
 
+def hub_filter(listing: DataFrame, text: str) -> DataFrame:
+    """The rows of a grouped hub listing whose shown name holds the text."""
+    return listing.filter(F.lower("display").contains(text.lower()))
+
+
 def fetch_plan(remote: DataFrame, pattern: str, repo: str, shelf: str, snapshot: bool = False) -> DataFrame:
     """(filename, listed, dest): the files to download; a pattern takes whole split sets and one projector along."""
     if snapshot:

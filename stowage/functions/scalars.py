@@ -113,11 +113,11 @@ def file_type_name(n: Column) -> Column:
 
 
 def head_dim(key_length: Column, embedding: Column, heads: Column) -> Column:
-    return F.coalesce(key_length, F.when((heads > 0) & (embedding % heads == 0), F.floor(embedding / heads)))
+    return F.coalesce(key_length, F.when((heads > 0) & (embedding % heads == 0), F.call_function("div", embedding, heads)))
 
 
 def percent(done: Column, total: Column) -> Column:
-    return F.floor(done * 100 / F.greatest(total, F.lit(1))).cast("long")
+    return F.call_function("div", done * 100, F.greatest(total, F.lit(1)))
 
 
 def trash_name(path: Column, n: Column) -> Column:

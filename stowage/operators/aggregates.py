@@ -73,7 +73,8 @@ def root_rollup(files: DataFrame, roots: DataFrame) -> DataFrame:
 def status(mods: DataFrame, stated: DataFrame, dups: DataFrame) -> DataFrame:
     """One row. unreachable goes by the stored flag of every location, offline by live locations: two different counts."""
     flags = stated.groupBy("key").agg(F.bool_or("accessible").alias("some_accessible"), F.bool_or(F.col("state") == "Present").alias("live"), F.bool_or((F.col("kind") == "removable") & (F.col("state") != "Unreadable")).alias("backed"))
-    head = mods.join(flags, "key", "left").agg(
+    rows = mods.select("key", "size").join(flags, "key", "left").join(dups.select("key", "reclaimable"), "key", "left")
+    return rows.agg(
         F.count(F.lit(1)).alias("contents"),
         F.count_if(F.col("key").startswith("sha256:")).alias("hashed"),
         F.count_if(~F.col("key").startswith("sha256:")).alias("pending"),
@@ -81,9 +82,9 @@ def status(mods: DataFrame, stated: DataFrame, dups: DataFrame) -> DataFrame:
         F.count_if(~F.coalesce("live", F.lit(False))).alias("offline"),
         F.count_if(F.coalesce("backed", F.lit(False))).alias("backed_up"),
         F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
+        F.count("reclaimable").alias("dup_groups"),
+        F.coalesce(F.sum("reclaimable"), F.lit(0)).alias("dup_bytes"),
     )
-    totals = dup_totals(dups).withColumnsRenamed({"groups": "dup_groups", "reclaimable": "dup_bytes"})
-    return head.join(totals)  # one row each
 
 
 def stale_verification(files: DataFrame, roots: DataFrame, now: int) -> DataFrame:
@@ -113,6 +114,11 @@ def active_view(mods: DataFrame, locs: DataFrame, kids: DataFrame, text: str = "
     return top.select("key", hidden.alias("all_cold"), (F.col("match") | F.coalesce("c_match", F.lit(False))).alias("matches")).withColumn("show", ~F.col("all_cold") & F.col("matches"))
 
 
+def cold_count(active: DataFrame) -> DataFrame:
+    """How many top-level contents of an ``active_view`` are out of view, as they and all their children are cold."""
+    return active.agg(F.count_if("all_cold").alias("cold"))
+
+
 def split_rollup(mods: DataFrame, primaries: DataFrame, backed: DataFrame) -> DataFrame:
     """(primary, parts, size, backed_up) of split sets: sizes summed, backed up only if every part is."""
     each = primaries.select("primary", F.col("part").alias("key")).unionByName(primaries.select("primary", F.col("primary").alias("key")).distinct())
@@ -128,9 +134,18 @@ def trash_totals(trash: DataFrame) -> DataFrame:
     return trash.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
-def inventory_view(mods: DataFrame, stated: DataFrame, order: str = "name", ascending: bool = True) -> DataFrame:
-    """The inventory by one of its columns (name, quant, size, where, backup, state); ties by display_name."""
+def inventory_view(mods: DataFrame, stated: DataFrame, order: str = "name", ascending: bool = True, splits: DataFrame | None = None) -> DataFrame:
+    """The inventory by one of its columns (name, quant, size, where, backup, state); ties by display_name, always ascending.
+
+    By name it goes by all text that a search looks at, the name first; by size a split set (``splits``: primary, size) goes by that of all its parts.
+    """
     live = stated.groupBy("key").agg(F.count_if(F.col("state") == "Present").alias("live"))
     rows = mods.join(places(stated), "key").join(backed_up(stated), "key").join(live, "key").select("key", "display_name", F.coalesce("meta.quantization", F.lit("")).alias("quant"), "size", "places", "backed_up", "live")
-    by = {"name": F.lower("display_name"), "quant": F.col("quant"), "size": F.col("size"), "where": F.col("places"), "backup": F.col("backed_up"), "state": F.col("live")}[order]
-    return rows.orderBy(by.asc() if ascending else by.desc(), "display_name", "key")
+    shown = rows.columns
+    size = F.col("size")
+    if splits is not None:
+        rows = rows.join(splits.select(F.col("primary").alias("key"), F.col("size").alias("whole_size")), "key", "left")
+        size = F.coalesce("whole_size", "size")
+    haystack = F.lower(F.concat_ws(" ", "display_name", "quant", "places", "key"))
+    by = {"name": haystack, "quant": F.col("quant"), "size": size, "where": F.col("places"), "backup": F.col("backed_up"), "state": F.col("live")}[order]
+    return rows.orderBy(by.asc() if ascending else by.desc(), "display_name", "key").select(*shown)

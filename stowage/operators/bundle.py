@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import ancestors, container, file_name, is_projector, is_weights, ollama_base, parent, split_part
@@ -37,7 +37,9 @@ def companions(pairs: DataFrame) -> DataFrame:
 
 
 def required_by(pairs: DataFrame) -> DataFrame:
-    return companions(pairs).groupBy("companion").agg(F.array_sort(F.collect_list("required_by")).alias("required_by"))
+    """(companion, ordinal, required_by): who needs each companion, in the order of their keys; a row each, as a common file may have millions."""
+    place = F.row_number().over(Window.partitionBy("companion").orderBy("required_by")) - 1
+    return companions(pairs).select("companion", place.alias("ordinal"), "required_by")
 
 
 def first_file(locs: DataFrame) -> DataFrame:

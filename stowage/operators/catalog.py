@@ -47,9 +47,9 @@ def models(files: DataFrame) -> DataFrame:
 
 def with_state(locs: DataFrame, roots: DataFrame) -> DataFrame:
     """Add state: Present, Unreadable, or Offline where the root is offline or not registered."""
-    online = roots.select(F.col("root_id").alias("__root"), "online")
+    online = roots.select("root_id", "online")
     state = F.when(~F.coalesce("online", F.lit(False)), "Offline").when(F.col("accessible"), "Present").otherwise("Unreadable")
-    return locs.join(online, F.col("root_id") == F.col("__root"), "left").withColumn("state", state).select(*locs.columns, "state")
+    return locs.join(online, "root_id", "left").select(*locs.columns, state.alias("state"))
 
 
 def owned(kind: Column) -> Column:
@@ -140,6 +140,7 @@ def first_per_inode(scan: DataFrame) -> DataFrame:
 
 
 def inventory_json(mods: DataFrame, locs: DataFrame) -> DataFrame:
-    """(key, json): each model with its locations nested, as the exported inventory has them."""
-    nested = locs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("root_id", "ord", "kind", "rel_path", "accessible", "dev", "ino"))).alias("locations"))
-    return mods.join(nested, "key").select("key", F.to_json(F.struct("size", "display_name", "meta", "locations")).alias("json"))
+    """(key, ord, json): the exported inventory, a line for each model and one for each location after its model's, so that no row grows with the copies of a content."""
+    models_ = mods.select("key", F.lit(-1).cast("long").alias("ord"), F.lit("").alias("root_id"), F.to_json(F.struct("key", "size", "display_name", "meta")).alias("json"))
+    places_ = locs.select("key", "ord", "root_id", F.to_json(F.struct("key", "root_id", "kind", "rel_path", "accessible", "dev", "ino")).alias("json"))
+    return models_.unionByName(places_).repartitionByRange("key", "root_id", "ord").sortWithinPartitions("key", "root_id", "ord").select("key", "ord", "json")

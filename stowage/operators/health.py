@@ -37,17 +37,18 @@ def finding(rows: DataFrame, kind: str, subject, detail, size) -> DataFrame:
 
 
 def hub_findings(refs: DataFrame, snapshots: DataFrame, blobs: DataFrame, links: DataFrame) -> DataFrame:
-    """From refs (repo, ref, rev), snapshots (repo, rev), blobs (repo, blob, size) and links (repo, rev, path, blob; blob null where dead)."""
+    """From refs (repo, ref, rev), snapshots (repo, rev), blobs (repo, blob, size) and links (repo, rev, path, blob): what each entry of a
+    snapshot leads to; blob is null where that is gone."""
     part = blobs.filter(F.col("blob").endswith(".incomplete"))
     whole = blobs.filter(~F.col("blob").endswith(".incomplete"))
     content = snapshots.select("repo").unionByName(whole.select("repo")).distinct()
     husks = refs.join(content, "repo", "left_anti").groupBy("repo").agg(F.array_join(F.array_sort(F.collect_list(F.concat("ref", F.lit(" → "), F.substring("rev", 1, 12)))), ", ").alias("refs"))
     dangling = refs.join(content, "repo", "left_semi").join(snapshots.select("repo", "rev"), ["repo", "rev"], "left_anti")
     used = links.filter(F.col("blob").isNotNull()).select("repo", "blob")
-    # A link counts only where its target is a blob on disk; the others are dead.
-    dead = links.join(whole.select("repo", "blob"), ["repo", "blob"], "left_anti")
+    dead = links.filter(F.col("blob").isNull())
     orphans = whole.join(used, ["repo", "blob"], "left_anti")
     zero, c = F.lit(0), F.col
+    # The wording of the details is fixed output.
     return (
         finding(part, "incomplete_download", c("repo"), F.concat(F.lit("blobs/"), "blob"), c("size"))
         .unionByName(finding(husks, "pruned_husk", c("repo"), F.concat(F.lit("refs remain ("), "refs", F.lit(") but all content is pruned")), zero))
@@ -57,6 +58,19 @@ def hub_findings(refs: DataFrame, snapshots: DataFrame, blobs: DataFrame, links:
     )
 
 
+def hub_health(parts: DataFrame) -> DataFrame:
+    """Findings of a hub from the rows of a scan of kind ``links``."""
+    at = F.split("rel_path", "/")
+    rows = parts.select("extra", "name", "size", F.col("rel_path").alias("path"), F.element_at(at, 1).alias("repo"), F.element_at(at, 3).alias("third"), F.element_at(at, -1).alias("last"))
+    of = lambda kind: rows.filter(F.col("extra") == kind)
+    return hub_findings(
+        of("ref").select("repo", F.col("last").alias("ref"), F.col("name").alias("rev")),
+        of("snapshot").select("repo", F.col("name").alias("rev")),
+        of("blob").select("repo", F.col("name").alias("blob"), "size"),
+        of("link").select("repo", F.col("third").alias("rev"), "path", F.col("name").alias("blob")),
+    )
+
+
 def missing_layers(manifests: DataFrame, blobs: DataFrame) -> DataFrame:
     """From manifests (name, layers of digest and size) and blobs (digest): layers, of any type, without a blob."""
     layers = manifests.select("name", F.explode("layers").alias("layer")).select("name", "layer.digest", "layer.size")

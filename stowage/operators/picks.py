@@ -43,6 +43,16 @@ def tail(journal: DataFrame, limit: int = 50) -> DataFrame:
     return journal.orderBy(F.desc("seq")).limit(limit).orderBy("seq")
 
 
+def backup_preview(mods: DataFrame, members: DataFrame) -> DataFrame:
+    """What a backup of ``members`` (key) holds, the largest first."""
+    return mods.join(members.select("key"), "key", "left_semi").select("key", "display_name", "size").orderBy(F.desc("size"), "display_name", "key")
+
+
+def verify_list(checked: DataFrame, status: str) -> DataFrame:
+    """Files that a verification found to be ``status``, by path."""
+    return checked.filter(F.col("status") == status).select("root_id", "rel_path").orderBy(F.split("rel_path", "/"), "root_id")
+
+
 def ambiguous(matches: DataFrame, limit: int = 10) -> DataFrame:
     """What a query that should match once names: the first matches by key."""
     return matches.orderBy("key").limit(limit)

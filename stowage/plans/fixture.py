@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bundle as b
 from ..operators import catalog as c
+from ..sources.scratch import materialize
 
 KINDS = ("shelf", "ollama", "hf_hub", "removable")
 NOW = 1_720_000_000
@@ -80,8 +82,14 @@ class Catalog:
         locations = c.locations(files.drop("kind"), roots)
         return cls(files, roots, c.models(files), locations, c.with_state(locations, roots))
 
-    def bundle(self) -> DataFrame:
-        return b.bundle(self.models, self.locations)
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return materialize(b.bundle(self.models, self.locations), "pairs")
+
+    def settled(self) -> Catalog:
+        """The same catalog with its tables written once, for queries that come back to them."""
+        stated = materialize(self.stated, "stated")
+        return Catalog(self.files, materialize(self.roots, "roots"), materialize(self.models, "models"), stated.drop("state"), stated)
 
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,17 +56,18 @@ VIEWS: dict[str, str] = {
         CASE WHEN s.kind NOT IN ('shelf', 'removable') THEN c.command WHEN s.state <> 'Present' THEN coalesce(r.label, r.root_id) END AS detail
         FROM deletable d JOIN stated s ON d.key = s.key AND d.action = 'delete' JOIN roots r ON r.root_id = s.root_id JOIN command_of c ON c.key = s.key AND c.root_id = s.root_id AND c.ord = s.ord
         UNION ALL SELECT key, '', '', 'keep', kept_for FROM deletable WHERE action = 'keep'""",
-    "fresh": """SELECT *, CASE WHEN ord % 13 = 0 THEN NULL WHEN ord % 11 = 0 THEN reverse(sha256) ELSE sha256 END AS fresh_sha FROM files WHERE ord % 17 <> 0""",
+    "fresh": """SELECT root_id, ord, CASE WHEN ord % 17 = 0 THEN 'aside/' || rel_path ELSE rel_path END AS rel_path, CASE WHEN ord % 13 = 0 THEN NULL WHEN ord % 11 = 0 THEN reverse(sha256) ELSE sha256 END AS fresh_sha FROM files""",
     "verify": """SELECT f.root_id, f.rel_path, f.sha256, CASE WHEN f.sha256 IS NULL THEN 'unhashed' WHEN n.ord IS NULL THEN 'missing' WHEN n.fresh_sha IS NULL THEN 'unreadable' WHEN n.fresh_sha = f.sha256 THEN 'ok' ELSE 'mismatched' END AS status, f.size
         FROM files f JOIN roots r ON r.root_id = f.root_id AND r.online AND r.kind IN ('shelf', 'removable') LEFT JOIN fresh n ON n.root_id = f.root_id AND n.rel_path = f.rel_path""",
     "inodes": """SELECT key, dev, ino, count(*) AS paths, bool_or(kind IN ('shelf', 'removable')) AS any_owned, bool_and(kind IN ('shelf', 'removable')) AS all_owned FROM stated WHERE state = 'Present' AND dev <> 0 AND key LIKE 'sha256:%' GROUP BY ALL""",
-    "earlier": """SELECT * FROM files WHERE ord % 5 <> 0""",
+    "earlier": """SELECT * REPLACE (CASE WHEN ord % 5 = 0 THEN 'aside/' || rel_path ELSE rel_path END AS rel_path) FROM files""",
     "listing": """SELECT rel_path AS filename, min(ord) AS ord, CASE WHEN min(ord) % 10 <> 3 THEN arg_min(size, ord) END AS size FROM files WHERE kind IN ('shelf', 'removable') GROUP BY rel_path""",
     "bin": """SELECT DISTINCT root_id, rel_path, split_part(rel_path, '/', -1) AS f, array_to_string(string_split(rel_path, '/')[:-2], '/') AS d,
         regexp_matches(rel_path, '(?i)\\.(safetensors|bin|pt|pth|onnx)$') AS w, lower(split_part(rel_path, '/', -1)) LIKE '%mmproj%' AS p,
         CASE WHEN regexp_matches(rel_path, '-\\d{5}-of-\\d{5}\\.gguf$') THEN regexp_replace(split_part(rel_path, '/', -1), '-\\d{5}-of-', '|') END AS set_name FROM files WHERE kind IN ('shelf', 'removable')""",
+    "on_disk": """SELECT f.root_id, f.rel_path, f.size, s.h FROM (SELECT root_id, rel_path, arg_min(size, ord) AS size, min(ord) AS ord FROM files WHERE kind IN ('shelf', 'removable') GROUP BY root_id, rel_path) f JOIN src s ON s.d = f.ord""",
     "asked": """SELECT b.*, d <> '' AND NOT p AND EXISTS (SELECT 1 FROM bin x WHERE x.root_id = b.root_id AND x.w AND starts_with(x.rel_path, b.d || '/')) AS whole FROM bin b
-        WHERE (root_id, rel_path) IN (SELECT (root_id, rel_path) FROM files WHERE kind IN ('shelf', 'removable') AND ord % 5 = 0)""",
+        WHERE lower(rel_path) LIKE '%m%0000%' OR lower(rel_path) LIKE '%emb/%' OR lower(rel_path) LIKE '%q8%'""",
     "big": """SELECT 'sha256:' || l_partkey AS key, 'sup' || l_suppkey AS root_id, (['shelf','ollama','hf_hub','removable'])[l_suppkey % 4 + 1] AS kind, l_suppkey % 7 AS dev, l_orderkey * 8 + l_linenumber AS ino FROM lineitem WHERE l_suppkey % 5 <> 0""",
     "parts_big": """SELECT 'sha256:' || p_partkey AS key, CAST(p_size AS BIGINT) AS size, p_name AS display_name, p_brand || ' ' || p_type AS family FROM part""",
     "reach": """SELECT key, bool_or(state = 'Present' AND kind IN ('shelf', 'removable')) AS owned_copy, bool_or(state = 'Present') AS live, bool_or(state = 'Present' AND kind = 'shelf') AS on_shelf,
@@ -75,11 +76,11 @@ VIEWS: dict[str, str] = {
     "tops": """SELECT m.key, p.cold, contains(lower(concat_ws(' ', m.display_name, coalesce(m.q.v, ''), p.places, m.key)), 'gguf') AS hit FROM models m JOIN place_names p USING (key)""",
     "stale": f"""SELECT root_id, min(coalesce(verified_unix, 0)) AS oldest, CAST(sum(size) AS BIGINT) AS bytes FROM files WHERE kind = 'removable' AND sha256 IS NOT NULL GROUP BY root_id
         HAVING min(coalesce(verified_unix, 0)) = 0 OR ({NOW} - min(coalesce(verified_unix, 0))) // 86400 > 90""",
-    "hub": """SELECT root_id AS repo, ord, rel_path, sha256, size, 'rev' || (ord % 4) AS rev, root_id IN ('src7', 'src17') AS pruned FROM files""",
-    "hub_blobs": """SELECT repo, sha256 || CASE WHEN ord % 19 = 0 THEN '.incomplete' ELSE '' END AS blob, max(size) AS size FROM hub WHERE sha256 IS NOT NULL AND ord % 3 <> 1 AND NOT pruned GROUP BY ALL""",
-    "hub_links": """SELECT repo, rev, rel_path AS path, sha256 AS blob FROM hub WHERE sha256 IS NOT NULL AND ord % 4 IN (0, 1) AND NOT pruned""",
-    "hub_snaps": """SELECT DISTINCT repo, rev FROM hub WHERE ord % 4 IN (0, 1) AND NOT pruned""",
-    "hub_refs": """SELECT repo, 'ref' || ord AS ref, rev FROM hub WHERE ord % 50 = 7""",
+    "hub": """SELECT root_id, CASE WHEN root_id IN ('src7', 'src17') THEN root_id || '-moved' ELSE root_id END AS repo, ord, rel_path, coalesce(sha256, 'none' || ord) AS sha, size, ord % 3 = 1 AS gone FROM files""",
+    "hub_blobs": """SELECT repo, CASE WHEN gone THEN 'x' ELSE '' END || sha || CASE WHEN ord % 19 = 0 THEN '.incomplete' ELSE '' END AS blob, max(size) AS size FROM hub GROUP BY ALL""",
+    "hub_links": """SELECT repo, rel_path AS path, CASE WHEN NOT gone THEN sha END AS blob FROM hub""",
+    "hub_snaps": """SELECT DISTINCT repo, 'rev' || (ord % 2) AS rev FROM hub""",
+    "hub_refs": """SELECT root_id AS repo, 'ref' || ord AS ref, 'rev' || (ord % 4) AS rev FROM hub""",
     "alive": """SELECT repo FROM hub_snaps UNION SELECT repo FROM hub_blobs WHERE blob NOT LIKE '%.incomplete'""",
 }
 
@@ -112,7 +113,7 @@ QUERIES: dict[str, str] = {
         FROM tops t LEFT JOIN (SELECT parent AS key, bool_and(cold) AS cold, bool_or(hit) AS hit FROM children JOIN tops ON tops.key = children.child GROUP BY parent) c USING (key) WHERE t.key NOT IN (SELECT child FROM children)""",
     "bundle": "SELECT key, member FROM bundle",
     "companions": "SELECT * FROM companions",
-    "required_by": "SELECT companion, string_agg(required_by, ',' ORDER BY required_by) AS required_by FROM companions GROUP BY companion",
+    "required_by": "SELECT companion, CAST(row_number() OVER (PARTITION BY companion ORDER BY required_by) - 1 AS INT) AS ordinal, required_by FROM companions",
     "split_primary": "SELECT * FROM split_primary",
     "children": "SELECT * FROM children",
     "split_rollup": """SELECT "primary", count(*) AS parts, CAST(sum(size) AS BIGINT) AS size, bool_and(backed_up) AS backed_up FROM (SELECT "primary", part AS key FROM split_primary UNION SELECT "primary", "primary" FROM split_primary) JOIN models USING (key) JOIN backed USING (key) GROUP BY "primary\"""",
@@ -126,6 +127,27 @@ QUERIES: dict[str, str] = {
     "verify_report": "SELECT * FROM verify",
     "repair_plan": """SELECT v.root_id, v.rel_path, CASE WHEN count(s.key) > 0 THEN 'repair' ELSE 'unrepairable' END AS status, arg_min(s.root_id, (s.root_id, s.ord)) FILTER (s.key IS NOT NULL) AS source_root, arg_min(s.rel_path, (s.root_id, s.ord)) FILTER (s.key IS NOT NULL) AS source_path
         FROM verify v LEFT JOIN stated s ON s.key = 'sha256:' || v.sha256 AND s.root_id <> v.root_id AND s.state = 'Present' WHERE v.status IN ('mismatched', 'missing', 'unreadable') GROUP BY v.root_id, v.rel_path""",
+    "verify_writeback": f"""SELECT f.root_id, f.ord, f.rel_path, CASE WHEN v.status = 'ok' THEN {NOW} ELSE f.verified_unix END AS verified_unix FROM files f
+        LEFT JOIN verify v ON v.root_id = f.root_id AND v.rel_path = f.rel_path AND v.status = 'ok'""",
+    "repair_counters": """SELECT status, count(*) AS n FROM (SELECT v.root_id, v.rel_path, CASE WHEN count(s.key) > 0 THEN 'repair' ELSE 'unrepairable' END AS status
+        FROM verify v LEFT JOIN stated s ON s.key = 'sha256:' || v.sha256 AND s.root_id <> v.root_id AND s.state = 'Present' WHERE v.status IN ('mismatched', 'missing', 'unreadable') GROUP BY v.root_id, v.rel_path) GROUP BY status""",
+    "reclaim_counters": """SELECT count(DISTINCT key) FILTER (links) AS contents, CAST(coalesce(sum(paths) FILTER (links), 0) AS BIGINT) AS linked, CAST(coalesce(sum(paths) FILTER (rn > 1 AND NOT links), 0) AS BIGINT) AS skipped_foreign, CAST(coalesce(sum(size) FILTER (links), 0) AS BIGINT) AS bytes
+        FROM (SELECT *, rn > 1 AND all_owned AS links FROM (SELECT *, count(*) OVER (PARTITION BY key, dev) AS n, row_number() OVER (PARTITION BY key, dev ORDER BY paths DESC, any_owned DESC, ino) AS rn FROM inodes) JOIN models USING (key) WHERE n > 1)""",
+    "offline_owned": "SELECT root_id FROM roots WHERE NOT online AND kind IN ('shelf', 'removable')",
+    "verify_lists": "SELECT root_id, rel_path, status FROM verify WHERE status IN ('mismatched', 'unreadable')",
+    "unreachable_copies": """SELECT p.key, m.display_name, m.size, p.root_id, coalesce(r.label, r.root_id) AS label, p.rel_path FROM delete_plan p JOIN models m USING (key) JOIN roots r ON r.root_id = p.root_id WHERE p.action = 'offline'""",
+    "backup_preview": "SELECT key, display_name, size FROM models WHERE key IN (SELECT key FROM chosen)",
+    "cold_count": """SELECT count(*) FILTER (t.cold AND coalesce(c.cold, true)) AS cold FROM tops t LEFT JOIN (SELECT parent AS key, bool_and(cold) AS cold FROM children JOIN tops ON tops.key = children.child GROUP BY parent) c USING (key) WHERE t.key NOT IN (SELECT child FROM children)""",
+    "demote_targets": """SELECT key, 'drive' AS target, CASE WHEN key NOT LIKE 'sha256:%' THEN 'not hashed' WHEN NOT on_shelf THEN 'no live shelf copy' ELSE 'demote' END AS status FROM reach
+        UNION ALL SELECT key, 'unplugged', 'target offline' FROM reach UNION ALL SELECT key, 'store', 'target not owned' FROM reach""",
+    "empty_trash": "SELECT root_id, rel_path, size, 'destroy' AS action FROM files WHERE kind IN ('shelf', 'removable')",
+    "scan_dir": """SELECT root_id || '/' || rel_path AS rel_path, size, size AS fp_size, true AS accessible FROM on_disk f
+        WHERE lower(rel_path) LIKE '%.gguf' OR EXISTS (SELECT 1 FROM bin w WHERE w.w AND w.root_id = f.root_id AND starts_with(f.rel_path, w.d || '/'))""",
+    "file_hashes": "SELECT root_id || '/' || rel_path AS rel_path, h AS sha256, false AS gone FROM on_disk",
+    "gguf_fields": """SELECT doc_id, (['llama', 'qwen', 'bert'])[doc_id % 3 + 1] AS architecture, lang || ' ' || doc_id AS name,
+        coalesce(map {0: 'F32', 1: 'F16', 2: 'Q4_0', 3: 'Q4_1', 7: 'Q8_0', 8: 'Q5_0', 9: 'Q5_1', 10: 'Q2_K', 11: 'Q3_K_S', 12: 'Q3_K_M', 13: 'Q3_K_L', 14: 'Q4_K_S', 15: 'Q4_K_M', 16: 'Q5_K_S', 17: 'Q5_K_M', 18: 'Q6_K', 19: 'IQ2_XXS'}[CAST(doc_id % 20 AS INT)], 'type ' || (doc_id % 20)) AS quantization,
+        CAST(1024 + doc_id AS BIGINT) AS context_length, CAST(4096 AS BIGINT) AS embedding_length, doc_id % 5 AS head_count, CASE WHEN doc_id % 2 = 0 THEN CAST(8 AS BIGINT) END AS head_count_kv,
+        CASE WHEN doc_id % 5 > 0 AND 4096 % (doc_id % 5) = 0 THEN 4096 // (doc_id % 5) END AS head_dim FROM documents WHERE doc_id % 7 <> 0""",
     "reclaim_plan": """SELECT key, dev, ino, paths, CASE WHEN rn = 1 THEN 'survivor' WHEN all_owned THEN 'link' ELSE 'skipped_foreign' END AS action, CASE WHEN rn > 1 AND all_owned THEN size ELSE 0 END AS frees
         FROM (SELECT *, count(*) OVER (PARTITION BY key, dev) AS n, row_number() OVER (PARTITION BY key, dev ORDER BY paths DESC, any_owned DESC, ino) AS rn FROM inodes) JOIN models USING (key) WHERE n > 1""",
     "reclaim_plan_large": """SELECT key, dev, ino, paths, CASE WHEN rn = 1 THEN 'survivor' WHEN all_owned THEN 'link' ELSE 'skipped_foreign' END AS action, CASE WHEN rn > 1 AND all_owned THEN size ELSE 0 END AS frees
@@ -142,27 +164,28 @@ QUERIES: dict[str, str] = {
     "stored_carried_merge": """SELECT coalesce(s.root_id, e.root_id) AS root_id, coalesce(s.rel_path, e.rel_path) AS rel_path, coalesce(s.size, e.size) AS size,
         CASE WHEN s.ord IS NULL THEN e.sha256 WHEN s.sha IS NULL AND e.ord IS NOT NULL AND ((NOT s.has_fp AND NOT e.has_fp) OR (s.has_fp AND e.has_fp AND s.ord = e.ord AND e.ord % 3 <> 0)) THEN e.sha256 ELSE s.sha END AS sha256,
         CASE WHEN s.ord IS NULL THEN e.verified_unix WHEN s.sha IS NULL AND e.ord IS NOT NULL AND ((NOT s.has_fp AND NOT e.has_fp) OR (s.has_fp AND e.has_fp AND s.ord = e.ord AND e.ord % 3 <> 0)) THEN e.verified_unix ELSE s.verified_unix END AS verified_unix
-        FROM (SELECT *, CASE WHEN ord % 2 = 0 THEN sha256 END AS sha FROM files WHERE ord % 6 <> 0) s FULL JOIN earlier e ON e.root_id = s.root_id AND e.rel_path = s.rel_path""",
-    "all_manifests": "SELECT f.root_id, count(*) AS files FROM files f JOIN roots r USING (root_id) WHERE NOT r.online OR f.ord % 2 = 0 GROUP BY f.root_id",
+        FROM (SELECT * REPLACE (CASE WHEN ord % 6 = 0 THEN 'stored/' || rel_path ELSE rel_path END AS rel_path), CASE WHEN ord % 2 = 0 THEN sha256 END AS sha FROM files) s FULL JOIN earlier e ON e.root_id = s.root_id AND e.rel_path = s.rel_path""",
+    "all_manifests": "SELECT f.root_id, f.ord, CASE WHEN r.online AND f.ord % 2 = 0 THEN 'new/' || f.rel_path ELSE f.rel_path END AS rel_path, CASE WHEN r.online THEN f.size + 1 ELSE f.size END AS size FROM files f JOIN roots r USING (root_id)",
     "hash_worklist": "SELECT root_id, rel_path, size FROM files WHERE sha256 IS NULL AND readable",
     "believable_records": "SELECT root_id, rel_path, size FROM files WHERE ord % 9 <> 0 AND ord % 4 <> 0",
     "find_query": """SELECT DISTINCT key, display_name FROM models WHERE starts_with(key, 'sha256:a1') OR contains(lower(display_name), 'a1') OR contains(lower(display_name), 'g1/m-')
         OR key IN (SELECT key FROM stated WHERE contains(lower(rel_path), 'a1') OR contains(lower(rel_path), 'g1/m-'))""",
     "first_per_inode": """SELECT root_id, ord, kind, rel_path, dev, ino FROM (SELECT *, row_number() OVER (PARTITION BY dev, ino ORDER BY rank, ord) AS rn FROM (SELECT root_id, ord, kind, rel_path, CASE WHEN has_fp THEN ord % 3 END AS dev, CASE WHEN has_fp THEN ord // 4 END AS ino, CASE kind WHEN 'ollama' THEN 1 WHEN 'hf_hub' THEN 2 ELSE 0 END AS rank FROM files)) WHERE rn = 1 OR dev IS NULL""",
-    "provenance_lookup": """SELECT m.key, p.url AS repo FROM models m LEFT JOIN (SELECT 'sha256:' || sha256(text) AS key, min(doc_id) AS d FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) r USING (key) LEFT JOIN pages p ON p.page_id = r.d""",
+    "provenance_lookup": """SELECT m.key, p.url AS repo FROM models m LEFT JOIN (SELECT 'sha256:' || CASE WHEN doc_id % 3 = 0 THEN sha256(text) ELSE reverse(sha256(text)) END AS key, min(doc_id) AS d FROM documents GROUP BY 1) r USING (key) LEFT JOIN pages p ON p.page_id = r.d""",
     "orphan_blobs": """SELECT 'incomplete_download' AS kind, repo AS subject, 'blobs/' || blob AS detail, size AS bytes FROM hub_blobs WHERE blob LIKE '%.incomplete'
         UNION ALL SELECT 'pruned_husk', repo, 'refs remain (' || string_agg(ref || ' → ' || substr(rev, 1, 12), ', ' ORDER BY ref || ' → ' || substr(rev, 1, 12)) || ') but all content is pruned', 0 FROM hub_refs WHERE repo NOT IN (SELECT repo FROM alive) GROUP BY repo
         UNION ALL SELECT 'dangling_ref', r.repo, 'refs/' || ref || ' → ' || substr(r.rev, 1, 12) || ' has no snapshot', 0 FROM hub_refs r WHERE repo IN (SELECT repo FROM alive) AND NOT EXISTS (SELECT 1 FROM hub_snaps s WHERE s.repo = r.repo AND s.rev = r.rev)
-        UNION ALL SELECT 'dangling_snapshot_link', l.repo, l.path, 0 FROM hub_links l WHERE NOT EXISTS (SELECT 1 FROM hub_blobs b WHERE b.repo = l.repo AND b.blob = l.blob AND b.blob NOT LIKE '%.incomplete')
+        UNION ALL SELECT 'dangling_snapshot_link', l.repo, l.path, 0 FROM hub_links l WHERE l.blob IS NULL
         UNION ALL SELECT 'orphan_blob', b.repo, 'blobs/' || substr(b.blob, 1, 16) || ' referenced by no snapshot', size FROM hub_blobs b WHERE b.blob NOT LIKE '%.incomplete' AND NOT EXISTS (SELECT 1 FROM hub_links l WHERE l.repo = b.repo AND l.blob = b.blob)""",
     "missing_layers": """SELECT 'missing_ollama_blob' AS kind, name AS subject, coalesce(sha256, 'none') AS detail, size AS bytes FROM files f WHERE kind = 'ollama' AND NOT EXISTS (SELECT 1 FROM files b WHERE b.readable AND b.ord % 2 = 0 AND b.sha256 = coalesce(f.sha256, 'none'))""",
     "findings_summary": "SELECT 'stale_verification' AS kind, 'stale verification' AS label, false AS executable, count(*) AS findings, CAST(sum(bytes) AS BIGINT) AS bytes FROM stale HAVING count(*) > 0",
-    "journal_tail": "SELECT event_id AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type || ' ' || user_id AS line FROM events ORDER BY event_id DESC LIMIT 50",
+    "journal_tail": "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type || ' ' || user_id || ' ' || event_id AS line FROM events ORDER BY event_id DESC LIMIT 50",
+    "journal_lines": "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type || ' ' || user_id || ' ' || event_id AS line FROM events",
     "group_listing": """SELECT CASE WHEN p IS NOT NULL THEN p || '.gguf (' || c || ' parts)' ELSE first END AS display, first, parts, total, ord FROM (SELECT any_value(p) AS p, any_value(c) AS c, arg_min(filename, ord) AS first, count(*) AS parts, CASE WHEN count(size) = count(*) THEN CAST(sum(size) AS BIGINT) END AS total, min(ord) AS ord
         FROM (SELECT *, CASE WHEN regexp_matches(filename, '-\\d{5}-of-\\d{5}\\.gguf$') THEN regexp_extract(filename, '^(.*)-\\d{5}-of-', 1) END AS p, TRY_CAST(regexp_extract(filename, '-of-(\\d{5})\\.gguf$', 1) AS INT) AS c FROM listing) GROUP BY coalesce(p || '-of-' || c, filename))""",
     "split_completeness": """SELECT chosen, w AS filename, w IN (SELECT filename FROM listing) AS listed FROM (SELECT filename AS chosen, CASE WHEN regexp_matches(filename, '-\\d{5}-of-\\d{5}\\.gguf$') THEN regexp_extract(filename, '^(.*)-\\d{5}-of-', 1) || '-' || lpad(CAST(i AS VARCHAR), 5, '0') || '-of-00003.gguf' ELSE filename END AS w
-        FROM listing, range(1, 4) t(i) WHERE ord % 3 = 0 AND (i = 1 OR regexp_matches(filename, '-\\d{5}-of-\\d{5}\\.gguf$')))""",
-    "projector_pick": """SELECT filename FROM listing WHERE filename LIKE 'en/%' AND lower(filename) LIKE '%mmproj%' ORDER BY CASE WHEN lower(filename) LIKE '%f16%' AND lower(filename) NOT LIKE '%bf16%' THEN 0 WHEN lower(filename) LIKE '%bf16%' THEN 1 ELSE 2 END, ord LIMIT 1""",
+        FROM listing, range(1, 4) t(i) WHERE (filename LIKE '%-0000%' OR filename LIKE '%other%') AND (i = 1 OR regexp_matches(filename, '-\\d{5}-of-\\d{5}\\.gguf$')))""",
+    "projector_pick": """SELECT filename FROM listing WHERE lower(filename) LIKE '%mmproj%' ORDER BY CASE WHEN lower(filename) LIKE '%f16%' AND lower(filename) NOT LIKE '%bf16%' THEN 0 WHEN lower(filename) LIKE '%bf16%' THEN 1 ELSE 2 END, ord LIMIT 1""",
     "snapshot_set": "SELECT filename FROM listing WHERE ord % 4 <> 0",
     "restore_set": """SELECT a.root_id, a.rel_path AS asked, b.rel_path FROM asked a JOIN bin b ON b.root_id = a.root_id WHERE (a.whole AND starts_with(b.rel_path, a.d || '/')) OR (NOT a.whole AND b.rel_path = a.rel_path)
         OR (NOT a.whole AND NOT a.p AND b.d = a.d AND b.rel_path <> a.rel_path AND (b.p OR b.set_name = a.set_name))""",

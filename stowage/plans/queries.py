@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import struct
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import logs
@@ -15,6 +18,9 @@ from ..operators import bundle as b
 from ..operators import catalog as c
 from ..operators import health as h
 from ..operators import picks as p
+from ..sources import documents, headers, scanner
+from ..sources.scratch import materialize, scratch_path
+from ..streaming import journal
 from . import actions
 from .fixture import NOW, Catalog, catalog, large_catalog, table
 
@@ -32,6 +38,12 @@ def on_catalog(f: Callable[[Catalog], DataFrame]) -> Callable:
     return f
 
 
+def on_settled(f: Callable[[Catalog], DataFrame]) -> Callable:
+    """For what goes through the bundle relation: the catalog is written once and read from there."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(catalog(spark, sf_dir).settled())
+    return f
+
+
 def selected(k: Catalog) -> DataFrame:
     """Hashed contents of roots src2, src3 and src4: what the queries select."""
     return k.locations.filter("root_id IN ('src2', 'src3', 'src4') AND key LIKE 'sha256:%'").select("key").distinct()
@@ -119,64 +131,64 @@ def inventory_view(k: Catalog) -> DataFrame:
     return a.inventory_view(k.models, k.stated, "size", ascending=False)
 
 
-@on_catalog
+@on_settled
 def active_view(k: Catalog) -> DataFrame:
-    return a.active_view(k.models, k.locations, b.children(k.bundle(), k.locations), "gguf")
+    return a.active_view(k.models, k.locations, b.children(k.pairs, k.locations), "gguf")
 
 
-@on_catalog
+@on_settled
 def bundle(k: Catalog) -> DataFrame:
-    return k.bundle()
+    return k.pairs
 
 
-@on_catalog
+@on_settled
 def companions(k: Catalog) -> DataFrame:
-    return b.companions(k.bundle())
+    return b.companions(k.pairs)
 
 
-@on_catalog
+@on_settled
 def required_by(k: Catalog) -> DataFrame:
-    return b.required_by(k.bundle()).select("companion", F.array_join("required_by", ",").alias("required_by"))
+    return b.required_by(k.pairs)
 
 
-@on_catalog
+@on_settled
 def split_primary(k: Catalog) -> DataFrame:
-    return b.split_primary(k.bundle(), k.locations)
+    return b.split_primary(k.pairs, k.locations)
 
 
-@on_catalog
+@on_settled
 def children(k: Catalog) -> DataFrame:
-    return b.children(k.bundle(), k.locations)
+    return b.children(k.pairs, k.locations)
 
 
-@on_catalog
+@on_settled
 def split_rollup(k: Catalog) -> DataFrame:
-    return a.split_rollup(k.models, b.split_primary(k.bundle(), k.locations), c.backed_up(k.stated))
+    return a.split_rollup(k.models, b.split_primary(k.pairs, k.locations), c.backed_up(k.stated))
 
 
-@on_catalog
+@on_settled
 def bundle_union(k: Catalog) -> DataFrame:
-    return b.bundle_union(k.bundle(), selected(k))
+    return b.bundle_union(k.pairs, selected(k))
 
 
-@on_catalog
+@on_settled
 def deletable_set(k: Catalog) -> DataFrame:
-    return b.deletable(k.bundle(), selected(k), k.models)
+    return b.deletable(k.pairs, selected(k), k.models)
 
 
-@on_catalog
+@on_settled
 def selection_totals(k: Catalog) -> DataFrame:
-    return a.selection_totals(k.models, b.bundle_union(k.bundle(), selected(k)))
+    return a.selection_totals(k.models, b.bundle_union(k.pairs, selected(k)))
 
 
-@on_catalog
+@on_settled
 def delete_plan(k: Catalog) -> DataFrame:
-    return actions.delete(k.bundle(), selected(k), k.models, k.stated, k.roots)
+    return actions.delete(k.pairs, selected(k), k.models, k.stated, k.roots)
 
 
-@on_catalog
+@on_settled
 def foreign_commands(k: Catalog) -> DataFrame:
-    return actions.foreign_commands(actions.delete(k.bundle(), selected(k), k.models, k.stated, k.roots))
+    return actions.foreign_commands(actions.delete(k.pairs, selected(k), k.models, k.stated, k.roots))
 
 
 @on_catalog
@@ -184,15 +196,20 @@ def backup_plan(k: Catalog) -> DataFrame:
     return actions.backup(k.models, k.stated, "src3", k.files.filter("root_id = 'src3'"))
 
 
-@on_catalog
+@on_settled
 def backup_counters(k: Catalog) -> DataFrame:
-    return actions.counters(actions.backup(k.models, k.stated, "src3", k.files.filter("root_id = 'src3'"), k.bundle(), selected(k)))
+    return actions.counters(actions.backup(k.models, k.stated, "src3", k.files.filter("root_id = 'src3'"), k.pairs, selected(k)))
 
 
 def fresh_hashes(k: Catalog) -> DataFrame:
-    """Hashes as a verification would read them: every 11th file changed, every 13th unreadable, every 17th gone."""
+    """Hashes as a verification would read them: every 11th file changed, every 13th unreadable, every 17th under another path."""
     sha = F.when(F.col("ord") % 13 == 0, None).when(F.col("ord") % 11 == 0, F.reverse("sha256")).otherwise(F.col("sha256"))
-    return k.files.filter("ord % 17 <> 0").select("root_id", "rel_path", sha.alias("sha256"))
+    return k.files.select("root_id", aside(17).alias("rel_path"), sha.alias("sha256"))
+
+
+def aside(every: int, folder: str = "aside/") -> Column:
+    """The path, but for every so manieth file in another folder, where the other side of a join doesn't have it."""
+    return F.when(F.col("ord") % every == 0, F.concat(F.lit(folder), "rel_path")).otherwise(F.col("rel_path"))
 
 
 @on_catalog
@@ -200,12 +217,66 @@ def verify_report(k: Catalog) -> DataFrame:
     return actions.verify(k.files.drop("kind"), fresh_hashes(k), k.roots)
 
 
+@on_catalog
+def verify_writeback(k: Catalog) -> DataFrame:
+    """All files after a verification: the ok ones have its time."""
+    checked = actions.verify(k.files.drop("kind"), fresh_hashes(k), k.roots)
+    return actions.verified(k.files.drop("kind"), checked, NOW).select("root_id", "ord", "rel_path", "verified_unix")
+
+
 @on_catalog
 def repair_plan(k: Catalog) -> DataFrame:
     broken = actions.verify(k.files.drop("kind"), fresh_hashes(k), k.roots).filter("status IN ('mismatched', 'missing', 'unreadable')")
     return actions.repair(broken, k.stated)
 
 
+@on_catalog
+def repair_counters(k: Catalog) -> DataFrame:
+    broken = actions.verify(k.files.drop("kind"), fresh_hashes(k), k.roots).filter("status IN ('mismatched', 'missing', 'unreadable')")
+    return actions.repair_counters(actions.repair(broken, k.stated))
+
+
+@on_catalog
+def reclaim_counters(k: Catalog) -> DataFrame:
+    return actions.reclaim_counters(actions.reclaim(k.stated, k.models))
+
+
+@on_catalog
+def offline_owned(k: Catalog) -> DataFrame:
+    return actions.offline_owned(k.roots)
+
+
+@on_catalog
+def verify_lists(k: Catalog) -> DataFrame:
+    checked = actions.verify(k.files.drop("kind"), fresh_hashes(k), k.roots)
+    lists = [p.verify_list(checked, status).withColumn("status", F.lit(status)) for status in ("mismatched", "unreadable")]
+    return lists[0].unionByName(lists[1])
+
+
+@on_settled
+def unreachable_copies(k: Catalog) -> DataFrame:
+    plan = actions.delete(k.pairs, selected(k), k.models, k.stated, k.roots)
+    return actions.unreachable_copies(plan, k.models, k.stated, k.roots)
+
+
+@on_settled
+def backup_preview(k: Catalog) -> DataFrame:
+    return p.backup_preview(k.models, b.bundle_union(k.pairs, selected(k)))
+
+
+@on_settled
+def cold_count(k: Catalog) -> DataFrame:
+    return a.cold_count(a.active_view(k.models, k.locations, b.children(k.pairs, k.locations)))
+
+
+@on_catalog
+def demote_targets(k: Catalog) -> DataFrame:
+    """What may be demoted to an online drive, to one that isn't plugged in, and to a store that isn't owned."""
+    targets = {"drive": {"kind": "removable", "online": True}, "unplugged": {"kind": "removable", "online": False}, "store": {"kind": "ollama", "online": True}}
+    plans = [actions.demote(k.models, k.stated, t).select("key", F.lit(name).alias("target"), "status") for name, t in targets.items()]
+    return plans[0].unionByName(plans[1]).unionByName(plans[2])
+
+
 @on_catalog
 def reclaim_plan(k: Catalog) -> DataFrame:
     return actions.reclaim(k.stated, k.models).select("key", F.col("dev").cast("long").alias("dev"), F.col("ino").cast("long").alias("ino"), "paths", "action", "frees")
@@ -227,16 +298,16 @@ def archive_plans(k: Catalog) -> DataFrame:
     return out
 
 
-@on_catalog
+@on_settled
 def cold_eligible(k: Catalog) -> DataFrame:
-    return actions.cold_eligible(k.models, k.stated, b.children(k.bundle(), k.locations))
+    return actions.cold_eligible(k.models, k.stated, b.children(k.pairs, k.locations))
 
 
 def earlier(k: Catalog) -> DataFrame:
-    """The catalog some time before: every 3rd file had another fingerprint, every 5th wasn't there, every 8th had an old reader."""
+    """The catalog some time before: every 3rd file had another fingerprint, every 5th another path, every 8th an old reader."""
     fp = F.col("fingerprint")
     changed = F.when(F.col("ord") % 3 == 0, fp.withField("mtime_s", fp["mtime_s"] - 1)).otherwise(fp)
-    return k.files.filter("ord % 5 <> 0").withColumns({"fingerprint": changed, "meta_reader": F.when(F.col("ord") % 8 == 0, 0).otherwise(F.col("meta_reader"))})
+    return k.files.withColumns({"rel_path": aside(5), "fingerprint": changed, "meta_reader": F.when(F.col("ord") % 8 == 0, 0).otherwise(F.col("meta_reader"))})
 
 
 @on_catalog
@@ -247,13 +318,14 @@ def reconcile_carry_forward(k: Catalog) -> DataFrame:
 
 @on_catalog
 def stored_carried_merge(k: Catalog) -> DataFrame:
-    stored = k.files.filter("ord % 6 <> 0").withColumn("sha256", F.when(F.col("ord") % 2 == 0, F.col("sha256")))
+    stored = k.files.withColumns({"rel_path": aside(6, "stored/"), "sha256": F.when(F.col("ord") % 2 == 0, F.col("sha256"))})
     return c.stored_with_carried(stored, earlier(k)).select("root_id", "rel_path", "size", "sha256", "verified_unix")
 
 
 @on_catalog
 def all_manifests(k: Catalog) -> DataFrame:
-    return c.all_manifests(k.files.filter("ord % 2 = 0"), k.files, k.roots).groupBy("root_id").agg(F.count(F.lit(1)).alias("files"))
+    rebuilt = k.files.withColumns({"rel_path": aside(2, "new/"), "size": F.col("size") + 1})
+    return c.all_manifests(rebuilt, k.files, k.roots).select("root_id", "ord", "rel_path", "size")
 
 
 @on_catalog
@@ -282,20 +354,25 @@ def first_per_inode(k: Catalog) -> DataFrame:
 @query
 def provenance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = catalog(spark, sf_dir)
-    records = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("d"))
+    known = F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).otherwise(F.reverse(F.sha2("text", 256)))
+    records = table(spark, sf_dir, "documents").groupBy(known.alias("sha256")).agg(F.min("doc_id").alias("d"))
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("d"), F.col("url").alias("repo"))
     return c.with_provenance(k.models.select("key"), records.join(pages, "d", "left").select("sha256", "repo")).select("key", "repo")
 
 
 @on_catalog
 def orphan_blobs(k: Catalog) -> DataFrame:
-    """Hub parts made of the catalog: a repository is a root; blobs are hashes, links those of readable files."""
-    f = k.files.withColumn("rev", F.concat(F.lit("rev"), (F.col("ord") % 4).cast("string")))
-    refs = f.filter("ord % 50 = 7").select(F.col("root_id").alias("repo"), F.concat(F.lit("ref"), F.col("ord").cast("string")).alias("ref"), "rev")
-    snapshots = f.filter("ord % 4 IN (0, 1) AND root_id NOT IN ('src7', 'src17')").select(F.col("root_id").alias("repo"), "rev").distinct()
-    blob = F.when(F.col("ord") % 19 == 0, F.concat("sha256", F.lit(".incomplete"))).otherwise(F.col("sha256"))
-    blobs = f.filter("sha256 IS NOT NULL AND ord % 3 <> 1 AND root_id NOT IN ('src7', 'src17')").groupBy(F.col("root_id").alias("repo"), blob.alias("blob")).agg(F.max("size").alias("size"))
-    links = f.filter("sha256 IS NOT NULL AND ord % 4 IN (0, 1) AND root_id NOT IN ('src7', 'src17')").select(F.col("root_id").alias("repo"), "rev", F.col("rel_path").alias("path"), F.col("sha256").alias("blob"))
+    """Hub parts made of the catalog: a repository is a root, but what src7 and src17 hold has moved away from their refs; every 3rd
+    file's blob is another than its link wants, whose target is gone then, and every 19th one is unfinished."""
+    repo = F.col("root_id")
+    moved = F.when(repo.isin("src7", "src17"), F.concat(repo, F.lit("-moved"))).otherwise(repo).alias("repo")
+    rev = lambda last: F.concat(F.lit("rev"), (F.col("ord") % last).cast("string"))
+    refs = k.files.select(repo.alias("repo"), F.concat(F.lit("ref"), F.col("ord").cast("string")).alias("ref"), rev(4).alias("rev"))
+    snapshots = k.files.select(moved, rev(2).alias("rev")).distinct()
+    sha, gone = F.coalesce("sha256", F.concat(F.lit("none"), F.col("ord").cast("string"))), F.col("ord") % 3 == 1
+    blob = F.concat(F.when(gone, F.concat(F.lit("x"), sha)).otherwise(sha), F.when(F.col("ord") % 19 == 0, ".incomplete").otherwise(""))
+    blobs = k.files.groupBy(moved, blob.alias("blob")).agg(F.max("size").alias("size"))
+    links = k.files.select(moved, rev(2).alias("rev"), F.col("rel_path").alias("path"), F.when(~gone, sha).alias("blob"))
     return h.hub_findings(refs, snapshots, blobs, links).select("kind", "subject", "detail", "bytes")
 
 
@@ -303,7 +380,8 @@ def orphan_blobs(k: Catalog) -> DataFrame:
 def missing_layers(k: Catalog) -> DataFrame:
     layer = F.struct(F.coalesce("sha256", F.lit("none")).alias("digest"), F.col("size"))
     manifests = k.files.filter("kind = 'ollama'").groupBy("name").agg(F.collect_list(layer).alias("layers"))
-    return h.missing_layers(manifests, k.files.filter("accessible AND ord % 2 = 0").select(F.col("sha256").alias("digest")))
+    there = F.when(F.col("accessible") & (F.col("ord") % 2 == 0), F.col("sha256")).otherwise(F.concat(F.lit("x"), F.col("ord").cast("string")))
+    return h.missing_layers(manifests, k.files.select(there.alias("digest")).distinct())
 
 
 @on_catalog
@@ -311,10 +389,27 @@ def findings_summary(k: Catalog) -> DataFrame:
     return h.with_remedies(h.stale_findings(k.files.drop("kind"), k.roots, NOW)).groupBy("kind", "label", "executable").agg(F.count(F.lit(1)).alias("findings"), F.sum("bytes").alias("bytes"))
 
 
+def journal_files(spark: SparkSession, sf_dir: str) -> str:
+    """The events table as a journal on storage, appended in three goes. Returns its folder."""
+    e = table(spark, sf_dir, "events")
+    ts, line = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("line")
+    path = scratch_path(spark, "journal")
+    most = e.agg(F.max("event_id")).first()[0] or 0
+    third = F.least(F.floor(F.col("event_id") * 3 / F.lit(most + 1)), F.lit(2)) + 1
+    parts = materialize(e.select(third.alias("go"), "event_id", ts, line), "journal_parts")
+    for go in (1, 2, 3):
+        documents.append_journal(parts.filter(F.col("go") == go).orderBy("event_id").select("ts", "line"), path)
+    return path
+
+
 @query
 def journal_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return p.tail(e.select(F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("line")), 50)
+    return p.tail(documents.journal(spark, journal_files(spark, sf_dir)), 50).select("ts", "line")
+
+
+@query
+def journal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.journal(spark, journal_files(spark, sf_dir)).select("ts", "line")
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,12 +425,12 @@ def group_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def split_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = listing(spark, sf_dir)
-    return b.split_set(files, files.filter("ord % 3 = 0"))
+    return b.split_set(files, files.filter("filename LIKE '%-0000%' OR filename LIKE '%other%'"))
 
 
 @query
 def projector_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = listing(spark, sf_dir).filter("filename LIKE 'en/%'")
+    files = listing(spark, sf_dir)
     return b.projector_pick(files, files.filter("filename LIKE '%other%'"))
 
 
@@ -348,7 +443,12 @@ def snapshot_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 @on_catalog
 def restore_set(k: Catalog) -> DataFrame:
     trash = k.files.filter("kind IN ('shelf', 'removable')").select("root_id", "rel_path").distinct()
-    return b.restore_set(trash, k.files.filter("kind IN ('shelf', 'removable') AND ord % 5 = 0").select("root_id", "rel_path").distinct())
+    return b.restore_set(trash, trash.filter("lower(rel_path) LIKE '%m%0000%' OR lower(rel_path) LIKE '%emb/%' OR lower(rel_path) LIKE '%q8%'"))
+
+
+@on_catalog
+def empty_trash(k: Catalog) -> DataFrame:
+    return actions.empty_trash(k.files.filter("kind IN ('shelf', 'removable')"))
 
 
 @on_catalog
@@ -484,6 +584,69 @@ def header_pick(k: Catalog) -> DataFrame:
 
 @query
 def journal_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries by day and operation, as the stream of the journal would count them."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("operation")).agg(F.count(F.lit(1)).alias("entries"))
+    """Entries by day and operation, counted by the stream of the journal."""
+    lines, out = journal.journal_stream(spark, journal_files(spark, sf_dir)), scratch_path(spark, "activity")
+    counted = journal.activity(lines).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "operation", "entries")
+    written = counted.writeStream.outputMode("complete").foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{out}/{number}"))
+    done = written.option("checkpointLocation", scratch_path(spark, "activity_progress")).trigger(availableNow=True).start()
+    done.awaitTermination()
+    last = done.lastProgress
+    return spark.read.parquet(f"{out}/{last['batchId']}")
+
+
+def written_shelf(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file for every path of the owned roots, holding the text of the first document there, written by the executors."""
+    top = scratch_path(spark, "shelf").removeprefix("file:")
+    own = catalog(spark, sf_dir).files.filter("kind IN ('shelf', 'removable')").groupBy("root_id", "rel_path").agg(F.min("ord").alias("ord"))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch["path"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as f:
+                    f.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([batch["path"]], names=["path"])
+
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
+    placed = own.join(texts, "ord").select(F.concat_ws("/", F.lit(top), "root_id", "rel_path").alias("path"), "text")
+    materialize(placed.mapInArrow(put, "path string"), "written")
+    return top
+
+
+@query
+def scan_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of a shelf on disk."""
+    return scanner.scan(spark, written_shelf(spark, sf_dir)).select("rel_path", "size", F.col("fingerprint.size").alias("fp_size"), "accessible")
+
+
+@query
+def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = written_shelf(spark, sf_dir)
+    files = materialize(scanner.scan(spark, top, "trash").select(F.element_at(F.split("rel_path", "/"), 1).alias("root_id"), F.concat(F.lit(f"{top}/"), "rel_path").alias("path")), "listed")
+    return headers.hash_files(files).select(F.substr("path", F.lit(len(top) + 2)).alias("rel_path"), "sha256", "gone")
+
+
+@query
+def gguf_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers made of documents, written and read again: a model's own fields, one of another word, a per-layer array, one of no known type."""
+    top = scratch_path(spark, "headers").removeprefix("file:")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = lambda s: struct.pack("<Q", len(s.encode())) + s.encode()
+        number = lambda key, v: text(key) + struct.pack("<II", 4, v)
+        for batch in batches:
+            os.makedirs(top, exist_ok=True)
+            for d, lang in zip(batch["doc_id"].to_pylist(), batch["lang"].to_pylist(), strict=True):
+                arch = ("llama", "qwen", "bert")[d % 3]
+                fields = [text("general.architecture") + struct.pack("<I", 8) + text(arch), text("general.name") + struct.pack("<I", 8) + text(f"{lang} {d}"), number("general.file_type", d % 20)]
+                fields += [number(f"{arch}.context_length" if d % 4 else "vision.context_length", 1024 + d), number(f"{arch}.embedding_length", 4096), number(f"{arch}.attention.head_count", d % 5)]
+                fields.append(text(f"{arch}.attention.head_count_kv") + struct.pack("<IIQII", 9, 4, 2, 8, 4) if d % 2 else number(f"{arch}.attention.head_count_kv", 8))
+                with open(os.path.join(top, f"{d}.gguf"), "wb") as f:
+                    f.write(struct.pack("<IIQQ", headers.MAGIC, 3, 0, len(fields)) + b"".join(fields) if d % 7 else b"none")
+            yield pa.RecordBatch.from_arrays([batch["doc_id"]], names=["doc_id"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    done = materialize(docs.mapInArrow(put, "doc_id long"), "written")
+    found = headers.model_meta(done.select(F.concat(F.lit(f"{top}/"), F.col("doc_id").cast("string"), F.lit(".gguf")).alias("path")))
+    doc = F.regexp_extract("path", r"([0-9]+)\.gguf$", 1).cast("long").alias("doc_id")
+    return found.select(doc, "architecture", "name", "quantization", "context_length", "embedding_length", "head_count", "head_count_kv", "head_dim")

@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import time
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema
+from .scratch import on_storage
+from .state import CARRIED
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
     """Files of all readable manifests under ``path``: root_id, kind, ord and the columns of a file; a broken manifest is left out."""
     raw = spark.read.schema(schema.MANIFEST).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    each = raw.filter("root.id IS NOT NULL").select(F.col("root.id").alias("root_id"), F.col("root.kind").alias("kind"), F.explode("files").alias("f")).select("root_id", "kind", "f.*")
-    return each.withColumn("ord", F.row_number().over(Window.partitionBy("root_id").orderBy("rel_path")).cast("long") - 1)
+    each = raw.filter("root.id IS NOT NULL").select(F.col("root.id").alias("root_id"), F.col("root.kind").alias("kind"), F.posexplode("files").alias("ord", "f"))
+    return each.select("root_id", "kind", "f.*", F.col("ord").cast("long").alias("ord"))
+
+
+def carried(spark: SparkSession, roots: Sequence[dict[str, str]]) -> DataFrame:
+    """Files of the manifests that owned roots carry themselves, under the roots' own ids; a root without one has no rows."""
+    out = None
+    for r in roots:
+        path = f"{r['path'].rstrip('/')}/{CARRIED}"
+        fs, make = on_storage(path)
+        if r["kind"] in ("shelf", "removable") and fs.exists(make(path)):
+            rows = manifests(spark, path).withColumns({"root_id": F.lit(r["root_id"]), "kind": F.lit(r["kind"])})
+            out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else spark.createDataFrame([], T.StructType([T.StructField("root_id", T.StringType()), T.StructField("kind", T.StringType()), *schema.FILE.fields, T.StructField("ord", T.LongType())]))
 
 
 def manifest_roots(spark: SparkSession, path: str) -> DataFrame:
@@ -27,8 +46,6 @@ def inventory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def provenance(spark: SparkSession, path: str) -> DataFrame:
-    from pyspark.sql import types as T
-
     raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", T.MapType(T.StringType(), schema.PROVENANCE))).alias("sha256", "p")).select("sha256", "p.*")
 
@@ -48,12 +65,26 @@ def journal_lines(lines: DataFrame) -> DataFrame:
 
 
 def journal(spark: SparkSession, path: str) -> DataFrame:
-    return journal_lines(spark.read.text(path).withColumn("seq", F.monotonically_increasing_id()))
+    """(seq, ts, line): entries in the order of their appending; seq is the time of the append and the place in its file. No journal is an empty one."""
+    fs, make = on_storage(path)
+    if not fs.exists(make(path)):
+        return spark.createDataFrame([], "seq struct<at: long, file: string, block: long, row: long>, ts string, line string")
+    m = F.col("_metadata")
+    own = F.regexp_extract(m["file_name"], r"^entries-(\d{20})", 1).try_cast("long")
+    at = F.coalesce(own, F.unix_micros(m["file_modification_time"]) * 1000)
+    seq = F.struct(at.alias("at"), m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"))
+    return journal_lines(spark.read.text(path).withColumn("seq", seq))
 
 
 def append_journal(entries: DataFrame, path: str) -> None:
-    """Append (ts, line) as one file of lines."""
-    entries.select(F.concat_ws("\t", "ts", "line").alias("value")).coalesce(1).write.mode("append").text(path)
+    """Append (ts, line) as one file of lines, in their order. The file's name has the time of the append, so that later ones sort behind it."""
+    fs, make = on_storage(path)
+    part = f"{path.rstrip('/')}/_{uuid.uuid4().hex}"
+    entries.select(F.concat_ws("\t", "ts", "line").alias("value")).coalesce(1).write.text(part)
+    target = f"{path.rstrip('/')}/entries-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.txt"
+    for status in fs.globStatus(make(f"{part}/part-*")):
+        fs.rename(status.getPath(), make(target))
+    fs.delete(make(part), True)
 
 
 def hub_listing(spark: SparkSession, path: str, gguf_only: bool = True) -> DataFrame:
@@ -77,5 +108,16 @@ def save_files(files: DataFrame, path: str) -> None:
     files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("root_id").parquet(path)
 
 
+def save_export(rows: DataFrame, path: str) -> None:
+    """Rows (key, json) as lines of JSON, whole or not at all; what was there before stays beside it as .bak."""
+    fs, make = on_storage(path)
+    part, before = f"{path}.{uuid.uuid4().hex[:8]}.tmp", f"{path}.bak"
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(part)
+    if fs.exists(make(path)):
+        fs.delete(make(before), True)
+        fs.rename(make(path), make(before))
+    fs.rename(make(part), make(path))
+
+
 def without_root(rows: DataFrame, root_id: str) -> DataFrame:
     return rows.filter(F.col("root_id") != root_id)

@@ -122,7 +122,7 @@ def model_meta(files: DataFrame) -> DataFrame:
     fields = header_fields(files, ("general.architecture", "general.name", "general.size_label", "general.file_type", *(s for _, s in META_SUFFIXES))).filter("name IS NOT NULL")
     own = fields.filter("name = 'general.architecture'").select("path", F.get_json_object(F.concat(F.lit('{"v":'), "json", F.lit("}")), "$.v").alias("architecture"))
     value = F.get_json_object(F.concat(F.lit('{"v":'), "json", F.lit("}")), "$.v")
-    number = F.when(~F.col("json").startswith("["), F.try_to_number(value, F.lit("99999999999999999"))).cast("long")
+    number = F.when(~F.col("json").startswith("["), value.try_cast("long"))
     rows = fields.join(own, "path", "left").withColumns({"text": value, "number": F.when(number >= 0, number)})
     pick = {}
     for column, suffix in META_SUFFIXES:
@@ -168,18 +168,26 @@ def file_meta(files: DataFrame) -> DataFrame:
 
 
 def hash_files(files: DataFrame, readers: int = 4) -> DataFrame:
-    """(path, sha256, error): whole files in blocks of 4 MiB. ``readers`` tasks read at a time, which spares disks."""
+    """(path, sha256, error, gone): whole files in blocks of 4 MiB; gone where there is no such file.
+
+    ``readers`` tasks at a time read from one root (column root_id; without it there is one root), which spares disks.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch["path"].to_pylist():
-                h, error = hashlib.sha256(), None
+                h, error, gone = hashlib.sha256(), None, False
                 try:
                     with open(path, "rb") as f:
                         while block := f.read(4 << 20):
                             h.update(block)
                 except OSError as e:
-                    error = str(e)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([None if error else h.hexdigest()], pa.string()), pa.array([error], pa.string())], names=["path", "sha256", "error"])
-
-    return files.select("path").repartition(readers).mapInArrow(digest, "path string, sha256 string, error string")
+                    error, gone = str(e), isinstance(e, FileNotFoundError | NotADirectoryError)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([None if error else h.hexdigest()], pa.string()), pa.array([error], pa.string()), pa.array([gone])], names=["path", "sha256", "error", "gone"])
+
+    if "root_id" in files.columns:
+        roots = max(1, files.select("root_id").distinct().count())
+        dealt = files.select("path", "root_id").repartition(readers * roots, "root_id", F.pmod(F.xxhash64("path"), F.lit(readers)))
+    else:
+        dealt = files.select("path").repartition(readers)
+    return dealt.select("path").mapInArrow(digest, "path string, sha256 string, error string, gone boolean")

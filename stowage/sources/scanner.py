@@ -1,8 +1,9 @@
 """A Spark data source that lists the files of a store: ``spark.read.format("stowage_scan")``.
 
-Options: path, kind (shelf, removable, ollama, hf_hub, trash or links) and depth. A shelf is divided by its top-level
-entries, a hub by its repositories, so that tasks walk apart from each other. Sizes and fingerprints are those of what a
-link points to; a file that can't be reached is listed with size 0 and accessible false.
+Options: path, kind (shelf, removable, ollama, hf_hub, trash or links) and depth. A shelf is divided by the folders of
+its first two levels, a hub by its repositories, an ollama store by the models of its manifests, so that tasks walk apart
+from each other. Sizes and fingerprints are those of what a link points to; a file that can't be reached is listed with
+size 0 and accessible false. A trash is walked with its dot entries, but not through links to folders.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def stat_row(root: str, rel: str, name: str | None = None, extra: str | None = N
     try:
         s = os.stat(os.path.join(root, rel))
         fp = (s.st_size, s.st_mtime_ns // 10**9, s.st_mtime_ns % 10**9, Decimal(s.st_dev), Decimal(s.st_ino))
-        return rel, s.st_size, fp, name, os.access(os.path.join(root, rel), os.R_OK), extra
+        return rel, s.st_size, fp, name, True, extra
     except OSError:
         return rel, 0, None, name, False, extra
 
@@ -44,32 +45,50 @@ def is_gguf(name: str) -> bool:
     return name.lower().endswith(".gguf") and len(name) > 5
 
 
-def subtree(root: str, rel: str, depth: int) -> Iterator[str]:
-    """Every file below, without dot entries; links to nowhere count as files."""
+def join(rel: str, name: str) -> str:
+    return os.path.join(rel, name) if rel else name
+
+
+def subtree(root: str, rel: str, depth: int, dots: bool = False) -> Iterator[str]:
+    """Every file below, without dot entries unless ``dots``; links to nowhere count as files."""
     for e in listed(os.path.join(root, rel)):
-        if e.name.startswith("."):
+        if e.name.startswith(".") and not dots:
             continue
-        at = os.path.join(rel, e.name) if rel else e.name
         if e.is_dir():
             if depth:
-                yield from subtree(root, at, depth - 1)
+                yield from subtree(root, join(rel, e.name), depth - 1, dots)
         else:
-            yield at
+            yield join(rel, e.name)
+
+
+def trashed(root: str, rel: str, depth: int) -> Iterator[str]:
+    """Every file of a trash. A link to a folder is neither walked nor a file."""
+    for e in listed(os.path.join(root, rel)):
+        if e.is_dir(follow_symlinks=False):
+            if depth:
+                yield from trashed(root, join(rel, e.name), depth - 1)
+        elif not e.is_dir():
+            yield join(rel, e.name)
+
+
+def holds_weights(entries: list[os.DirEntry]) -> bool:
+    return any(is_weights(e.name) and e.is_file() for e in entries)
 
 
 def walk_shelf(root: str, rel: str, depth: int) -> Iterator[str]:
-    """GGUF files anywhere; a directory that holds a weights file comes whole."""
-    entries = [e for e in listed(os.path.join(root, rel)) if not e.name.startswith(".")]
-    if rel and any(is_weights(e.name) and not e.is_dir() for e in entries):
-        yield from subtree(root, rel, depth)
+    """GGUF files anywhere; a folder that holds a weights file, be it the shelf itself, comes whole, DEPTH levels deep."""
+    entries = listed(os.path.join(root, rel))
+    if holds_weights(entries):
+        yield from subtree(root, rel, DEPTH)
         return
     for e in entries:
-        at = os.path.join(rel, e.name) if rel else e.name
+        if e.name.startswith("."):
+            continue
         if e.is_dir():
             if depth:
-                yield from walk_shelf(root, at, depth - 1)
+                yield from walk_shelf(root, join(rel, e.name), depth - 1)
         elif is_gguf(e.name):
-            yield at
+            yield join(rel, e.name)
 
 
 def walk_repo(root: str, repo: str, depth: int) -> Iterator[tuple]:
@@ -96,16 +115,16 @@ def repo_parts(root: str, repo: str, depth: int) -> Iterator[tuple]:
     for rev in listed(os.path.join(root, repo, "snapshots")):
         if rev.is_dir():
             yield (f"{repo}/snapshots/{rev.name}", 0, None, rev.name, True, "snapshot")
-            for f in subtree(root, f"{repo}/snapshots/{rev.name}", depth):
+            for f in subtree(root, f"{repo}/snapshots/{rev.name}", depth, dots=True):
                 full = os.path.join(root, f)
-                target = os.path.basename(os.readlink(full)) if os.path.islink(full) else None
-                yield stat_row(root, f, target, "link")
+                # What an entry leads to keeps that content in use, whether it is a link or the file itself.
+                yield stat_row(root, f, os.path.basename(os.path.realpath(full)) if os.path.exists(full) else None, "link")
 
 
-def store_manifests(root: str) -> Iterator[tuple[str, dict]]:
-    """(name, manifest) of every manifest of an ollama store; broken ones are left out."""
+def store_manifests(root: str, below: str = "") -> Iterator[tuple[str, dict]]:
+    """(name, manifest) of every manifest of an ollama store (or of a folder of them); broken ones are left out."""
     top = os.path.join(root, "manifests")
-    for f in subtree(top, "", DEPTH):
+    for f in subtree(top, below, DEPTH):
         parts = f.split("/")
         if len(parts) != 4:
             continue
@@ -119,8 +138,8 @@ def store_manifests(root: str) -> Iterator[tuple[str, dict]]:
             yield f"{model}:{tag}" if space == "library" else f"{space}/{model}:{tag}", data
 
 
-def store_rows(root: str) -> Iterator[tuple]:
-    for name, manifest in store_manifests(root):
+def store_rows(root: str, below: str = "") -> Iterator[tuple]:
+    for name, manifest in store_manifests(root, below):
         for ending, suffix in (("image.model", ""), ("image.projector", "+projector")):
             digests = [x["digest"] for x in manifest["layers"] if isinstance(x, dict) and str(x.get("mediaType", "")).endswith(ending) and isinstance(x.get("digest"), str)]
             if digests:
@@ -128,8 +147,14 @@ def store_rows(root: str) -> Iterator[tuple]:
 
 
 class Part(InputPartition):
-    def __init__(self, entry: str | None) -> None:
-        self.entry = entry
+    """A folder to walk, or with ``flat`` only the files in it."""
+
+    def __init__(self, folder: str, flat: bool = False) -> None:
+        self.folder, self.flat = folder, flat
+
+
+def folders(path: str, dots: bool = False, links: bool = True) -> list[str]:
+    return [e.name for e in listed(path) if e.is_dir(follow_symlinks=links) and (dots or not e.name.startswith("."))]
 
 
 class StoreReader(DataSourceReader):
@@ -137,25 +162,33 @@ class StoreReader(DataSourceReader):
         self.root, self.kind, self.depth = options["path"], options.get("kind", "shelf"), int(options.get("depth", DEPTH))
 
     def partitions(self) -> list[Part]:
+        if self.kind in ("hf_hub", "links"):
+            return [Part(d) for d in folders(self.root) if d.startswith("models--")]
         if self.kind == "ollama":
-            return [Part(None)]
-        tops = [e for e in listed(self.root) if e.is_dir() and (not e.name.startswith(".") if self.kind in ("shelf", "removable", "trash") else e.name.startswith("models--"))]
-        return [Part(e.name) for e in tops] + [Part(None)] * (self.kind in ("shelf", "removable", "trash"))
+            top = os.path.join(self.root, "manifests")
+            spaces = [join(host, space) for host in folders(top) for space in folders(os.path.join(top, host))]
+            return [Part(join(s, model)) for s in spaces for model in folders(os.path.join(top, s))]
+        return self.split("", min(2, self.depth))
+
+    def split(self, rel: str, levels: int) -> list[Part]:
+        """Parts that together walk a folder: its own files, and each folder in it. One that comes whole isn't divided."""
+        path = os.path.join(self.root, rel)
+        is_trash = self.kind == "trash"
+        if not levels or not is_trash and holds_weights(listed(path)):
+            return [Part(rel)]
+        return [Part(rel, flat=True), *(p for d in folders(path, is_trash, not is_trash) for p in self.split(join(rel, d), levels - 1))]
 
     def read(self, partition: Part) -> Iterator[tuple]:
-        root, top = self.root, partition.entry
+        root, rel = self.root, partition.folder
         if self.kind == "ollama":
-            yield from store_rows(root)
+            yield from store_rows(root, rel)
         elif self.kind == "hf_hub":
-            yield from walk_repo(root, top, self.depth)
+            yield from walk_repo(root, rel, self.depth)
         elif self.kind == "links":
-            yield from repo_parts(root, top, self.depth)
-        elif top is None:  # files at the top itself
-            for e in listed(root):
-                if not e.name.startswith(".") and not e.is_dir() and (self.kind == "trash" or is_gguf(e.name)):
-                    yield stat_row(root, e.name)
+            yield from repo_parts(root, rel, self.depth)
         else:
-            for f in (subtree if self.kind == "trash" else walk_shelf)(root, top, self.depth - 1):
+            left = 0 if partition.flat else self.depth - (rel.count("/") + 1 if rel else 0)
+            for f in (trashed if self.kind == "trash" else walk_shelf)(root, rel, left):
                 yield stat_row(root, f)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from stowage import api
-from stowage.sources import headers
+from stowage.sources import documents, headers
+from stowage.sources.state import CARRIED, TRASH
 
 from .conftest import rows
 from .test_catalog import FILES
@@ -42,11 +44,90 @@ def test_commands(spark, engine):
     assert e.restore(["big-q4"]).filter("status = 'already on shelf'").count() >= 1
     (path / "shelf/copy.gguf").write_bytes(b"ONE")
     (path / "shelf/a/big-Q8.gguf").unlink()
-    checked = e.verify(repair=True)
+    checked = e.verify(777, repair=True)
     assert dict(rows(checked["files"].filter("status <> 'ok'").select("rel_path", "status"))) == {"copy.gguf": "mismatched", "a/big-Q8.gguf": "missing"}
     assert rows(checked["repair"].select("rel_path", "status", "source_root")) == [("a/big-Q8.gguf", "unrepairable", None), ("copy.gguf", "repair", "drive")]
 
 
+    assert {(r["rel_path"], r["root_id"]) for r in checked["written"].filter("verified_unix = 777").collect()} == {("a/big-Q4.gguf", "drive"), ("a/big-Q4.gguf", "shelf"), ("a/mmproj-F16.gguf", "shelf")}
+    assert rows(checked["offline"]) == [("gone",)] and rows(checked["mismatched"]) == [("shelf", "copy.gguf")]
+    assert checked["files"].count() == 5 and e.verify(777, "drive")["files"].count() == 1
+    with pytest.raises(ValueError, match="names no root"):
+        e.verify(777, "nothing")
+
+
+def test_more_commands(spark, engine):
+    e, path, known = engine
+    with pytest.raises(api.Ambiguous) as many:
+        e.delete(["a/"])
+    assert many.value.count == len(many.value.matches) == 3
+    assert [r["size"] for r in e.backup_preview(["big"]).collect()] == [5, 3, 3]
+    assert {r["status"] for r in e.demote(["big-q4"], "gone").collect()} == {"target offline"}
+    preview = e.delete_preview(["big-q4"])
+    assert preview["unreachable"].count() == 0 and preview["plan"].filter("action = 'trash'").count() == 3
+    assert [r["key"] for r in e.cold_storage("Q8").collect()] and e.cold_storage("none").count() == 0
+    os.link(path / "shelf/copy.gguf", path / "shelf/linked.gguf")
+    files = api.refresh(api.scan_roots(spark, known), e.files, e.roots)
+    files.write.parquet(str(path / "again"))
+    again = api.Engine(spark.read.parquet(str(path / "again")), e.roots)
+    assert again.files.count() == 6 and again.scan().count() == 5
+    done = again.scrub(api.scan_roots(spark, known), 888)
+    assert done["written"].filter("verified_unix = 888").count() == 6 and done["counters"].first()["status"] == "ok"
+
+
+def test_a_drive_from_elsewhere_brings_its_hashes(spark, tmp_path, monkeypatch):
+    """Only what is there with just that size is believed, and only where nothing better is known."""
+    import json
+
+    put(tmp_path / "drive/m.gguf", b"one")
+    put(tmp_path / "drive/n.gguf", b"two")
+    known = [{"root_id": "drive", "kind": "removable", "path": str(tmp_path / "drive")}]
+    s = os.stat(tmp_path / "drive/m.gguf")
+    print_of = lambda s: {"size": s.st_size, "mtime_s": s.st_mtime_ns // 10**9, "mtime_nsec": s.st_mtime_ns % 10**9, "dev": s.st_dev, "ino": s.st_ino}
+    told = [{"rel_path": "m.gguf", "size": 3, "accessible": True, "sha256": "told", "fingerprint": print_of(s), "verified_unix": 4}, {"rel_path": "n.gguf", "size": 9, "accessible": True, "sha256": "lie", "fingerprint": print_of(os.stat(tmp_path / "drive/n.gguf"))}, {"rel_path": "../up", "size": 3, "accessible": True, "sha256": "up"}]
+    put(tmp_path / "drive" / CARRIED, json.dumps({"schema_version": 1, "root": {"id": "other", "kind": "removable", "path": "/x"}, "generated_unix": 1, "files": told}).encode())
+    roots = api.register(spark, known)
+    files = api.refresh(api.scan_roots(spark, known), spark.createDataFrame([], FILES), roots, documents.carried(spark, known))
+    got = {r["rel_path"]: (r["sha256"], r["verified_unix"]) for r in files.collect()}
+    assert got == {"m.gguf": ("told", 4), "n.gguf": (hashlib.sha256(b"two").hexdigest(), None)}
+    assert documents.carried(spark, [{"root_id": "x", "kind": "shelf", "path": str(tmp_path / "none")}]).count() == 0
+
+
+def test_doctor_looks_at_stores_itself(spark, engine):
+    import json
+
+    e, path, _ = engine
+    hub, store = path / "hub", path / "store"
+    put(hub / "models--o--n/refs/main", b"gone")
+    put(hub / "models--o--n/blobs/abc", b"x")
+    put(hub / "models--o--n/snapshots/r1/config.json", b"in place")
+    os.symlink("../../blobs/none", hub / "models--o--n/snapshots/r1/m.gguf")
+    layers = [{"mediaType": "application/vnd.ollama.image.model", "digest": "sha256:aa", "size": 3}, {"mediaType": "x", "digest": "sha256:bb", "size": 4}]
+    put(store / "manifests/host/library/v/1b", json.dumps({"layers": layers}).encode())
+    put(store / "blobs/sha256-aa", b"abc")
+    found = e.doctor(10**9, [{"kind": "hf_hub", "path": str(hub)}, {"kind": "ollama", "path": str(store)}], timer="inactive")
+    assert sorted(r["kind"] for r in found.collect()) == ["dangling_ref", "dangling_snapshot_link", "missing_ollama_blob", "orphan_blob", "scrub_timer_off", "stale_verification"]
+
+
+def test_trash_on_disk(spark, tmp_path):
+    for f in ("a/m.gguf", "a/n.bin", ".cfg/x.json"):
+        put(tmp_path / "s" / TRASH / f)
+    put(tmp_path / "else/o.gguf")
+    os.symlink(tmp_path / "else", tmp_path / "s" / TRASH / "linked")
+    got = api.trash_scan(spark, [{"root_id": "s", "kind": "shelf", "path": str(tmp_path / "s")}, {"root_id": "o", "kind": "ollama", "path": str(tmp_path / "s")}])
+    assert rows(got.select("root_id", "rel_path")) == [("s", ".cfg/x.json"), ("s", "a/m.gguf"), ("s", "a/n.bin")]
+
+
+def test_from_headers_to_usage(spark, tmp_path):
+    for name, arch, label in (("a.gguf", "llama", "7B"), ("b.gguf", "llama", "7B"), ("c.gguf", "qwen", "1B")):
+        put(tmp_path / name, header([("general.architecture", 8, arch), ("general.size_label", 8, label), ("pad", 8, name * 10)]))
+    known = [{"root_id": "shelf", "kind": "shelf", "path": str(tmp_path)}]
+    roots = api.register(spark, known)
+    api.refresh(api.scan_roots(spark, known), spark.createDataFrame([], FILES), roots).write.parquet(str(tmp_path / ".files"))
+    usage = api.Engine(spark.read.parquet(str(tmp_path / ".files")), roots).report().collect()
+    assert {(r["family"], r["contents"]) for r in usage} == {("llama 7B", 2), ("qwen 1B", 1)}
+
+
 def test_refresh_hashes_only_what_changed(spark, engine, monkeypatch):
     e, path, known = engine
     (path / "shelf/new.gguf").write_bytes(b"new")

@@ -228,7 +228,7 @@ def test_hub_problems(spark):
     refs = spark.createDataFrame([("Husk", "main", "r0"), ("Messy", "main", "rev1"), ("Messy", "old", "rev0gone")], "repo string, ref string, rev string")
     snaps = spark.createDataFrame([("Messy", "rev1")], "repo string, rev string")
     blobs = spark.createDataFrame([("Messy", "used", 1), ("Messy", "orphan", 2), ("Messy", "dl.incomplete", 3)], "repo string, blob string, size long")
-    links = spark.createDataFrame([("Messy", "rev1", "ok", "used"), ("Messy", "rev1", "dead", "pruned")], "repo string, rev string, path string, blob string")
+    links = spark.createDataFrame([("Messy", "rev1", "ok", "used"), ("Messy", "rev1", "dead", None), ("Messy", "rev1", "file in place", "regular")], "repo string, rev string, path string, blob string")
     got = sorted(r[0] for r in h.hub_findings(refs, snaps, blobs, links).select("kind").collect())
     assert got == ["dangling_ref", "dangling_snapshot_link", "incomplete_download", "orphan_blob", "pruned_husk"]
 
@@ -266,9 +266,9 @@ def test_foreign_copies_are_never_linked(spark):
 
 
 def test_scalars(spark):
-    assert values(spark, x.human_size, [0, 1023, 1024, 17924717632, 1280, 1331], "long") == ["0 B", "1023 B", "1.0 KiB", "16.7 GiB", "1.2 KiB", "1.3 KiB"]
+    assert values(spark, x.human_size, [0, 1000, 3072, 5905580032, 1280, 1331], "long") == ["0 B", "1000 B", "3.0 KiB", "5.5 GiB", "1.2 KiB", "1.3 KiB"]
     assert values(spark, n.sanitized, ["../e", "a/../../e", "/etc/passwd", "", "..", "./a/./b.gguf"]) == [None] * 5 + ["a/b.gguf"]
-    good, bad = ["unsloth/Qwen3-30B-GGUF"], ["noslash", "too/many/slashes", "/leading", "trailing/", "../../etc", "org/name?x=1", "a/b\n"]
+    good, bad = ["maker/Some-Model_1.5"], ["noslash", "too/many/slashes", "/leading", "trailing/", "../../etc", "org/name?x=1", "a/b\n"]
     assert values(spark, x.valid_repo, good + bad) == [True] + [False] * 7
     sha = "AB" * 32
     assert values(spark, x.etag_sha256, [sha, f'"{sha}"', f'W/"{sha}"', "ab" * 16, ""]) == [sha.lower()] * 2 + [None] * 3
@@ -284,6 +284,60 @@ def test_trash_names(spark):
     assert [r[3] for r in rows(actions.trash_names(f))] == ["d/plain", "d/plain.1", "m-Q4.gguf", "m-Q4.1.gguf"]
 
 
+def test_trash_names_that_are_taken(spark):
+    arrive = lambda *names: spark.createDataFrame([("s", f, i) for i, f in enumerate(names)], "root_id string, rel_path string, ord long")
+    there = spark.createDataFrame([("s", "m.gguf"), ("s", "m.2.gguf"), ("s", "d/x.1"), ("t", "m.3.gguf")], "root_id string, rel_path string")
+    go = lambda a, p=None: [r["trash_path"] for r in sorted(actions.trash_names(a, p).collect(), key=lambda r: r["ord"])]
+    assert go(arrive("m.gguf", "m.gguf", "m.2.gguf"), there) == ["m.1.gguf", "m.3.gguf", "m.2.1.gguf"]
+    assert go(arrive("m.1.gguf", "m.gguf", "m.gguf", "m.gguf")) == ["m.1.gguf", "m.gguf", "m.2.gguf", "m.3.gguf"]
+    assert go(arrive("d/x", "d/x", "d/x"), there) == ["d/x", "d/x.2", "d/x.3"]
+    assert actions.trash_names(arrive("m.gguf").limit(0), there).count() == 0
+
+
+def inventory(spark):
+    f = files(
+        spark,
+        ("s", "d/big-00001-of-00002.gguf", 40, fp(40, 1, 1), "a1", True), ("s", "d/big-00002-of-00002.gguf", 40, fp(40, 1, 2), "a2", True),
+        ("s", "Middle.gguf", 60, fp(60, 1, 3), "b", True), ("s", "small.gguf", 5, fp(5, 1, 4), "c", True), ("s", "middle.gguf", 50, fp(50, 1, 5), "d", False),
+    )
+    r = roots(spark, ("s", "shelf", True))
+    return c.models(f), c.with_state(c.locations(f, r), r)
+
+
+def test_inventory_orders(spark):
+    mods, stated = inventory(spark)
+    splits = a.split_rollup(mods, b.split_primary(b.bundle(mods, stated.drop("state")), stated.drop("state")), c.backed_up(stated))
+    names = lambda *args: [r["key"][7:] for r in a.inventory_view(mods, stated, *args).collect()]
+    assert names("size", False, splits) == ["a1", "b", "d", "a2", "c"]  # a split set goes by the size of all its parts
+    assert names("name") == ["a1", "a2", "b", "d", "c"]  # letters' case doesn't matter; equal names go by the rest of the text
+    assert names("name", False) == ["c", "d", "b", "a2", "a1"]
+    assert names("state", True)[0] == "d"
+
+
+def test_verification_is_written_back(spark):
+    f = files(spark, ("d", "ok", 1, None, "1", True, 5), ("d", "bad", 1, None, "2", True, 6), ("d", "gone", 1, None, "3", True), ("d", "odd/../../up", 1, None, "4", True, 7), ("d", "raw", 1, None, None, True), ("off", "x", 1, None, "1", True))
+    r = roots(spark, ("d", "removable", True), ("off", "removable", False))
+    fresh = spark.createDataFrame([("d", "ok", "1"), ("d", "bad", "x"), ("d", "odd/../../up", "4")], "root_id string, rel_path string, sha256 string")
+    checked = actions.verify(f, fresh, r)
+    assert dict(rows(checked.select("rel_path", "status"))) == {"ok": "ok", "bad": "mismatched", "gone": "missing", "odd/../../up": "mismatched", "raw": "unhashed"}
+    after = actions.verified(f, checked, 99)
+    assert dict(rows(after.select("rel_path", "verified_unix"))) == {"ok": 99, "bad": 6, "gone": None, "odd/../../up": 7, "raw": None, "x": None}
+    assert after.columns == f.columns and rows(actions.offline_owned(r)) == [("off",)]
+
+
+def test_demote_wants_an_owned_target_that_is_there(spark):
+    mods, stated = inventory(spark)
+    status = lambda t=None: {r["status"] for r in actions.demote(mods, stated, t).collect()}
+    assert status() == status({"kind": "removable", "online": True}) == {"demote", "no live shelf copy"}
+    assert status({"kind": "removable", "online": False}) == {"target offline"} and status({"kind": "hf_hub", "online": True}) == {"target not owned"}
+
+
+def test_export_has_a_line_for_each_location(spark):
+    mods, stated = inventory(spark)
+    lines = rows(c.inventory_json(mods, stated.drop("state")))
+    assert len(lines) == 10 and all(line[2].startswith("{") for line in lines)
+
+
 def test_believable(spark):
     here = files(spark, ("r", "a/real.gguf", 5, None, None, True))
     told = files(spark, ("r", "a/real.gguf", 5, None, "1", True), ("r", "../up", 5, None, "2", True), ("r", "/abs", 5, None, "3", True), ("r", "a/real.gguf", 6, None, "4", True), ("r", "none", 5, None, "5", True))

@@ -7,10 +7,12 @@ import json
 import os
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
-from stowage.operators.health import hub_findings
-from stowage.sources import documents, headers, scanner
+from stowage.operators import picks
+from stowage.operators.health import hub_health
+from stowage.sources import documents, headers, scanner, state
 from stowage.streaming import journal
 
 from .conftest import rows
@@ -45,6 +47,76 @@ def test_shelf(spark, tmp_path):
     assert got == {"a.gguf": True, "sub/B.GGUF": True, "emb/model.safetensors": True, "emb/tok.json": True, "emb/deep/c.json": True, "emb/dead.bin": False}
 
 
+def test_a_shelf_that_holds_weights_itself(spark, tmp_path):
+    for f in ("model.safetensors", "tokenizer.json", "sub/deep/c.json", ".git/x"):
+        put(tmp_path / f)
+    assert {r["rel_path"] for r in scanner.scan(spark, str(tmp_path)).collect()} == {"model.safetensors", "tokenizer.json", "sub/deep/c.json"}
+
+
+def test_deep_shelves(spark, tmp_path):
+    for f in ("a/b/c/d/m.gguf", "a/x.gguf", "a/b/emb/w.bin", "a/b/emb/s/t.json", "top.gguf", "a/no.json", ".a/b/n.gguf"):
+        put(tmp_path / f)
+    rows_of = lambda depth: sorted(r["rel_path"] for r in scanner.scan(spark, str(tmp_path), depth=depth).collect())
+    assert rows_of(16) == ["a/b/c/d/m.gguf", "a/b/emb/s/t.json", "a/b/emb/w.bin", "a/x.gguf", "top.gguf"]
+    assert rows_of(3) == ["a/b/emb/s/t.json", "a/b/emb/w.bin", "a/x.gguf", "top.gguf"] and rows_of(1) == ["a/x.gguf", "top.gguf"]
+
+
+def test_the_journal_keeps_its_order(spark, tmp_path):
+    path = str(tmp_path / "j")
+    assert documents.journal(spark, path).count() == 0
+    for i in range(4):
+        documents.append_journal(spark.createDataFrame([(f"2024-01-0{i + 1}", f"entry {i}.{k}") for k in range(3)], "ts string, line string"), path)
+    got = [r["line"] for r in documents.journal(spark, path).orderBy("seq").collect()]
+    assert got == [f"entry {i}.{k}" for i in range(4) for k in range(3)]
+    assert [r["line"] for r in picks.tail(documents.journal(spark, path), 4).collect()] == got[-4:]
+
+
+def test_exports_are_whole(spark, tmp_path):
+    path = str(tmp_path / "inventory")
+    for n in (1, 2):
+        documents.save_export(spark.createDataFrame([("k", n)], "key string, n long"), path)
+    assert [r["n"] for r in spark.read.json(path).collect()] == [2] and [r["n"] for r in spark.read.json(f"{path}.bak").collect()] == [1]
+    assert sorted(os.listdir(tmp_path)) == ["inventory", "inventory.bak"]
+
+
+def test_config(tmp_path):
+    path = str(tmp_path / "c/config.json")
+    assert state.read_config(path) == state.Config()
+    config = state.Config(shelves=["/a"], discover=False)
+    state.save_config(config, path)
+    assert state.read_config(path) == config and os.stat(path).st_mode & 0o777 == 0o600
+    put(path, b"{broken")
+    assert state.config_or_defaults(path) == state.Config()
+    with pytest.raises(ValueError):
+        state.save_config(config, path)
+    state.save_text(path, "new", keep=True)
+    assert open(path).read() == "new" and open(f"{path}.bak").read() == "{broken"
+
+
+def test_roots_keep_their_identity(tmp_path):
+    drive, config = tmp_path / "drive", state.Config(shelves=[str(tmp_path / "models")])
+    drive.mkdir()
+    first = state.register_root(config, str(drive), "Archive")
+    assert state.marker(str(drive)) == first["id"] and first["id"].startswith("ext-")
+    with pytest.raises(ValueError):
+        state.register_root(config, str(drive))
+    assert state.register_root(state.Config(roots=[]), str(drive))["id"] == first["id"]
+    put(tmp_path / "store/manifests/x")
+    os.makedirs(tmp_path / "hf/hub")
+    found = state.discover_roots(config, {"OLLAMA_MODELS": str(tmp_path / "store"), "HF_HOME": str(tmp_path / "hf"), "HOME": str(tmp_path)})
+    assert [(r["kind"], r["label"]) for r in found] == [("shelf", None), ("ollama", None), ("hf_hub", None), ("removable", "Archive")]
+    assert found[0]["root_id"].startswith("shelf-") and found[2]["root_id"].startswith("hf-hub-")
+
+
+def test_one_writer(tmp_path):
+    with state.writer(str(tmp_path)):
+        with pytest.raises(state.Locked, match=str(os.getpid())):
+            with state.writer(str(tmp_path)):
+                pass
+    with state.writer(str(tmp_path)):
+        pass
+
+
 def test_hub_and_its_health(spark, tmp_path):
     repo = tmp_path / "models--org--Messy"
     for b in ("used", "orphan", "dl.incomplete"):
@@ -56,14 +128,9 @@ def test_hub_and_its_health(spark, tmp_path):
     put(repo / "refs/old", b"rev0gone")
     put(tmp_path / "models--org--Husk/refs/main", b"rev0")
     assert {r["name"] for r in scanner.scan(spark, str(tmp_path), "hf_hub").collect()} == {"org/Messy"}
-    parts = scanner.scan(spark, str(tmp_path), "links", 3).withColumn("repo", F.element_at(F.split("rel_path", "/"), 1)).cache()
-    kind = lambda k: parts.filter(F.col("extra") == k)
-    last = F.element_at(F.split("rel_path", "/"), -1)
-    refs = kind("ref").select("repo", last.alias("ref"), F.col("name").alias("rev"))
-    snaps = kind("snapshot").select("repo", F.col("name").alias("rev"))
-    blobs = kind("blob").select("repo", F.col("name").alias("blob"), "size")
-    links = kind("link").select("repo", F.lit("").alias("rev"), F.col("rel_path").alias("path"), F.col("name").alias("blob"))
-    assert sorted(r["kind"] for r in hub_findings(refs, snaps, blobs, links).collect()) == ["dangling_ref", "dangling_snapshot_link", "incomplete_download", "orphan_blob", "pruned_husk"]
+    put(repo / "snapshots/rev1/config.json", b"in place, not a link")
+    os.symlink("../../blobs/dl.incomplete", repo / "snapshots/rev1/half.gguf")
+    assert sorted(r["kind"] for r in hub_health(scanner.scan(spark, str(tmp_path), "links", 3)).collect()) == ["dangling_ref", "dangling_snapshot_link", "incomplete_download", "orphan_blob", "pruned_husk"]
 
 
 def test_store(spark, tmp_path):
