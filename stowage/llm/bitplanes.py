@@ -3,8 +3,9 @@
 A file is a run of segments, each: magic, length of the whole segment, header, document table, chunk index, planes, and a
 closing newline. The chunk index has, for every block, its number of ids and the compressed size of each plane, so a
 reader finds any block without touching others. Spark's own text writer puts the bytes to storage (a segment is a row,
-the newline its end), hence the committers and every file system that Spark knows work, and a lost task leaves no half
-file; Spark's binaryFile reader brings them back.
+the newline its end; it puts the bytes of a string as they are, which a test holds), hence the committers and every file
+system that Spark knows work, and a lost task leaves no half file; a file ends after SEGMENTS_PER_FILE segments, so its
+size doesn't grow with the table, and Spark's binaryFile reader brings it back as a whole.
 
 Cases: null and empty text are documents of the end id alone; null doc_ids come first; repeated rows are documents of
 their own; an empty table gives no file and no rows; other columns are ignored.
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialize, scratch_path
+from .common import materialize, numbered_files, scratch_path
 
 MAGIC = b"STOWPLN1"
 HEAD = struct.Struct("<8sQIIIBQI")  # magic, segment bytes, ids a block, documents, blocks, bits a plane, ids, bytes of the document table
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20
+SEGMENTS_PER_FILE = 64
 
 
 def to_planes(ids: np.ndarray, plane_bits: int) -> list[bytes]:
@@ -63,7 +65,7 @@ def write_segment(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray,
     return HEAD.pack(MAGIC, total, block_ids, len(doc_ids), len(index), plane_bits, len(ids), len(table)) + b"".join(rest)
 
 
-def read_segments(file: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+def read_segments(file: bytes | memoryview) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
     """(doc_ids, sizes, ids) of each segment of a file."""
     at = 0
     while at < len(file):
@@ -93,7 +95,9 @@ def read_segments(file: bytes) -> Iterator[tuple[list[int | None], np.ndarray, n
         at += total
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, block_ids: int = BLOCK_IDS, plane_bits: int = 8) -> None:
+def write_token_files(
+    docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, block_ids: int = BLOCK_IDS, plane_bits: int = 8, segment_ids: int = SEGMENT_IDS, segments_per_file: int = SEGMENTS_PER_FILE
+) -> None:
     """Write the ids of whole texts, ``end_id`` after each, to files under ``path`` in ascending doc_id order."""
 
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,12 +115,12 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
         count = 0
         for batch in batches:
             lengths = tokens.text_sizes(batch)
-            for a, b in tokens.slices(lengths, 4 << 20):
-                ids, starts = encode(batch["text"][a:b].to_pylist())
+            for a, b in tokens.slices(lengths, min(2 << 20, 4 * segment_ids)):
+                ids, starts = encode(batch["text"][a:b])
                 names += batch["doc_id"][a:b].to_pylist()
                 held += [np.append(ids[s:e], np.uint32(end_id)) for s, e in zip(starts[:-1], starts[1:], strict=True)]
                 count += len(ids)
-                if count >= SEGMENT_IDS:
+                if count >= segment_ids:
                     yield flush()
                     count = 0
         if held:
@@ -124,7 +128,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
 
     text_hash = F.xxhash64("text")
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", text_hash).sortWithinPartitions("doc_id", text_hash)
-    ordered.mapInArrow(encode_all, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("compression", "none").text(path)
+    ordered.mapInArrow(encode_all, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("compression", "none").option("maxRecordsPerFile", segments_per_file).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -132,27 +136,27 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, content in zip(batch["part"].to_pylist(), batch["content"], strict=True):
+            for part, file, content in zip(batch["part"].to_pylist(), batch["file"].to_pylist(), batch["content"], strict=True):
                 start = 0
-                for doc_ids, sizes, ids in read_segments(content.as_buffer().to_pybytes()):
+                for doc_ids, sizes, ids in read_segments(memoryview(content.as_buffer())):
                     ends = np.cumsum(sizes)
                     crcs = [zlib.crc32(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                     yield pa.RecordBatch.from_pydict(
-                        {"part": [part] * len(doc_ids), "doc_id": pa.array(doc_ids, pa.int64()), "local": pa.array(start + ends - sizes), "n_tokens": pa.array(sizes), "ids_crc32": pa.array(crcs, pa.int64())}
+                        {"part": [part] * len(doc_ids), "file": [file] * len(doc_ids), "doc_id": pa.array(doc_ids, pa.int64()), "local": pa.array(start + ends - sizes), "n_tokens": pa.array(sizes), "ids_crc32": pa.array(crcs, pa.int64())}
                     )
                     start += int(sizes.sum())
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    part = F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("part")
-    found = materialize(files.select(part, "content").mapInArrow(decode, "part long, doc_id long, local long, n_tokens long, ids_crc32 long"), "documents_of_files")
-    totals = found.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # one row a file
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return found.join(bases, "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    schema = "part long, file long, doc_id long, local long, n_tokens long, ids_crc32 long"
+    found = materialize(numbered_files(spark, path).mapInArrow(decode, schema), "documents_of_files")
+    totals = found.groupBy("part", "file").agg(F.sum("n_tokens").alias("total"))  # one row a file
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("part", "file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    return found.join(bases, ["part", "file"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, **layout: int) -> DataFrame:
+    """What ``read_token_files`` finds in files of ``docs``; ``layout`` as in ``write_token_files``."""
     spark = docs.sparkSession
     path = scratch_path(spark, "token_files")
-    write_token_files(docs, vocabulary, path)
+    write_token_files(docs, vocabulary, path, **layout)
     return read_token_files(spark, path)

@@ -3,8 +3,10 @@
 Texts are exploded into pre-tokens with their positions, chunk by chunk: a chunk (some MB of whole documents) gives its
 distinct words, dealt to buckets by a hash of the word, and a row of positions (which word stands where). A bucket sees
 all chunks' rows for its words one after the other and encodes each distinct word once; the ids go back to the chunk,
-which puts them together by position. Decoding looks every id up in the token-byte table, whose size is the
-vocabulary's. Rows of one word are one a chunk, so the most frequent word weighs no more than any other.
+which puts them together by position. Decoding is a map-side join of the ids with the token-byte table, whose size is
+the vocabulary's. Rows of one word are one a chunk, so the most frequent word weighs no more than any other. A worker
+holds the distinct words of one bucket; their number rises with the corpus much more slowly than the corpus itself, so
+from MANY_BUCKETS on the number of buckets rises with the square root of the corpus.
 
 The words and the positions are two evaluations over the same input; a checksum of the chunk's words is carried by
 both, so an input that isn't the same twice ends in an error, never in wrong ids. Give it a table, not a random sample.
@@ -31,10 +33,8 @@ from pyspark.sql import functions as F
 from . import tokens
 
 CHUNK_BYTES = 8 << 20
-BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 8192
-#: Words of one bucket that a worker keeps; beyond that it forgets and encodes anew.
-KEPT_WORDS = 1_000_000
-POSITIONS = 1 << 20  # sorts after all buckets
+BUCKET_BYTES, MANY_BUCKETS = 16 << 20, 8192
+POSITIONS = (1 << 31) - 1  # sorts after all buckets
 ROWS = "chunk long, bucket int, payload binary"
 
 
@@ -63,15 +63,12 @@ class WordCodes(tokens.PieceEncoder):
         self.find = regex.compile(pattern).findall
         self.words = False
         self.codes: dict[str, int] = {}
-        self.reset()
+        self.prepare()
 
-    def library(self, texts: list[str]) -> list[np.ndarray]:
+    def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes = self.codes
-        return [np.array([codes.setdefault(w, len(codes)) for w in self.find(t)], np.uint32) for t in texts]
-
-    def translate(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        own = self.library(pieces)
-        return np.concatenate(own), np.array([len(x) for x in own])
+        own = [self.find(p) for p in pieces]
+        return np.fromiter((codes.setdefault(w, len(codes)) for words in own for w in words), np.uint32), np.fromiter(map(len, own), np.int64, len(own))
 
 
 class Ranks:
@@ -97,7 +94,7 @@ def ranks_of(path: str, pattern: str) -> Ranks:
     return _ranks[path, pattern]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, list[str], int]]:
+def chunks(batches: Iterator[pa.RecordBatch], pattern: str, chunk_bytes: int) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, list[str], int]]:
     """(chunk id, doc_ids, number of words of each, codes, words by code, checksum). Codes go by falling frequency.
 
     The id is a digest of what the chunk holds; equal chunks (rows repeated in bulk) have equal rows, so sharing an id does no harm.
@@ -127,12 +124,12 @@ def chunks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[in
 
     for batch in batches:
         lengths = tokens.text_sizes(batch)
-        for a, b in tokens.slices(lengths, CHUNK_BYTES // 4):
+        for a, b in tokens.slices(lengths, chunk_bytes // 4):
             own = sum(lengths[a:b])
-            if held and held + own > CHUNK_BYTES:
+            if held and held + own > chunk_bytes:
                 yield close()
                 held = 0
-            found, starts = numberer.encode(batch["text"][a:b].to_pylist())
+            found, starts = numberer.encode(batch["text"][a:b])
             doc_ids += batch["doc_id"][a:b].to_pylist()
             codes.append(found)
             sizes.append(np.diff(starts))
@@ -141,9 +138,9 @@ def chunks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[in
         yield close()
 
 
-def word_rows(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
+def word_rows(docs: DataFrame, pattern: str, buckets: int, chunk_bytes: int) -> DataFrame:
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, _, _, words, checksum in chunks(batches, pattern):
+        for chunk, _, _, _, words, checksum in chunks(batches, pattern, chunk_bytes):
             raw = [w.encode() for w in words]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
             order = np.argsort(bucket, kind="stable")
@@ -160,9 +157,9 @@ def word_rows(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     return docs.mapInArrow(explode, ROWS)
 
 
-def position_rows(docs: DataFrame, pattern: str) -> DataFrame:
+def position_rows(docs: DataFrame, pattern: str, chunk_bytes: int) -> DataFrame:
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, doc_ids, sizes, codes, _, checksum in chunks(batches, pattern):
+        for chunk, doc_ids, sizes, codes, _, checksum in chunks(batches, pattern, chunk_bytes):
             known = np.array([d is not None for d in doc_ids], np.uint8)
             keys = np.array([d or 0 for d in doc_ids], "<i8")
             planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
@@ -182,7 +179,7 @@ def encode_rows(words: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             out = []
             for bucket, payload in zip(batch["bucket"].to_pylist(), batch["payload"], strict=True):
-                if bucket != current or len(known) > KEPT_WORDS:
+                if bucket != current:
                     known, current = {}, bucket
                 raw = unsqueeze(payload.as_py())
                 n = head_of(raw)[1]
@@ -261,20 +258,26 @@ def _whole(doc_ids: list, ids: list[np.ndarray], table: list[bytes]) -> pa.Recor
     )
 
 
-def _encoded(docs: DataFrame, path: str, pattern: str, schema: str, describe) -> DataFrame:
+def buckets_for(size: int) -> int:
+    """How many buckets the words of ``size`` bytes of text are dealt to."""
+    wanted = math.ceil(size / BUCKET_BYTES)
+    return max(1, wanted if wanted <= MANY_BUCKETS else math.ceil(math.sqrt(wanted * MANY_BUCKETS)))
+
+
+def _encoded(docs: DataFrame, path: str, pattern: str, schema: str, describe, buckets: int | None, chunk_bytes: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(MOST_BUCKETS, max(1, math.ceil(size / BUCKET_BYTES)))
-    words = word_rows(docs, pattern, buckets).repartition("bucket").sortWithinPartitions("bucket")
-    rows = encode_rows(words, path, pattern).unionByName(position_rows(docs, pattern))
+    if buckets is None:
+        buckets = buckets_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    words = word_rows(docs, pattern, buckets, chunk_bytes).repartition("bucket").sortWithinPartitions("bucket")
+    rows = encode_rows(words, path, pattern).unionByName(position_rows(docs, pattern, chunk_bytes))
     return reassemble(rows.repartition("chunk").sortWithinPartitions("chunk", "bucket"), path, pattern, schema, describe)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, ids (array<int>) and decoded (bytes) of every document."""
-    return _encoded(docs, path, pattern, "doc_id long, ids array<int>, decoded binary", _whole)
+    return _encoded(docs, path, pattern, "doc_id long, ids array<int>, decoded binary", _whole, buckets, chunk_bytes)
 
 
-def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digest_documents(docs: DataFrame, path: str, pattern: str, buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    return _encoded(docs, path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)
+    return _encoded(docs, path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", _digests, buckets, chunk_bytes)

@@ -6,7 +6,6 @@ import atexit
 import math
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Sequence
 from pathlib import Path
@@ -14,16 +13,26 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize, scratch_path
+
+__all__ = ["documents", "materialize", "number_rows", "numbered_files", "scratch_path", "ship", "unused"]
+
 #: Rows that one cell of ``number_rows`` holds on average, so that no task sorts an unbounded group.
 ROWS_PER_CELL = 20_000
 
 
+#: Rows go to Python workers in batches of so many bytes, so that neither side holds much at a time.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application, so that they need no installation."""
+    """Send this package to the executors, once an application, so that they need no installation, and bound the session's batches."""
     context = spark.sparkContext
+    size = spark.conf.get(BATCH, None)
+    if size is None or not size.rstrip("bB").isdigit() or not 0 < int(size.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[2]
@@ -42,33 +51,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset, a local session gets a temporary folder that goes with the process; any other session gets
-    a folder in its warehouse, since a machine-local one would be lost on a cluster.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        base = tempfile.mkdtemp(prefix="stowage-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    else:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stowage_scratch"
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/stowage/{uuid.uuid4().hex}/{name}"
+def numbered_files(spark: SparkSession, path: str) -> DataFrame:
+    """part (the partition that a file was written from), file (its place among that partition's) and content of the files that Spark wrote to ``path``."""
+    name = F.element_at(F.split("path", "/"), -1)
+    part, file = F.regexp_extract(name, r"part-(\d+)", 1), F.regexp_extract(name, r"-c(\d+)[^-]*$", 1)
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return read.select(part.cast("long").alias("part"), F.coalesce(file.try_cast("long"), F.lit(0)).alias("file"), "content")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back: the lineage is cut, and lost executors lose nothing."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def unused(columns: Sequence[str], name: str) -> str:
+    """``name``, with marks behind it as long as one of ``columns`` has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def number_rows(
@@ -82,17 +78,15 @@ def number_rows(
     """
     cells = max(16, math.ceil(total / ROWS_PER_CELL))
     group = list(group)
-    dealt = rows.withColumn("__cell", F.pmod(F.xxhash64(*salt), F.lit(cells)))
-    counts = dealt.groupBy(*group, "__cell").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)],
-        F.col("__cell").alias("__c"),
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"),
-    )
-    place = F.row_number().over(Window.partitionBy(*group, "__cell").orderBy(*order)) - 1
-    on = F.col("__cell") == F.col("__c")
-    for i, g in enumerate(group):
-        on &= F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    joined = dealt.withColumn("__place", place).join(offsets, on)
-    return joined.withColumn(out, (F.col("__base") + F.col("__place")).cast("long")).select(*rows.columns, out)
+    cell, place, base = (unused(rows.columns, n) for n in ("cell", "place", "base"))
+    dealt = rows.withColumn(cell, F.pmod(F.xxhash64(*salt), F.lit(cells)))
+    counts = dealt.groupBy(*group, cell).agg(F.count(F.lit(1)).alias(base))
+    before = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [f"{k}_of" for k in (*group, cell)]
+    offsets = counts.select(*[F.col(c).alias(k) for c, k in zip((*group, cell), keys, strict=True)], F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))
+    numbered = dealt.withColumn(place, F.row_number().over(Window.partitionBy(*group, cell).orderBy(*order)) - 1)
+    on = F.lit(True)
+    for c, k in zip((*group, cell), keys, strict=True):
+        on &= numbered[c].eqNullSafe(offsets[k])
+    joined = numbered.join(offsets, on)
+    return joined.select(*[numbered[f"`{c}`"] for c in rows.columns], (offsets[base] + numbered[place]).cast("long").alias(out))

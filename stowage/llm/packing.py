@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialize, number_rows
+from .common import materialize, number_rows, unused
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -36,8 +36,8 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0)
         encode = tokens.encoder(vocabulary).encode
         for batch in batches:
             lengths = tokens.text_sizes(batch)
-            for a, b in tokens.slices(lengths, 4 << 20):
-                ids, starts = encode(batch["text"][a:b].to_pylist())
+            for a, b in tokens.slices(lengths, 2 << 20):
+                ids, starts = encode(batch["text"][a:b])
                 rows = []
                 for doc, s, e in zip(batch["doc_id"][a:b].to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                     own = np.append(ids[s:e], np.uint32(end_id)).astype("<u4")
@@ -138,18 +138,19 @@ def place_table(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to ``items`` (a written table with length from 1 to ``capacity`` and any other columns)."""
+    """Add sequence_id and offset to ``items`` (a written table with length from 1 to ``capacity``, doc_id, piece and any other columns but these two)."""
     counts = {r[0]: r[1] for r in items.groupBy("length").count().collect()}  # at most one row a length
     table = place_table(plan_bins(counts, capacity))
     span = max(counts.values(), default=0) + 1
     keys = table[:, 0] * span + table[:, 1]
-    numbered = number_rows(items, ["length"], [c for c in items.columns if c != "length"], ["doc_id", "piece"], "__number", sum(counts.values()))
+    mark = unused(items.columns, "number")
+    numbered = number_rows(items, ["length"], [F.col(f"`{c}`") for c in items.columns if c != "length"], ["doc_id", "piece"], mark, sum(counts.values()))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, number = (batch[c].to_numpy(zero_copy_only=False) for c in ("length", "__number"))
+            length, number = (batch[c].to_numpy(zero_copy_only=False) for c in ("length", mark))
             row = np.searchsorted(keys, length * span + number, side="right") - 1
-            out = {c: batch[c] for c in batch.schema.names if c != "__number"}
+            out = {c: batch[c] for c in batch.schema.names if c != mark}
             out |= {"sequence_id": pa.array(table[row, 2] + number - table[row, 1]), "offset": pa.array(table[row, 3])}
             yield pa.RecordBatch.from_pydict(out)
 
