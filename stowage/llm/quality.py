@@ -84,18 +84,18 @@ def mask_of(policy: str) -> int:
     return sum(1 << names.index(n) for n in POLICIES[policy])
 
 
-def ledger(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, the measurements and failed_bits of every row."""
+def ledger(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns ``keep``, the measurements (of the column ``text``) and failed_bits of every row."""
     keep = list(keep)
 
     def measure_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in tokens.slices(tokens.text_sizes(batch), 8 << 20):
-                rows = [measure(t) for t in batch["text"][a:b].to_pylist()]
+            for a, b in tokens.slices(tokens.text_sizes(batch, text), 4 << 20):
+                rows = [measure(t.as_py()) for t in batch[text][a:b]]
                 columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[batch[c][a:b] for c in keep], *columns], names=[*keep, *MEASURES])
 
-    given = docs.select(*keep, *(["text"] if "text" not in keep else []))
+    given = docs.select(*keep, *([text] if text not in keep else []))
     measured = given.mapInArrow(measure_all, StructType([*docs.select(*keep).schema.fields, *[StructField(m, LongType()) for m in MEASURES]]))
     bits = F.lit(0).cast("long")
     for i, (_, fails) in enumerate(rules()):
@@ -127,9 +127,9 @@ def judged(docs: DataFrame, policy: str = "v1") -> DataFrame:
 
 def passing(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
-    own = [f"__own{i}" for i in range(len(docs.columns))]
-    named = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True)], F.col("text"))
-    entries = ledger(named, own)
+    own = [f"own{i}" for i in range(len(docs.columns))]
+    named = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True)])
+    entries = ledger(named, own, own[docs.columns.index("text")])
     return entries.filter(passes("base") & passes(policy)).select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own, strict=True)])
 
 
@@ -154,3 +154,9 @@ b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_wo
              + 64 * (n_chars_alpha >= 100 AND 2 * n_chars_upper > n_chars_alpha)::INT + 128 * (2 * n_digits > word_chars)::INT AS BIGINT) AS failed_bits FROM m)
 SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept FROM b
 """
+
+#: The rows of the ablations of policy v1 in DuckDB's SQL.
+ABLATION_SQL = f"""
+SELECT rule, CAST(sum(((failed_bits & bit) <> 0)::INT) AS BIGINT) AS failing, CAST(sum((failed_bits = bit)::INT) AS BIGINT) AS failing_alone
+FROM ({SQL}) q, (VALUES {", ".join(f"('{name}', {1 << i})" for i, name in enumerate(POLICIES["v1"]))}) r(rule, bit) GROUP BY rule
+"""
