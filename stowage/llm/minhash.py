@@ -15,7 +15,8 @@ A document's set is its distinct w-word shingles, held as 64-bit hashes. Its ske
    differences of both from the pivot overlap in a number of shingles that follows from their sizes (``overlaps``), and
    the pair meets in the lists of the rarest of these, early enough to share as much. What all copies have in common is no longer in any list. Members
    far from the pivot meet in lists of their own shingles, the rarest within the group first. These lists go through the
-   same step, without pairs that are in one component by now, until none is left; the limit grows eightfold each time.
+   same step, without pairs that are in one component by now, until none is left; the limit grows with each time, up to
+   MOST_COST pairs.
 4. The union sketch of a pair estimates its similarity; a pair that shares less than that goes, the rest is verified on
    the full sets.
 5. Links are closed to components by smallest labels with pointer jumping, each round written to the shared folder.
@@ -42,7 +43,8 @@ from . import tokens
 from .common import materialize
 
 SKETCH = 40
-SHORT_LIST = 24
+#: Members of a list that compares all pairs at first, and pairs of such a list in later rounds at most.
+SHORT_LIST, MOST_COST = 24, 1 << 20
 #: The chance that a pair just at the threshold is lost in one of the two steps that look at sketches.
 LOSS = 1e-7
 #: From this similarity to the pivot on, members meet by their differences from it.
@@ -327,7 +329,7 @@ def linked_components(rows: DataFrame, reps: DataFrame, w: int, per_cent: int, k
         sized = materialize(in_play(lists, labels), "lists_in_play")
         if sized.isEmpty():
             return labels if labels is not None else components(known)
-        is_short = F.col("cost") <= SHORT_LIST**2 // 2 << 3 * turn
+        is_short = F.col("cost") <= min(SHORT_LIST**2 // 2 << 6 * turn, MOST_COST)
         pairs = pairs_of(sized.filter(is_short), threshold).join(known, ["a", "b"], "left_anti")
         guessed = materialize(estimated(materialize(pairs, "pairs"), reps, k), "estimates")
         likely = guessed.filter(F.col("estimate") >= share - 1e-9).select("a", "b", F.lit(False).alias("star"))
