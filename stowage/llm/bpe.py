@@ -54,17 +54,24 @@ def head_of(raw: bytes) -> tuple[int, int]:
     return struct.unpack_from("<II", raw)
 
 
+#: The pattern that pieces may be cut for as the encoder of ids cuts them (fixed value); for any other one texts stay whole.
+USUAL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class WordCodes(tokens.PieceEncoder):
-    """Numbers the pre-tokens of a chunk; the same cutting at spaces as for ids, so that the pattern runs once a piece."""
+    """Numbers the pre-tokens of a chunk; texts are cut as for ids, so that the pattern runs once a piece."""
 
     def __init__(self, pattern: str) -> None:
         import regex
 
         self.find = regex.compile(pattern).findall
-        self.words = False
+        self.words, self.whole = False, pattern != USUAL_PATTERN
         self.codes: dict[str, int] = {}
         self.prepare()
 
+    def cut(self, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (begins, ends) if self.whole else super().cut(raw, begins, ends)
+
     def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes = self.codes
         own = [self.find(p) for p in pieces]

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces, and ids of pieces, that a worker keeps (about 40 and 4 bytes each), and parts of words (strings of some 200 bytes).
-KEPT_PIECES, KEPT_IDS, KEPT_PARTS = 600_000, 6_000_000, 150_000
+KEPT_PIECES, KEPT_IDS, KEPT_PARTS = 400_000, 4_000_000, 100_000
 #: Bytes of a piece that is hashed at most, and of texts that are hashed at a time.
 LONGEST, BLOCK = 256, 1 << 19
 #: Pieces that are joined to one text for a call of the library.

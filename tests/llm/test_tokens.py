@@ -186,6 +186,18 @@ def test_long_texts_and_blocks(monkeypatch):
         assert [ids[s:t].tolist() for s, t in zip(starts, starts[1:], strict=False)] == [w.ids for w in want]
 
 
+def test_bpe_with_another_pattern(spark, tmp_path):
+    """One by which marks go with the word behind them."""
+    pattern = r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s+"
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("u", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = [*ODD, "(word)\n\nnext (word) 12345 a-b " * 30]
+    documents(spark, texts).write.parquet(str(tmp_path / "d"))
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode_documents(spark.read.parquet(str(tmp_path / "d")), RANKS, pattern).collect()}
+    assert got == {i: library.encode_ordinary(t or "") for i, t in enumerate(texts)} and public_tokenizers.PATTERN == bpe.USUAL_PATTERN
+
+
 def check_packed(rows, capacity):
     bins = {}
     for r in rows:
