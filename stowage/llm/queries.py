@@ -33,6 +33,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every rule of the policy rejects, and what it alone, from the stored ledger."""
+    return quality.ablations(materialize(quality.ledger(documents(spark, sf_dir).select("doc_id", "text")), "ledger"), "v1")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(documents(spark, sf_dir), w=3, per_cent=85)
 
@@ -64,9 +69,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_secrets": op9_secrets,
     "op10_bit_planes": op10_bit_planes,
+    "quality_ablations": quality_ablations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality.SQL,
     "op6_minhash": minhash.SQL,
+    "quality_ablations": quality.ABLATION_SQL,
 }

@@ -2,9 +2,12 @@
 
 A candidate is a value assigned to a name such as token or password, a key of a known provider, a long run of key
 characters with a digit in it, or a private key from its BEGIN to its END line. Its features are its length, the
-transitions between kinds of characters, how much of it dictionary words cover, what makes it look like a path, and
-words beside it. The forest is grown on the driver from a table of labelled findings of fixed size, and becomes one
-column expression, so scanning and redaction are projections without any shuffle.
+transitions between kinds of characters, how much of it dictionary words cover (the corpus' own most frequent words,
+counted over all documents, and a short fixed list), what makes it look like a path, and words beside it. The forest is
+grown on the driver from a table of labelled findings of bounded size, and becomes one column expression, so scanning and
+redaction are projections without any shuffle. No findings labelled by people come with the tables: the default ones are
+made by a rule; a quarter of them is held out from growing, and ``held_out_quality`` measures the forest on these. Others
+can be given.
 
 Cases: null and empty texts have no candidates and stay as they are; the noncharacters U+FDD0 and U+FDD1, which mark
 candidates, count as U+FDD2 in a text with candidates; repeated rows have their findings each; an empty table gives no
@@ -14,6 +17,7 @@ rows; other columns stay as they are in ``redacted`` and are ignored in ``findin
 from __future__ import annotations
 
 import random
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,10 +29,10 @@ ASSIGNED = rf"(?i:(?<![a-z])(?:[a-z0-9]{{1,20}}[_-]){{0,3}}(?:{NAMES})[\"']?\s{{
 #: Keys of known providers; one begins a candidate of its own wherever it stands, also within a URL or another value.
 KNOWN = (
     r"(?:(?<![A-Za-z0-9])|(?<=%[0-9A-Fa-f]{2})|(?<=\\[nrt]))(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}"
-    r"|AIza[0-9A-Za-z_-]{30,}|sk-(?=[a-z_-]{0,60}[A-Z0-9])[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*){1,4})"
+    r"|AIza[0-9A-Za-z_-]{30,}|sk-(?=[a-z_-]*+[A-Z0-9])[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*){1,4})"
 )
 #: A run ends at "=", so that the value of NAME=VALUE stands alone; the padding of base64 belongs to it.
-RUN = rf"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]{{0,60}}[0-9])(?:(?!{KNOWN})[A-Za-z0-9+/_.-]){{20,}}+(?:={{1,2}}(?![A-Za-z0-9+/_=.-]))?"
+RUN = rf"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*+[0-9])(?:(?!{KNOWN})[A-Za-z0-9+/_.-]){{20,}}+(?:={{1,2}}(?![A-Za-z0-9+/_=.-]))?"
 #: A private key up to its END line; without one, over the lines of base64 that follow (the last may be short), with line
 #: ends as such or escaped, quotes and comment marks around them. No other BEGIN lies within.
 _BREAK = r"[ \t\"',;+\\]*+(?:\r?\n|(?<=\\)n|(?<=\\)r\\n)[ \t>#*|\"'/]*?"
@@ -43,6 +47,8 @@ CANDIDATE = rf"{ASSIGNED}(?:{PRIVATE}|{VALUE})|{PRIVATE}|{KNOWN}|{RUN}"
 CONTEXT = 48
 #: Rows of labelled findings that the forest is grown from, and its shape.
 LABELLED, TREES, DEPTH, LEAST_ROWS, SEED = 4000, 15, 7, 4, 11
+#: Words of the corpus that the dictionary has at most.
+DICTIONARY = 1000
 #: Common words for the dictionary coverage (fixed list).
 WORDS = (
     "the and for that with this from have your here enter insert change example sample dummy test value name user email token secret password "
@@ -64,7 +70,22 @@ def value_of(candidate: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(candidate, rf"^{ASSIGNED}", ""), r"[;,.)\]}>#*$%&|!]+$", "")
 
 
-def features(candidate: Column, before: Column, after: Column) -> dict[str, Column]:
+def learned_words(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
+    """The most frequent words of four letters or more, counted over all texts; ties by the word."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,20}"), F.lit(0))).alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect())
+
+
+def dictionary(words: Iterable[str] = ()) -> str:
+    """A pattern of the given words and the fixed ones, the longer first, by their first letters."""
+    by: dict[str, list[str]] = {}
+    for w in sorted({*words, *(w for w in WORDS if len(w) > 2)}, key=lambda w: (-len(w), w)):
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by.items()))
+
+
+def features(candidate: Column, before: Column, after: Column, words: str) -> dict[str, Column]:
     value, name = value_of(candidate), prefix_of(candidate)
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
@@ -76,20 +97,20 @@ def features(candidate: Column, before: Column, after: Column) -> dict[str, Colu
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(40.0)),
         "digits": share("[0-9]"),
         "capitals": share("[A-Z]"),
-        "covered": 1 - F.length(F.regexp_replace(F.lower(value), "|".join(sorted((w for w in WORDS if len(w) > 2), key=len, reverse=True)), "")) / n,
+        "covered": 1 - F.length(F.regexp_replace(F.lower(value), words, "")) / n,
         "slashes": share(r"[/\\.]"),
         "extension": flag(value.rlike(r"\.[A-Za-z]{2,5}$")),
         "assigned": flag(F.length(name) > 0),
         "named": flag(near.rlike(rf"(?:{NAMES}|bearer|private|authorization)\W{{0,6}}$")),
         "benign": flag(near.rlike(r"(?:commit|sha-?\d*|md5|checksum|digest|hash|uuid|id|version|build|example|sample|https?://\S*|revision|file|path|isbn|order|page)\W{0,6}$")),
-        "quoted": flag(F.concat(before, name).rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]")),
+        "quoted": flag(F.concat(before, name).rlike(r"[\"'`]\z") & after.rlike(r"^[\"'`]")),
         "known": flag(value.rlike(rf"^{KNOWN}|PRIVATE KEY")),
         "hyphens": share("[_-]"),
     }
 
 
 def labelled_findings(spark: SparkSession) -> DataFrame:
-    """candidate, before, after, label: findings of known kinds, made from hashes of their numbers; LABELLED rows."""
+    """candidate, before, after, label, held_out: findings of known kinds, made from hashes of their numbers; LABELLED rows."""
     n = F.col("id")
     hexes = F.sha2(F.concat(F.lit("finding"), n), 256)
     letters = F.regexp_replace(F.concat(F.base64(F.unhex(hexes)), F.base64(F.unhex(F.sha2(hexes, 256)))), "[^A-Za-z0-9]", "")
@@ -126,7 +147,7 @@ def labelled_findings(spark: SparkSession) -> DataFrame:
         (F.substr(letters, F.lit(1), size), of("b", "https://site.org/watch?v=", "page ", "image ", "and ", "of the "), F.lit(" "), 0),
     ]
     made = F.element_at(F.array(*[F.struct(c.alias("candidate"), b.alias("before"), a.alias("after"), F.lit(y).alias("label")) for c, b, a, y in kinds]), (F.pmod(n, F.lit(len(kinds))) + 1).cast("int"))
-    return spark.range(LABELLED).select(made.alias("f")).select("f.*")
+    return spark.range(LABELLED).select(made.alias("f"), (F.pmod(F.xxhash64(n, F.lit("held out")), F.lit(4)) == 0).alias("held_out")).select("f.*", "held_out")
 
 
 def grow(rows: list[tuple[tuple[float, ...], int]], depth: int, pick: random.Random) -> tuple | float:
@@ -152,19 +173,35 @@ def grow(rows: list[tuple[tuple[float, ...], int]], depth: int, pick: random.Ran
     return f, cut, grow([r for r in rows if r[0][f] <= cut], depth - 1, pick), grow([r for r in rows if r[0][f] > cut], depth - 1, pick)
 
 
-_forests: dict[str, list] = {}
+_forests: dict[tuple[str, str], list] = {}
 
 
-def forest(spark: SparkSession) -> list:
-    """Trees grown on bootstrap samples of the labelled findings, once an application."""
-    app = spark.sparkContext.applicationId
-    if app not in _forests:
-        each = features(F.col("candidate"), F.col("before"), F.col("after"))
-        rows = labelled_findings(spark).coalesce(1).select(*[each[f].cast("double").alias(f) for f in FEATURES], "label").collect()  # LABELLED rows
+def measured(labelled: DataFrame, words: str) -> DataFrame:
+    each = features(F.col("candidate"), F.col("before"), F.col("after"), words)
+    return labelled.select(*[each[f].cast("double").alias(f) for f in FEATURES], "label", "held_out")
+
+
+def forest(spark: SparkSession, words: str, labelled: DataFrame | None = None) -> list:
+    """Trees grown on bootstrap samples of the labelled findings that aren't held out (bounded: ``labelled`` has LABELLED rows, about, at most)."""
+    key = spark.sparkContext.applicationId, words
+    if labelled is not None or key not in _forests:
+        rows = measured(labelled_findings(spark) if labelled is None else labelled, words).filter("NOT held_out").drop("held_out").coalesce(1).collect()
         data = sorted((tuple(round(v, 6) for v in r[:-1]), r[-1]) for r in rows)
         pick = random.Random(SEED)
-        _forests[app] = [grow(pick.choices(data, k=len(data)), DEPTH, pick) for _ in range(TREES)]
-    return _forests[app]
+        trees = [grow(pick.choices(data, k=len(data)), DEPTH, pick) for _ in range(TREES)]
+        if labelled is not None:
+            return trees
+        _forests[key] = trees
+    return _forests[key]
+
+
+def held_out_quality(spark: SparkSession, words: str, labelled: DataFrame | None = None, threshold: float = 0.5) -> dict[str, float]:
+    """Precision and recall of the forest on the labelled findings that it wasn't grown from."""
+    rows = measured(labelled_findings(spark) if labelled is None else labelled, words).filter("held_out")
+    at = F.struct(*FEATURES)
+    said = rows.select("label", (probability(forest(spark, words, labelled), at) >= threshold).alias("said"))
+    r = said.agg(F.count_if(F.col("said") & (F.col("label") == 1)).alias("right"), F.count_if("said").alias("said"), F.count_if(F.col("label") == 1).alias("real"), F.count(F.lit(1)).alias("n")).first()
+    return {"precision": r["right"] / max(1, r["said"]), "recall": r["right"] / max(1, r["real"]), "findings": r["n"]}
 
 
 def tree_column(tree: tuple | float, at: Column) -> Column:
@@ -178,9 +215,11 @@ def probability(trees: list, at: Column) -> Column:
     return reduce(lambda a, b: a + b, [tree_column(t, at) for t in trees]) / len(trees)
 
 
-def scanned(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with __pieces (the text before, between and after candidates) and __found, one entry a candidate."""
-    trees = forest(docs.sparkSession)
+def scanned(docs: DataFrame, threshold: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
+    """``docs`` (text and columns of other names than pieces, found and kept) with pieces (the text before, between and after candidates), found
+    (one entry a candidate) and kept (which of them are secrets)."""
+    words = dictionary(learned_words(docs))
+    trees = forest(docs.sparkSession, words, labelled)
     marked = F.regexp_replace(F.translate("text", OPEN + CLOSE, OTHER + OTHER), f"({CANDIDATE})", f"{OPEN}$1{CLOSE}")
     has = F.col("text").rlike(CANDIDATE)
     pieces = F.when(has, F.split(marked, OPEN)).otherwise(F.array().cast("array<string>"))
@@ -190,25 +229,25 @@ def scanned(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         return F.struct(
             i.alias("ordinal"),
             F.substring_index(p, CLOSE, 1).alias("candidate"),
-            F.substring(F.right(rest(F.element_at(F.col("__pieces"), i + 1)), F.lit(CONTEXT)), 1, CONTEXT).alias("before"),
+            F.substring(F.right(rest(F.element_at(F.col("pieces"), i + 1)), F.lit(CONTEXT)), 1, CONTEXT).alias("before"),
             F.substring(rest(p), 1, CONTEXT).alias("after"),
         )
 
     def measure(c: Column) -> Column:
-        each = features(c["candidate"], c["before"], c["after"])
+        each = features(c["candidate"], c["before"], c["after"], words)
         return F.struct(c["ordinal"].alias("ordinal"), c["candidate"].alias("candidate"), c["before"].alias("before"), c["after"].alias("after"), *[each[f].cast("double").alias(f) for f in FEATURES])
 
     def judge(c: Column) -> Column:
         return F.struct(c["ordinal"].alias("ordinal"), c["candidate"].alias("candidate"), c["before"].alias("before"), c["after"].alias("after"), probability(trees, c).alias("probability"))
 
-    tail = lambda: F.slice("__pieces", 2, F.greatest(F.size("__pieces") - 1, F.lit(0)))
-    seen = docs.withColumn("__pieces", pieces).withColumn("__found", F.transform(tail(), look))
-    return seen.withColumn("__found", F.transform(F.transform("__found", measure), judge)).withColumn("__kept", F.transform("__found", lambda c: c["probability"] >= threshold))
+    tail = lambda: F.slice("pieces", 2, F.greatest(F.size("pieces") - 1, F.lit(0)))
+    seen = docs.withColumn("pieces", pieces).withColumn("found", F.transform(tail(), look))
+    return seen.withColumn("found", F.transform(F.transform("found", measure), judge)).withColumn("kept", F.transform("found", lambda c: c["probability"] >= threshold))
 
 
 def findings(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, ordinal (of the candidate in its text), kind, secret, before, probability, is_secret of every candidate."""
-    found = scanned(docs.select(F.col("doc_id").cast("long"), "text"), threshold).filter(F.size("__found") > 0).select("doc_id", F.explode("__found").alias("f"))
+    found = scanned(docs.select(F.col("doc_id").cast("long"), "text"), threshold).filter(F.size("found") > 0).select("doc_id", F.explode("found").alias("f"))
     kind = F.when(F.col("f.candidate").rlike(PRIVATE), "private_key").when(F.length(prefix_of(F.col("f.candidate"))) > 0, "assigned").otherwise("run")
     return found.select(
         "doc_id", "f.ordinal", kind.alias("kind"), value_of(F.col("f.candidate")).alias("secret"), "f.before", F.round("f.probability", 6).alias("probability"), (F.col("f.probability") >= threshold).alias("is_secret")
@@ -218,19 +257,21 @@ def findings(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def redacted(docs: DataFrame, threshold: float = 0.5, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with secrets replaced by ``mask`` in text, and n_chars (where there is one) of the new text."""
     columns = docs.columns
-    seen = scanned(docs, threshold)
+    own = [f"own{i}" for i in range(len(columns))]
+    seen = scanned(docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(columns, own, strict=True)], F.col("text")), threshold)
 
     def put(p: Column, i: Column) -> Column:
         """The piece after a candidate, with the candidate as it is or masked before it."""
         candidate = F.substring_index(p, CLOSE, 1)
         name, value = prefix_of(candidate), value_of(candidate)
         closing = F.substring(candidate, F.length(name) + F.length(value) + 1, F.length(candidate))
-        own = F.when(F.element_at(F.col("__kept"), i + 1), F.concat(name, F.lit(mask), closing)).otherwise(candidate)
-        return F.concat(own, F.substring_index(p, CLOSE, -1))
+        masked = F.when(F.element_at(F.col("kept"), i + 1), F.concat(name, F.lit(mask), closing)).otherwise(candidate)
+        return F.concat(masked, F.substring_index(p, CLOSE, -1))
 
-    rebuilt = F.concat(F.element_at("__pieces", 1), F.array_join(F.transform(F.slice("__pieces", 2, F.greatest(F.size("__pieces") - 1, F.lit(0))), put), ""))
-    changed = F.exists("__kept", lambda k: k)
-    out = seen.withColumn("text", F.when(changed, rebuilt).otherwise(F.col("text")))
+    rebuilt = F.concat(F.element_at("pieces", 1), F.array_join(F.transform(F.slice("pieces", 2, F.greatest(F.size("pieces") - 1, F.lit(0))), put), ""))
+    changed = F.exists("kept", lambda k: k)
+    text = F.when(changed, rebuilt).otherwise(F.col("text"))
+    out = {c: F.col(o) for c, o in zip(columns, own, strict=True)} | {"text": text}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+        out["n_chars"] = F.when(changed, F.length(text)).otherwise(out["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return seen.select(*[v.alias(c) for c, v in out.items()])
