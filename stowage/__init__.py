@@ -1,0 +1,3 @@
+"""Content catalogs on Spark."""
+
+__version__ = "0.2.0"

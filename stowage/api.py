@@ -269,3 +269,10 @@ def fetch_plan(remote: DataFrame, pattern: str, repo: str, shelf: str, snapshot:
         sets = bundle.split_set(remote, picked).select("filename", "listed").distinct()
         chosen = sets.unionByName(bundle.projector_pick(remote, picked).withColumn("listed", F.lit(True)))
     return chosen.select("filename", "listed", dest_for(F.lit(shelf), F.lit(repo), F.col("filename")).alias("dest"))
+
+
+def commands() -> dict[str, str]:
+    """What there is to call: the commands of an ``Engine`` and the functions here, each with the first line of its description."""
+    own = {f"Engine.{n}": f for n, f in vars(Engine).items() if callable(f) and not n.startswith("_")}
+    here = {n: f for n, f in globals().items() if getattr(f, "__module__", None) == __name__ and callable(f) and not isinstance(f, type)}
+    return {n: (f.__doc__ or "").strip().split("\n")[0] for n, f in sorted({**own, **here}.items())}

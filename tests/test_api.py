@@ -180,3 +180,9 @@ def test_fetch(spark):
     got = rows(api.fetch_plan(listing, "BIG-00001", "org/name", "/s").select("filename", "listed", "dest"))
     assert got == [(f, True, f"/s/name/{f}") for f in names[:3]]
     assert len(rows(api.fetch_plan(listing, "", "org/name", "/s", snapshot=True))) == 4
+
+
+def test_commands_are_listed():
+    found = api.commands()
+    assert {"Engine.verify", "Engine.backup", "Engine.status", "refresh", "journal", "fetch_plan", "scan_roots"} <= set(found)
+    assert found["journal"].startswith("(ts, line)") and "Ambiguous" not in found and not any(n.startswith("Engine._") for n in found)

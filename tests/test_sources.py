@@ -61,6 +61,37 @@ def test_deep_shelves(spark, tmp_path):
     assert rows_of(3) == ["a/b/emb/s/t.json", "a/b/emb/w.bin", "a/x.gguf", "top.gguf"] and rows_of(1) == ["a/x.gguf", "top.gguf"]
 
 
+def test_inventory(spark, tmp_path):
+    places = [{"root_id": "r", "kind": "shelf", "rel_path": f"a{i}.gguf", "accessible": i == 0, "dev": 1, "ino": i} for i in range(2)]
+    models = {"sha256:aa": {"size": 3, "display_name": "n", "meta": {"architecture": "llama"}, "locations": places}, "sha256:bb": {"size": 4, "display_name": "m", "locations": []}}
+    put(tmp_path / "i.json", json.dumps({"schema_version": 1, "generated_unix": 1, "roots": [], "models": models}, indent=1).encode())
+    mods, locs = documents.inventory(spark, str(tmp_path / "i.json"))
+    assert rows(mods.select("key", "size", "meta.architecture")) == [("sha256:aa", 3, "llama"), ("sha256:bb", 4, None)]
+    assert rows(locs.select("key", "ord", "rel_path", "accessible")) == [("sha256:aa", 0, "a0.gguf", True), ("sha256:aa", 1, "a1.gguf", False)]
+
+
+def test_one_root_is_replaced_alone(spark, tmp_path):
+    path = str(tmp_path / "files")
+    documents.save_files(spark.createDataFrame([("a", "x"), ("b", "y")], "root_id string, rel_path string"), path)
+    documents.save_files(spark.createDataFrame([("a", "z")], "root_id string, rel_path string"), path)
+    saved = spark.read.parquet(path)
+    assert rows(saved.select("root_id", "rel_path")) == [("a", "z"), ("b", "y")]
+    assert rows(documents.without_root(saved, "a").select("rel_path")) == [("y",)]
+
+
+def test_incremental_refresh_of_arriving_scans(spark, tmp_path):
+    from .test_catalog import files, fp
+
+    known = files(spark, ("r", "same", 1, fp(1, 1, 1), "cafe", True), ("r", "new", 1, fp(1, 1, 2), "beef", True))
+    scan = files(spark, ("r", "same", 1, fp(1, 1, 1), None, True), ("r", "new", 1, fp(1, 1, 2, 9), None, True))
+    stored = []
+    for i in range(2):
+        scan.filter(F.col("ord") == i).write.mode("append").parquet(str(tmp_path / "scans"))
+        stream = journal.scan_stream(spark, str(tmp_path / "scans"), scan.schema)
+        journal.refresh_stream(stream, lambda: known, lambda df, n: stored.extend(rows(df.select("rel_path", "sha256"))), str(tmp_path / "c")).awaitTermination()
+    assert stored == [("same", "cafe"), ("new", None)]  # a restart goes on behind what it has seen
+
+
 def test_the_journal_keeps_its_order(spark, tmp_path):
     path = str(tmp_path / "j")
     assert documents.journal(spark, path).count() == 0
