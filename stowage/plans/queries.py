@@ -594,9 +594,17 @@ def journal_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/{last['batchId']}")
 
 
+def mounted(path: str) -> str:
+    """A path of the shared folder that every machine reaches as a file of its own; stores are scanned through such paths."""
+    plain = path.removeprefix("file:")
+    if "://" in plain:
+        raise ValueError(f"{path} is no mounted folder; set spark.checkpoint.dir to one")
+    return plain
+
+
 def written_shelf(spark: SparkSession, sf_dir: str) -> str:
     """A folder with a file for every path of the owned roots, holding the text of the first document there, written by the executors."""
-    top = scratch_path(spark, "shelf").removeprefix("file:")
+    top = mounted(scratch_path(spark, "shelf"))
     own = catalog(spark, sf_dir).files.filter("kind IN ('shelf', 'removable')").groupBy("root_id", "rel_path").agg(F.min("ord").alias("ord"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -629,7 +637,7 @@ def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def gguf_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers made of documents, written and read again: a model's own fields, one of another word, a per-layer array, one of no known type."""
-    top = scratch_path(spark, "headers").removeprefix("file:")
+    top = mounted(scratch_path(spark, "headers"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = lambda s: struct.pack("<Q", len(s.encode())) + s.encode()
