@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, bpe, language_id, minhash, packing, quality, secrets, sharding, tiff, token_counts
+from . import bitplanes, bpe, cross_polytope, language_id, merkle, minhash, packing, quality, secrets, sharding, tiff, token_counts, vector_codes
 from .common import documents, materialize
 from .tokens import default_path
 
@@ -58,6 +58,22 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.round_trip(documents(spark, sf_dir), default_path("byte_bpe_50k.json"))
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(embeddings(spark, sf_dir))
+
+
+def op12_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.linked(embeddings(spark, sf_dir), 0.9)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -69,11 +85,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_secrets": op9_secrets,
     "op10_bit_planes": op10_bit_planes,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_cross_polytope": op12_cross_polytope,
+    "op13_merkle": op13_merkle,
     "quality_ablations": quality_ablations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality.SQL,
     "op6_minhash": minhash.SQL,
+    "op11_vector_codes": vector_codes.sql(),
+    "op12_cross_polytope": cross_polytope.SQL,
+    "op13_merkle": merkle.sql(),
     "quality_ablations": quality.ABLATION_SQL,
 }
