@@ -160,25 +160,34 @@ def inverted(reps: DataFrame, share: float) -> DataFrame:
 
 
 def in_play(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``lists`` whose members are not of one component already, with label, cost (pairs of different components) and middle (the pivot)."""
+    """``lists`` whose members are not of one component already, with label, cost (pairs of different components), middle (the pivot) and
+    main (the component with most members)."""
     labelled = lists.withColumn("label", F.col("rep"))
     if labels is not None:
         labelled = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     classes_of = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("weight", "rep")).alias("middle"))
-    counted = classes_of.groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("cost"), F.max("middle").alias("middle"))
+    counted = classes_of.groupBy("key").agg(
+        ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("cost"), F.max("middle").alias("middle"), F.max(F.struct("m", "label"))["label"].alias("main")
+    )
     return labelled.join(counted.filter("cost > 0"), "key")
 
 
 def pairs_of(short: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of different components that meet in a list, fit in size and can share enough from there on."""
-    listed = short.groupBy("key").agg(F.collect_list(F.struct("rep", "n", "label", "left", "half")).alias("m"))  # bounded by the cost of a short list
+    """(a, b): pairs of different components that meet in a list, fit in size and can share enough from there on.
+
+    Members of the component with most members are compared with the rest alone, and stay rows. Of the rest, there are the square root
+    of twice the list's cost at most: all pairs of different components together are no fewer than half the square of their number.
+    """
+    rest = short.filter("label <> main").groupBy("key").agg(F.collect_list(F.struct("rep", "n", "label", "left", "half")).alias("rest"))
+    each = short.select("key", F.struct("rep", "n", "label", "left", "half").alias("x"), (F.col("label") == F.col("main")).alias("in_main")).join(rest, "key")
 
-    def fits(x: Column, y: Column) -> Column:
-        apart = (x["rep"] < y["rep"]) & (x["label"] != y["label"])
+    def fits(y: Column) -> Column:
+        x = F.col("x")
+        apart = (F.col("in_main") | (x["rep"] < y["rep"])) & (x["label"] != y["label"])
         return apart & (F.least(x["n"], y["n"]) >= F.lit(threshold - 1e-9) * F.greatest(x["n"], y["n"])) & (F.least(x["left"], y["left"]) >= x["half"] + y["half"] - F.lit(1e-6))
 
-    met = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: fits(x, y)), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"))))
-    return listed.select(F.explode(F.flatten(met)).alias("p")).select("p.a", "p.b").distinct()
+    met = each.select("x.rep", F.explode(F.transform(F.filter("rest", fits), lambda y: y["rep"])).alias("other"))
+    return met.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
