@@ -101,8 +101,8 @@ class Engine:
         return materialize(catalog.models(self.files), "models")
 
     @cached_property
-    def pairs(self) -> DataFrame:
-        return materialize(bundle.bundle(self.models, self.locations), "pairs")
+    def bundles(self) -> bundle.Bundles:
+        return bundle.bundles(self.models, self.locations).written()
 
     def select(self, queries: Sequence[str]) -> DataFrame:
         """The one content that each query names."""
@@ -168,13 +168,13 @@ class Engine:
         return self._moved(actions.restore(self.models, self.stated), queries)
 
     def _moved(self, plan: DataFrame, queries: Sequence[str]) -> DataFrame:
-        return plan.join(bundle.bundle_union(self.pairs, self.select(queries)), "key", "left_semi")
+        return plan.join(bundle.bundle_union(self.bundles, self.select(queries)), "key", "left_semi")
 
     def dedup(self) -> DataFrame:
         return actions.reclaim(self.stated, self.models)
 
     def delete(self, queries: Sequence[str]) -> DataFrame:
-        return actions.delete(self.pairs, self.select(queries), self.models, self.stated, self.roots)
+        return actions.delete(self.bundles, self.select(queries), self.models, self.stated, self.roots)
 
     def delete_preview(self, queries: Sequence[str]) -> dict[str, DataFrame]:
         """The plan of a delete, the copies that it can't reach now, and the commands for those of other owners."""
@@ -182,17 +182,17 @@ class Engine:
         return {"plan": plan, "unreachable": actions.unreachable_copies(plan, self.models, self.stated, self.roots), "commands": actions.foreign_commands(plan)}
 
     def backup_preview(self, queries: Sequence[str]) -> DataFrame:
-        return picks.backup_preview(self.models, bundle.bundle_union(self.pairs, self.matching(queries)))
+        return picks.backup_preview(self.models, bundle.bundle_union(self.bundles, self.matching(queries)))
 
     def cold_storage(self, text: str = "") -> DataFrame:
         """Contents that may go to cold storage, by a part of their name."""
-        kids = bundle.children(self.pairs, self.locations)
+        kids = bundle.children(self.bundles, self.locations)
         named = self.models.filter(F.lower("display_name").contains(text.lower())).select("key", "display_name", "size")
         return named.join(actions.cold_eligible(self.models, self.stated, kids), "key", "left_semi").orderBy(F.desc("size"), "key")
 
     def backup(self, target: str, queries: Sequence[str] = ()) -> DataFrame:
         chosen = self.matching(queries) if queries else None
-        return actions.backup(self.models, self.stated, target, self.files.filter(F.col("root_id") == target), self.pairs if queries else None, chosen)
+        return actions.backup(self.models, self.stated, target, self.files.filter(F.col("root_id") == target), self.bundles if queries else None, chosen)
 
     def verify(self, now: int, root: str | None = None, repair: bool = False) -> dict[str, DataFrame]:
         """Reads every file of online owned roots again, or of the one that ``root`` names. Paths that would leave a root count as mismatched.
@@ -218,7 +218,7 @@ class Engine:
         return Engine(fresh, self.roots).verify(now)
 
     def inventory(self, order: str = "name", ascending: bool = True, text: str = "") -> DataFrame:
-        splits = aggregates.split_rollup(self.models, bundle.split_primary(self.pairs, self.locations), catalog.backed_up(self.stated)) if order == "size" else None
+        splits = aggregates.split_rollup(self.models, bundle.split_primary(self.bundles, self.locations), catalog.backed_up(self.stated)) if order == "size" else None
         return aggregates.inventory_view(self.models, self.stated, order, ascending, splits).filter(F.lower(F.concat_ws(" ", "display_name", "quant", "places", "key")).contains(text.lower()))
 
 

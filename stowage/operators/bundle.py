@@ -2,44 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import ancestors, container, file_name, is_projector, is_weights, ollama_base, parent, split_part
+from ..sources.scratch import materialize
+from .ranks import numbered
+
+
+@dataclass
+class Bundles:
+    """The bundle relation in factors: a content (``keys``: key) has itself and, for each group that it heads (``heads``: key, grp), the
+    members of that group (``members``: grp, member). Both tables grow with the locations, the pairs that they stand for may grow with their square."""
+
+    keys: DataFrame
+    heads: DataFrame
+    members: DataFrame
+
+    def written(self) -> Bundles:
+        return Bundles(materialize(self.keys, "keys"), materialize(self.heads, "heads"), materialize(self.members, "members"))
+
+    def pairs(self, selected: DataFrame | None = None) -> DataFrame:
+        """(key, member) of all contents, or of the selected ones (column key)."""
+        keys, heads = self.keys, self.heads
+        if selected is not None:
+            keys, heads = (t.join(selected.select("key"), "key", "left_semi") for t in (keys, heads))
+        return keys.select("key", F.col("key").alias("member")).unionByName(heads.join(self.members, "grp").select("key", "member")).distinct()
+
+
+def bundles(mods: DataFrame, locs: DataFrame) -> Bundles:
+    """Which contents belong together, one step and not closed: models of one store name; all under the container of a
+    weights file, for that file; parts of one split set and projectors beside it, unless it is a projector itself.
+
+    "Under the container" is an equality with one of the ancestors of the other path, so every branch is an equi-join. Groups
+    that nothing heads, or that have no members, aren't kept.
+    """
+    group = lambda tag, *parts: F.concat_ws("\0", F.lit(tag), *parts)
+    named = locs.filter("kind = 'ollama'").join(mods.select("key", ollama_base(F.col("display_name")).alias("base")), "key").select("key", group("name", "root_id", "base").alias("grp")).distinct()
+    file = file_name(F.col("rel_path"))
+    placed = locs.filter("kind <> 'ollama'").select(
+        "key", "root_id", "rel_path", container(F.col("kind"), F.col("rel_path")).alias("box"), is_weights(file).alias("weights"), is_projector(file).alias("projector"), split_part(file).alias("split")
+    )
+    heavy = F.col("weights") & (F.col("box") != "")
+    inside, beside, parts = group("under", "root_id", "box"), group("beside", "root_id", "box"), group("split", "root_id", "box", "split.prefix", F.col("split.count").cast("string"))
+    heads_under = placed.filter(heavy).select("key", inside.alias("grp")).distinct()
+    under = placed.select("key", "root_id", F.explode(ancestors(F.col("rel_path"))).alias("box")).select(F.col("key").alias("member"), inside.alias("grp")).distinct()
+    projectors = placed.filter("projector").select(F.col("key").alias("member"), beside.alias("grp")).distinct()
+    heads_beside = placed.filter(~heavy & ~F.col("projector")).select("key", beside.alias("grp")).distinct()
+    in_split = placed.filter("split IS NOT NULL")
+    heads_split = in_split.filter(~heavy).select("key", parts.alias("grp")).distinct()
+    heads = named.unionByName(heads_under).unionByName(heads_beside.join(projectors, "grp", "left_semi").select("key", "grp")).unionByName(heads_split)
+    members = (
+        named.select("grp", F.col("key").alias("member"))
+        .unionByName(under.join(heads_under, "grp", "left_semi").select("grp", "member"))
+        .unionByName(projectors.select("grp", "member"))
+        .unionByName(in_split.select(parts.alias("grp"), F.col("key").alias("member")).distinct())
+    )
+    return Bundles(mods.select("key"), heads, members)
 
 
 def bundle(mods: DataFrame, locs: DataFrame) -> DataFrame:
-    """(key, member), one step and not closed: a content with itself; models of one store name; all under the container of a
-    weights file; parts of one split set and projectors beside it, unless it is a projector itself.
+    """(key, member): every pair of the bundle relation."""
+    return bundles(mods, locs).pairs()
+
+
+def dependence(b: Bundles) -> tuple[DataFrame, DataFrame]:
+    """(has, needs): ``has`` (companion, grp, profile) and ``needs`` (grp, profile, required_by) meet in the companions and those who need them.
 
-    "Under the container" is an equality with one of the ancestors of the other path, so every branch is an equi-join.
+    A member of a bundle is a companion of its key unless it has that key in its own. What it has follows from the groups that it heads, its
+    profile; most head none, and all of these have one list of those who need them for each group. Others don't need the heads
+    that are members of a group in their profile, so their lists are made for each profile and group, not for each member.
     """
-    itself = mods.select("key", F.col("key").alias("member"))
-    named = locs.filter("kind = 'ollama'").join(mods.select("key", ollama_base(F.col("display_name")).alias("base")), "key").select("key", "root_id", "base").distinct()
-    by_name = named.join(named.withColumnRenamed("key", "member"), ["root_id", "base"]).select("key", "member")
-    placed = locs.filter("kind <> 'ollama'").select("key", "root_id", "kind", "rel_path", container(F.col("kind"), F.col("rel_path")).alias("box"), file_name(F.col("rel_path")).alias("file"))
-    heads = placed.filter(is_weights(F.col("file")) & (F.col("box") != "")).select("key", "root_id", "box").distinct()
-    under = placed.select(F.col("key").alias("member"), "root_id", F.explode(ancestors(F.col("rel_path"))).alias("box"))
-    by_weights = heads.join(under, ["root_id", "box"]).select("key", "member")
-    others = placed.filter(~(is_weights(F.col("file")) & (F.col("box") != ""))).withColumns({"split": split_part(F.col("file")), "projector": is_projector(F.col("file"))})
-    all_parts = placed.withColumns({"split": split_part(F.col("file")), "projector": is_projector(F.col("file"))})
-    part = lambda d, k: d.filter(F.col("split").isNotNull()).select(F.col("key").alias(k), "root_id", "box", "split.prefix", "split.count").distinct()
-    by_split = part(others, "key").join(part(all_parts, "member"), ["root_id", "box", "prefix", "count"]).select("key", "member")
-    beside = all_parts.filter("projector").select(F.col("key").alias("member"), "root_id", "box").distinct()
-    by_projector = others.filter("NOT projector").select("key", "root_id", "box").distinct().join(beside, ["root_id", "box"]).select("key", "member")
-    return itself.unionByName(by_name).unionByName(by_weights).unionByName(by_split).unionByName(by_projector).distinct()
-
-
-def companions(pairs: DataFrame) -> DataFrame:
+    profiles = b.heads.groupBy("key").agg(F.md5(F.array_join(F.sort_array(F.collect_set("grp")), "\1")).alias("profile"))
+    has = b.members.join(profiles.withColumnRenamed("key", "member"), "member", "left").select(F.col("member").alias("companion"), "grp", F.coalesce("profile", F.lit("")).alias("profile"))
+    has = materialize(has.join(b.heads, "grp", "left_semi"), "has")
+    free = b.heads.join(has.filter("profile = ''").select("grp").distinct(), "grp", "left_semi").select("grp", F.lit("").alias("profile"), F.col("key").alias("required_by"))
+    tied = has.filter("profile <> ''").select("grp", "profile").distinct().join(b.heads, "grp").select("grp", "profile", F.col("key").alias("required_by"))
+    held_by = b.members.join(b.heads.select(F.col("key").alias("member")).distinct(), "member", "left_semi").withColumnRenamed("member", "required_by")
+    groups_of = profiles.join(b.heads, "key").select("profile", "grp").distinct()
+    mutual = groups_of.join(held_by, "grp").select("profile", "required_by").distinct()
+    return has, free.unionByName(tied.join(mutual, ["profile", "required_by"], "left_anti").select("grp", "profile", "required_by"))
+
+
+def companions(b: Bundles) -> DataFrame:
     """(companion, required_by): members of a bundle that don't have its key in their own."""
-    back = pairs.select(F.col("key").alias("member"), F.col("member").alias("key"))
-    return pairs.filter("key <> member").join(back, ["key", "member"], "left_anti").select(F.col("member").alias("companion"), F.col("key").alias("required_by"))
+    has, needs = dependence(b)
+    return has.join(needs, ["grp", "profile"]).select("companion", "required_by").distinct()
 
 
-def required_by(pairs: DataFrame) -> DataFrame:
+def required_by(b: Bundles) -> DataFrame:
     """(companion, ordinal, required_by): who needs each companion, in the order of their keys; a row each, as a common file may have millions."""
-    place = F.row_number().over(Window.partitionBy("companion").orderBy("required_by")) - 1
-    return companions(pairs).select("companion", place.alias("ordinal"), "required_by")
+    return numbered(materialize(companions(b), "companions"), "companion", ["required_by"], "ordinal").select("companion", F.col("ordinal").cast("int").alias("ordinal"), "required_by")
 
 
 def first_file(locs: DataFrame) -> DataFrame:
@@ -47,33 +102,36 @@ def first_file(locs: DataFrame) -> DataFrame:
     return locs.groupBy("key").agg(file_name(F.min_by("rel_path", F.struct("root_id", "ord"))).alias("file"))
 
 
-def split_primary(pairs: DataFrame, locs: DataFrame) -> DataFrame:
+def split_primary(b: Bundles, locs: DataFrame) -> DataFrame:
     """(part, primary): parts other than the first, with the first bundle member that is a first part."""
     names = first_file(locs).select("key", split_part(F.col("file"))["index"].alias("part_index")).filter(F.col("part_index").isNotNull())
-    later = names.filter("part_index <> 1").select("key")
     ones = names.filter("part_index = 1").select(F.col("key").alias("member"))
-    return pairs.join(later, "key", "left_semi").join(ones, "member", "left_semi").groupBy(F.col("key").alias("part")).agg(F.min("member").alias("primary"))
+    first = b.members.join(ones, "member", "left_semi").groupBy("grp").agg(F.min("member").alias("member"))
+    return b.heads.join(names.filter("part_index <> 1").select("key"), "key", "left_semi").join(first, "grp").groupBy(F.col("key").alias("part")).agg(F.min("member").alias("primary"))
 
 
-def bundle_union(pairs: DataFrame, selected: DataFrame) -> DataFrame:
+def bundle_union(b: Bundles, selected: DataFrame) -> DataFrame:
     """Distinct members of the bundles of the selected keys (column key)."""
-    return pairs.join(selected.select("key"), "key", "left_semi").select(F.col("member").alias("key")).distinct()
+    chosen = selected.select("key")
+    groups = b.heads.join(chosen, "key", "left_semi").select("grp").distinct()
+    return b.keys.join(chosen, "key", "left_semi").unionByName(b.members.join(groups, "grp", "left_semi").select(F.col("member").alias("key"))).distinct()
 
 
-def deletable(pairs: DataFrame, selected: DataFrame, mods: DataFrame) -> DataFrame:
+def deletable(b: Bundles, selected: DataFrame, mods: DataFrame) -> DataFrame:
     """(key, action, kept_for): what deleting the selection would delete, and what stays as something outside needs it."""
-    union = bundle_union(pairs, selected)
-    outside = pairs.join(union, "key", "left_anti").select(F.col("member").alias("__m"), F.col("key").alias("needer"))
-    named = mods.select(F.col("key").alias("needer"), "display_name")
-    needed = union.join(outside, union.key == F.col("__m")).join(named, "needer", "left")
-    kept = needed.groupBy("key").agg(F.min_by("display_name", "needer").alias("kept_for"), F.lit("keep").alias("held"))
+    union = materialize(bundle_union(b, selected), "bundle_union")
+    outside = b.heads.join(union, "key", "left_anti").groupBy("grp").agg(F.min("key").alias("needer"))
+    needed = b.members.join(union.withColumnRenamed("key", "member"), "member", "left_semi").join(outside, "grp").groupBy(F.col("member").alias("key")).agg(F.min("needer").alias("needer"))
+    kept = needed.join(mods.select(F.col("key").alias("needer"), "display_name"), "needer", "left").select("key", F.col("display_name").alias("kept_for"), F.lit("keep").alias("held"))
     return union.join(kept, "key", "left").select("key", F.coalesce("held", F.lit("delete")).alias("action"), "kept_for")
 
 
-def children(pairs: DataFrame, locs: DataFrame) -> DataFrame:
+def children(b: Bundles, locs: DataFrame) -> DataFrame:
     """(child, parent): a companion under its first parent, else a split part under its first part."""
-    first = companions(pairs).groupBy(F.col("companion").alias("child")).agg(F.min("required_by").alias("of"))
-    parts = split_primary(pairs, locs).select(F.col("part").alias("child"), F.col("primary").alias("whole"))
+    has, needs = dependence(b)
+    least = needs.groupBy("grp", "profile").agg(F.min("required_by").alias("least"))
+    first = has.join(least, ["grp", "profile"]).groupBy(F.col("companion").alias("child")).agg(F.min("least").alias("of"))
+    parts = split_primary(b, locs).select(F.col("part").alias("child"), F.col("primary").alias("whole"))
     return first.join(parts, "child", "full").select("child", F.coalesce("of", "whole").alias("parent"))
 
 

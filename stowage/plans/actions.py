@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import file_name, parent, sanitized
 from ..functions.scalars import dest_layout, owner_removal_command
-from ..operators.bundle import bundle_union, deletable
+from ..operators.bundle import Bundles, bundle_union, deletable
 from ..operators.catalog import owned
 
 HASHED = "key LIKE 'sha256:%'"
@@ -22,10 +22,10 @@ def first_live(stated: DataFrame) -> DataFrame:
     return live.groupBy("key").agg(F.min_by(F.struct("root_id", "kind", "rel_path"), F.struct("root_id", "ord")).alias("source"))
 
 
-def backup(mods: DataFrame, stated: DataFrame, target: str, target_files: DataFrame, pairs: DataFrame | None = None, selected: DataFrame | None = None) -> DataFrame:
+def backup(mods: DataFrame, stated: DataFrame, target: str, target_files: DataFrame, bundles: Bundles | None = None, selected: DataFrame | None = None) -> DataFrame:
     """(key, status, source_root, source_path, dest_path, size): what a backup to the root ``target`` copies and skips."""
     if selected is not None:
-        mods = mods.join(bundle_union(pairs, selected), "key", "left_semi")
+        mods = mods.join(bundle_union(bundles, selected), "key", "left_semi")
     there = target_files.filter(F.col("sha256").isNotNull()).select(F.concat(F.lit("sha256:"), "sha256").alias("key")).unionByName(stated.filter(F.col("root_id") == target).select("key")).distinct()
     rows = mods.join(there.withColumn("there", F.lit(True)), "key", "left").join(first_live(stated), "key", "left")
     state = F.when(~F.expr(HASHED), "not hashed").when(F.col("there"), "skipped_already").when(F.col("source").isNull(), "no reachable copy").otherwise("copy")
@@ -107,9 +107,9 @@ def reclaim_counters(plan: DataFrame) -> DataFrame:
     return plan.agg(F.count_distinct(F.when(link, F.col("key"))).alias("contents"), paths(link).alias("linked"), paths(F.col("action") == "skipped_foreign").alias("skipped_foreign"), F.coalesce(F.sum("frees"), F.lit(0)).alias("bytes"))
 
 
-def delete(pairs: DataFrame, selected: DataFrame, mods: DataFrame, stated: DataFrame, roots: DataFrame) -> DataFrame:
+def delete(bundles: Bundles, selected: DataFrame, mods: DataFrame, stated: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, root_id, rel_path, action, detail): trash, foreign (with the owner's command), offline, or keep."""
-    plan = deletable(pairs, selected, mods)
+    plan = deletable(bundles, selected, mods)
     kept = plan.filter("action = 'keep'").select("key", F.lit("").alias("root_id"), F.lit("").alias("rel_path"), F.lit("keep").alias("action"), F.col("kept_for").alias("detail"))
     gone = plan.filter("action = 'delete'").select("key").join(stated, "key").join(roots.select("root_id", "label"), "root_id").join(mods.select("key", "display_name"), "key")
     command = owner_removal_command(F.col("kind"), F.col("display_name"), F.col("rel_path"))

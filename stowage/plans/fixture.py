@@ -83,8 +83,8 @@ class Catalog:
         return cls(files, roots, c.models(files), locations, c.with_state(locations, roots))
 
     @cached_property
-    def pairs(self) -> DataFrame:
-        return materialize(b.bundle(self.models, self.locations), "pairs")
+    def bundles(self) -> b.Bundles:
+        return b.bundles(self.models, self.locations).written()
 
     def settled(self) -> Catalog:
         """The same catalog with its tables written once, for queries that come back to them."""

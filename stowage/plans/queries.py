@@ -133,62 +133,62 @@ def inventory_view(k: Catalog) -> DataFrame:
 
 @on_settled
 def active_view(k: Catalog) -> DataFrame:
-    return a.active_view(k.models, k.locations, b.children(k.pairs, k.locations), "gguf")
+    return a.active_view(k.models, k.locations, b.children(k.bundles, k.locations), "gguf")
 
 
 @on_settled
 def bundle(k: Catalog) -> DataFrame:
-    return k.pairs
+    return k.bundles.pairs()
 
 
 @on_settled
 def companions(k: Catalog) -> DataFrame:
-    return b.companions(k.pairs)
+    return b.companions(k.bundles)
 
 
 @on_settled
 def required_by(k: Catalog) -> DataFrame:
-    return b.required_by(k.pairs)
+    return b.required_by(k.bundles)
 
 
 @on_settled
 def split_primary(k: Catalog) -> DataFrame:
-    return b.split_primary(k.pairs, k.locations)
+    return b.split_primary(k.bundles, k.locations)
 
 
 @on_settled
 def children(k: Catalog) -> DataFrame:
-    return b.children(k.pairs, k.locations)
+    return b.children(k.bundles, k.locations)
 
 
 @on_settled
 def split_rollup(k: Catalog) -> DataFrame:
-    return a.split_rollup(k.models, b.split_primary(k.pairs, k.locations), c.backed_up(k.stated))
+    return a.split_rollup(k.models, b.split_primary(k.bundles, k.locations), c.backed_up(k.stated))
 
 
 @on_settled
 def bundle_union(k: Catalog) -> DataFrame:
-    return b.bundle_union(k.pairs, selected(k))
+    return b.bundle_union(k.bundles, selected(k))
 
 
 @on_settled
 def deletable_set(k: Catalog) -> DataFrame:
-    return b.deletable(k.pairs, selected(k), k.models)
+    return b.deletable(k.bundles, selected(k), k.models)
 
 
 @on_settled
 def selection_totals(k: Catalog) -> DataFrame:
-    return a.selection_totals(k.models, b.bundle_union(k.pairs, selected(k)))
+    return a.selection_totals(k.models, b.bundle_union(k.bundles, selected(k)))
 
 
 @on_settled
 def delete_plan(k: Catalog) -> DataFrame:
-    return actions.delete(k.pairs, selected(k), k.models, k.stated, k.roots)
+    return actions.delete(k.bundles, selected(k), k.models, k.stated, k.roots)
 
 
 @on_settled
 def foreign_commands(k: Catalog) -> DataFrame:
-    return actions.foreign_commands(actions.delete(k.pairs, selected(k), k.models, k.stated, k.roots))
+    return actions.foreign_commands(actions.delete(k.bundles, selected(k), k.models, k.stated, k.roots))
 
 
 @on_catalog
@@ -198,7 +198,7 @@ def backup_plan(k: Catalog) -> DataFrame:
 
 @on_settled
 def backup_counters(k: Catalog) -> DataFrame:
-    return actions.counters(actions.backup(k.models, k.stated, "src3", k.files.filter("root_id = 'src3'"), k.pairs, selected(k)))
+    return actions.counters(actions.backup(k.models, k.stated, "src3", k.files.filter("root_id = 'src3'"), k.bundles, selected(k)))
 
 
 def fresh_hashes(k: Catalog) -> DataFrame:
@@ -255,18 +255,18 @@ def verify_lists(k: Catalog) -> DataFrame:
 
 @on_settled
 def unreachable_copies(k: Catalog) -> DataFrame:
-    plan = actions.delete(k.pairs, selected(k), k.models, k.stated, k.roots)
+    plan = actions.delete(k.bundles, selected(k), k.models, k.stated, k.roots)
     return actions.unreachable_copies(plan, k.models, k.stated, k.roots)
 
 
 @on_settled
 def backup_preview(k: Catalog) -> DataFrame:
-    return p.backup_preview(k.models, b.bundle_union(k.pairs, selected(k)))
+    return p.backup_preview(k.models, b.bundle_union(k.bundles, selected(k)))
 
 
 @on_settled
 def cold_count(k: Catalog) -> DataFrame:
-    return a.cold_count(a.active_view(k.models, k.locations, b.children(k.pairs, k.locations)))
+    return a.cold_count(a.active_view(k.models, k.locations, b.children(k.bundles, k.locations)))
 
 
 @on_catalog
@@ -300,7 +300,7 @@ def archive_plans(k: Catalog) -> DataFrame:
 
 @on_settled
 def cold_eligible(k: Catalog) -> DataFrame:
-    return actions.cold_eligible(k.models, k.stated, b.children(k.pairs, k.locations))
+    return actions.cold_eligible(k.models, k.stated, b.children(k.bundles, k.locations))
 
 
 def earlier(k: Catalog) -> DataFrame:

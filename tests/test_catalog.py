@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from decimal import Decimal
 
 import pytest
@@ -162,7 +163,40 @@ def test_bundles_against_their_definition(spark, seed):
         given.append((f"k{r.randrange(22)}", name, kind_of[root], root, folder + r.choice(files_) if root != "o" else f"blobs/{i}"))
     names = {}
     given = [(k, names.setdefault(k, name), kind, root, path) for k, name, kind, root, path in given]
-    assert members(b.bundle(*model_tables(spark, given))) == naive_bundle(given)
+    mods, locs = model_tables(spark, given)
+    of, relation = naive_bundle(given), b.bundles(mods, locs).written()
+    assert members(relation.pairs()) == of
+    some = sorted(of)[::3]
+    chosen = spark.createDataFrame([(k,) for k in some], "key string")
+    assert members(relation.pairs(chosen)) == {k: of[k] for k in some}
+    needed = {m: sorted(k for k in of if m in of[k] and m != k and k not in of[m]) for m in of}
+    assert rows(b.required_by(relation)) == sorted(((m, i, k) for m, ks in needed.items() for i, k in enumerate(ks)), key=repr)
+    union = set().union(*(of[k] for k in some))
+    assert {r[0] for r in rows(b.bundle_union(relation, chosen))} == union
+    keeper = {c: min((k for k in of if k not in union and c in of[k]), default=None) for c in union}
+    assert rows(b.deletable(relation, chosen, mods)) == sorted(((c, "keep", names[k]) if k else (c, "delete", None) for c, k in keeper.items()), key=repr)
+    places = {k: min((root, i, path) for i, (o, _, _, root, path) in enumerate(given) if o == k)[2].split("/")[-1] for k in of}
+    index = {k: int(f[-19:-14]) if f.endswith(".gguf") and "-of-" in f else None for k, f in places.items()}
+    whole = {k: min(ones) for k in of if index[k] not in (None, 1) and (ones := [m for m in of[k] if index[m] == 1])}
+    assert dict(rows(b.split_primary(relation, locs))) == whole
+    assert dict(rows(b.children(relation, locs))) == {**whole, **{m: ks[0] for m, ks in needed.items() if ks}}
+
+
+def test_a_large_container_stays_linear(spark):
+    """2,000 weights over 20,000 files stand for 44 million pairs; no step writes them down."""
+    w, f = 2_000, 20_000
+    place = lambda n, name, ending: spark.range(n).select(F.format_string(f"{name}%06d", "id").alias("key"), F.lit("s").alias("root_id"), F.lit("shelf").alias("kind"), F.format_string(f"box/{'sub/' if name == 'f' else ''}{name}%06d{ending}", "id").alias("rel_path"), F.col("id").alias("ord"))
+    locs = place(w, "w", ".safetensors").unionByName(place(f, "f", ".json"))
+    mods = locs.select("key", F.lit(1).cast("long").alias("size"), F.col("key").alias("display_name"))
+    began = time.perf_counter()
+    relation = b.bundles(mods, locs).written()
+    assert (relation.heads.count(), relation.members.count()) == (w, w + f)
+    has, needs = b.dependence(relation)
+    assert (has.count(), needs.count()) == (w + f, w)
+    pick = lambda k: b.deletable(relation, spark.createDataFrame([(k,)], "key string"), mods).groupBy("action", "kept_for").count()
+    assert rows(pick("w000001")) == [("delete", None, w + f)] and rows(pick("f000001")) == [("keep", "w000000", 1)]
+    assert b.children(relation, locs).agg(F.count("child"), F.min("parent"), F.max("parent")).first() == (f, "w000000", "w000000")
+    assert time.perf_counter() - began < 60
 
 
 def test_duplicates_and_usage_agree_on_liveness(spark):
@@ -211,7 +245,7 @@ SHARED = [("q4", "Big Q4", "shelf", "s", "d/big-Q4.gguf"), ("q8", "Big Q8", "she
 
 def test_a_shared_companion_survives(spark):
     mods, locs = model_tables(spark, SHARED)
-    pairs = b.bundle(mods, locs)
+    pairs = b.bundles(mods, locs)
     pick = lambda *k: spark.createDataFrame([(i,) for i in k], "key string")
     assert rows(b.deletable(pairs, pick("q4"), mods)) == [("mm", "keep", "Big Q8"), ("q4", "delete", None)]
     assert rows(b.deletable(pairs, pick("q4", "q8"), mods)) == [("mm", "delete", None), ("q4", "delete", None), ("q8", "delete", None)]
