@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from .plans import actions
 from .sources import documents, headers, scanner
 from .sources.scratch import materialize
 from .sources.state import TRASH
+from .streaming import hashing
 
 
 class Ambiguous(ValueError):
@@ -46,23 +48,54 @@ def register(spark: SparkSession, roots: Sequence[dict[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "root_id string, kind string, online boolean, label string, path string")
 
 
+@dataclass
+class Refreshed:
+    """``files`` as they are now, ``read``: what was hashed (root_id, rel_path, fingerprint and the columns of headers.HASHED), ``errors``: what couldn't be (root_id, rel_path, error)."""
+
+    files: DataFrame
+    read: DataFrame
+
+    @property
+    def errors(self) -> DataFrame:
+        return self.read.filter("error IS NOT NULL").select("root_id", "rel_path", "error")
+
+    def log_lines(self) -> DataFrame:
+        """(ts, line) for the journal."""
+        return hashing.log_lines(self.read)
+
+
 def refresh(scan: DataFrame, previous: DataFrame, roots: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """The files of ``refresh_all``."""
+    return refresh_all(scan, previous, roots, carried).files
+
+
+def refresh_all(scan: DataFrame, previous: DataFrame, roots: DataFrame, carried: DataFrame | None = None, readers: int = 4, state: str | None = None, progress: str | None = None) -> Refreshed:
     """A scan reconciled with the stored files: unchanged ones keep their hash, changed ones are hashed, offline roots stay.
 
+    The scan is written down once, so that all that follows sees one state of the stores; a file that isn't any more what the scan saw
+    when it is read gets no hash but an error. ``readers`` tasks read from a root at a time. With ``state``, a folder, hashing is a stream
+    that makes its work durable there (``streaming.hashing``), and a run after a lost one goes on; ``progress`` is where readers tell how far they are.
+
     ``carried`` are the records that drives have with them (``documents.carried``): what of them is believable completes the stored files.
     Headers are read of files that carry_forward asks for and of those that no reader has been at (no meta_reader); a file that
     can't be reached keeps the header known of its fingerprint, and isn't stamped.
     """
     at = ["root_id", "rel_path"]
+    scan = materialize(scan, "scan")
     if carried is not None:
         told = catalog.believable(carried, scan)
         previous = catalog.stored_with_carried(previous, told.select(*[F.col(c) if c in told.columns else F.lit(None).cast(previous.schema[c].dataType).alias(c) for c in previous.columns]))
         previous = materialize(previous, "stored")
-    known = catalog.carry_forward(scan.withColumns({"sha256": F.lit(None).cast("string"), "verified_unix": F.lit(None).cast("long")}), previous)
+    known = materialize(catalog.carry_forward(scan.withColumns({"sha256": F.lit(None).cast("string"), "verified_unix": F.lit(None).cast("long")}), previous), "reconciled")
     places = roots.select("root_id", F.col("path").alias("root_path"), F.col("kind").alias("root_kind"))
     path = F.concat_ws("/", "root_path", "rel_path")
-    todo = catalog.hash_worklist(known).join(places, "root_id").withColumn("path", path)
-    fresh = todo.select(*at, "path").join(headers.hash_files(todo).select("path", F.col("sha256").alias("fresh")), "path").drop("path")
+    todo = catalog.hash_worklist(known).join(known.select(*at, "fingerprint"), at).join(places, "root_id").select(*at, path.alias("path"), "size", "fingerprint")
+    if state is None:
+        read = todo.select(*at, "path", "fingerprint").join(headers.hash_files(todo, readers, progress), "path").select(*at, "fingerprint", *headers.HASHED_COLUMNS)
+    else:
+        read = hashing.hash_durably(todo, state, readers, progress)
+    read = materialize(read, "read")
+    fresh = read.select(*at, F.col("sha256").alias("fresh"))
 
     old = previous.select(*at, F.col("fingerprint").alias("old_fp"), F.col("meta").alias("old_meta"), F.col("meta_reader").alias("old_reader"))
     same = F.coalesce(F.col("fingerprint") == F.col("old_fp"), F.lit(False))
@@ -79,7 +112,7 @@ def refresh(scan: DataFrame, previous: DataFrame, roots: DataFrame, carried: Dat
             "meta_reader": F.when(F.col("to_read"), F.lit(catalog.READER_VERSION)).when(same, F.col("old_reader")),
         }
     )
-    return catalog.all_manifests(done.drop("fresh", "needs_header", "to_read", "fresh_meta", "old_fp", "old_meta", "old_reader"), previous, roots)
+    return Refreshed(catalog.all_manifests(done.drop("fresh", "needs_header", "to_read", "fresh_meta", "old_fp", "old_meta", "old_reader"), previous, roots), read)
 
 
 class Engine:
@@ -194,7 +227,7 @@ class Engine:
         chosen = self.matching(queries) if queries else None
         return actions.backup(self.models, self.stated, target, self.files.filter(F.col("root_id") == target), self.bundles if queries else None, chosen)
 
-    def verify(self, now: int, root: str | None = None, repair: bool = False) -> dict[str, DataFrame]:
+    def verify(self, now: int, root: str | None = None, repair: bool = False, readers: int = 4) -> dict[str, DataFrame]:
         """Reads every file of online owned roots again, or of the one that ``root`` names. Paths that would leave a root count as mismatched.
 
         ``written`` has the files with the new times of verification, ``offline`` the owned roots that were left out.
@@ -203,7 +236,7 @@ class Engine:
         owned = roots.filter("online AND kind IN ('shelf', 'removable')")
         safe = self.files.filter(sanitized(F.col("rel_path")).isNotNull() & F.col("sha256").isNotNull())
         here = safe.join(owned.select("root_id", F.col("path").alias("root_path")), "root_id").withColumn("path", F.concat_ws("/", "root_path", "rel_path"))
-        read = here.select("root_id", "rel_path", "path").join(headers.hash_files(here), "path").filter(~F.col("gone"))
+        read = here.select("root_id", "rel_path", "path").join(headers.hash_files(here.drop("fingerprint"), readers), "path").filter(~F.col("gone"))
         checked = materialize(actions.verify(self.files, read.select("root_id", "rel_path", "sha256"), roots), "checked")
         out = {"files": checked, "counters": actions.counters(checked), "written": actions.verified(self.files, checked, now), "offline": actions.offline_owned(roots)}
         out |= {status: picks.verify_list(checked, status) for status in ("mismatched", "unreadable")}

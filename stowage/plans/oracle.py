@@ -144,6 +144,7 @@ QUERIES: dict[str, str] = {
     "scan_dir": """SELECT root_id || '/' || rel_path AS rel_path, size, size AS fp_size, true AS accessible FROM on_disk f
         WHERE lower(rel_path) LIKE '%.gguf' OR EXISTS (SELECT 1 FROM bin w WHERE w.w AND w.root_id = f.root_id AND starts_with(f.rel_path, w.d || '/'))""",
     "file_hashes": "SELECT root_id || '/' || rel_path AS rel_path, h AS sha256, false AS gone FROM on_disk",
+    "hash_stream": "SELECT root_id || '/' || rel_path AS rel_path, h AS sha256, CAST(NULL AS VARCHAR) AS error, size AS bytes FROM on_disk",
     "gguf_fields": """SELECT doc_id, (['llama', 'qwen', 'bert'])[doc_id % 3 + 1] AS architecture, lang || ' ' || doc_id AS name,
         coalesce(map {0: 'F32', 1: 'F16', 2: 'Q4_0', 3: 'Q4_1', 7: 'Q8_0', 8: 'Q5_0', 9: 'Q5_1', 10: 'Q2_K', 11: 'Q3_K_S', 12: 'Q3_K_M', 13: 'Q3_K_L', 14: 'Q4_K_S', 15: 'Q4_K_M', 16: 'Q5_K_S', 17: 'Q5_K_M', 18: 'Q6_K', 19: 'IQ2_XXS'}[CAST(doc_id % 20 AS INT)], 'type ' || (doc_id % 20)) AS quantization,
         CAST(1024 + doc_id AS BIGINT) AS context_length, CAST(4096 AS BIGINT) AS embedding_length, doc_id % 5 AS head_count, CASE WHEN doc_id % 2 = 0 THEN CAST(8 AS BIGINT) END AS head_count_kv,

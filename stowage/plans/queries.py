@@ -20,7 +20,7 @@ from ..operators import health as h
 from ..operators import picks as p
 from ..sources import documents, headers, scanner
 from ..sources.scratch import materialize, scratch_path
-from ..streaming import journal
+from ..streaming import hashing, journal
 from . import actions
 from .fixture import NOW, Catalog, catalog, large_catalog, table
 
@@ -634,6 +634,15 @@ def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers.hash_files(files).select(F.substr("path", F.lit(len(top) + 2)).alias("rel_path"), "sha256", "gone")
 
 
+@query
+def hash_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of a stream that hashed what a scan of a shelf found, in units of 64 files."""
+    top = written_shelf(spark, sf_dir)
+    found = scanner.scan(spark, top, "trash").withColumns({"root_id": F.element_at(F.split("rel_path", "/"), 1), "path": F.concat(F.lit(f"{top}/"), "rel_path")})
+    done = hashing.hash_durably(materialize(found, "listed"), scratch_path(spark, "hash_state"), files=64)
+    return done.select("rel_path", "sha256", "error", "bytes")
+
+
 @query
 def gguf_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers made of documents, written and read again: a model's own fields, one of another word, a per-layer array, one of no known type."""

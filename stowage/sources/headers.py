@@ -6,16 +6,20 @@ import hashlib
 import json
 import os
 import struct
+import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import file_type_name, head_dim
+from ..operators.ranks import numbered
 from ..schema import META
 from .scanner import WEIGHTS
+from .scratch import materialize
 
 #: Limits and codes of the header format (fixed values).
 MAGIC, MOST_KEYS, MOST_BYTES, MOST_STRING, MOST_ITEMS = 0x46554747, 100_000, 256 << 20, 64 << 20, 1 << 22
@@ -167,27 +171,90 @@ def file_meta(files: DataFrame) -> DataFrame:
     return facts.select("path", F.struct(*META.fieldNames()).cast(META).alias("meta"))
 
 
-def hash_files(files: DataFrame, readers: int = 4) -> DataFrame:
-    """(path, sha256, error, gone): whole files in blocks of 4 MiB; gone where there is no such file.
+#: A read of a file, and how often a long one tells how far it is.
+HASHED = "path string, sha256 string, error string, gone boolean, bytes long, seconds double"
+HASHED_COLUMNS = [c.split(" ")[0] for c in HASHED.split(", ")]
+BLOCK, TOLD_EVERY = 4 << 20, 64 << 20
+PROGRESS = "path string, event string, done long, total long, at double"
+CHANGED = "it changed while it was read"
 
-    ``readers`` tasks at a time read from one root (column root_id; without it there is one root), which spares disks.
+
+def identity(s: os.stat_result) -> tuple:
+    return s.st_size, s.st_mtime_ns // 10**9, s.st_mtime_ns % 10**9, s.st_dev, s.st_ino
+
+
+def read_whole(path: str, fingerprint: tuple | None = None, tell: Callable[[str, int, int], None] = lambda *_: None, block: int = BLOCK, every: int = TOLD_EVERY) -> tuple:
+    """A row of HASHED. A file that isn't what ``fingerprint`` says, or another before than after the reading, has an error and no hash."""
+    h, began, done, told = hashlib.sha256(), time.monotonic(), 0, 0
+    error, gone = None, False
+    try:
+        with open(path, "rb") as f:
+            before = identity(os.fstat(f.fileno()))
+            tell("start", 0, before[0])
+            while piece := f.read(block):
+                h.update(piece)
+                done += len(piece)
+                if done - told >= every:
+                    told = done
+                    tell("progress", done, before[0])
+        if identity(os.stat(path)) != before or done != before[0] or fingerprint is not None and fingerprint != before:
+            error = CHANGED
+    except OSError as e:
+        error, gone = str(e), isinstance(e, FileNotFoundError | NotADirectoryError)
+    tell("failed" if error else "done", done, done)
+    return path, None if error else h.hexdigest(), error, gone, done, time.monotonic() - began
+
+
+def dealt_by_bytes(files: DataFrame, readers: int, bounded: bool = False) -> DataFrame:
+    """``files`` (root_id, size) dealt to ``readers`` tasks a root so that each has about as many bytes: the longest first, to and fro.
+
+    ``bounded``: there are few enough files for a window a root.
     """
+    if bounded:
+        placed = files.withColumn("place", F.row_number().over(Window.partitionBy("root_id").orderBy(F.desc("size"), "path")) - 1)
+    else:
+        placed = numbered(materialize(files.withColumn("less", -F.col("size")), "to_read"), "root_id", ["less", "path"]).drop("less")
+    at = F.col("place") % (2 * readers)
+    reader = F.when(at < readers, at).otherwise(2 * readers - 1 - at).cast("int")
+    placed = placed.withColumn("reader", reader).drop("place")
+    roots = [r[0] for r in placed.select("root_id").distinct().collect()]  # as many as there are roots
+    if not roots:
+        return placed
+    number = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(sorted(roots, key=str)) for x in (str(r), i)]), F.coalesce(F.col("root_id").cast("string"), F.lit("None")))
+    return placed.repartitionById(readers * len(roots), (number * readers + F.col("reader")).cast("int"))
+
+
+def hash_files(files: DataFrame, readers: int = 4, progress: str | None = None, bounded: bool = False) -> DataFrame:
+    """The columns of HASHED of each path: whole files in blocks; gone where there is no such file; a file that changes meanwhile has an error.
+
+    ``readers`` tasks at a time read from one root (column root_id; without it there is one root), which spares disks, and have
+    equal bytes where there is a column size. With a column fingerprint, a file must be what it says. ``progress`` is a folder that
+    executors and driver have mounted: tasks write there what they are at (``reading_progress``).
+    """
+    known = "fingerprint" in files.columns
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log = None
+        if progress is not None:
+            os.makedirs(progress, exist_ok=True)
+            log = open(os.path.join(progress, f"{uuid.uuid4().hex}.jsonl"), "a", buffering=1, encoding="utf-8")  # noqa: SIM115
         for batch in batches:
-            for path in batch["path"].to_pylist():
-                h, error, gone = hashlib.sha256(), None, False
-                try:
-                    with open(path, "rb") as f:
-                        while block := f.read(4 << 20):
-                            h.update(block)
-                except OSError as e:
-                    error, gone = str(e), isinstance(e, FileNotFoundError | NotADirectoryError)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([None if error else h.hexdigest()], pa.string()), pa.array([error], pa.string()), pa.array([gone])], names=["path", "sha256", "error", "gone"])
-
-    if "root_id" in files.columns:
-        roots = max(1, files.select("root_id").distinct().count())
-        dealt = files.select("path", "root_id").repartition(readers * roots, "root_id", F.pmod(F.xxhash64("path"), F.lit(readers)))
-    else:
-        dealt = files.select("path").repartition(readers)
-    return dealt.select("path").mapInArrow(digest, "path string, sha256 string, error string, gone boolean")
+            prints = batch["fingerprint"].to_pylist() if known else [None] * len(batch)
+            for path, p in zip(batch["path"].to_pylist(), prints, strict=True):
+                tell = (lambda event, done, total, path=path: log.write(json.dumps({"path": path, "event": event, "done": done, "total": total, "at": time.time()}) + "\n")) if log else (lambda *_: None)
+                expected = None if p is None else (p["size"], p["mtime_s"], p["mtime_nsec"], int(p["dev"]), int(p["ino"]))
+                row = read_whole(path, expected, tell)
+                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.float64()), strict=True)], names=HASHED_COLUMNS)
+        if log:
+            log.close()
+
+    wanted = ["path", *(["fingerprint"] if known else [])]
+    rows = files.select(*wanted, F.col("root_id") if "root_id" in files.columns else F.lit("").alias("root_id"), F.coalesce("size", F.lit(0)).alias("size") if "size" in files.columns else F.lit(0).alias("size"))
+    return dealt_by_bytes(rows, readers, bounded).select(*wanted).mapInArrow(digest, HASHED)
+
+
+def reading_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, event, done, total, at): what the readers have told so far: start, progress every 64 MiB, then done or failed."""
+    if not os.path.isdir(folder):
+        return spark.createDataFrame([], PROGRESS)
+    return spark.read.schema(PROGRESS).json(f"file://{os.path.abspath(folder)}")

@@ -17,7 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 DEPTH = 16
 WEIGHTS = (".safetensors", ".bin", ".pt", ".pth", ".onnx")
-SCHEMA = "rel_path string, size long, fingerprint struct<size long, mtime_s long, mtime_nsec long, dev decimal(20,0), ino decimal(20,0)>, name string, accessible boolean, extra string"
+FINGERPRINT = "struct<size: long, mtime_s: long, mtime_nsec: long, dev: decimal(20,0), ino: decimal(20,0)>"
+SCHEMA = f"rel_path string, size long, fingerprint {FINGERPRINT}, name string, accessible boolean, extra string"
 
 
 def stat_row(root: str, rel: str, name: str | None = None, extra: str | None = None) -> tuple:

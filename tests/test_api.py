@@ -56,6 +56,43 @@ def test_commands(spark, engine):
         e.verify(777, "nothing")
 
 
+def test_refresh_walks_once_and_tells_errors(spark, engine):
+    e, path, known = engine
+    walks = path / ".walks"
+
+    def counted(batches):
+        with open(walks, "a", encoding="utf-8") as f:
+            f.write("walk\n")
+        yield from batches
+
+    os.makedirs(path / "shelf/b")
+    for name in ("b/new.gguf", "b/lost.gguf", "b/other.gguf"):
+        (path / "shelf" / name).write_bytes(name.encode())
+    scan = api.scan_roots(spark, known).coalesce(1)
+    watched = scan.mapInArrow(counted, scan.schema)
+    real = api.materialize
+
+    def meddle(df, name):
+        out = real(df, name)
+        if name == "scan":  # between the scan and the reading
+            os.remove(path / "shelf/b/lost.gguf")
+            (path / "shelf/b/other.gguf").write_bytes(b"another length")
+        return out
+
+    api.materialize = meddle
+    try:
+        done = api.refresh_all(watched, e.files, e.roots, readers=2, state=str(path / ".state"))
+    finally:
+        api.materialize = real
+    got = {r["rel_path"]: r["sha256"] for r in done.files.filter("root_id = 'shelf'").collect()}
+    assert walks.read_text() == "walk\n"
+    assert got["b/new.gguf"] == hashlib.sha256(b"b/new.gguf").hexdigest() and got["b/lost.gguf"] is None and got["b/other.gguf"] is None
+    errors = {r["rel_path"]: r["error"] for r in done.errors.collect()}
+    assert set(errors) == {"b/lost.gguf", "b/other.gguf"} and errors["b/other.gguf"] == headers.CHANGED and "No such file" in errors["b/lost.gguf"]
+    lines = {r["line"] for r in done.log_lines().collect()}
+    assert "hashed b/new.gguf in 0s" in lines and f"hash FAILED b/other.gguf: {headers.CHANGED}" in lines
+
+
 def test_more_commands(spark, engine):
     e, path, known = engine
     with pytest.raises(api.Ambiguous) as many:

@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import struct
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from stowage.operators import picks
 from stowage.operators.health import hub_health
 from stowage.sources import documents, headers, scanner, state
-from stowage.streaming import journal
+from stowage.streaming import hashing, journal
 
 from .conftest import rows
 
@@ -227,3 +228,115 @@ def test_provenance(spark, tmp_path):
 def test_hub_listing(spark, tmp_path):
     put(tmp_path / "l.json", json.dumps({"siblings": [{"rfilename": "a.gguf", "size": 1}, {"rfilename": "b.txt"}]}).encode())
     assert rows(documents.hub_listing(spark, str(tmp_path / "l.json"))) == [(0, "a.gguf", 1)]
+
+
+def worklist(spark, folder, n, size=100):
+    for i in range(n):
+        put(folder / f"r{i % 2}" / f"f{i:03d}", bytes([i % 251]) * (size + i))
+    found = []
+    for r in ("r0", "r1"):
+        rows_ = scanner.scan(spark, str(folder / r), "trash").withColumns({"root_id": F.lit(r), "path": F.concat(F.lit(f"{folder / r}/"), "rel_path")})
+        found.append(rows_)
+    todo = found[0].unionByName(found[1]).select("root_id", "rel_path", "path", "size", "fingerprint")
+    todo.write.mode("overwrite").parquet(str(folder / ".todo"))
+    return spark.read.parquet(str(folder / ".todo"))
+
+
+def test_readers_get_equal_bytes(spark, tmp_path):
+    files = spark.createDataFrame([(r, f"{r}{i}", int(1.35**i) + 1) for r in ("a", "b") for i in range(30)], "root_id string, path string, size long")
+    for bounded in (True, False):
+        dealt = headers.dealt_by_bytes(files, 3, bounded)
+        tasks = rows(dealt.withColumn("task", F.spark_partition_id()).groupBy("root_id", "task").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")))
+        assert len(tasks) == 6 and len({t for _, t, _, _ in tasks}) == 6 and {n for *_, n in tasks} == {10}
+        assert max(b for *_, b, _ in tasks) < 1.6 * min(b for *_, b, _ in tasks)
+    assert headers.dealt_by_bytes(files.limit(0), 3).count() == 0
+
+
+def test_a_file_that_changes_while_it_is_read_keeps_no_hash(spark, tmp_path):
+    put(tmp_path / "f", b"x" * 1000)
+    told = []
+
+    def meddle(event, done, total):
+        told.append((event, done, total))
+        if event == "progress" and done == 400:
+            with open(tmp_path / "f", "ab") as f:
+                f.write(b"more")
+
+    path, sha, error, gone, done, _ = headers.read_whole(str(tmp_path / "f"), None, meddle, 100, 200)
+    assert (sha, error, gone, done) == (None, headers.CHANGED, False, 1004) and told[-1][0] == "failed"
+    told.clear()
+    row = headers.read_whole(str(tmp_path / "f"), None, lambda *x: told.append(x), 100, 200)
+    assert row[1] == hashlib.sha256(b"x" * 1000 + b"more").hexdigest() and [d for e, d, _ in told if e == "progress"] == [200, 400, 600, 800, 1000]
+    s = headers.identity(os.stat(tmp_path / "f"))
+    assert headers.read_whole(str(tmp_path / "f"), s)[2] is None and headers.read_whole(str(tmp_path / "f"), (s[0], s[1] - 1, *s[2:]))[2] == headers.CHANGED
+    stale = spark.createDataFrame([(str(tmp_path / "f"), (1, 2, 3, 4, 5))], f"path string, fingerprint {scanner.FINGERPRINT.replace('decimal(20,0)', 'long')}")
+    assert [(r["sha256"], r["error"]) for r in headers.hash_files(stale).collect()] == [(None, headers.CHANGED)]
+
+
+def test_units_of_a_worklist(spark, tmp_path):
+    todo = worklist(spark, tmp_path / "d", 70)
+    hashing.write_units(todo, str(tmp_path / "u"), files=16)
+    sizes = rows(spark.read.parquet(str(tmp_path / "u")).groupBy("unit").count())
+    assert [n for _, n in sizes] == [1, 16, 16, 16, 16, 5]
+    hashing.write_units(todo, str(tmp_path / "v"), files=16, size=600)
+    assert max(n for _, n in rows(spark.read.parquet(str(tmp_path / "v")).groupBy("unit").count())) <= 6
+
+
+def test_hashing_goes_on_after_a_lost_run(spark, tmp_path, monkeypatch):
+    todo = worklist(spark, tmp_path / "d", 60)
+    state, told = str(tmp_path / "state"), str(tmp_path / "told")
+    work = str(tmp_path / "work")
+    hashing.write_units(todo, work, files=16)
+    real = hashing.hash_files
+    calls = []
+
+    def dies(*args, **kwargs):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("the driver is lost")
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(hashing, "hash_files", dies)
+    with pytest.raises(Exception, match="the driver is lost"):
+        hashing.hash_stream(spark, work, state, progress=told).awaitTermination()
+    half = {r["path"] for r in hashing.hashed(spark, state).collect()}
+    assert 17 <= len(half) < 60
+    monkeypatch.setattr(hashing, "hash_files", real)
+    hashing.hash_stream(spark, work, state, progress=told).awaitTermination()
+    want = {(r["root_id"], r["rel_path"]): hashlib.sha256(open(r["path"], "rb").read()).hexdigest() for r in todo.collect()}
+    assert {(r["root_id"], r["rel_path"]): r["sha256"] for r in hashing.hashed(spark, state).collect()} == want
+    starts = [r["path"] for r in headers.reading_progress(spark, told).filter("event = 'start'").collect()]
+    assert len(starts) == 60 == len(set(starts))
+    # Another run over what is known reads nothing; one after a change and a loss reads just these.
+    put(tmp_path / "d/r0/f000", b"changed")
+    os.remove(tmp_path / "d/r1/f001")
+    again = worklist_of(spark, todo)
+    done = {r["rel_path"]: r for r in hashing.hash_durably(again, state, progress=told).collect()}
+    assert done["f000"]["sha256"] == hashlib.sha256(b"changed").hexdigest() and len(done) == 60
+    starts = [r["path"] for r in headers.reading_progress(spark, told).filter("event = 'start'").collect()]
+    assert len(starts) == 61
+    lines = rows(hashing.log_lines(hashing.hashed(spark, state)).select("line"))
+    assert ("hashed f000 in 0s",) in lines and len(lines) == 60
+
+
+def worklist_of(spark, todo):
+    """The worklist as a scan finds it now; f001 is still listed though it is gone."""
+    now = []
+    for r in todo.collect():
+        d = r.asDict(recursive=True)
+        if r["rel_path"] == "f000":
+            s = os.stat(r["path"])
+            d |= {"size": s.st_size, "fingerprint": dict(zip(("size", "mtime_s", "mtime_nsec", "dev", "ino"), (Decimal(x) if i > 2 else x for i, x in enumerate(headers.identity(s))), strict=True))}
+        now.append(d)
+    return spark.createDataFrame(now, todo.schema)
+
+
+def test_bytes_rise_while_a_long_file_is_read(spark, tmp_path):
+    """What the readers tell is there before the job ends; a file that can't be read is a row with its error."""
+    put(tmp_path / "long", b"\0" * (200 << 20))
+    files = spark.createDataFrame([(str(tmp_path / "long"),), (str(tmp_path / "none"),)], "path string")
+    got = {os.path.basename(r["path"]): r for r in headers.hash_files(files, progress=str(tmp_path / "told")).collect()}
+    assert got["none"]["gone"] and got["none"]["error"] and got["long"]["bytes"] == 200 << 20
+    told = rows(headers.reading_progress(spark, str(tmp_path / "told")).filter("path LIKE '%long'").select("done", "event"))
+    assert sorted(told) == [(0, "start"), (64 << 20, "progress"), (128 << 20, "progress"), (192 << 20, "progress"), (200 << 20, "done")]
+    assert headers.reading_progress(spark, str(tmp_path / "nothing")).count() == 0
