@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.names import has_dot_component, sanitized, scan_display_name
-from .functions.scalars import dest_for
+from .functions.scalars import ago, dest_for, human_size
 from .operators import aggregates, bundle, catalog, health, picks
 from .plans import actions
 from .sources import documents, headers, scanner
@@ -269,18 +269,28 @@ def journal(spark: SparkSession, path: str, limit: int | None = None) -> DataFra
     return (entries.orderBy("seq") if limit is None else picks.tail(entries, limit)).select("ts", "line")
 
 
+TRASHED = "root_id string, root_label string, root_path string, rel_path string, size long, trashed_unix long"
+
+
 def trash_scan(spark: SparkSession, roots: Sequence[dict[str, str]]) -> DataFrame:
-    """(root_id, rel_path, size) of the trash of every owned root that is there."""
-    out = spark.createDataFrame([], "root_id string, rel_path string, size long")
+    """The columns of TRASHED for every file in the trash of every owned root that is there. The label is the root's id where it has none;
+    the time is that of the file, which a move into the trash sets."""
+    out = spark.createDataFrame([], TRASHED)
     for r in roots:
         folder = os.path.join(r["path"], TRASH)
         if r["kind"] in ("shelf", "removable") and os.path.isdir(folder):
-            out = out.unionByName(scanner.scan(spark, folder, "trash").select(F.lit(r["root_id"]).alias("root_id"), "rel_path", "size"))
+            label, path = F.lit(r.get("label") or r["root_id"]).alias("root_label"), F.lit(r["path"]).alias("root_path")
+            time = F.greatest(F.coalesce("fingerprint.mtime_s", F.lit(0)), F.lit(0)).alias("trashed_unix")
+            out = out.unionByName(scanner.scan(spark, folder, "trash").select(F.lit(r["root_id"]).alias("root_id"), label, path, "rel_path", "size", time))
     return out
 
 
-def trash_list(trash: DataFrame, text: str = "") -> DataFrame:
-    return picks.trash_order(trash.filter(F.lower("rel_path").contains(text.lower())))
+def trash_list(trash: DataFrame, text: str = "", now: int | None = None) -> DataFrame:
+    """The trash by path, of those whose path holds the text; with ``now`` sizes and ages are shown too."""
+    rows = trash.filter(F.lower("rel_path").contains(text.lower()))
+    if now is not None:
+        rows = rows.withColumns({"shown_size": human_size(F.col("size")), "age": ago(F.col("trashed_unix"), F.lit(now))})
+    return picks.trash_order(rows)
 
 
 def trash_restore(trash: DataFrame, text: str) -> DataFrame:

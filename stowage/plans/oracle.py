@@ -86,6 +86,7 @@ VIEWS: dict[str, str] = {
 
 QUERIES: dict[str, str] = {
     "catalog_merge": "SELECT key, size, display_name, architecture, l.v AS size_label, q.v AS quantization FROM models",
+    "merge_incremental": "SELECT key, size, display_name, architecture, l.v AS size_label, q.v AS quantization FROM models",
     "location_state": "SELECT key, root_id, kind, rel_path, accessible, dev, ino, state FROM stated",
     "dup_groups": "SELECT * FROM dups",
     "dup_groups_large": """SELECT key, size, display_name, extra_copies, CAST(size * extra_copies AS BIGINT) AS reclaimable FROM parts_big JOIN

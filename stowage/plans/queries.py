@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import struct
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,6 +21,7 @@ from ..operators import health as h
 from ..operators import picks as p
 from ..sources import documents, headers, scanner
 from ..sources.scratch import materialize, scratch_path
+from ..store import Store
 from ..streaming import hashing, journal
 from . import actions
 from .fixture import NOW, Catalog, catalog, large_catalog, table
@@ -54,6 +56,20 @@ def catalog_merge(k: Catalog) -> DataFrame:
     return k.models.select("key", "size", "display_name", "meta.architecture", "meta.size_label", "meta.quantization")
 
 
+@query
+def merge_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents of a store that was saved with other files of two roots, and without a third, which then changed to the catalog's."""
+    k = catalog(spark, sf_dir)
+    files = materialize(k.files.drop("kind"), "files")
+    late = F.col("root_id").isin("src2", "src3")
+    before = files.filter("root_id <> 'src4'").withColumns({"size": F.when(late, F.col("size") + 1).otherwise(F.col("size")), "sha256": F.when(~late | (F.col("ord") % 2 == 0), F.col("sha256"))})
+    with tempfile.TemporaryDirectory() as lock:
+        store = Store(spark, scratch_path(spark, "store"), lock)
+        store.save(before, k.roots)
+        store.update({r: files.filter(F.col("root_id") == r) for r in ("src2", "src3", "src4")})
+    return store.contents().select("key", "size", "display_name", "meta.architecture", "meta.size_label", "meta.quantization")
+
+
 @on_catalog
 def location_state(k: Catalog) -> DataFrame:
     return k.stated.select("key", "root_id", "kind", "rel_path", "accessible", F.col("dev").cast("long").alias("dev"), F.col("ino").cast("long").alias("ino"), "state")

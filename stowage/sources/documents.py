@@ -65,26 +65,28 @@ def journal_lines(lines: DataFrame) -> DataFrame:
 
 
 def journal(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, ts, line): entries in the order of their appending; seq is the time of the append and the place in its file. No journal is an empty one."""
+    """(seq, ts, line): entries in the order of their appending; seq is the time of the append, the file within it and the place in that. No journal is an empty one."""
     fs, make = on_storage(path)
     if not fs.exists(make(path)):
         return spark.createDataFrame([], "seq struct<at: long, file: string, block: long, row: long>, ts string, line string")
     m = F.col("_metadata")
-    own = F.regexp_extract(m["file_name"], r"^entries-(\d{20})", 1).try_cast("long")
+    own = F.regexp_extract(m["file_path"], r"/entries-(\d{20})[^/]*(?:/[^/]*)?$", 1).try_cast("long")
     at = F.coalesce(own, F.unix_micros(m["file_modification_time"]) * 1000)
     seq = F.struct(at.alias("at"), m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"))
-    return journal_lines(spark.read.text(path).withColumn("seq", seq))
+    return journal_lines(spark.read.option("recursiveFileLookup", True).text(path).withColumn("seq", seq))
 
 
 def append_journal(entries: DataFrame, path: str) -> None:
-    """Append (ts, line) as one file of lines, in their order. The file's name has the time of the append, so that later ones sort behind it."""
+    """Append (ts, line) in their order: a file for each partition, in a folder that is put in place when all of them are written.
+
+    The folder's name has the time of the append, so that later ones sort behind it; files sort by their partition's number.
+    """
     fs, make = on_storage(path)
     part = f"{path.rstrip('/')}/_{uuid.uuid4().hex}"
-    entries.select(F.concat_ws("\t", "ts", "line").alias("value")).coalesce(1).write.text(part)
-    target = f"{path.rstrip('/')}/entries-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.txt"
-    for status in fs.globStatus(make(f"{part}/part-*")):
-        fs.rename(status.getPath(), make(target))
-    fs.delete(make(part), True)
+    entries.select(F.concat_ws("\t", "ts", "line").alias("value")).write.text(part)
+    for status in fs.globStatus(make(f"{part}/_*")) or []:
+        fs.delete(status.getPath(), True)
+    fs.rename(make(part), make(f"{path.rstrip('/')}/entries-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"))
 
 
 def hub_listing(spark: SparkSession, path: str, gguf_only: bool = True) -> DataFrame:

@@ -3,7 +3,8 @@
 Options: path, kind (shelf, removable, ollama, hf_hub, trash or links) and depth. A shelf is divided by the folders of
 its first two levels, a hub by its repositories, an ollama store by the models of its manifests, so that tasks walk apart
 from each other. Sizes and fingerprints are those of what a link points to; a file that can't be reached is listed with
-size 0 and accessible false. A trash is walked with its dot entries, but not through links to folders.
+size 0 and accessible false. A trash is walked with its dot entries, but not
+through links to folders, and a link in it is listed with its own size and times.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ FINGERPRINT = "struct<size: long, mtime_s: long, mtime_nsec: long, dev: decimal(
 SCHEMA = f"rel_path string, size long, fingerprint {FINGERPRINT}, name string, accessible boolean, extra string"
 
 
-def stat_row(root: str, rel: str, name: str | None = None, extra: str | None = None) -> tuple:
+def stat_row(root: str, rel: str, name: str | None = None, extra: str | None = None, follow: bool = True) -> tuple:
     try:
-        s = os.stat(os.path.join(root, rel))
+        s = os.stat(os.path.join(root, rel), follow_symlinks=follow)
         fp = (s.st_size, s.st_mtime_ns // 10**9, s.st_mtime_ns % 10**9, Decimal(s.st_dev), Decimal(s.st_ino))
         return rel, s.st_size, fp, name, True, extra
     except OSError:
@@ -189,8 +190,9 @@ class StoreReader(DataSourceReader):
             yield from repo_parts(root, rel, self.depth)
         else:
             left = 0 if partition.flat else self.depth - (rel.count("/") + 1 if rel else 0)
-            for f in (trashed if self.kind == "trash" else walk_shelf)(root, rel, left):
-                yield stat_row(root, f)
+            is_trash = self.kind == "trash"
+            for f in (trashed if is_trash else walk_shelf)(root, rel, left):
+                yield stat_row(root, f, follow=not is_trash)
 
 
 class StoreScan(DataSource):

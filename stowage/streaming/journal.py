@@ -14,7 +14,7 @@ from ..sources.documents import journal_lines
 
 def journal_stream(spark: SparkSession, path: str) -> DataFrame:
     """(ts, line) of journal files as they are appended."""
-    return journal_lines(spark.readStream.text(path))
+    return journal_lines(spark.readStream.option("recursiveFileLookup", True).text(path))
 
 
 def activity(entries: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:

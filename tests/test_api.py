@@ -153,6 +153,14 @@ def test_trash_on_disk(spark, tmp_path):
     os.symlink(tmp_path / "else", tmp_path / "s" / TRASH / "linked")
     got = api.trash_scan(spark, [{"root_id": "s", "kind": "shelf", "path": str(tmp_path / "s")}, {"root_id": "o", "kind": "ollama", "path": str(tmp_path / "s")}])
     assert rows(got.select("root_id", "rel_path")) == [("s", ".cfg/x.json"), ("s", "a/m.gguf"), ("s", "a/n.bin")]
+    put(tmp_path / "t" / TRASH / "old.gguf", b"0" * 2048)
+    os.utime(tmp_path / "t" / TRASH / "old.gguf", (1_700_000_000, 1_700_000_000))
+    os.symlink(tmp_path / "else/o.gguf", tmp_path / "t" / TRASH / "link.gguf")
+    listed = api.trash_list(api.trash_scan(spark, [{"root_id": "t", "kind": "removable", "path": str(tmp_path / "t"), "label": "Vault"}]), now=1_700_000_000 + 3 * 86400)
+    shown = [tuple(r) for r in listed.select("rel_path", "root_label", "root_path", "size", "trashed_unix", "shown_size", "age").collect()]
+    own = os.lstat(tmp_path / "t" / TRASH / "link.gguf")
+    assert shown[1][:5] == ("old.gguf", "Vault", str(tmp_path / "t"), 2048, 1_700_000_000) and shown[1][5].startswith("2") and shown[1][6].startswith("3")
+    assert shown[0][:1] + shown[0][3:5] == ("link.gguf", own.st_size, int(own.st_mtime))
 
 
 def test_from_headers_to_usage(spark, tmp_path):

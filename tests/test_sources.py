@@ -208,6 +208,16 @@ def test_manifests(spark, tmp_path):
     assert rows(documents.manifests(spark, str(tmp_path)).select("root_id", "rel_path", "size", "sha256")) == [("r", "m.gguf", 3, None)]
 
 
+def test_a_long_append_has_many_files_in_order(spark, tmp_path):
+    path = str(tmp_path / "j")
+    for go in range(2):
+        lines = spark.range(3000).repartition(6).select(F.lit("2024-01-01 00:00:00").alias("ts"), F.format_string(f"{go} %06d", "id").alias("line")).repartitionByRange(5, "line").sortWithinPartitions("line")
+        documents.append_journal(lines, path)
+    assert [len([f for f in os.listdir(tmp_path / "j" / d) if f.startswith("part-")]) for d in sorted(os.listdir(path)) if d.startswith("entries")] == [5, 5]
+    assert not [d for d in os.listdir(path) if d.startswith("_")]
+    assert [r["line"] for r in documents.journal(spark, path).orderBy("seq").collect()] == [f"{go} {i:06d}" for go in range(2) for i in range(3000)]
+
+
 def test_journal(spark, tmp_path):
     documents.append_journal(spark.createDataFrame([("2024-01-01 00:00:00", "backup a"), ("2024-01-01 00:00:01", "backup b")], "ts string, line string"), str(tmp_path / "j"))
     put(tmp_path / "j/more.txt", b"no tab\n\n")
