@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialize, numbered_files, scratch_path
+from .common import materialize, numbered_files, scratch_path, ship
 
 MAGIC = b"STOWPLN1"
 HEAD = struct.Struct("<8sQIIIBQI")  # magic, segment bytes, ids a block, documents, blocks, bits a plane, ids, bytes of the document table
@@ -99,6 +99,7 @@ def write_token_files(
     docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, block_ids: int = BLOCK_IDS, plane_bits: int = 8, segment_ids: int = SEGMENT_IDS, segments_per_file: int = SEGMENTS_PER_FILE
 ) -> None:
     """Write the ids of whole texts, ``end_id`` after each, to files under ``path`` in ascending doc_id order."""
+    ship(docs.sparkSession)
 
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary).encode
@@ -133,6 +134,7 @@ def write_token_files(
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document, from the files alone."""
+    ship(spark)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

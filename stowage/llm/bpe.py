@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import ship
 
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES, MANY_BUCKETS = 16 << 20, 8192
@@ -272,6 +273,7 @@ def buckets_for(size: int) -> int:
 
 
 def _encoded(docs: DataFrame, path: str, pattern: str, schema: str, describe, buckets: int | None, chunk_bytes: int) -> DataFrame:
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     if buckets is None:
         buckets = buckets_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)

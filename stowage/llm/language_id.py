@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import tokens
+from .common import ship
 
 PROFILE = 400
 #: Documents of each language, about, that profiles are learned from.
@@ -108,6 +109,7 @@ def top(keys: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 
 def learn(docs: DataFrame, sample: int = SAMPLE, profile: int = PROFILE) -> dict[str, list[str]]:
     """Profiles by language, from rows of ``docs`` (doc_id, text, lang) with a lang and not held out."""
+    ship(docs.sparkSession)
     usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}  # one row a language
     if not sizes:
@@ -148,6 +150,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, profile: int = PROFILE) -> dict
 
 def predict(docs: DataFrame, profiles: dict[str, list[str]], keep: Sequence[str] = (), profile: int = PROFILE, text: str = "text") -> DataFrame:
     """The columns ``keep``, lang_pred and score of every row; predicts from the column ``text`` only."""
+    ship(docs.sparkSession)
     langs = sorted(profiles)
     keep = list(keep)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialize, number_rows, unused
+from .common import materialize, number_rows, ship, unused
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -31,6 +31,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces_of(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0) -> DataFrame:
     """Tokenize whole texts, append ``end_id`` and cut what is longer than ``capacity``."""
+    ship(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary).encode

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import tokens
+from .common import ship
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -86,6 +87,7 @@ def mask_of(policy: str) -> int:
 
 def ledger(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns ``keep``, the measurements (of the column ``text``) and failed_bits of every row."""
+    ship(docs.sparkSession)
     keep = list(keep)
 
     def measure_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,11 +116,3 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     placed = keyed.withColumn("shard", shard.cast("int"))
     slots = number_rows(placed, ["shard"], ["doc_id", "key"], ["doc_id", "key"], "slot", keyed.count())
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write whole documents under ``path/shard=N``; rows meet their place by doc_id and checksum of the text."""
-    to = placed.select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.col("shard").alias("__shard")).distinct()
-    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))
-    rows = docs.join(to, F.col("doc_id").eqNullSafe(F.col("__id")) & (crc == F.col("__crc")))
-    rows.drop("__id", "__crc").withColumnRenamed("__shard", "shard").write.partitionBy("shard").parquet(path)

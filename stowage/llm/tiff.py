@@ -18,7 +18,7 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
 from . import tokens
+from .common import ship
 
 #: Pixels of a stored row, rows of a page, of a strip and of a tile, and pixels across a tile.
 WIDTH, PAGE_ROWS, STRIP_ROWS, TILE_ROWS, TILE_COLUMNS = 64, 512, 128, 64, 32
@@ -37,6 +38,8 @@ PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES = 284, 317,
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: No compression makes more bytes out of one (LZW: 4096 bytes out of 12 bits).
 MOST_EXPANSION = 2800
+#: Bytes of a page's pixels at most, as a value of a row has no more.
+MOST_PAGE = (1 << 31) - 1
 _RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 
 
@@ -218,7 +221,7 @@ def directories(file: bytes) -> Iterator[tuple[str, dict[int, tuple[int, ...]]]]
         at = struct.unpack_from(f"{order}I", file, at + 2 + 12 * count)[0]
 
 
-def decode_page(file: bytes, order: str, fields: dict[int, tuple[int, ...]]) -> np.ndarray:
+def decode_page(file: bytes, order: str, fields: dict[int, tuple[int, ...]], seen: Claims | None = None) -> np.ndarray:
     """Samples as (rows, columns, samples a pixel)."""
     one = lambda tag, default: fields.get(tag, (default,))[0]
     width, height, samples = one(IMAGE_WIDTH, 0), one(IMAGE_LENGTH, 0), one(SAMPLES, 1)
@@ -242,8 +245,13 @@ def decode_page(file: bytes, order: str, fields: dict[int, tuple[int, ...]]) ->
         raise ValueError("the strips or tiles don't make up the page")
     there = sum(max(0, min(size, len(file) - start)) for start, size in zip(offsets, sizes, strict=True))
     part_bytes = down * -(-across * depth * bits // 8)
-    if max(part_bytes * len(offsets), height * width * samples * kind.itemsize // (8 if bits < 8 else 1)) > MOST_EXPANSION * there:
+    pixels = height * width * samples * kind.itemsize
+    if max(part_bytes * len(offsets), pixels) > MOST_PAGE:
+        raise ValueError("the page is too large for a row")
+    if max(part_bytes * len(offsets), pixels // (8 if bits < 8 else 1)) > MOST_EXPANSION * there:
         raise ValueError("the page claims more pixels than its data can hold")
+    if seen is not None:
+        seen.add(pixels // (8 if bits < 8 else 1), zip(offsets, sizes, strict=True), len(file))
     page = np.zeros((height, width, samples), kind)
     grid = ((plane, y, x) for plane in range(planes) for y in range(0, height, down) for x in range(0, width, across))
     for (plane, y, x), start, size in zip(grid, offsets, sizes, strict=True):
@@ -266,6 +274,25 @@ def decode_page(file: bytes, order: str, fields: dict[int, tuple[int, ...]]) ->
     return page
 
 
+class Claims:
+    """What the pages of one file have claimed together. Strips that several pages share hold their pixels once, so such pages can't go on for ever."""
+
+    def __init__(self) -> None:
+        self.claimed, self.strips, self.there = 0, set(), 0
+
+    def add(self, pixels: int, strips: Iterable[tuple[int, int]], size: int) -> None:
+        for start, length in set(strips) - self.strips:
+            self.strips.add((start, length))
+            self.there += max(0, min(length, size - start))
+        self.claimed += pixels
+        if self.claimed > MOST_EXPANSION * min(self.there, size):
+            raise TooMuch("the pages claim more pixels than the file can hold")
+
+
+class TooMuch(ValueError):
+    """The walk of a file ends with this."""
+
+
 def feature_of(page: np.ndarray, bits: int = 0) -> str:
     """Size, mean and the counts of samples in eight equal ranges of value."""
     bits = bits or 8 * page.dtype.itemsize
@@ -283,12 +310,15 @@ def pages(file: bytes) -> Iterator[tuple]:
     """The values of PAGE for every page of a file."""
     nothing = (None,) * 6
     try:
+        claims = Claims()
         for n, (order, fields) in enumerate(directories(file)):
             try:
-                page, bits = decode_page(file, order, fields), fields.get(BITS, (1,))[0]
+                page, bits = decode_page(file, order, fields, claims), fields.get(BITS, (1,))[0]
                 yield n, page.shape[1], page.shape[0], page.shape[2], bits, page.tobytes(), feature_of(page, bits), None
             except BROKEN as e:
                 yield n, *nothing, str(e) or type(e).__name__
+                if isinstance(e, TooMuch):
+                    return
     except BROKEN as e:
         yield -1, *nothing, str(e) or type(e).__name__
 
@@ -298,6 +328,7 @@ def pages_of(files: DataFrame, content: str, keep: Sequence[str] = ()) -> DataFr
 
     The rows of a file follow each other, in the order of its directories.
     """
+    ship(files.sparkSession)
     keep = list(keep)
     own = [f"own{i}" for i in range(len(keep))]
     kinds = [pa.int32()] * 5 + [pa.binary(), pa.string(), pa.string()]
@@ -338,6 +369,7 @@ def layout_of(payload: bytes) -> dict[str, object]:
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (a TIFF file) of every row."""
+    ship(docs.sparkSession)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialize, numbered_files, scratch_path
+from .common import materialize, numbered_files, scratch_path, ship
 
 END_ID = 50256
 BLOCK_IDS = 1 << 18
@@ -33,6 +33,7 @@ ROW_BYTES, ROWS_PER_FILE = 2 << 20, 64
 
 def write_flat_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, row_bytes: int = ROW_BYTES, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Write flat files under ``path`` in the order of the table ``docs``. Returns (part, place, doc_id, n_bytes): which document stands where."""
+    ship(docs.sparkSession)
 
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary).encode
@@ -61,6 +62,7 @@ def running_total(rows: DataFrame, order: list[str], value: str) -> DataFrame:
 
 def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
     """part (of the files), place (in them), ordinal, start (ids and end ids before it) and n_tokens (without the end id) of every document in the files."""
+    ship(spark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

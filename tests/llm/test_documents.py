@@ -298,6 +298,31 @@ def test_a_page_that_claims_too_much():
         assert len(found) == 1 and (changed[0] == 278 or found[0][-1])
 
 
+def test_pages_that_share_a_strip_come_to_an_end():
+    """Forty directories over one strip: what they claim together is bounded by the strip, not by their number."""
+    import struct
+
+    strip = zlib.compress(bytes(8 << 20), 9)
+    body = struct.pack("<2sHI", b"II", 42, 8 + len(strip)) + strip
+    for n in range(40):
+        fields = [(256, 4, 1, 2048), (257, 4, 1, 4096), (258, 3, 1, 8), (259, 3, 1, 8), (273, 4, 1, 8), (277, 3, 1, 1), (278, 4, 1, 4096), (279, 4, 1, len(strip))]
+        at = len(body)
+        following = at + 2 + 12 * len(fields) + 4 if n < 39 else 0
+        body += struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", *f) for f in fields) + struct.pack("<I", following)
+    found = list(tiff.pages(body))
+    assert 1 <= sum(len(p[5] or b"") for p in found) <= tiff.MOST_EXPANSION * len(strip) < 40 * (8 << 20)
+    assert found[-1][-1] == "the pages claim more pixels than the file can hold" and all(p[-1] is None for p in found[:-1])
+
+
+def test_a_page_beyond_a_row():
+    import struct
+
+    strip = zlib.compress(bytes(1 << 20), 9) * 1000
+    fields = [(256, 4, 1, 65_536), (257, 4, 1, 40_000), (258, 3, 1, 8), (259, 3, 1, 8), (273, 4, 1, 8), (277, 3, 1, 1), (278, 4, 1, 40_000), (279, 4, 1, len(strip))]
+    file = struct.pack("<2sHI", b"II", 42, 8 + len(strip)) + strip + struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", *f) for f in fields) + struct.pack("<I", 0)
+    assert [p[-1] for p in tiff.pages(file)] == ["the page is too large for a row"]
+
+
 def test_tiff_tiles_big_endian_and_planes():
     import struct
 
