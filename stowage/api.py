@@ -14,7 +14,7 @@ from .functions.names import has_dot_component, sanitized, scan_display_name
 from .functions.scalars import ago, dest_for, human_size
 from .operators import aggregates, bundle, catalog, health, picks
 from .plans import actions
-from .sources import documents, headers, scanner
+from .sources import documents, headers, scanner, walk
 from .sources.scratch import materialize
 from .sources.state import TRASH
 from .streaming import hashing
@@ -33,7 +33,7 @@ def scan_roots(spark: SparkSession, roots: Sequence[dict[str, str]]) -> DataFram
     parts = []
     for r in roots:
         if os.path.isdir(r["path"]):
-            rows = scanner.scan(spark, r["path"], r["kind"])
+            rows = scanner.scan(spark, r["path"], r["kind"]) if r["kind"] == "ollama" else walk.walk_store(spark, r["path"], r["kind"])
             parts.append(rows.select(F.lit(r["root_id"]).alias("root_id"), F.lit(r["kind"]).alias("kind"), *[c for c in rows.columns if c != "extra"]))
     if not parts:
         return spark.createDataFrame([], f"root_id string, kind string, {scanner.SCHEMA}").drop("extra").withColumn("ord", F.lit(0).cast("long"))
@@ -281,7 +281,7 @@ def trash_scan(spark: SparkSession, roots: Sequence[dict[str, str]]) -> DataFram
         if r["kind"] in ("shelf", "removable") and os.path.isdir(folder):
             label, path = F.lit(r.get("label") or r["root_id"]).alias("root_label"), F.lit(r["path"]).alias("root_path")
             time = F.greatest(F.coalesce("fingerprint.mtime_s", F.lit(0)), F.lit(0)).alias("trashed_unix")
-            out = out.unionByName(scanner.scan(spark, folder, "trash").select(F.lit(r["root_id"]).alias("root_id"), label, path, "rel_path", "size", time))
+            out = out.unionByName(walk.walk_store(spark, folder, "trash").select(F.lit(r["root_id"]).alias("root_id"), label, path, "rel_path", "size", time))
     return out
 
 

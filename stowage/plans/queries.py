@@ -19,7 +19,7 @@ from ..operators import bundle as b
 from ..operators import catalog as c
 from ..operators import health as h
 from ..operators import picks as p
-from ..sources import documents, headers, scanner
+from ..sources import documents, headers, scanner, walk
 from ..sources.scratch import materialize, scratch_path
 from ..store import Store
 from ..streaming import hashing, journal
@@ -643,6 +643,12 @@ def scan_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanner.scan(spark, written_shelf(spark, sf_dir)).select("rel_path", "size", F.col("fingerprint.size").alias("fp_size"), "accessible")
 
 
+@query
+def walk_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same shelf by the adaptive walk, in rounds of 500 entries a task."""
+    return walk.walk_store(spark, written_shelf(spark, sf_dir), entries=500).select("rel_path", "size", F.col("fingerprint.size").alias("fp_size"), "accessible")
+
+
 @query
 def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = written_shelf(spark, sf_dir)

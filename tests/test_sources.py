@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stowage.operators import picks
 from stowage.operators.health import hub_health
-from stowage.sources import documents, headers, scanner, state
+from stowage.sources import documents, headers, scanner, state, walk
 from stowage.streaming import hashing, journal
 
 from .conftest import rows
@@ -350,3 +350,49 @@ def test_bytes_rise_while_a_long_file_is_read(spark, tmp_path):
     told = rows(headers.reading_progress(spark, str(tmp_path / "told")).filter("path LIKE '%long'").select("done", "event"))
     assert sorted(told) == [(0, "start"), (64 << 20, "progress"), (128 << 20, "progress"), (192 << 20, "progress"), (200 << 20, "done")]
     assert headers.reading_progress(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_an_adaptive_walk_finds_what_a_scan_finds(spark, tmp_path):
+    for f in ("top.gguf", "a/b/c/d/e/m.gguf", "a/x.gguf", "a/no.json", ".a/n.gguf", "a/emb/w.bin", "a/emb/s/t.json", "a/emb/s/.h/u.json", "wide/.keep", *(f"wide/{i}/m{k}.gguf" for i in range(30) for k in range(4))):
+        put(tmp_path / "s" / f)
+    os.symlink("/nowhere", tmp_path / "s/a/emb/dead.bin")
+    os.symlink(tmp_path / "s/a/x.gguf", tmp_path / "s/link.gguf")
+    for f in ("models--o--n/snapshots/r1/w.safetensors", "models--o--n/snapshots/r1/t/tok.json", "models--o--n/snapshots/r2/q.gguf", "models--o--n/snapshots/r2/readme.md", "models--o--n/refs/main", "models--p--q--r/snapshots/z/m.gguf", "datasets--x/snapshots/r/w.bin"):
+        put(tmp_path / "h" / f)
+    for f in ("a/m.gguf", ".c/x.json", "deep/1/2/3/n"):
+        put(tmp_path / "t" / f)
+    os.symlink(tmp_path / "h", tmp_path / "t/linked")
+    columns = ["rel_path", "size", "fingerprint", "name", "accessible"]
+    for kind, place in (("shelf", "s"), ("hf_hub", "h"), ("trash", "t")):
+        for depth in (16, 2):
+            want = rows(scanner.scan(spark, str(tmp_path / place), kind, depth).select(*columns))
+            assert want
+            for entries in (20_000, 7):
+                assert rows(walk.walk_store(spark, str(tmp_path / place), kind, depth, entries).select(*columns)) == want
+    assert walk.walk_store(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_wide_folder_is_dealt_to_many_tasks(spark, tmp_path):
+    for i in range(2000):
+        put(tmp_path / f"1/2/{i}/m.gguf")
+    seen = []
+    real = walk.one_round
+    try:
+        walk.one_round = lambda frontier, root, parts, entries: seen.append(parts) or real(frontier, root, parts, entries)
+        assert walk.walk_store(spark, str(tmp_path), entries=100).count() == 2000
+    finally:
+        walk.one_round = real
+    assert seen[0] == 1 and max(seen) >= 30
+
+
+def test_a_walk_stops_and_goes_on(tmp_path):
+    for i in range(50):
+        put(tmp_path / f"d{i % 5}/f{i}.gguf")
+    files_, todo = set(), [("gguf", "", 16)]
+    for _ in range(100):
+        if not todo:
+            break
+        out = list(walk.walk(str(tmp_path), todo, 3))
+        files_ |= {r[3] for r in out if r[3]}
+        todo = [r[:3] for r in out if r[3] is None]
+    assert len(files_) == 50
