@@ -226,6 +226,7 @@ QUERIES: dict[str, str] = {
     "url_scalars": """SELECT page_id, url_encode(url || ' é~*?') AS raw, regexp_matches(regexp_extract(url, 'https?://[^/]*/(.*)', 1), '^[A-Za-z0-9._-]+/[A-Za-z0-9._-]+$') AS valid,
         CASE WHEN page_id % 3 = 0 THEN sha256(url) END AS etag, true AS ok FROM pages""",
 }
+QUERIES["find_indexed"] = QUERIES["find_query"]
 QUERIES["walk_dir"] = QUERIES["scan_dir"]
 QUERIES["url_scalars"] = "SELECT page_id, replace(replace(replace(raw, '+', '%20'), '%2F', '/'), '*', '%2A') AS path, valid, etag, ok FROM (" + QUERIES["url_scalars"] + ")"
 

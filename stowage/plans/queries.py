@@ -19,6 +19,7 @@ from ..operators import bundle as b
 from ..operators import catalog as c
 from ..operators import health as h
 from ..operators import picks as p
+from ..operators import search
 from ..sources import documents, headers, scanner, walk
 from ..sources.scratch import materialize, scratch_path
 from ..store import Store
@@ -361,6 +362,15 @@ def find_query(k: Catalog) -> DataFrame:
     return c.find(k.models, k.locations, "G1/M-").select("key", "display_name").unionByName(c.find(k.models, k.locations, "a1").select("key", "display_name")).distinct()
 
 
+@query
+def find_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finds of ``find_query`` by an index."""
+    k = catalog(spark, sf_dir).settled()
+    index = search.build(search.texts_of(k.models, k.locations), k.models, scratch_path(spark, "search"))
+    met = index.find("G1/M-").unionByName(index.find("a1")).distinct()
+    return k.models.join(met, "key", "left_semi").select("key", "display_name")
+
+
 @on_catalog
 def first_per_inode(k: Catalog) -> DataFrame:
     scan = k.files.select("root_id", "ord", "kind", "rel_path", F.when(F.col("fingerprint").isNotNull(), F.col("ord") % 3).alias("dev"), F.when(F.col("fingerprint").isNotNull(), F.floor(F.col("ord") / 4)).alias("ino"))
