@@ -255,6 +255,13 @@ class Engine:
         return aggregates.inventory_view(self.models, self.stated, order, ascending, splits).filter(F.lower(F.concat_ws(" ", "display_name", "quant", "places", "key")).contains(text.lower()))
 
 
+def as_json(found: DataFrame | dict[str, DataFrame]) -> DataFrame:
+    """(part, json): what any command gives as a line of JSON a row, nulls included; part names the piece of a command that gives several."""
+    parts = {"": found} if isinstance(found, DataFrame) else found
+    lines = [rows.select(F.lit(name).alias("part"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("json")) for name, rows in parts.items()]
+    return reduce(DataFrame.unionByName, lines)
+
+
 def store_health(spark: SparkSession, kind: str, path: str) -> DataFrame:
     """Findings of a hub, or of an ollama store, on disk."""
     if kind == "hf_hub":

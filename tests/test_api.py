@@ -56,6 +56,20 @@ def test_commands(spark, engine):
         e.verify(777, "nothing")
 
 
+def test_every_command_as_json(spark, engine):
+    import json
+
+    e, path, known = engine
+    provenance = spark.createDataFrame([], "sha256 string, repo string")
+    given = [e.status(), e.dups(), e.report(), e.doctor(1_800_000_000), e.where("copy", provenance), e.impact("shelf"), e.dedup(), e.inventory(), e.delete_preview(["big-q8"]), e.backup("drive"), api.trash_scan(spark, known)]
+    for found in given:
+        lines = api.as_json(found).collect()
+        parts = found if isinstance(found, dict) else {"": found}
+        for name, rows_ in parts.items():
+            got = [json.loads(r["json"]) for r in lines if r["part"] == name]
+            assert len(got) == rows_.count() and all(set(g) == set(rows_.columns) for g in got)
+
+
 def test_refresh_walks_once_and_tells_errors(spark, engine):
     e, path, known = engine
     walks = path / ".walks"

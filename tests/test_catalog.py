@@ -77,18 +77,18 @@ def model_tables(spark, given):
     return mods, locs
 
 
-SNAP = "models--o--Big/snapshots/rev1/"
+SNAP = "models--acme--Large/snapshots/rev1/"
 BUNDLES = [
-    ("part1", "o/Big", "hf_hub", "hf", SNAP + "UD/big-00001-of-00002.gguf"),
-    ("part2", "o/Big", "hf_hub", "hf", SNAP + "UD/big-00002-of-00002.gguf"),
-    ("proj", "o/Big", "hf_hub", "hf", SNAP + "mmproj-F16.gguf"),
-    ("otherquant", "o/Big", "hf_hub", "hf", SNAP + "big-Q2_K.gguf"),
+    ("part1", "acme/Large", "hf_hub", "hf", SNAP + "q/large-00001-of-00002.gguf"),
+    ("part2", "acme/Large", "hf_hub", "hf", SNAP + "q/large-00002-of-00002.gguf"),
+    ("proj", "acme/Large", "hf_hub", "hf", SNAP + "mmproj-F16.gguf"),
+    ("otherquant", "acme/Large", "hf_hub", "hf", SNAP + "large-Q2_K.gguf"),
     ("omodel", "vision:latest", "ollama", "ol", "blobs/sha256-m"),
     ("oproj", "vision:latest+projector", "ollama", "ol", "blobs/sha256-p"),
-    ("weights", "org/Embed", "hf_hub", "hf", "models--org--Embed/snapshots/rev1/model.safetensors"),
-    ("tok", "org/Embed", "hf_hub", "hf", "models--org--Embed/snapshots/rev1/tokenizer.json"),
-    ("pool", "org/Embed", "hf_hub", "hf", "models--org--Embed/snapshots/rev1/1_Pooling/config.json"),
-    ("other", "org/Other", "hf_hub", "hf", "models--org--Other/snapshots/rev9/model.safetensors"),
+    ("weights", "lab/Vectors", "hf_hub", "hf", "models--lab--Vectors/snapshots/rev1/model.safetensors"),
+    ("tok", "lab/Vectors", "hf_hub", "hf", "models--lab--Vectors/snapshots/rev1/tokenizer.json"),
+    ("pool", "lab/Vectors", "hf_hub", "hf", "models--lab--Vectors/snapshots/rev1/pooler/settings.json"),
+    ("other", "lab/Second", "hf_hub", "hf", "models--lab--Second/snapshots/c41/model.safetensors"),
 ]
 
 
@@ -259,10 +259,10 @@ def test_restore_mirrors_delete(spark):
 
 
 def test_hub_problems(spark):
-    refs = spark.createDataFrame([("Husk", "main", "r0"), ("Messy", "main", "rev1"), ("Messy", "old", "rev0gone")], "repo string, ref string, rev string")
-    snaps = spark.createDataFrame([("Messy", "rev1")], "repo string, rev string")
-    blobs = spark.createDataFrame([("Messy", "used", 1), ("Messy", "orphan", 2), ("Messy", "dl.incomplete", 3)], "repo string, blob string, size long")
-    links = spark.createDataFrame([("Messy", "rev1", "ok", "used"), ("Messy", "rev1", "dead", None), ("Messy", "rev1", "file in place", "regular")], "repo string, rev string, path string, blob string")
+    refs = spark.createDataFrame([("Hollow", "main", "r0"), ("Untidy", "main", "rev1"), ("Untidy", "old", "rev0gone")], "repo string, ref string, rev string")
+    snaps = spark.createDataFrame([("Untidy", "rev1")], "repo string, rev string")
+    blobs = spark.createDataFrame([("Untidy", "used", 1), ("Untidy", "orphan", 2), ("Untidy", "dl.incomplete", 3)], "repo string, blob string, size long")
+    links = spark.createDataFrame([("Untidy", "rev1", "ok", "used"), ("Untidy", "rev1", "dead", None), ("Untidy", "rev1", "file in place", "regular")], "repo string, rev string, path string, blob string")
     got = sorted(r[0] for r in h.hub_findings(refs, snaps, blobs, links).select("kind").collect())
     assert got == ["dangling_ref", "dangling_snapshot_link", "incomplete_download", "orphan_blob", "pruned_husk"]
 
@@ -280,7 +280,7 @@ def test_stale_drives(spark):
 
 
 def test_listings(spark):
-    listing = spark.createDataFrame([(0, "UD/big-00001-of-00002.gguf", 40), (1, "plain-Q4.gguf", 7), (2, "UD/big-00002-of-00002.gguf", 10)], "ord long, filename string, size long")
+    listing = spark.createDataFrame([(0, "q/large-00001-of-00002.gguf", 40), (1, "plain-Q4.gguf", 7), (2, "q/large-00002-of-00002.gguf", 10)], "ord long, filename string, size long")
     assert rows(b.listing_groups(listing).select("display", "total")) == [("UD/big.gguf (2 parts)", 50), ("plain-Q4.gguf", 7)]
     unknown = listing.withColumn("size", F.when(F.col("ord") == 0, None).otherwise(F.col("size")))
     assert ("UD/big.gguf (2 parts)", None) in rows(b.listing_groups(unknown).select("display", "total"))

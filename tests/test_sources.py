@@ -150,7 +150,7 @@ def test_one_writer(tmp_path):
 
 
 def test_hub_and_its_health(spark, tmp_path):
-    repo = tmp_path / "models--org--Messy"
+    repo = tmp_path / "models--org--Untidy"
     for b in ("used", "orphan", "dl.incomplete"):
         put(repo / "blobs" / b)
     os.makedirs(repo / "snapshots/rev1")
@@ -158,8 +158,8 @@ def test_hub_and_its_health(spark, tmp_path):
     os.symlink("../../blobs/pruned", repo / "snapshots/rev1/gone.gguf")
     put(repo / "refs/main", b"rev1\n")
     put(repo / "refs/old", b"rev0gone")
-    put(tmp_path / "models--org--Husk/refs/main", b"rev0")
-    assert {r["name"] for r in scanner.scan(spark, str(tmp_path), "hf_hub").collect()} == {"org/Messy"}
+    put(tmp_path / "models--org--Hollow/refs/main", b"rev0")
+    assert {r["name"] for r in scanner.scan(spark, str(tmp_path), "hf_hub").collect()} == {"org/Untidy"}
     put(repo / "snapshots/rev1/config.json", b"in place, not a link")
     os.symlink("../../blobs/dl.incomplete", repo / "snapshots/rev1/half.gguf")
     assert sorted(r["kind"] for r in hub_health(scanner.scan(spark, str(tmp_path), "links", 3)).collect()) == ["dangling_ref", "dangling_snapshot_link", "incomplete_download", "orphan_blob", "pruned_husk"]
