@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import tokens
-from .common import ship
+from .common import materialize, ship
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -105,6 +105,11 @@ def ledger(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text
     return measured.withColumn("failed_bits", bits)
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger of all rows, measured once and written; policies and ablations are read from it."""
+    return materialize(ledger(docs.select(F.col("doc_id").cast("long"), "text")), "ledger")
+
+
 def passes(policy: str) -> Column:
     return F.col("failed_bits").bitwiseAND(F.lit(mask_of(policy)).cast("long")) == 0
 
@@ -123,8 +128,8 @@ def ablations(entries: DataFrame, policy: str) -> DataFrame:
 
 
 def judged(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """doc_id, the measurements, failed_bits, base_failed and kept of every row."""
-    return ledger(docs.select(F.col("doc_id").cast("long"), "text")).withColumns({"base_failed": ~passes("base"), "kept": passes("base") & passes(policy)})
+    """doc_id, the measurements, failed_bits, base_failed and kept of every row, by policies over the stored ledger."""
+    return stored_ledger(docs).withColumns({"base_failed": ~passes("base"), "kept": passes("base") & passes(policy)})
 
 
 def passing(docs: DataFrame, policy: str = "v1") -> DataFrame:

@@ -35,7 +35,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every rule of the policy rejects, and what it alone, from the stored ledger."""
-    return quality.ablations(materialize(quality.ledger(documents(spark, sf_dir).select("doc_id", "text")), "ledger"), "v1")
+    return quality.ablations(quality.stored_ledger(documents(spark, sf_dir)), "v1")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
