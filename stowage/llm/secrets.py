@@ -50,7 +50,12 @@ PRIVATE = (
     rf"(?:(?:{_BREAK}[A-Za-z0-9+/]{{16,}}={{0,2}}{_LINE_END}|\s++[A-Za-z0-9+/]{{24,}}={{0,2}})++(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}={{0,2}}{_LINE_END})?)?)"
 )
 VALUE = rf"[^\s\"'{OPEN}{CLOSE}](?:(?!{KNOWN})[^\s\"'{OPEN}{CLOSE}]){{5,}}+"
-CANDIDATE = rf"{ASSIGNED}(?:{PRIVATE}|{VALUE})|{HEADER}[A-Za-z0-9+/_.~-]{{12,}}+={{0,2}}|{LOGIN}[^\s/:@\"'<>{OPEN}{CLOSE}]{{3,128}}+(?=@)|{PRIVATE}|{KNOWN}|{RUN}"
+#: Most places of a text follow a letter, where only a login or a private key can begin; what else may is looked for at the others alone.
+_PLACE = r"(?:(?<![A-Za-z])|(?<=\\[nrt])|(?<=%[0-9A-Fa-f]{2}))"
+CANDIDATE = (
+    rf"{_PLACE}(?:{ASSIGNED}(?:{PRIVATE}|{VALUE})|{HEADER}[A-Za-z0-9+/_.~-]{{12,}}+={{0,2}}|{KNOWN}|{RUN})"
+    rf"|{LOGIN}[^\s/:@\"'<>{OPEN}{CLOSE}]{{3,128}}+(?=@)|{PRIVATE}"
+)
 #: What a candidate is assigned to or follows, and isn't part of its value.
 PREFIX = rf"(?:{ASSIGNED}|{HEADER}|{LOGIN})"
 #: Characters on each side of a candidate that its neighbouring words are looked for in.
@@ -279,7 +284,8 @@ def scanned(docs: DataFrame, threshold: float = 0.5, labelled: DataFrame | None
     (one entry a candidate) and kept (which of them are secrets)."""
     words = dictionary(learned_words(docs))
     trees = forest(docs.sparkSession, words, labelled)
-    pieces = F.split(F.regexp_replace(F.translate("text", OPEN + CLOSE, OTHER + OTHER), f"({CANDIDATE})", f"{OPEN}$1{CLOSE}"), OPEN)
+    clear = F.when(F.col("text").contains(OPEN) | F.col("text").contains(CLOSE), F.translate("text", OPEN + CLOSE, OTHER + OTHER)).otherwise(F.col("text"))
+    pieces = F.split(F.regexp_replace(clear, f"({CANDIDATE})", f"{OPEN}$1{CLOSE}"), OPEN)
     rest = lambda p: F.when(F.instr(p, CLOSE) > 0, F.substring_index(p, CLOSE, -1)).otherwise(p)
 
     def look(p: Column, i: Column) -> Column:
