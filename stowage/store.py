@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import os
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import api, schema
 from .api import Engine
 from .operators import merging
+from .sources import documents
 from .sources.documents import upsert_provenance
 from .sources.scratch import materialize
 from .sources.state import writer
 from .sources.versions import Versions
 
+#: The columns of stored files.
+STORED = T.StructType([T.StructField("root_id", T.StringType()), T.StructField("ord", T.LongType()), *schema.FILE.fields])
 #: Shares that provenance is kept in, by the beginning of its hashes.
 PREFIX = 1
 
@@ -43,10 +49,13 @@ class Store:
             split = {"files": (rows, ["root_id"], None), "partials": (parts, ["root_id", "bucket"], None), "contents": (merging.merged(parts), ["bucket"], None)}
             return self.versions.put({"roots": {"all": roots}}, split=split)
 
-    def update(self, changed: Mapping[str, DataFrame | None], roots: DataFrame | None = None) -> dict:
-        """Commit the new files of some roots (None: the root is forgotten); only contents that these roots know otherwise are merged again."""
+    def update(self, changed: Mapping[str, DataFrame | None], roots: DataFrame | None = None, based_on: dict | None = None) -> dict:
+        """Commit the new files of some roots (None: the root is forgotten); only contents that these roots know otherwise are merged again.
+
+        ``based_on`` is the commit that the files were made from; another one since then is a conflict, and nothing is written.
+        """
         with writer(self.lock_folder):
-            at, ids = self.versions.commit(), list(changed)
+            at, ids = based_on or self.versions.commit(), list(changed)
             every, known = self.versions.table("partials", at), self.versions.table("files", at)
             rows = reduce(DataFrame.unionByName, [f.select(*known.columns) for f in changed.values() if f is not None], known.limit(0))
             rows = materialize(rows.filter(F.col("root_id").isin(ids)), "to_save")
@@ -59,6 +68,26 @@ class Store:
                 split["contents"] = merging.merged_again(self.versions.table("contents", at), parts, touched, buckets), ["bucket"], buckets
             return self.versions.put({} if roots is None else {"roots": {"all": roots}}, at, split)
 
+    def refresh(self, roots: Sequence[dict[str, str]], state: str | None = None, journal: str | None = None, readers: int = 4, progress: str | None = None) -> dict:
+        """Scan ``roots`` (root_id, kind, path, label), hash what is new or changed, and commit the files of those that are there; others stay as they were.
+
+        What was hashed, and what couldn't be, goes to the ``journal`` once it is committed. With ``state`` hashing is durable (``api.refresh_all``).
+        """
+        at, registered = self.versions.commit(), api.register(self.spark, roots)
+        known = self.versions.table("files", at)
+        scan = api.scan_roots(self.spark, roots)
+        previous = self.spark.createDataFrame([], STORED) if known is None else known
+        done = api.refresh_all(scan, previous, registered, documents.carried(self.spark, roots), readers, state, progress)
+        rows = materialize(done.files.select(*[f.name for f in STORED.fields]), "refreshed")
+        if known is None:
+            out = self.save(rows, registered)
+        else:
+            here = [r["root_id"] for r in roots if os.path.isdir(r["path"])]
+            out = self.update({i: rows.filter(F.col("root_id") == i) for i in here}, registered, at)
+        if journal is not None:
+            documents.append_journal(done.log_lines(), journal)
+        return out
+
     def record(self, provenance: DataFrame) -> dict:
         """Upsert provenance by hash; only the shares that its hashes are in are written again."""
         with writer(self.lock_folder):

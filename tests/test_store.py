@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import random
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stowage.operators import catalog, merging
-from stowage.sources import versions
+from stowage.sources import documents, versions
 from stowage.sources.state import Locked, writer
 from stowage.store import Store
 
@@ -78,6 +79,28 @@ def test_incremental_merges_equal_full_ones(spark, tmp_path):
     assert len(filters) == 2 and all("bucket" in line.split("PartitionFilters: [")[1].split("]")[0] for line in filters)
 
 
+def test_refresh_commits_what_is_there(spark, tmp_path):
+    put = lambda name, data: (os.makedirs((tmp_path / name).parent, exist_ok=True), (tmp_path / name).write_bytes(data))
+    for name, data in (("shelf/a/m.gguf", b"one"), ("shelf/b.gguf", b"two"), ("drive/a/m.gguf", b"one")):
+        put(name, data)
+    known = [{"root_id": "s", "kind": "shelf", "path": str(tmp_path / "shelf")}, {"root_id": "d", "kind": "removable", "path": str(tmp_path / "drive")}]
+    store, journal = Store(spark, str(tmp_path / "store"), str(tmp_path / "lock")), str(tmp_path / "journal")
+    store.refresh(known, str(tmp_path / "state"), journal)
+    assert store.contents().count() == 2 and store.load().status()["headline"].first()["backed_up"] == 1
+    assert {r["line"] for r in documents.journal(spark, journal).collect()} == {"hashed a/m.gguf in 0s", "hashed b.gguf in 0s"}
+    put("shelf/b.gguf", b"three")
+    os.rename(tmp_path / "drive", tmp_path / "away")
+    before = store.versions.commit()
+    after = store.refresh(known, str(tmp_path / "state"), journal)
+    assert after["tables"]["files"]["shares"]["d"] == before["tables"]["files"]["shares"]["d"]
+    got = {(r["root_id"], r["rel_path"]): r["sha256"] for r in store.load().files.collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {("s", "a/m.gguf"): sha(b"one"), ("s", "b.gguf"): sha(b"three"), ("d", "a/m.gguf"): sha(b"one")}
+    assert documents.journal(spark, journal).count() == 4 and not store.load().roots.filter("root_id = 'd'").first()["online"]
+    with pytest.raises(versions.Conflict):
+        store.update({"s": None}, based_on=before)
+
+
 def test_provenance_is_kept_by_prefix(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"), str(tmp_path / "lock"))
     told = lambda *given: spark.createDataFrame(given, "sha256 string, tool string, fetched_unix long")
