@@ -7,8 +7,10 @@ import fcntl
 import hashlib
 import json
 import os
+import shutil
+import subprocess
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 #: What this engine keeps on a root: its identity, a catalog of it, and its trash.
@@ -152,3 +154,19 @@ def register_root(config: Config, path: str, label: str | None = None) -> dict:
     root = {"id": own, "path": path, "label": label, "volume": volume}
     config.roots.append(root)
     return root
+
+
+def owner_tools(names: Sequence[str] = ("ollama", "hf", "huggingface-cli"), path: str | None = None) -> dict[str, bool]:
+    """Which programs of stores' owners can be called here; commands for the others are of no use."""
+    return {n: shutil.which(n, path=path) is not None for n in names}
+
+
+def timer_state(timer: str, unit_folder: str, ask: Callable[..., subprocess.CompletedProcess] = subprocess.run) -> str:
+    """The state of a scheduler's timer as ``health.scrub_finding`` takes it: active, not enabled, not installed, or no scheduler."""
+    try:
+        told = ask(["systemctl", "--user", "is-enabled", timer], capture_output=True, text=True, check=False)
+    except OSError:
+        return "no scheduler"
+    if (told.stdout or "").strip().startswith("enabled"):
+        return "active"
+    return "not enabled" if os.path.isfile(os.path.join(unit_folder, timer)) else "not installed"

@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import struct
+import subprocess
 from decimal import Decimal
 
 import pytest
@@ -396,3 +397,19 @@ def test_a_walk_stops_and_goes_on(tmp_path):
         files_ |= {r[3] for r in out if r[3]}
         todo = [r[:3] for r in out if r[3] is None]
     assert len(files_) == 50
+
+
+def test_probes_of_the_machine(tmp_path):
+    put(tmp_path / "bin/hf")
+    os.chmod(tmp_path / "bin/hf", 0o755)
+    assert state.owner_tools(path=str(tmp_path / "bin")) == {"ollama": False, "hf": True, "huggingface-cli": False}
+    told = lambda out: lambda *a, **k: subprocess.CompletedProcess(a, 0, out, "")
+
+    def missing(*a, **k):
+        raise FileNotFoundError
+
+    folder = str(tmp_path / "units")
+    assert state.timer_state("verify.timer", folder, told("enabled\n")) == "active" and state.timer_state("verify.timer", folder, missing) == "no scheduler"
+    assert state.timer_state("verify.timer", folder, told("disabled\n")) == "not installed"
+    put(tmp_path / "units/verify.timer")
+    assert state.timer_state("verify.timer", folder, told("disabled\n")) == "not enabled"
