@@ -281,9 +281,9 @@ def test_stale_drives(spark):
 
 def test_listings(spark):
     listing = spark.createDataFrame([(0, "q/large-00001-of-00002.gguf", 40), (1, "plain-Q4.gguf", 7), (2, "q/large-00002-of-00002.gguf", 10)], "ord long, filename string, size long")
-    assert rows(b.listing_groups(listing).select("display", "total")) == [("UD/big.gguf (2 parts)", 50), ("plain-Q4.gguf", 7)]
+    assert rows(b.listing_groups(listing).select("display", "total")) == [("plain-Q4.gguf", 7), ("q/large.gguf (2 parts)", 50)]
     unknown = listing.withColumn("size", F.when(F.col("ord") == 0, None).otherwise(F.col("size")))
-    assert ("UD/big.gguf (2 parts)", None) in rows(b.listing_groups(unknown).select("display", "total"))
+    assert ("q/large.gguf (2 parts)", None) in rows(b.listing_groups(unknown).select("display", "total"))
     gap = spark.createDataFrame([(0, "m-00001-of-00003.gguf", 1), (1, "m-00003-of-00003.gguf", 1)], "ord long, filename string, size long")
     assert [r[1] for r in rows(b.split_set(gap, gap.limit(1))) if not r[2]] == ["m-00002-of-00003.gguf"]
     names = ["big-Q4.gguf", "mmproj-bf16.gguf", "mmproj-f16.gguf", "mmproj-Q8_0.gguf"]
@@ -340,7 +340,7 @@ def inventory(spark):
 
 def test_inventory_orders(spark):
     mods, stated = inventory(spark)
-    splits = a.split_rollup(mods, b.split_primary(b.bundle(mods, stated.drop("state")), stated.drop("state")), c.backed_up(stated))
+    splits = a.split_rollup(mods, b.split_primary(b.bundles(mods, stated.drop("state")), stated.drop("state")), c.backed_up(stated))
     names = lambda *args: [r["key"][7:] for r in a.inventory_view(mods, stated, *args).collect()]
     assert names("size", False, splits) == ["a1", "b", "d", "a2", "c"]  # a split set goes by the size of all its parts
     assert names("name") == ["a1", "a2", "b", "d", "c"]  # letters' case doesn't matter; equal names go by the rest of the text
