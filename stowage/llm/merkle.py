@@ -123,7 +123,7 @@ def descend(levels: list[DataFrame], ways: RDD, sizes: list[int]) -> RDD:
     """((tree, number), (way, run)) of the runs of the lowest level, when ``ways`` has ((tree, height), (root of the tree, way)) of each tree's root."""
     at = None
     for height in range(len(levels), 0, -1):
-        parts = max(1, math.ceil(sizes[height - 1] / NODES_A_PARTITION))
+        parts = max(1, math.ceil(sizes[height - 1] * FANOUT / NODES_A_PARTITION))  # a run has its children with it
         begun = ways.filter(lambda w, h=height: w[0][1] == h).map(lambda w: ((w[0][0], 0), w[1]))
         at = begun if at is None else at.union(begun)
         runs = levels[height - 1].rdd.map(lambda r: ((r["tree"], r["node"]), r))
