@@ -4,7 +4,7 @@ Equal vectors fall together at once and go on as one representative with a count
 fast Hadamard transforms with random signs and takes the axis, with its sign, that it lies nearest to; a bucket is the
 joint value of ``hash_length`` hashes, of TABLES tables. A vector has its own bucket in each table and those of its
 next-best values (4 ** (length - 1) buckets); two vectors meet where one's own bucket is among the other's. At a cosine of
-just 0.9 in 64 dimensions they do with a probability of some 0.999 (measured on random pairs; ``recall`` measures a table).
+just 0.9 in 64 dimensions they do with a probability of some 0.999 (measured on 4,000 random pairs; a test holds 1,500 pairs at 0.90 to 0.93).
 
 Dense groups never meet in pairs. While a bucket holds more than CROWD vectors of their own, one of them is a pivot, and those so
 near to it that any two of them are linked for certain (half the angle) become one ball. Balls and single vectors are
@@ -50,8 +50,8 @@ def hadamard(m: np.ndarray) -> np.ndarray:
     """The fast Walsh-Hadamard transform of the rows, of unit scale; the width is a power of two."""
     n, h = m.shape[-1], 1
     while h < n:
-        m = m.reshape(*m.shape[:-1], -1, 2, h) if m.ndim == 2 else m
-        m = np.stack([m[:, :, 0] + m[:, :, 1], m[:, :, 0] - m[:, :, 1]], 2).reshape(len(m), n)
+        pairs = m.reshape(len(m), -1, 2, h)
+        m = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], 2).reshape(len(m), n)
         h *= 2
     return m / math.sqrt(n)
 
@@ -274,9 +274,10 @@ def blocks_of(members: DataFrame) -> DataFrame:
                 names=["entity", "reps", "counts", "vectors"],
             )
 
-    sizes = members.groupBy("entity").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "entity").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("blocks")))
-    grouped = dealt.groupBy("entity", "block").agg(F.collect_list(F.struct("rep", "count", "vector")).alias("m"))  # about BLOCK members
+    # Only entities of more than a block are looked up, and these are few; the others have one.
+    sizes = members.groupBy("entity").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = members.join(sizes, "entity", "left").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(SEED)), F.coalesce("blocks", F.lit(1))))
+    grouped = dealt.repartition("entity", "block").groupBy("entity", "block").agg(F.collect_list(F.struct("rep", "count", "vector")).alias("m"))  # about BLOCK members
     return grouped.select("entity", "m").mapInArrow(pack, "entity long, reps binary, counts binary, vectors binary")
 
 
