@@ -8,12 +8,13 @@ import os
 import struct
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import file_type_name, head_dim
 from ..operators.ranks import numbered
@@ -205,6 +206,12 @@ def read_whole(path: str, fingerprint: tuple | None = None, tell: Callable[[str,
     return path, None if error else h.hexdigest(), error, gone, done, time.monotonic() - began
 
 
+def reader_of(place: Column, readers: int) -> Column:
+    """Who of ``readers`` reads the file at ``place`` of a root's, the longest first: they are dealt to and fro."""
+    at = place % (2 * readers)
+    return F.when(at < readers, at).otherwise(2 * readers - 1 - at).cast("int")
+
+
 def dealt_by_bytes(files: DataFrame, readers: int, bounded: bool = False) -> DataFrame:
     """``files`` (root_id, size) dealt to ``readers`` tasks a root so that each has about as many bytes: the longest first, to and fro.
 
@@ -214,9 +221,7 @@ def dealt_by_bytes(files: DataFrame, readers: int, bounded: bool = False) -> Dat
         placed = files.withColumn("place", F.row_number().over(Window.partitionBy("root_id").orderBy(F.desc("size"), "path")) - 1)
     else:
         placed = numbered(materialize(files.withColumn("less", -F.col("size")), "to_read"), "root_id", ["less", "path"]).drop("less")
-    at = F.col("place") % (2 * readers)
-    reader = F.when(at < readers, at).otherwise(2 * readers - 1 - at).cast("int")
-    placed = placed.withColumn("reader", reader).drop("place")
+    placed = placed.withColumn("reader", reader_of(F.col("place"), readers)).drop("place")
     roots = [r[0] for r in placed.select("root_id").distinct().collect()]  # as many as there are roots
     if not roots:
         return placed
@@ -224,14 +229,16 @@ def dealt_by_bytes(files: DataFrame, readers: int, bounded: bool = False) -> Dat
     return placed.repartitionById(readers * len(roots), (number * readers + F.col("reader")).cast("int"))
 
 
-def hash_files(files: DataFrame, readers: int = 4, progress: str | None = None, bounded: bool = False) -> DataFrame:
+def hash_files(files: DataFrame, readers: int = 4, progress: str | None = None, tasks: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """The columns of HASHED of each path: whole files in blocks; gone where there is no such file; a file that changes meanwhile has an error.
 
     ``readers`` tasks at a time read from one root (column root_id; without it there is one root), which spares disks, and have
     equal bytes where there is a column size. With a column fingerprint, a file must be what it says. ``progress`` is a folder that
-    executors and driver have mounted: tasks write there what they are at (``reading_progress``).
+    executors and driver have mounted: tasks write there what they are at (``reading_progress``). ``tasks``: the files are dealt
+    already, a column task says to which of so many. The columns ``keep`` are handed on before the others.
     """
     known = "fingerprint" in files.columns
+    kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.float64())
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log = None
@@ -240,17 +247,22 @@ def hash_files(files: DataFrame, readers: int = 4, progress: str | None = None,
             log = open(os.path.join(progress, f"{uuid.uuid4().hex}.jsonl"), "a", buffering=1, encoding="utf-8")  # noqa: SIM115
         for batch in batches:
             prints = batch["fingerprint"].to_pylist() if known else [None] * len(batch)
-            for path, p in zip(batch["path"].to_pylist(), prints, strict=True):
+            for at, (path, p) in enumerate(zip(batch["path"].to_pylist(), prints, strict=True)):
                 tell = (lambda event, done, total, path=path: log.write(json.dumps({"path": path, "event": event, "done": done, "total": total, "at": time.time()}) + "\n")) if log else (lambda *_: None)
                 expected = None if p is None else (p["size"], p["mtime_s"], p["mtime_nsec"], int(p["dev"]), int(p["ino"]))
                 row = read_whole(path, expected, tell)
-                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.float64()), strict=True)], names=HASHED_COLUMNS)
+                kept = [batch[c].slice(at, 1) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array([v], kind) for v, kind in zip(row, kinds, strict=True))], names=[*keep, *HASHED_COLUMNS])
         if log:
             log.close()
 
-    wanted = ["path", *(["fingerprint"] if known else [])]
-    rows = files.select(*wanted, F.col("root_id") if "root_id" in files.columns else F.lit("").alias("root_id"), F.coalesce("size", F.lit(0)).alias("size") if "size" in files.columns else F.lit(0).alias("size"))
-    return dealt_by_bytes(rows, readers, bounded).select(*wanted).mapInArrow(digest, HASHED)
+    wanted = [*dict.fromkeys(["path", *(["fingerprint"] if known else []), *keep])]
+    told = T.StructType([files.schema[c] for c in keep] + T.StructType.fromDDL(HASHED).fields)
+    if tasks is not None:
+        return files.repartitionById(tasks, F.col("task")).select(*wanted).mapInArrow(digest, told)
+    own = [c for c in wanted if c not in ("root_id", "size")]
+    rows = files.select(*own, F.col("root_id") if "root_id" in files.columns else F.lit("").alias("root_id"), F.coalesce("size", F.lit(0)).alias("size") if "size" in files.columns else F.lit(0).alias("size"))
+    return dealt_by_bytes(rows, readers).select(*wanted).mapInArrow(digest, told)
 
 
 def reading_progress(spark: SparkSession, folder: str) -> DataFrame:

@@ -330,6 +330,66 @@ def test_hashing_goes_on_after_a_lost_run(spark, tmp_path, monkeypatch):
     assert ("hashed f000 in 0s",) in lines and len(lines) == 60
 
 
+def many_roots(spark, folder, roots, n):
+    """A worklist of ``n`` files in each root, listed as a scan would."""
+    found = []
+    for i in range(roots * n):
+        path = folder / f"r{i % roots}/f{i:04d}"
+        put(path, b"%d" % i * (i % 7))
+        s = headers.identity(os.stat(path))
+        found.append((f"r{i % roots}", path.name, str(path), s[0], tuple(Decimal(x) if k > 2 else x for k, x in enumerate(s))))
+    return spark.createDataFrame(found, hashing.WORK)
+
+
+def test_a_wave_takes_units_of_all_roots(spark, tmp_path, monkeypatch):
+    """Micro-batches grow with a root's files, not with all files; a reader has about a unit, and a root no more readers than it may."""
+    todo = many_roots(spark, tmp_path / "d", 6, 50)
+    work, real, calls = str(tmp_path / "work"), hashing.hash_files, []
+    hashing.write_units(todo, work, files=8, readers=2)
+    units = spark.read.parquet(work)
+    assert units.count() == 300 and units.select("unit").distinct().count() == 39 and units.groupBy("unit").agg(F.countDistinct("wave").alias("n")).filter("n > 1").count() == 0
+    held = units.groupBy("wave", "task").agg(F.countDistinct("root_id").alias("roots"), F.count(F.lit(1)).alias("n"))
+    assert held.filter("roots > 1").count() == 0 and held.agg(F.max("n")).first()[0] <= 12
+    assert units.groupBy("wave", "root_id").agg(F.countDistinct("task").alias("n")).agg(F.max("n")).first()[0] == 2
+    # Long files: a root has no second unit in a wave once it has so many bytes.
+    hashing.write_units(todo.withColumn("size", F.lit(100).cast("long")), str(tmp_path / "long"), files=8, size=800, readers=4)
+    assert spark.read.parquet(str(tmp_path / "long")).groupBy("wave", "root_id").count().agg(F.max("count")).first()[0] <= 16
+    monkeypatch.setattr(hashing, "hash_files", lambda *a, **k: calls.append(1) or real(*a, **k))
+    done = hashing.hash_durably(todo, str(tmp_path / "state"), readers=2, files=8)
+    want = {(r["root_id"], r["rel_path"]): hashlib.sha256(open(r["path"], "rb").read()).hexdigest() for r in todo.collect()}
+    assert {(r["root_id"], r["rel_path"]): r["sha256"] for r in done.collect()} == want and done.count() == 300
+    assert len(calls) <= 6
+
+
+def test_what_readers_of_a_lost_wave_have_read_is_kept(spark, tmp_path, monkeypatch):
+    todo = many_roots(spark, tmp_path / "d", 6, 40)
+    work, state, told, real = str(tmp_path / "work"), str(tmp_path / "state"), str(tmp_path / "told"), hashing.hash_files
+    hashing.write_units(todo, work, files=16, readers=2)
+    os.remove(tmp_path / "d/r0/f0006")
+    last = spark.read.parquet(work).orderBy(F.desc("task"), F.desc("wave")).first()
+
+    def dies(*args, **kwargs):
+        out = real(*args, **kwargs)
+        return out.withColumn("error", F.when(F.col("path") == last["path"], F.raise_error(F.lit("a reader is lost"))).otherwise(F.col("error")))
+
+    monkeypatch.setattr(hashing, "hash_files", dies)
+    with pytest.raises(Exception, match="a reader is lost"):
+        hashing.hash_stream(spark, work, state, told).awaitTermination()
+    monkeypatch.setattr(hashing, "hash_files", real)
+    half = {r["path"] for r in hashing.hashed(spark, state).filter("sha256 IS NOT NULL").collect()}
+    whole = spark.read.parquet(work).filter(F.col("wave") == last["wave"])
+    kept = {r["path"] for r in whole.collect()} & half
+    assert kept and last["path"] not in half
+    hashing.hash_stream(spark, work, state, told).awaitTermination()
+    done = hashing.hashed(spark, state).collect()
+    assert len(done) == 240 and [r["path"] for r in done if r["sha256"] is None] == [str(tmp_path / "d/r0/f0006")]
+    starts = [r["path"] for r in headers.reading_progress(spark, told).filter("event = 'start'").collect()]
+    assert {p for p in starts if starts.count(p) > 1}.isdisjoint(half)
+    # A worklist that was written before the state knew its files reads none of them again.
+    hashing.hash_stream(spark, work, state, told, "again-").awaitTermination()
+    assert len(headers.reading_progress(spark, told).filter("event = 'start'").collect()) == len(starts)
+
+
 def worklist_of(spark, todo):
     """The worklist as a scan finds it now; f001 is still listed though it is gone."""
     now = []
